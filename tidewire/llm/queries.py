@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, licenses
+from tidewire.llm import bpe, chat, decontaminate, licenses, pii, toxicity
 from tidewire.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -15,9 +16,39 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(pii.find_spans(docs, pii.train_on(docs)))
+
+
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train_on(docs, labels.where(~toxicity.in_fold("doc_id")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.in_fold("doc_id").alias("held_out"), "score", toxicity.rejected().cast("int").alias("predicted")
+    )
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_license_scan)}
+def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = chat.reply_order(table(spark, sf_dir, "conversations"))
+    return ordered.select(
+        "conv_id", "thread", "turn", "role", "parent_turn", "n_quotes", "n_linked", "deepest",
+        F.md5("body").alias("body_md5"), F.md5("chat").alias("chat_md5"),
+    )
+
+
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("n_places"), F.max("n_matched").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.max("exact").alias("exact")
+    )
+
+
+QUERIES = {
+    f.__name__: f for f in (op2_byte_bpe, op3_pii_semi_markov, op4_toxicity_fm, op5_license_scan, op7_quote_linking, op10_template_leaks)
+}
 SQL = {"op5_license_scan": licenses.report_sql()}
