@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, chat, decontaminate, licenses, pii, toxicity
+from tidewire.llm import bpe, chat, decontaminate, licenses, minhash, pii, toxicity
 from tidewire.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -41,6 +41,11 @@ def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(
@@ -49,6 +54,9 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_byte_bpe, op3_pii_semi_markov, op4_toxicity_fm, op5_license_scan, op7_quote_linking, op10_template_leaks)
+    f.__name__: f
+    for f in (
+        op2_byte_bpe, op3_pii_semi_markov, op4_toxicity_fm, op5_license_scan, op7_quote_linking, op9_minmax_near_dedup, op10_template_leaks
+    )
 }
 SQL = {"op5_license_scan": licenses.report_sql()}
