@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, chat, decontaminate, licenses, minhash, pii, toxicity
+from tidewire.llm import bpe, chat, decontaminate, licenses, line_dedup, minhash, pii, toxicity, vptree
 from tidewire.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -33,6 +38,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.size(F.split("text", "\n")).cast("long")
+    kept = F.coalesce("text", F.lit(""))
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_removed", lines.alias("n_lines_left"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = chat.reply_order(table(spark, sf_dir, "conversations"))
     return ordered.select(
@@ -56,7 +68,8 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_byte_bpe, op3_pii_semi_markov, op4_toxicity_fm, op5_license_scan, op7_quote_linking, op9_minmax_near_dedup, op10_template_leaks
+        op1_vantage_point_trees, op2_byte_bpe, op3_pii_semi_markov, op4_toxicity_fm, op5_license_scan, op6_line_alignment,
+        op7_quote_linking, op9_minmax_near_dedup, op10_template_leaks,
     )
 }
 SQL = {"op5_license_scan": licenses.report_sql()}
