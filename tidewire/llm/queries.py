@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, chat, decontaminate, licenses, line_dedup, minhash, pii, toxicity, vptree
+from tidewire.llm import bpe, chat, decontaminate, licenses, line_dedup, minhash, pii, suffixes, toxicity, vptree
 from tidewire.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -53,6 +53,10 @@ def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(suffixes.without_repeats(table(spark, sf_dir, "documents"), length=400))
+
+
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -69,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_vantage_point_trees, op2_byte_bpe, op3_pii_semi_markov, op4_toxicity_fm, op5_license_scan, op6_line_alignment,
-        op7_quote_linking, op9_minmax_near_dedup, op10_template_leaks,
+        op7_quote_linking, op8_suffix_repeats, op9_minmax_near_dedup, op10_template_leaks,
     )
 }
 SQL = {"op5_license_scan": licenses.report_sql()}
