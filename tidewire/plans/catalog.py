@@ -1,4 +1,7 @@
-"""Registered queries over the given tables, and their DuckDB SQL."""
+"""All registered queries over the given tables, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidewire.plans import feed
+
+PARTS = (feed,)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
