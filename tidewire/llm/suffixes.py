@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import by_sorted_key, written
+from tidewire.llm.common import groups_in_arrow, shuffle_width, written
 
 GRAM = 64
 PIECE = 1 << 20
@@ -219,55 +219,61 @@ class SuffixOrder:
         return np.unique(np.concatenate([a[sure], b[sure]])) if len(a) else a
 
 
-def cell_repeats(bodies: list[bytes], backs: np.ndarray, place: int, length: int) -> list[np.ndarray]:
-    """For each chunk of a cell, the places before the anchor whose windows another chunk has, too."""
-    low, high = place * PLACES, place * PLACES + PLACES - 1
-    starts, base, at = [], 0, []
-    counts = np.array([len(b) - length + 1 for b in bodies])
-    lows, highs = np.maximum(low, backs - counts + 1), np.minimum(high, backs)
-    for b in bodies:
-        at.append(base)
-        base += len(b)
+def cells_repeats(bodies: list[bytes], backs: np.ndarray, places: np.ndarray, cells: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of several cells (cells ascend) -> (chunk, first, last): ranges of windows, by their place in the chunk, that
+    another chunk of the cell has, too. Suffixes of all cells with as many members are sorted side by side."""
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    at = np.cumsum(size) - size
+    lows, highs = np.maximum(places * PLACES, backs - (size - length)), np.minimum(places * PLACES + PLACES - 1, backs)
     order = SuffixOrder(b"".join(bodies), length)
-    found: list[list[int]] = [[] for _ in bodies]
-    at = np.array(at)
-    # rows of one width: the places that the same chunks have
-    spans: dict[tuple, list[int]] = {}
-    for x in range(int(lows.min()), int(highs.max()) + 1):
-        members = np.flatnonzero((lows <= x) & (x <= highs))
-        if len(members) > 1:
-            spans.setdefault(tuple(members.tolist()), []).append(x)
-    owner = lambda p: np.searchsorted(at, p, "right") - 1
-    for members, xs in spans.items():
-        m = np.array(members)
-        starts = at[m][None, :] + backs[m][None, :] - np.array(xs)[:, None]
-        for p in order.repeats(starts).tolist():
-            k = int(owner(p))
-            found[k].append(int(backs[k] - (p - at[k])))
-    return [np.array(sorted(f), np.int64) for f in found]
-
-
-def compared(cells: DataFrame, length: int) -> DataFrame:
+    anchors_at = at + backs
+    rows: dict[int, list[np.ndarray]] = {}
+    edge = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+    for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(cells)], strict=True):
+        if e - s < 2:
+            continue
+        low, high, anchor = lows[s:e], highs[s:e], anchors_at[s:e]
+        cuts = np.unique(np.concatenate([low, high + 1])).tolist()
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            members = anchor[(low <= x) & (x <= high)]
+            if len(members) > 1:
+                rows.setdefault(len(members), []).append(members[None, :] - np.arange(x, y)[:, None])
+    found = [order.repeats(np.concatenate(x)) for x in rows.values()]
+    p = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    owner = np.searchsorted(at, p, "right") - 1
+    cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(owner) != 0))
+    first, last = np.concatenate([[0], cut + 1]).astype(np.int64), np.concatenate([cut, [len(p) - 1]]).astype(np.int64)
+    return (owner[first], p[first] - at[owner[first]], p[last] - at[owner[last]]) if len(p) else (p, p, p)
+
+
+def compared(cells: DataFrame, length: int, together: int = 1500) -> DataFrame:
     """cells (cell, place, gram, chunk, body, back) -> (gram, chunk, start, stop): ranges of windows of the chunk, by their
-    place in it, that are repeats."""
+    place in it, that are repeats. Small cells are worked on together, about `together` chunks at once."""
 
-    def work(group: pa.Table) -> pa.RecordBatch | None:
-        if group.num_rows < 2:
+    def flush(held: list[pa.Table]) -> pa.RecordBatch | None:
+        group = pa.concat_tables(held)
+        column = lambda c: group.column(c).to_numpy().astype(np.int64)
+        owner, start, stop = cells_repeats(group.column("body").to_pylist(), column("back"), column("place"), column("cell"), length)
+        if not len(owner):
             return None
-        bodies, backs = group.column("body").to_pylist(), group.column("back").to_numpy().astype(np.int64)
-        rows = []
-        grams, chunks = group.column("gram").to_pylist(), group.column("chunk").to_pylist()
-        for g, c, back, xs in zip(grams, chunks, backs.tolist(), cell_repeats(bodies, backs, group.column("place")[0].as_py(), length), strict=True):
-            if len(xs):
-                w = np.sort(back - xs)
-                cut = np.flatnonzero(np.diff(w) != 1)
-                rows += [(g, c, int(w[a]), int(w[b])) for a, b in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(w) - 1], strict=True)]
-        if not rows:
-            return None
-        g, c, a, b = zip(*rows, strict=True)
-        return pa.record_batch([pa.array(g, pa.int64()), pa.array(c, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["gram", "chunk", "start", "stop"])
+        rows = group.select(["gram", "chunk"]).take(pa.array(owner)).combine_chunks().to_batches()[0]
+        return pa.record_batch([rows.column(0), rows.column(1), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["gram", "chunk", "start", "stop"])
 
-    return by_sorted_key(cells.select("cell", "place", "gram", "chunk", "body", "back"), "cell", work, "gram long, chunk binary, start int, stop int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        n = 0
+        for group in groups_in_arrow(batches, "cell"):
+            held.append(group if isinstance(group, pa.Table) else pa.Table.from_batches([group]))
+            n += group.num_rows
+            if n >= together:
+                if (out := flush(held)) is not None:
+                    yield out
+                held, n = [], 0
+        if held and (out := flush(held)) is not None:
+            yield out
+
+    dealt = cells.select("cell", "place", "gram", "chunk", "body", "back").repartition(shuffle_width(cells.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "gram long, chunk binary, start int, stop int")
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
