@@ -43,9 +43,12 @@ def summary(text: Column, limit: int = 260) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    count = F.size(tokens) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens, joined by a blank. Shifted copies are zipped, so the tokens are worked out n times in all and not
+    once for each run."""
+    out = tokens
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.filter(out, lambda x: x.isNotNull())
 
 
 def overlap(a: Column, b: Column) -> Column:

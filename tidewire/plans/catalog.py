@@ -1,7 +1,7 @@
 """All registered queries over the given tables, and their DuckDB SQL."""
 
-from tidewire.plans import feed, local
+from tidewire.plans import feed, local, stories
 
-PARTS = (feed, local)
+PARTS = (feed, local, stories)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}

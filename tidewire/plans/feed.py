@@ -189,11 +189,10 @@ def paged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ITEMS_SQL}, w AS (SELECT id, unnest({tokens_sql(SUMMARY_SQL).removesuffix('[1:12]')}) AS token FROM items), c AS (SELECT id, token, count(*) AS n FROM w GROUP BY ALL)
 SELECT id, token, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, token) AS rank FROM c QUALIFY rank <= 5""")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most frequent words of each item's summary; counted within the row, so nothing is shuffled."""
-    rows = items(spark, sf_dir).select("id", T.title_tokens(T.summary(F.col("text")), 10_000).alias("tokens"))
-    counted = F.transform(F.array_distinct("tokens"), lambda w: F.struct((-F.size(F.filter("tokens", lambda x: x == w))).alias("n"), w.alias("token")))
-    best = rows.select("id", F.posexplode(F.slice(F.array_sort(counted), 1, 5)).alias("p", "x"))
-    return best.select("id", F.col("x.token").alias("token"), (-F.col("x.n")).cast("long").alias("n"), (F.col("p") + 1).alias("rank"))
+    """The five most frequent words of each item's summary."""
+    words = items(spark, sf_dir).select("id", F.explode(T.title_tokens(T.summary(F.col("text")), 10_000)).alias("token"))
+    counted = words.groupBy("id", "token").agg(F.count("*").alias("n"))
+    return ranking.top_per_group(counted, ["id"], [F.desc("n"), F.asc("token")], 5).select("id", "token", "n", "rank")
 
 
 @query("""WITH b AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
