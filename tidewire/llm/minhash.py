@@ -258,4 +258,4 @@ def settle(shared: DataFrame, components: DataFrame, bodies: DataFrame, percent:
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without those that a smaller id stands for."""
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)

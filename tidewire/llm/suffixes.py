@@ -134,7 +134,7 @@ def cells_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     import xxhash
 
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("gram", "chunk", "first", "back", "windows")).alias("wanted"))
-    joined = docs.join(lists, "id").select("text", "wanted")
+    joined = docs.join(lists.hint("merge"), "id").select("text", "wanted")  # merged at every size, as is the next
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +329,7 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
                     kept.append(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if runs else raw)
                 yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.list_(item)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "removed", "kept"])
 
-    out = texts.join(ranges, "id", "left").select("id", "text", "ranges").mapInArrow(run, "id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    out = texts.join(ranges.hint("merge"), "id", "left").select("id", "text", "ranges").mapInArrow(run, "id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
