@@ -23,8 +23,11 @@ def keep_latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFram
 
 def fold_duplicates(items: DataFrame, key: str = "link", id_col: str = "id") -> DataFrame:
     """Of each key's rows in order of id: the next row replaces the kept one if it is newer or scores higher. That is no
-    order, so the rows of a key are folded; equal (time, score) pairs count once, which bounds a hot key."""
-    distinct = items.groupBy(key, "published_at", "base_score").agg(F.min(id_col).alias("ord"))
+    order, so the rows of a key are folded. A row with the time and score of the one before it changes nothing and is
+    dropped first; what is left of a key is folded in one row, so keys should be links or titles, not a few values."""
+    w = Window.partitionBy(key).orderBy(id_col)
+    same = (F.lag("published_at").over(w) == F.col("published_at")) & (F.lag("base_score").over(w) == F.col("base_score"))
+    distinct = items.select(key, "published_at", "base_score", F.col(id_col).alias("ord"), F.coalesce(same, F.lit(False)).alias("__same")).where("not __same")
     rows = F.array_sort(F.collect_list(F.struct("ord", "published_at", "base_score")))
     folded = distinct.groupBy(key).agg(rows.alias("rows")).select(
         key,

@@ -73,8 +73,7 @@ def item_dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).groupBy("link").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {ITEMS_SQL}, d AS (SELECT link, published_at, base_score, min(id) AS id FROM items GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY id) AS n FROM d),
+@query(f"""WITH RECURSIVE {ITEMS_SQL}, o AS (SELECT link, published_at, base_score, id, row_number() OVER (PARTITION BY link ORDER BY id) AS n FROM items),
 f AS (SELECT link, n, id, published_at, base_score FROM o WHERE n = 1 UNION ALL
   SELECT o.link, o.n, CASE WHEN o.base_score > f.base_score OR o.published_at > f.published_at THEN o.id ELSE f.id END,
     CASE WHEN o.base_score > f.base_score OR o.published_at > f.published_at THEN o.published_at ELSE f.published_at END,
