@@ -166,6 +166,14 @@ class Index:
                 for k in range(s, e):
                     yield int(self.owner[k]), int(self.place[k]), d
 
+    def opening_names(self, item: int, words: list[tuple[str, str]], start: int, taken: set[int]) -> Iterator[tuple[tuple[str, str], tuple[str, str]]]:
+        """Aligned pairs outside the matched windows where the item has a word that is a name elsewhere in it."""
+        own = self.items[item]
+        names = {core.lower() for core, kind in own if kind == "<name>"}
+        for k, (core, _) in enumerate(own):
+            if k not in taken and core.lower() in names and 0 <= start + k < len(words) and words[start + k][0][:1].isupper():
+                yield (core, "<name>"), (words[start + k][0], "<name>")
+
     def hits(self, text: str | None, share: float) -> Iterator[tuple[int, int, int, int, bool]]:
         """(item, start word, windows matched, windows of the item, whether all slots are equal)."""
         if not text:
@@ -182,6 +190,8 @@ class Index:
             wide = min(self.window, len(self.items[item]))
             at = sorted({p + k for p in places for k in range(wide)})
             ours, found = [self.items[item][p] for p in at], [words[start + p] for p in at]
+            for p, q in self.opening_names(item, words, start, set(at)):  # a name that opens a sentence is a slot, too
+                ours.append(p), found.append(q)
             if consistent(ours, found):
                 yield item, start, len(places), n, all(a.lower() == b.lower() for (a, _), (b, _) in zip(ours, found, strict=True))
 
