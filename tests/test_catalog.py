@@ -43,4 +43,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_fold_test():
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"story_clusters_greedy"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"story_clusters_greedy", "incremental_clusters"}

@@ -1,7 +1,7 @@
 """All registered queries over the given tables, and their DuckDB SQL."""
 
-from tidewire.plans import feed, local, readers, stories, streams, texts
+from tidewire.plans import editorial, feed, local, readers, stories, streams, texts
 
-PARTS = (feed, local, stories, texts, readers, streams)
+PARTS = (feed, local, stories, texts, readers, streams, editorial)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
