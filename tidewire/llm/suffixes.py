@@ -9,8 +9,9 @@ Each byte covered by a string of `length` (400) bytes that also starts anywhere
 3. Where a gram has several classes, one chunk of each is cut into cells by the window's place before the anchor and by
    a digest of the bytes that all windows of that place range share, so a cell only holds chunks that agree there, and is
    dropped if it holds one. In a cell the suffixes (window starts) are merge-sorted. Two suffixes are compared by the
-   length of their common extension, found by binary search over prefix polynomial hashes; neighbours in order that
-   agree on `length` bytes, confirmed byte by byte, are repeats.
+   length of their common extension, found by binary search over prefix polynomial hashes; the order of suffixes that
+   start one byte earlier follows by a stable sort of that byte. Neighbours in order that agree on `length` bytes,
+   confirmed byte by byte, are repeats.
 
 Work is counted over all documents; one copy is not kept (every occurrence goes, as asked). Null and empty texts have
 no bytes; texts shorter than `length` lose nothing. Repeated rows of an id are one document. Documents are cut into
@@ -208,15 +209,29 @@ class SuffixOrder:
             runs = [self.merged(runs[k], runs[k + 1]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
         return runs[0]
 
-    def repeats(self, starts: np.ndarray) -> np.ndarray:
-        """The starts whose first `length` bytes start another of the same row, too."""
-        order = self.sorted(starts)
-        a, b = order[:, :-1].ravel(), order[:, 1:].ravel()
-        alike = self.extension(a, b) == self.length
-        a, b = a[alike], b[alike]
+    def repeats(self, tops: np.ndarray, heights: np.ndarray) -> list[np.ndarray]:
+        """Each row of tops is a set of suffixes that are compared with one another, and so are those that start 1, 2 ...
+        height - 1 bytes before them. Gives the starts whose first `length` bytes start another of their set, too.
+
+        Only the tops are merge-sorted. One byte earlier the order follows from it: by the byte, then by the order of what
+        comes after, which is a stable sort of bytes."""
+        found, order = [], self.sorted(tops)
+        for step in range(int(heights.max())):
+            if step:
+                on = heights > step
+                order, heights = order[on] - 1, heights[on]
+                order = np.take_along_axis(order, np.argsort(self.raw[order], axis=1, kind="stable"), 1)
+            a, b = order[:, :-1].ravel(), order[:, 1:].ravel()
+            alike = self.hashes.of(a, self.length) == self.hashes.of(b, self.length)
+            a, b = a[alike], b[alike]
+            sure = self.same_bytes(a, b)
+            found += [a[sure], b[sure]]
+        return found
+
+    def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         views = np.lib.stride_tricks.sliding_window_view(self.raw, self.length)
-        sure = np.array([np.array_equal(views[i], views[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-        return np.unique(np.concatenate([a[sure], b[sure]])) if len(a) else a
+        parts = [(views[a[s : s + 4000]] == views[b[s : s + 4000]]).all(axis=1) for s in range(0, len(a), 4000)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
 def cells_repeats(bodies: list[bytes], backs: np.ndarray, places: np.ndarray, cells: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,7 +242,8 @@ def cells_repeats(bodies: list[bytes], backs: np.ndarray, places: np.ndarray, ce
     lows, highs = np.maximum(places * PLACES, backs - (size - length)), np.minimum(places * PLACES + PLACES - 1, backs)
     order = SuffixOrder(b"".join(bodies), length)
     anchors_at = at + backs
-    rows: dict[int, list[np.ndarray]] = {}
+    tops: dict[int, list[np.ndarray]] = {}
+    heights: dict[int, list[int]] = {}
     edge = np.flatnonzero(cells[1:] != cells[:-1]) + 1
     for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(cells)], strict=True):
         if e - s < 2:
@@ -237,9 +253,10 @@ def cells_repeats(bodies: list[bytes], backs: np.ndarray, places: np.ndarray, ce
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             members = anchor[(low <= x) & (x <= high)]
             if len(members) > 1:
-                rows.setdefault(len(members), []).append(members[None, :] - np.arange(x, y)[:, None])
-    found = [order.repeats(np.concatenate(x)) for x in rows.values()]
-    p = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                tops.setdefault(len(members), []).append(members - x)
+                heights.setdefault(len(members), []).append(y - x)
+    found = [p for n, rows in tops.items() for p in order.repeats(np.stack(rows), np.array(heights[n]))]
+    p = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     owner = np.searchsorted(at, p, "right") - 1
     cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(owner) != 0))
     first, last = np.concatenate([[0], cut + 1]).astype(np.int64), np.concatenate([cut, [len(p) - 1]]).astype(np.int64)
