@@ -1,5 +1,6 @@
 """Every registered query of the library against its DuckDB SQL on the smallest tables."""
 
+import decimal
 import math
 import os
 
@@ -25,7 +26,7 @@ def duck():
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    return round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).removesuffix("+00:00")
+    return round(float(v), 4) if isinstance(v, (int, float, decimal.Decimal)) and not isinstance(v, bool) else str(v).removesuffix("+00:00")
 
 
 def rows(columns, data):
