@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators import dedupe, ranking
+from tidewire.operators.cluster import saved
 from tidewire.sources.landed import ITEMS_SQL, items, table
 
 QUERIES: dict = {}
@@ -114,8 +115,9 @@ def diversified_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 rest AS (SELECT * FROM stories WHERE id NOT IN (SELECT id FROM t)), {diversified_sql('rest', 29, 170, 'f')}
 SELECT 'top' AS section, id, title, source_name, category, score, position FROM t UNION ALL SELECT 'feed', id, title, source_name, category, score, position FROM f""")
 def front_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight top stories (two per source), then the feed of 170 without them (29 per source)."""
-    pool = stories(spark, sf_dir)
+    """Eight top stories (two per source), then the feed of 170 without them (29 per source). The stories, without their
+    texts, are worked out once."""
+    pool = saved(stories(spark, sf_dir).drop("text"), "stories")
     cols = ["id", "title", "source_name", "category", "score", "position"]
     first = ranking.diversify(pool, 2, 8, ranking.spotlight_order()).select(*cols)
     rest = pool.join(F.broadcast(first.select("id")), "id", "left_anti")  # eight ids
