@@ -220,6 +220,29 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_any_case_and_with_longer_slots():
+    item = "Tom Reed bought 12 apples at the market for Ann and gave 3 of them to Tom Reed before lunch. How many apples does Ann have left after that day?"
+    index = decontaminate.Index([(7, item), (8, "5 7 9")], 5)
+    longer = item.replace("Tom Reed", "Mary Jane van Holt").replace("van", "Van").replace("12", "1 200").replace("Ann", "Li Wei Chen")
+    found = {
+        name: [(x[0], x[4]) for x in index.hits(f"{before} {text} Some more words follow it here.", 0.8)]
+        for name, before, text in [
+            ("same", "So.", item), ("capitals", "So.", item.upper()), ("lower", "So.", item.lower()), ("title", "So.", item.title()),
+            ("capitals, other number", "So.", item.upper().replace("12", "40")), ("longer", "So.", longer), ("inside a sentence", "so", longer),
+            ("mixed up", "So.", longer.replace("Li Wei Chen have", "Mary Jane Van Holt have")), ("other", "So.", "5 8 9 and 6 7 9"), ("numbers", "So.", "4 5 7 9"),
+        ]
+    }
+    both = [(7, True)]
+    assert found == {
+        "same": both, "capitals": both, "lower": both, "title": both, "capitals, other number": [(7, False)], "longer": [(7, False)],
+        "inside a sentence": [(7, False)], "mixed up": [], "other": [], "numbers": [(8, True)],
+    }
+    short = decontaminate.Index([(1, "Tom has 5 apples. How many apples remain?")], 5)
+    assert [x[0] for x in short.hits("then Mary has 7 apples. How many apples remain?", 0.8)] == [1]
+    assert [x[0] for x in short.hits("Mary Ann has 7 apples. How many apples remain?", 0.8)] == [1]
+    assert [x[0] for x in short.hits("Tom has 7 apples. Where many apples remain?", 0.8)] == []
+
+
 def test_vantage_point_trees(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(400)] + [(500 + i, [1.0] * 8) for i in range(9)]

@@ -1,18 +1,22 @@
 """Benchmark decontamination by templates.
 
-Numbers, names and units become typed placeholders; windows of `window` (five) template words are hashed and the
-document's windows are joined to those of the benchmark by hash. For each document and item, matches are grouped by
-alignment (place in the document less place in the item); an alignment that holds at least `share` (0.8) of the item's
-windows is a candidate. Then slots are checked on the aligned words: literal words must be equal, and within the item
-each slot value must always map to one value of the document and differing values must stay apart. A candidate that
-passes is a copy (all slots equal) or a re-parameterised copy. Items of fewer words than the window form one window.
+Numbers, names and units become typed placeholders, neighbouring ones of a type a single one, so that a slot may be filled
+with any number of words; windows of `window` (five) template words are hashed and the document's windows are joined to
+those of the benchmark by hash. A text has several forms, and a window may match in any: words that open a sentence as
+literals or, with a capital, as names; and without names, in lower case, so copies in capitals or in lower case match.
+For each document and item, matches are chained in order; between two of them the distance may drift by as many words as
+slots have. A chain that holds at least `share` (0.8) of the item's windows is a candidate. Then slots are checked on the
+aligned words: literal words must be equal, and within the item each slot value must always map to one value of the
+document and differing values must stay apart. A candidate that passes is a copy (all slots equal) or a re-parameterised
+copy. Items of fewer template words than the window form one window. In a copy that gives no names away by case, numbers
+and units may differ, names not.
 
 The benchmark is a given set of questions; it is split into blocks of at most `block_windows` windows, and each block
 is sent to the executors, so what is broadcast is bounded however large the benchmark grows; more blocks take more
 passes over the documents. Documents are never shuffled: what leaves a task is one row for each hit.
 
 Null or empty texts and items have no windows and are never contaminated. Repeated rows are judged each. An item whose
-template is only placeholders (no literal word) would match any list of numbers; it takes part with its literal words.
+template is only placeholders (no literal word) would match any list of numbers; it takes part with its words as they are.
 """
 
 from __future__ import annotations
@@ -40,6 +44,9 @@ MASK = (1 << 64) - 1
 MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
 CACHE_WORDS = 500_000
 NUMBER_STARTS = frozenset("0123456789$€£+-")
+#: Numbers of the placeholders; those of literal words are greater.
+KINDS = {"<number>": 1, "<name>": 2, "<unit>": 3}
+LAST_KIND = 3
 
 
 def kind_of(core: str, first: bool) -> str:
@@ -67,14 +74,13 @@ class Words(dict):
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        unit = vocabulary.get("<unit>", 0)
-        self.placeholder = vocabulary
-        self.literal = {w: x for w, x in vocabulary.items() if not w.startswith("<")} | dict.fromkeys(UNITS, unit)
+        self.exact = vocabulary
+        self.literal = vocabulary | dict.fromkeys(UNITS, KINDS["<unit>"])
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.opening, self.inner, self.ends = array("Q", (0, 0)), array("Q", (0, 0)), array("b", (0, 1))
+        self.opening, self.inner, self.as_is, self.ends = array("Q", (0, 0)), array("Q", (0, 0)), array("Q", (0, 0)), array("b", (0, 1))
 
     def __missing__(self, raw: str) -> int:
         core = raw.strip(EDGES) or raw
@@ -82,54 +88,70 @@ class Words(dict):
         if not number and core[0].islower():
             self[raw] = int(ends)
             return int(ends)
-        n, get = len(self.ends), self.placeholder.get
-        first = kind_of(core, True)
-        self.opening.append(get(first, 0) if first else number)
-        self.inner.append(get(first or "<name>", 0) if first or core[:1].isupper() else number)
+        n = len(self.ends)
+        kind = kind_of(core, True)
+        self.opening.append(KINDS[kind] if kind else number)
+        self.inner.append(KINDS[kind or "<name>"] if kind or core[:1].isupper() else number)
+        self.as_is.append(self.exact.get(core.lower(), 0))
         self.ends.append(ends)
         self[raw] = n
         return n
 
-    def numbers(self, text: str) -> np.ndarray:
-        """A number for each template word of a text."""
+    def forms(self, text: str, as_is: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The template in each of its forms, as (number of each template word, the raw word it starts at): words that
+        open a sentence as literals; as names if they have a capital; no names at all, every word in lower case; and, if
+        asked for, all words as they are. Neighbouring placeholders of a type are one template word."""
         if len(self) > CACHE_WORDS:
             self.clear()
         raws = text.split()
         at = np.fromiter(map(self.__getitem__, raws), np.int64, len(raws))
-        first = np.empty(len(at), bool)
-        if len(at):
-            first[0] = True
-            first[1:] = np.frombuffer(self.ends, np.int8)[at[:-1]]
-        return np.where(first, np.frombuffer(self.opening, np.uint64)[at], np.frombuffer(self.inner, np.uint64)[at])
+        first = np.ones(len(at), bool)
+        first[1:] = np.frombuffer(self.ends, np.int8)[at[:-1]]
+        opening, inner = np.frombuffer(self.opening, np.uint64)[at], np.frombuffer(self.inner, np.uint64)[at]
+        out = [merged(x) for x in (np.where(first, opening, inner), inner, opening)]
+        return [*out, (np.frombuffer(self.as_is, np.uint64)[at], np.arange(len(at)))] if as_is else out
 
 
-def window_hashes(numbers: np.ndarray, window: int) -> np.ndarray:
-    """Of each window of so many words; 0 for a window with a word that no template has."""
+def merged(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """numbers with runs of one placeholder (or of unknown words) as one, and where each starts."""
+    starts = np.ones(len(numbers), bool)
+    starts[1:] = (numbers[1:] != numbers[:-1]) | (numbers[1:] > LAST_KIND)
+    starts = np.flatnonzero(starts)
+    return numbers[starts], starts
+
+
+def window_hashes(numbers: np.ndarray, window: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each window of so many words of a form, all of which some template has."""
     n = len(numbers) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, known = np.full(n, np.uint64(window), np.uint64), np.ones(n, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    unknown = np.concatenate([[0], np.cumsum(numbers == 0)])
+    at = np.flatnonzero(unknown[window:] == unknown[:n])
+    out = np.full(len(at), np.uint64(window * 4 + form), np.uint64)
     for k in range(window):
-        part = numbers[k : n + k]
-        out += part * MULTIPLIERS[k]
-        known &= part != 0
+        out += numbers[at + k] * MULTIPLIERS[k]
     out ^= out >> np.uint64(31)
-    out[~known] = 0
-    return out
+    return at, out
+
 
+class Text:
+    """Words of a text with what opens a sentence, in forms."""
 
-def consistent(item: list[tuple[str, str]], found: list[tuple[str, str]]) -> bool:
-    """Whether the aligned words can be the item's under other slot values: literal words equal, slots of the same kind,
-    and their values one to one."""
-    there, back = {}, {}
-    for (a, x), (b, y) in zip(item, found, strict=True):
-        if x != y:
-            return False
-        if x.startswith("<"):
-            a, b = (x, a.lower()), (y, b.lower())
-            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                return False
-    return True
+    def __init__(self, text: str, forms: list[tuple[np.ndarray, np.ndarray]]):
+        raws = text.split()
+        self.cores = [r.strip(EDGES) or r for r in raws]
+        self.lower = [c.lower() for c in self.cores]
+        self.first = [True, *(r.endswith(ENDS) for r in raws[:-1])]
+        self.numbers = [x.tolist() for x, _ in forms]
+        self.starts = [[*x.tolist(), len(raws)] for _, x in forms]
+        # how many words before each could be part of a slot
+        slots = [kind_of(c, False) != "" for c in self.cores]
+        self.slots = [0, *np.cumsum(slots).tolist()]
+        self.names = {c for c, f, x in zip(self.lower, self.first, self.cores, strict=True) if kind_of(x, f) == "<name>"}
+
+    def opens(self, k: int) -> bool:
+        """Whether a word has a capital and opens a sentence."""
+        return k >= 0 and self.first[k] and kind_of(self.cores[k], False) == "<name>"
 
 
 class Index:
@@ -137,63 +159,152 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.window = window
-        self.items = {i: template_words(t) for i, t in items}
-        literals = sorted({w for words in self.items.values() for _, w in words})
-        self.words = Words({w: (0xD6E8FEB86659FD93 * (k + 1) & MASK) | 1 for k, w in enumerate(literals)})
-        hashes, owner, place = [], [], []
-        self.windows: dict[int, int] = {}
+        literals = sorted({w for _, t in items for core, x in template_words(t) for w in (core.lower(), x) if w not in KINDS})
+        self.words = Words({w: (0xD6E8FEB86659FD93 * (k + 1) & MASK) | 1 << 63 | 1 for k, w in enumerate(literals)})
+        self.items: dict[int, Text] = {}
+        self.windows: dict[int, list[tuple[int, int]]] = {}
+        self.as_is, self.short = False, set()
+        rows: list[tuple] = []
         for i, t in items:
-            numbers = self.words.numbers(t)
-            h = window_hashes(numbers, min(window, max(1, len(numbers))))
-            self.windows[i] = len(h)
-            hashes.append(h), owner.append(np.full(len(h), i)), place.append(np.arange(len(h)))
-        self.short = sorted({len(w) for w in self.items.values() if 0 < len(w) < window})
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.h = h[order]
-        self.owner, self.place = (np.concatenate(x)[order] if hashes else np.zeros(0, np.int64) for x in (owner, place))
-
-    def matches(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, its window, the document's window)."""
-        for wide in [self.window, *self.short]:
-            h = window_hashes(numbers, wide)
-            at = np.flatnonzero(h)
-            if not len(at):
-                continue
-            a, b = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-            hit = a < b
-            for d, s, e in zip(at[hit].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
-                for k in range(s, e):
-                    yield int(self.owner[k]), int(self.place[k]), d
-
-    def opening_names(self, item: int, words: list[tuple[str, str]], start: int, taken: set[int]) -> Iterator[tuple[tuple[str, str], tuple[str, str]]]:
-        """Aligned pairs outside the matched windows where the item has a word that is a name elsewhere in it."""
-        own = self.items[item]
-        names = {core.lower() for core, kind in own if kind == "<name>"}
-        for k, (core, _) in enumerate(own):
-            if k not in taken and core.lower() in names and 0 <= start + k < len(words) and words[start + k][0][:1].isupper():
-                yield (core, "<name>"), (words[start + k][0], "<name>")
+            forms = self.words.forms(t, True)
+            own = self.items[i] = Text(t, forms)
+            only_slots = bool((forms[0][0] <= LAST_KIND).all())
+            self.as_is |= only_slots
+            for form, (numbers, _) in enumerate(forms):
+                wide = min(window, len(numbers))
+                spans = own.starts[form]
+                if form == (3 if only_slots else 0):
+                    self.windows[i] = [(spans[k], spans[k + wide]) for k in range(len(numbers) - wide + 1)]
+                if only_slots != (form == 3) or (form == 1 and wide < window):
+                    continue
+                for k, h in zip(*(x.tolist() for x in window_hashes(numbers, wide, form)), strict=True):
+                    if form != 1 or max(own.numbers[1][k : k + wide]) > LAST_KIND:
+                        rows.append((h, i, spans[k], spans[k + wide], form, k, wide))
+                if wide < window:
+                    self.short.add(wide)
+        self.rows = sorted(rows)
+        self.h = np.array([r[0] for r in self.rows], np.uint64)
+
+    def matches(self, forms: list[tuple[np.ndarray, np.ndarray]]) -> dict[int, set[tuple]]:
+        """Item -> (its start and end, form, its place, width, place in the document)."""
+        out: dict[int, set[tuple]] = defaultdict(set)
+        for form, (numbers, _) in enumerate(forms):
+            for wide in [self.window, *self.short]:
+                places, h = window_hashes(numbers, wide, form)
+                if not len(h):
+                    continue
+                a, b = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+                hit = a < b
+                for d, s, e in zip(places[hit].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
+                    for _, item, *row in self.rows[s:e]:
+                        out[item].add((*row, d))
+        return out
+
+    def held(self, item: int, spans: set[tuple[int, int]]) -> int:
+        """How many windows of the item the spans of words cover."""
+        covered = {k for s, e in spans for k in range(s, e)}
+        return sum(all(k in covered for k in range(s, e)) for s, e in self.windows[item])
+
+    def pairs(self, own: Text, doc: Text, hit: tuple) -> list[tuple[bool, int, int, int, int]] | None:
+        """(whether it is a slot, start and end here, start and end there) of each template word; None if they differ."""
+        _, _, form, k, wide, d = hit
+        out = []
+        for t in range(wide):
+            x = own.numbers[form][k + t]
+            s, e, ds, de = own.starts[form][k + t], own.starts[form][k + t + 1], doc.starts[form][d + t], doc.starts[form][d + t + 1]
+            a, b = own.lower[s], doc.lower[ds]
+            if x > LAST_KIND and a != b:
+                return None
+            # a word that opens a sentence in both is a name only if it opens the item or the item has it as a name
+            if x == KINDS["<name>"] and a != b and s and own.first[s] and doc.first[ds] and a not in own.names:
+                return None
+            # a name behind a capital that opens a sentence may go on to its left; the form with both as names has it whole
+            if form == t == 0 and x == KINDS["<name>"] and own.opens(s - 1) != doc.opens(ds - 1) and (s == 0 or ds == 0 or own.lower[s - 1] != doc.lower[ds - 1]):
+                return None
+            out.append((x <= LAST_KIND or a in own.names, s, e, ds, de))
+        return out
+
+    def chains(self, own: Text, doc: Text, hits: list[tuple[int, int, int]]) -> list[list[int]]:
+        """Numbers of hits (start, end, start there; in order of the last) that go on from each other. The distance may
+        change by as many words as slots between them have."""
+        chains: list[list[int]] = []
+        for n, (s, e, d) in enumerate(hits):
+            best, least = None, None
+            for chain in reversed(chains):
+                p, _, q = hits[chain[-1]]
+                if p > s or q > d:
+                    continue
+                drift = abs((d - q) - (s - p))
+                if drift <= own.slots[e] - own.slots[p] + doc.slots[d] - doc.slots[q] and (least is None or drift < least):
+                    best, least = chain, drift
+                if least == 0:
+                    break
+            if best is None:
+                chains.append([n])
+            else:
+                best.append(n)
+        return chains
 
     def hits(self, text: str | None, share: float) -> Iterator[tuple[int, int, int, int, bool]]:
         """(item, start word, windows matched, windows of the item, whether all slots are equal)."""
         if not text:
             return
-        lines: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for item, place, d in self.matches(self.words.numbers(text)):
-            lines[item, d - place].add(place)
-        words = None
-        for (item, start), places in sorted(lines.items()):
-            n = self.windows[item]
-            if len(places) < share * n:
+        forms = self.words.forms(text, self.as_is)
+        doc = None
+        for item, found in sorted(self.matches(forms).items()):
+            n = len(self.windows[item])
+            if self.held(item, {(h[0], h[1]) for h in found}) < share * n:
                 continue
-            words = template_words(text) if words is None else words
-            wide = min(self.window, len(self.items[item]))
-            at = sorted({p + k for p in places for k in range(wide)})
-            ours, found = [self.items[item][p] for p in at], [words[start + p] for p in at]
-            for p, q in self.opening_names(item, words, start, set(at)):  # a name that opens a sentence is a slot, too
-                ours.append(p), found.append(q)
-            if consistent(ours, found):
-                yield item, start, len(places), n, all(a.lower() == b.lower() for (a, _), (b, _) in zip(ours, found, strict=True))
+            own = self.items[item]
+            doc = Text(text, forms) if doc is None else doc
+            rows = sorted((doc.starts[h[2]][h[5]], h[0], h[1], p) for h in found if (p := self.pairs(own, doc, h)) is not None)
+            for chain in self.chains(own, doc, [(s, e, d) for d, s, e, _ in rows]):
+                part = [rows[k] for k in chain]
+                matched = self.held(item, {(s, e) for _, s, e, _ in part})
+                if matched < share * n:
+                    continue
+                slots = {x[1:] for *_, p in part for x in p if x[0]}
+                slots |= self.opening_names(own, doc, part)
+                values = aligned(own, doc, slots)
+                if values is not None:
+                    yield item, part[0][0] - part[0][1], matched, n, all(a == b for _, a, b in values)
+
+    def opening_names(self, own: Text, doc: Text, part: list[tuple]) -> set[tuple[int, int, int, int]]:
+        """Slots outside the matched windows: words of the item that are names elsewhere in it, where the document has a
+        capital."""
+        covered = {k for _, s, e, _ in part for k in range(s, e)}
+        out = set()
+        for k, word in enumerate(own.lower):
+            if k not in covered and word in own.names:
+                d, s, *_ = min(part, key=lambda r: abs(r[1] - k))
+                at = d + k - s
+                if 0 <= at < len(doc.cores) and doc.cores[at][:1].isupper():
+                    out.add((k, k + 1, at, at + 1))
+        return out
+
+
+def aligned(own: Text, doc: Text, slots: set[tuple[int, int, int, int]]) -> list[tuple[str, str, str]] | None:
+    """(kind, value, value in the document) of slots if they map one to one, else None: word by word where a slot has as
+    many on both sides, else as a whole. A slot at an edge of the item may run on into the document's own words; there
+    the value is what the slot has elsewhere, or as many words as the item has."""
+    there, back, out = {}, {}, []
+    runs_on = {x for x in slots if x[3] - x[2] > x[1] - x[0] and (x[0] == 0 or x[1] == len(own.lower))}
+    for s, e, ds, de in [*sorted(slots - runs_on), *sorted(runs_on)]:
+        kind, mine, theirs = kind_of(own.cores[s], True), own.lower[s:e], doc.lower[ds:de]
+        if (s, e, ds, de) in runs_on:
+            known = there.get((kind, " ".join(mine)), "").split() or [there.get((kind, w)) for w in mine]
+            size = len(" ".join(w or "" for w in known).split()) if all(known) else len(mine)
+            theirs = theirs[-size:] if s == 0 else theirs[:size]
+            if all(known):
+                mine, theirs = [" ".join(mine)], [" ".join(theirs)]
+                known = [" ".join(known)]
+                if theirs != known:
+                    return None
+        for a, b in zip(mine, theirs, strict=True) if len(mine) == len(theirs) else [(" ".join(mine), " ".join(theirs))]:
+            if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
+                return None
+            out.append((kind, a, b))
+    return out
 
 
 def blocks_of(benchmark: DataFrame, window: int, block_windows: int, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
