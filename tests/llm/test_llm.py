@@ -119,6 +119,17 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_takes_repeated_lines_and_whole_copies(spark):
+    a, b, c = "first line of five words", "second line of five words", "third line of five words"
+    copied = f"{a}\nhm\n{b}\nyes\n{a}\nno\n{c}\nend"
+    texts = [a, f"x\n{b}", copied, copied, "Ok.\nYes.", "Ok.\nYes.", f"{b}\n{b}", "\n", "\n", "一二三四五六七八九", "早\n一二三四五六七八九"]
+    rows = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert rows[4] == ("", 8)  # its lines' first owners are three documents
+    assert rows[3] == (f"hm\nyes\n{a}\nno\n{c}\nend", 2)
+    assert rows[5] == ("Ok.\nYes.", 0) and rows[6] == ("", 2) and rows[7] == (b, 1)
+    assert rows[8] == rows[9] == ("\n", 0) and rows[11] == ("早", 1)
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "user", "How do I boil eggs?\nI like them soft."), (1, 1, "assistant", "> How do I boil eggs?\nSix minutes."),

@@ -1,21 +1,23 @@
 """Line dedup by pairwise alignment.
 
-Each line is hashed (trimmed). A line that its document holds once and that has at least `min_words` words can link
-documents; it links each document to the first one (least id) that holds it so. A line that is rare gives its few links,
-and a line that thousands share gives each of them one link, with no cut-off by frequency and no pairs within a group.
-Each linked pair is aligned by patience diff: of the linking lines that both hold once, the longest run that increases in
-both; the other lines between two neighbouring ones of the run, before the first or after the last belong to the block
-where they are the same on both sides. Aligned blocks are deleted from the later document (greater id); the first copy
-always stays.
-
-What is shuffled is a row for each linking line, with a hash of the lines that follow it, never a document's lines for
-each partner; texts are read once to hash and once to cut. A null text stays null, an empty one empty; both link with
+Each line is hashed (trimmed) with its number among the equal lines of its document, so the second of a document meets
+the second of another. A line of at least `min_words` words, or as long in characters, can link documents; it links each
+document to the first one (least id) that holds it so. A line that is rare gives its few links, and a line that thousands
+share gives each of them one link, with no cut-off by frequency and no pairs within a group. Each linked pair is aligned by
+patience diff: of the linking lines that both hold, the longest run that increases in both. The lines between two
+neighbouring linking lines, before the first or after the last (all, if none links) are a gap; a gap goes where both
+neighbours go and some earlier document has the same gap between the same neighbours, whoever the partners of these are.
+Aligned blocks are deleted from the later document (greater id); the first copy always stays.
+
+What is shuffled is a row for each linking line and each gap that is not empty, never a document's lines for each partner;
+texts are read once to hash and once to cut. A null text stays null, an empty or blank one as it is; they link with
 nothing. Ids are taken to name one text; repeated rows of an id are all cut alike, and rows with a null id are left as
 they are. Equal lines within one document are not touched by that alone.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,6 +29,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewire.llm.common import written
 
+#: Letters of scripts that are written without blanks.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+
 
 def line_hash(line: str) -> int:
     import xxhash
@@ -34,17 +39,32 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def linking_lines(text: str, min_words: int) -> list[tuple[int, int, int, int, bool, int | None]]:
-    """(line, place, lines that follow, their hash, whether it is the last, hash of what comes before the first) of each
-    linking line."""
+def can_link(line: str, min_words: int) -> bool:
+    """Whether a line has so many words: by blanks, at six characters a word, or at two where the script has no blanks."""
+    return len(line.split(None, min_words)) >= min_words or len(line) >= 6 * min_words or len(UNSPACED.findall(line)) >= 2 * min_words
+
+
+def linking_lines(text: str, min_words: int) -> list[tuple[int, int, int]]:
+    """(key, place, 0) of each linking line and (key, place of the first, how many) of each gap's lines; the number is
+    negative if the gap ends the text."""
     lines = [x.strip() for x in text.split("\n")]
-    count = Counter(lines)
-    places = [k for k, x in enumerate(lines) if count[x] == 1 and len(x.split(None, min_words)) >= min_words]
-    out = []
-    for n, k in enumerate(places):
-        last = n == len(places) - 1
-        gap = lines[k + 1 : len(lines) if last else places[n + 1]]
-        out.append((line_hash(lines[k]), k, len(gap), line_hash("\n".join(gap)), last, line_hash("\n".join(lines[:k])) if n == 0 else None))
+    if not any(lines):
+        return []
+    out, seen = [], Counter()
+    before, start = None, 0  # the last linking line's hash, where the gap behind it starts
+    for k in range(len(lines) + 1):
+        ends = k == len(lines)
+        if not ends and not can_link(lines[k], min_words):
+            continue
+        own = None if ends else line_hash(lines[k])
+        if k > start:
+            gap = line_hash(f"{before} {own}\n" + "\n".join(lines[start:k]))
+            seen[gap, True] += 1
+            out.append((line_hash(f"gap {gap} {seen[gap, True]}"), start, start - k if ends else k - start))
+        if not ends:
+            seen[own] += 1
+            out.append((own if seen[own] == 1 else line_hash(f"line {own} {seen[own]}"), k, 0))
+        before, start = own, k + 1
     return out
 
 
@@ -69,25 +89,23 @@ def increasing(pairs: list[tuple[int, int]]) -> list[int]:
 
 
 def common_places(rows: list[dict]) -> list[int]:
-    """Places of the aligned blocks in the later document. rows: a linking line each, as both documents have it."""
-    rows = sorted(rows, key=lambda r: r["place"])
-    run = [rows[k] for k in increasing([(r["place"], r["their_place"]) for r in rows])]
-    out: list[int] = []
-    for r, after in zip(run, [*run[1:], None], strict=True):
-        out.append(r["place"])
-        if r["head"] is not None and r["head"] == r["their_head"] and r["place"] == r["their_place"]:
-            out += range(r["place"])
-        if r["gap"] == r["their_gap"] and r["follow"] == r["their_follow"]:
-            step = r["follow"] + 1
-            meets = after and after["place"] == r["place"] + step and after["their_place"] == r["their_place"] + step
-            if meets or (r["last"] and r["their_last"]):
-                out += range(r["place"] + 1, r["place"] + step)
-    return out
+    """Places of the aligned blocks in the later document. rows: its lines and gaps that an earlier document has."""
+    by_partner = defaultdict(list)
+    for r in rows:
+        if r["n"] == 0:
+            by_partner[r["earlier"]].append((r["place"], r["their_place"]))
+    gone = {pairs[k][0] for pairs in map(sorted, by_partner.values()) for k in increasing(pairs)}
+    out = set(gone)
+    for r in rows:
+        end = r["place"] + abs(r["n"])
+        if r["n"] and (r["place"] == 0 or r["place"] - 1 in gone) and (r["n"] < 0 or end in gone):
+            out.update(range(r["place"], end))
+    return sorted(out)
 
 
 def linking(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, place, follow, gap, last, head): the lines that can link a document."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64())
+    """(id, line, place, n): the lines that can link a document, and its gaps."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,30 +113,23 @@ def linking(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Data
                 part = batch.slice(s, 500)
                 rows = [(i, *x) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for x in linking_lines(t, min_words)]
                 if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "line", "place", "follow", "gap", "last", "head"])
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "line", "place", "n"])
 
     named = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "id long, line long, place int, follow int, gap long, last boolean, head long")
+    return named.mapInArrow(run, "id long, line long, place int, n int")
 
 
 def deletions(docs: DataFrame, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, gone array<int>): places of the lines to delete from each document that loses any."""
     lines = written(linking(docs, min_words, id_col, text_col), "lines")
-    mine = ["place", "follow", "gap", "last", "head"]
-    first = F.min(F.struct("id", *mine)).alias("first")
-    owners = lines.groupBy("line").agg(first, F.max("id").alias("most")).where("most > first.id")
-    theirs = written(owners.select("line", F.col("first.id").alias("earlier"), *[F.col(f"first.{c}").alias(f"their_{c}") for c in mine]), "line-owners")
+    owners = lines.groupBy("line").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("most")).where("most > first.id")
+    theirs = written(owners.select("line", F.col("first.id").alias("earlier"), F.col("first.place").alias("their_place")), "line-owners")
     met = lines.join(theirs, "line").where("id > earlier").drop("line")
-    pairs = met.distinct().groupBy("id").agg(F.collect_list(F.struct("earlier", *mine, *[f"their_{c}" for c in mine])).alias("rows"))
+    pairs = met.distinct().groupBy("id").agg(F.collect_list(F.struct("earlier", "place", "n", "their_place")).alias("rows"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for rows in batch.column(1).to_pylist():
-                by_partner = defaultdict(list)
-                for r in rows:
-                    by_partner[r["earlier"]].append(r)
-                gone.append(sorted({k for own in by_partner.values() for k in common_places(own)}))
+            gone = [common_places(rows) for rows in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["id", "gone"])
 
     return written(pairs.mapInArrow(align, "id long, gone array<int>"), "line-deletions")
