@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, chat, decontaminate, licenses, line_dedup, minhash, pii, queries, suffixes, toxicity, vptree
 from tidewire.llm.common import connected_components
+from tidewire.operators import cluster
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -289,6 +290,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("find", [connected_components, cluster.components])
+def test_components_of_long_chains(spark, find):
+    falling = [1, *range(150, 1, -1)]
+    mixed = random.Random(3).sample(range(1000, 1300), 300)
+    edges = [*zip(falling[:-1], falling[1:], strict=True), *zip(mixed[:-1], mixed[1:], strict=True)]
+    got = {tuple(r) for r in find(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(n, 1) for n in falling} | {(n, 1000) for n in mixed}
+
+
 def test_pipeline_keeps_columns_and_drops_what_it_should(spark):
     import corpus_pipeline
 

@@ -80,26 +80,26 @@ def hash64(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges (a long, b long) -> (node long, component long): the smallest node that can be reached.
 
-    Each round takes the smallest label among a node's neighbours and then follows labels once more, so the distance a
-    label travels about doubles; it ends when no label changes. Every round's labels are a table in the shared folder.
-    An empty input gives an empty table."""
+    Each round takes the smallest label among a node's neighbours, hooks the node its old label names to it as well, so
+    that whole stars move, and follows labels once more. It ends when no label changes, and only then: labels never grow,
+    so it always does. Every round's labels are a table in the shared folder. An empty input gives an empty table."""
     both = written(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
         f"{name}-edges",
     )
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), name)
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.withColumnRenamed("node", "a"), "a")
             .groupBy(F.col("b").alias("node"))
             .agg(F.min("component").alias("near"))
         )
-        lower = labels.join(near, "node", "left").select(
-            "node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component")
-        )
+        seen = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("near"))
+        hooks = seen.where("near < was").groupBy(F.col("was").alias("node")).agg(F.min("near").alias("hook"))
+        lower = seen.join(hooks, "node", "left").select("node", "was", F.least("near", F.coalesce("hook", "near")).alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = written(
             lower.join(jump, "component", "left").select(
@@ -109,5 +109,4 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         )
         labels = after.select("node", "component")
         if after.where("component <> was").isEmpty():
-            break
-    return labels
+            return labels

@@ -27,19 +27,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the least id reachable over pairs (a, b). Labels are a saved table after each round."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable over pairs (a, b). A smaller label also moves the item that the old label
+    names, so whole stars move; labels are a saved table after each round, and rounds end only when no label changes."""
     both = saved(pairs.select("a", "b").union(pairs.select("b", "a")), "pairs")
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))
+        seen = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("near"))
+        hooks = seen.where("near < old").groupBy(F.col("old").alias("id")).agg(F.min("near").alias("hook"))
+        lower = seen.join(hooks, "id", "left").select("id", "old", F.least("near", F.coalesce("hook", "near")).alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        after = labels.join(near, "id").join(jump, "component", "left").select("id", F.least("component", "near", F.coalesce("next", "component")).alias("new"), F.col("component").alias("old"))
+        after = lower.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("new"), "old")
         after = saved(after, "labels")
         labels = after.select("id", F.col("new").alias("component"))
         if after.where("new <> old").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def greedy(group: pd.DataFrame, sample: int = 6) -> pd.DataFrame:
