@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators.graph import components
+from tidewire.operators.shuffles import saved
 from tidewire.operators.similarity import title_pairs
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over pairs (a, b). A smaller label also moves the item that the old label
-    names, so whole stars move; labels are a saved table after each round, and rounds end only when no label changes."""
-    both = saved(pairs.select("a", "b").union(pairs.select("b", "a")), "pairs")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))
-        seen = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("near"))
-        hooks = seen.where("near < old").groupBy(F.col("old").alias("id")).agg(F.min("near").alias("hook"))
-        lower = seen.join(hooks, "id", "left").select("id", "old", F.least("near", F.coalesce("hook", "near")).alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        after = lower.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("new"), "old")
-        after = saved(after, "labels")
-        labels = after.select("id", F.col("new").alias("component"))
-        if after.where("new <> old").isEmpty():
-            return labels
-
-
 def greedy(group: pd.DataFrame, sample: int = 6) -> pd.DataFrame:
     """The fold of one component: newest first, an item joins the cluster with the best scoring link to one of its first
     `sample` members, or opens a new one. group: id, ord, links (partner ids), scores."""
@@ -73,7 +39,7 @@ def story_clusters(items: DataFrame) -> DataFrame:
     pairs = saved(title_pairs(items), "title-pairs")
     links = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").union(pairs.select("b", "a", "score"))
     per_item = links.groupBy("id").agg(F.collect_list("other").alias("links"), F.collect_list("score").alias("scores"))
-    rows = per_item.join(components(pairs), "id").join(items.select("id", "published_at", "base_score"), "id")
+    rows = per_item.join(components(pairs).withColumnRenamed("node", "id"), "id").join(items.select("id", "published_at", "base_score"), "id")
     ranked = rows.select("id", "component", "links", "scores", F.unix_micros("published_at").alias("t"), "base_score")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

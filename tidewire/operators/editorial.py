@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.operators.cluster import components, saved
+from tidewire.operators.graph import components
+from tidewire.operators.shuffles import saved
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, longest: int = 3) -> DataFrame:
@@ -84,7 +85,7 @@ def incremental_clusters(signals: DataFrame, hours: int = 72, least: float = 0.5
     keyed = signals.select("signal_id", F.explode(F.concat(F.array(F.concat(F.lit("u:"), "url_hash")), F.transform("title_tokens", lambda t: F.concat(F.lit("t:"), key, F.lit(":"), t)))).alias("k"))
     first = keyed.groupBy("k").agg(F.min("signal_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     edges = saved(keyed.join(first, "k").select("a", F.col("signal_id").alias("b")).where("a <> b").distinct(), "signal-edges")
-    labels = components(edges).withColumnRenamed("id", "signal_id")
+    labels = components(edges).withColumnRenamed("node", "signal_id")
     rows = signals.join(labels, "signal_id", "left").withColumn("component", F.coalesce("component", "signal_id")).withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

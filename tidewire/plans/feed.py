@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators import dedupe, ranking
-from tidewire.operators.cluster import saved
+from tidewire.operators.shuffles import saved
 from tidewire.sources.landed import ITEMS_SQL, items, table
 
 QUERIES: dict = {}

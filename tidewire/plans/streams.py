@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.operators.cluster import shared_folder
+from tidewire.operators.shuffles import shared_folder
 from tidewire.plans import readers
 from tidewire.sources.landed import table
 from tidewire.streaming import jobs
