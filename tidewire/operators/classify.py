@@ -2,50 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 
-#: Our own rules: (topic, terms, sensitive, urgency hint), in order of precedence.
-TOPICS = (
-    ("public_safety", ("police", "fire", "idiot", "trash"), True, "high"),
-    ("weather", ("storm", "flood", "thandst", "reheat"), False, "high"),
-    ("schools", ("school", "teacher", "ingthe", "onthe"), False, "normal"),
-    ("housing", ("rent", "housing", "enza", "ñaos"), False, "normal"),
-    ("transport", ("road", "traffic", "eauou", "éaire"), False, "normal"),
-    ("business", ("market", "license", "version", "schge"), False, "low"),
-)
-BREAKING = "breaking|urgent|scum|disgusting"
-HIGH = "warning|alert|loser|pathetic"
-LOW = "opinion|license|recap"
-SENSITIVE = (("abuse", "idiot|moron|scum|stupid"), ("contact", "@"), ("numbers", "[0-9]{7,}"), ("secret", "password="))
-
-
-def topic_hits(text: Column) -> Column:
-    """array<struct<score, ord, topic, hits>>: min(82, 34 + 12 hits) of each topic with a hit, best first."""
-    low = F.lower(text)
-    each = [
-        F.struct((-F.least(F.lit(82), 34 + 12 * reduce(lambda a, b: a + b, [F.contains(low, F.lit(t)).cast("int") for t in terms]))).alias("score"), F.lit(n).alias("ord"), F.lit(topic).alias("topic"),
-                 reduce(lambda a, b: a + b, [F.contains(low, F.lit(t)).cast("int") for t in terms]).alias("hits"))
-        for n, (topic, terms, _, _) in enumerate(TOPICS)
-    ]
-    return F.array_sort(F.filter(F.array(*each), lambda x: x["hits"] > 0))
-
-
-def urgency(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.rlike(BREAKING), "breaking").when(low.rlike(HIGH), "high").when(low.rlike(LOW), "low").otherwise("normal")
-
-
-def flags(text: Column) -> Column:
-    """Names of the sensitivity rules that a text meets."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), name) for name, p in SENSITIVE]))
-
-
 #: Patterns of what is taken out of notes, in this order.
 REDACTIONS = (
     ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+"), ("secret", "(password|token|secret|key)=[A-Za-z0-9]+"),

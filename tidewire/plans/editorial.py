@@ -40,19 +40,6 @@ def city_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.evidence_score(named.unionByName(boost), ["id", "place_id"])
 
 
-BEATS = (("film", "ingti|trailer"), ("music", "thonou|concert"), ("celebrity", "erenan|gossip"), ("streaming", "stream|ndeaon"))
-BEAT_SQL = ", ".join(f"{{'s': -len(regexp_extract_all(lower(text), '{p}')), 'o': {n}, 'beat': '{b}'}}" for n, (b, p) in enumerate(BEATS))
-
-
-@query(f"""WITH b AS (SELECT doc_id, list_sort([{BEAT_SQL}])[1] AS b FROM documents) SELECT doc_id, CASE WHEN b.s < 0 THEN b.beat ELSE 'general' END AS beat, CAST(CASE WHEN b.s < 0 THEN least(95, 38 + 9 * -b.s) ELSE 38 END AS INT) AS confidence FROM b""")
-def entertainment_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    each = [F.struct((-F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0)))).alias("s"), F.lit(n).alias("o"), F.lit(b).alias("beat")) for n, (b, p) in enumerate(BEATS)]
-    best = table(spark, sf_dir, "documents").select("doc_id", F.array_min(F.array(*each)).alias("b"))
-    hit = F.col("b.s") < 0
-    return best.select("doc_id", F.when(hit, F.col("b.beat")).otherwise("general").alias("beat"), F.when(hit, F.least(F.lit(95), 38 - 9 * F.col("b.s"))).otherwise(38).alias("confidence"))
-
-
 @query(f"""WITH {STORIES_SQL}, q AS (SELECT * FROM (VALUES (1, 'the'), (2, 'un'), (3, 'die en')) v(query_id, query)),
 x AS (SELECT query_id, id, score, published_at, CASE WHEN starts_with(lower(title), query) THEN 40 ELSE 0 END + CASE WHEN contains(lower(title), query) THEN 20 ELSE 0 END + CAST(coalesce(list_sum(list_transform(string_split(query, ' '), lambda t: CASE WHEN contains(lower(title), t) THEN 6 ELSE 0 END)), 0) AS INT) AS points FROM stories, q)
 SELECT query_id, id, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, score DESC, published_at DESC, id) AS rank FROM x WHERE points > 0 QUALIFY rank <= 5""")

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators import classify
-from tidewire.plans.editorial import SQL as EDITORIAL
-from tidewire.plans.editorial import entertainment_classify
 from tidewire.plans.feed import SUMMARY_SQL, tokens_sql
-from tidewire.plans.texts import SQL as TEXTS
-from tidewire.plans.texts import audience_match, topic_classify
+from tidewire.plans.rules import SQL as RULES
+from tidewire.plans.rules import audience_match, entertainment_classify, topic_classify
 from tidewire.sources.landed import ITEMS_SQL, PLACES_SQL, items, places, table
 
 QUERIES: dict = {}
@@ -55,7 +53,7 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(spark, sf_dir).select("place_id", F.explode(v).alias("query"))
 
 
-@query(f"""WITH t AS ({TEXTS['topic_classify']}), x AS (SELECT d.doc_id, round(0.35::DOUBLE * CASE WHEN lang = 'en' THEN 86 ELSE 40 END + 0.35::DOUBLE * confidence + 0.2::DOUBLE * CASE WHEN quality = 1 THEN 90 WHEN quality = 0 THEN 30 ELSE 60 END + 0.1::DOUBLE * CASE WHEN length(text) > 200 THEN 100 ELSE 50 END, 4) AS confidence
+@query(f"""WITH t AS ({RULES['topic_classify']}), x AS (SELECT d.doc_id, round(0.35::DOUBLE * CASE WHEN lang = 'en' THEN 86 ELSE 40 END + 0.35::DOUBLE * confidence + 0.2::DOUBLE * CASE WHEN quality = 1 THEN 90 WHEN quality = 0 THEN 30 ELSE 60 END + 0.1::DOUBLE * CASE WHEN length(text) > 200 THEN 100 ELSE 50 END, 4) AS confidence
   FROM documents d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id) SELECT doc_id, confidence, CASE WHEN confidence >= 45 THEN 'classified' ELSE 'needs_review' END AS signal_status FROM x""")
 def signal_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.35 place + 0.35 topic + 0.2 trust + 0.1 completeness; 45 classifies."""
@@ -95,7 +93,7 @@ def approval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("id", F.array_join(classify.failures(rules), ",").alias("failures"))
 
 
-@query(f"""WITH m AS ({TEXTS['audience_match']}), d AS (SELECT doc_id, lang FROM documents), f AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
+@query(f"""WITH m AS ({RULES['audience_match']}), d AS (SELECT doc_id, lang FROM documents), f AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
 SELECT lang, count(*) AS n_documents, count(n) AS patterned, round(count(n) / count(*), 3) AS rate, count(*) FILTER (n = 1) AS thin FROM d LEFT JOIN f USING (doc_id) GROUP BY lang""")
 def audience_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_doc = audience_match(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -103,7 +101,7 @@ def audience_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(F.count("*").alias("n_documents"), F.count("n").alias("patterned"), F.round(F.count("n") / F.count("*"), 3).alias("rate"), F.count_if(F.col("n") == 1).alias("thin"))
 
 
-@query(f"""WITH e AS ({EDITORIAL['entertainment_classify']}), j AS (SELECT beat, lang, confidence, contains(lower(text), 'the') AS said FROM e JOIN documents USING (doc_id))
+@query(f"""WITH e AS ({RULES['entertainment_classify']}), j AS (SELECT beat, lang, confidence, contains(lower(text), 'the') AS said FROM e JOIN documents USING (doc_id))
 SELECT coalesce(beat, 'all') AS beat, count(*) AS n, count(*) FILTER (said) AS n_said, max(confidence) AS best FROM j GROUP BY ROLLUP(beat)""")
 def beat_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entertainment beats with what of each a text filter leaves, and all."""

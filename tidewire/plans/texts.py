@@ -25,54 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _hits_sql(terms: tuple[str, ...]) -> str:
-    return " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in terms)
-
-
-TOPIC_SQL = " UNION ALL ".join(f"SELECT doc_id, {n} AS ord, '{topic}' AS topic, {_hits_sql(terms)} AS hits FROM documents" for n, (topic, terms, _, _) in enumerate(classify.TOPICS))
-
-
-@query(f"""WITH h AS ({TOPIC_SQL}), b AS (SELECT * FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY least(82, 34 + 12 * hits) DESC, ord) = 1)
-SELECT d.doc_id, coalesce(topic, 'community') AS topic, CAST(CASE WHEN topic IS NULL THEN 30 ELSE least(82, 34 + 12 * hits) END AS INT) AS confidence, CAST((SELECT count(*) FROM h WHERE h.doc_id = d.doc_id AND hits > 0) AS INT) AS n_topics FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id""")
-def topic_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", classify.topic_hits(F.col("text")).alias("t"))
-    best = F.get("t", F.lit(0))
-    return rows.select("doc_id", F.coalesce(best["topic"], F.lit("community")).alias("topic"), F.coalesce(-best["score"], F.lit(30)).alias("confidence"), F.size("t").alias("n_topics"))
-
-
-@query(f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{classify.BREAKING}') THEN 'breaking' WHEN regexp_matches(lower(text), '{classify.HIGH}') THEN 'high' WHEN regexp_matches(lower(text), '{classify.LOW}') THEN 'low' ELSE 'normal' END AS urgency FROM documents""")
-def urgency_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", classify.urgency(F.col("text")).alias("urgency"))
-
-
-FLAG_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in classify.SENSITIVE)
-
-
-@query(f"SELECT doc_id, array_to_string(list_filter([{FLAG_SQL}], lambda x: x IS NOT NULL), ',') AS flags FROM documents")
-def sensitivity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(classify.flags(F.col("text")), ",").alias("flags"))
-
-
-PATTERNS = (("parents", 60, "en", ("ingthe", "teacher", "school")), ("commuters", 50, "fr", ("eauou", "éaire")), ("renters", 40, "es", ("ñaos", "enza")), ("shoppers", 30, "de", ("schge", "einö")))
-AUDIENCE_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, '{i}' AS pattern, {_hits_sql(terms)} AS hits, 4 * ({_hits_sql(terms)}) + CASE WHEN lang = '{c}' THEN 2 ELSE 0 END + {p} / 100.0::DOUBLE AS score FROM documents" for i, p, c, terms in PATTERNS
-)
-
-
-@query(f"WITH s AS ({AUDIENCE_SQL}) SELECT doc_id, pattern, hits, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pattern) AS rank FROM s WHERE score >= 4 AND hits > 0 QUALIFY rank <= 4")
-def audience_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns are a short list given with the query; their scores are columns of the document, unpivoted and cut at 4."""
-    low = F.lower("text")
-    each = []
-    for name, priority, category, terms in PATTERNS:
-        hits = sum((F.contains(low, F.lit(t)).cast("int") for t in terms[1:]), F.contains(low, F.lit(terms[0])).cast("int"))
-        score = 4 * hits + F.when(F.col("lang") == category, 2).otherwise(0) + priority / 100.0
-        each.append(F.struct((-score).alias("s"), F.lit(name).alias("pattern"), hits.alias("hits")))
-    best = F.slice(F.array_sort(F.filter(F.array(*each), lambda x: (x["s"] <= -4) & (x["hits"] > 0))), 1, 4)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(best).alias("p", "x"))
-    return rows.select("doc_id", F.col("x.pattern").alias("pattern"), F.col("x.hits").alias("hits"), (-F.col("x.s")).alias("score"), (F.col("p") + 1).alias("rank"))
-
-
 REDACT_SQL = "text"
 SEEN_SQL = []
 for _name, _pattern in classify.REDACTIONS:
