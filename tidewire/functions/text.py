@@ -68,6 +68,12 @@ def pair_score(a: Column, b: Column) -> Column:
     return F.greatest(j, 0.65 * overlap(a, b) + 0.35 * j)
 
 
+def distinct_names(names: Column) -> Column:
+    """The first of the entries that are equal without case, in order."""
+    low = F.transform(names, lambda x: F.lower(x))
+    return F.filter(names, lambda x, k: F.array_position(low, F.lower(x)) == k + 1)
+
+
 def stable_hash(text: Column, size: int = 40) -> Column:
     return F.substring(F.sha1(text), 1, size)
 

@@ -129,22 +129,3 @@ def html_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.trim(get(TITLE)).alias("title"), get('<html[^>]*lang="([a-z]+)"').alias("lang"), F.trim(get("<h1>([^<]*)</h1>")).alias("heading"),
         get('<link[^>]*rel="canonical"[^>]*href="([^"]*)"').alias("canonical"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"),
     )
-
-
-@query("""WITH p AS (SELECT page_id, list_transform(regexp_extract_all(html, '<p>([^<]*)', 1), lambda x: trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g'))) AS a FROM pages), f AS (SELECT page_id, list_filter(a, lambda x, i: length(x) >= 40 AND list_position(a, x) = i)[1:8] AS f FROM p)
-SELECT page_id, len(f) AS n_facts, md5(array_to_string(f, '|')) AS facts_md5 FROM f""")
-def html_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to eight different paragraphs of forty characters or more."""
-    parts = F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "[ \t\r\n]+", " ")))
-    facts = F.slice(F.array_distinct(F.filter(parts, lambda x: F.length(x) >= 40)), 1, 8)
-    return table(spark, sf_dir, "pages").select("page_id", F.size(facts).cast("long").alias("n_facts"), F.md5(F.array_join(facts, "|")).alias("facts_md5"))
-
-
-@query("""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)="([^"]*)"', 1)) AS url FROM pages), r AS (SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.svg') THEN 'vector' WHEN regexp_matches(lower(url), 'logo|icon|sprite') THEN 'decorative' WHEN regexp_matches(url, '[?&]w=[0-9]{1,2}(&|$)') THEN 'small' WHEN NOT regexp_matches(lower(url), '\\.(jpe?g|png|webp)') THEN 'not_an_image' ELSE 'ok' END AS reason FROM u)
-SELECT reason, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM r GROUP BY reason""")
-def image_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why links of pages are no article images, as a histogram."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('(?:src|href)="([^"]*)"'), F.lit(1))).alias("url"))
-    low = F.lower("url")
-    reason = F.when(low.rlike("\\.svg"), "vector").when(low.rlike("logo|icon|sprite"), "decorative").when(F.col("url").rlike("[?&]w=[0-9]{1,2}(&|$)"), "small").when(~low.rlike("\\.(jpe?g|png|webp)"), "not_an_image").otherwise("ok")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
