@@ -33,6 +33,25 @@ def title_pairs(items: DataFrame, hours: int = 30) -> DataFrame:
     return scored.where((F.col("shared") >= 5) | ((F.col("shared") >= 4) & (F.col("containment") >= 0.62)) | (F.col("score") >= 0.72))
 
 
+def sharing(items: DataFrame, least: Column, hours: int, group: str = "category") -> DataFrame:
+    """items (id, published_at, k, group) -> (id, other): items of the same group within `hours` that share `least` (a column
+    of items, 1 or more) of the tokens k of id, or more.
+
+    An item asks by all but its `least` - 1 most frequent tokens, of which partners share one; a token answers within its
+    group and the neighbouring time buckets only."""
+    width = hours * 3600
+    asks = items.withColumns({"least": least, "bucket": F.floor(F.unix_seconds("published_at") / width)})
+    frequency = items.select(group, F.explode("k").alias("token")).groupBy(group, "token").agg(F.count("*").alias("df")).where("df > 1")
+    each = asks.select("id", group, "least", F.size("k").alias("n"), F.explode("k").alias("token")).join(frequency, [group, "token"], "left")
+    ranked = each.groupBy("id", "least", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("by_df"))
+    rare = ranked.select("id", F.explode(F.slice("by_df", 1, F.greatest(F.lit(1), F.col("n") - F.col("least") + 1))).alias("x")).where("x.df > 1").select("id", "x.token")
+    left = rare.join(asks, "id").select("id", F.col("published_at").alias("ta"), F.col("k").alias("ka"), "least", group, "token", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    right = asks.select(F.col("id").alias("other"), F.col("published_at").alias("tb"), F.col("k").alias("kb"), group, "bucket", F.explode("k").alias("token"))
+    near = F.abs(F.unix_micros("ta") - F.unix_micros("tb")) <= width * 1000000
+    met = left.join(right, [group, "bucket", "token"]).where((F.col("id") != F.col("other")) & near & (F.size(F.array_intersect("ka", "kb")) >= F.col("least")))
+    return met.select("id", "other").distinct()
+
+
 def shingle_overlap(candidates: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     """(cid, sid, shared, candidate_size, source_size) of distinct n-grams of canonical words, by an equi join on the
     grams. The sources' grams are few beside the candidates'; Spark broadcasts them if they are small enough."""

@@ -1,7 +1,7 @@
 """All registered queries over the given tables, and their DuckDB SQL."""
 
-from tidewire.plans import desk, editorial, feed, local, media, readers, rules, signals, stories, streams, texts
+from tidewire.plans import cards, desk, editorial, feed, local, media, readers, rules, signals, stories, streams, texts
 
-PARTS = (feed, local, stories, texts, readers, streams, editorial, desk, signals, rules, media)
+PARTS = (feed, local, stories, texts, readers, streams, editorial, desk, signals, rules, media, cards)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
