@@ -1,37 +1,19 @@
-"""What several operators of this folder share: tables, scratch tables, grouped work on sorted partitions, components."""
+"""What several operators of this folder share: tables, saved tables, grouped work on sorted partitions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewire.operators.shuffles import saved as written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only where it is unset, as in tests, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,39 +56,3 @@ def by_sorted_key(
 
     width = shuffle_width(df.sparkSession)
     return df.repartition(width, key).sortWithinPartitions(key).mapInArrow(run, schema)
-
-
-def hash64(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
-
-
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges (a long, b long) -> (node long, component long): the smallest node that can be reached.
-
-    Each round takes the smallest label among a node's neighbours, hooks the node its old label names to it as well, so
-    that whole stars move, and follows labels once more. It ends when no label changes, and only then: labels never grow,
-    so it always does. Every round's labels are a table in the shared folder. An empty input gives an empty table."""
-    both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        f"{name}-edges",
-    )
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), name)
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "a"), "a")
-            .groupBy(F.col("b").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        seen = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("near"))
-        hooks = seen.where("near < was").groupBy(F.col("was").alias("node")).agg(F.min("near").alias("hook"))
-        lower = seen.join(hooks, "node", "left").select("node", "was", F.least("near", F.coalesce("hook", "near")).alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = written(
-            lower.join(jump, "component", "left").select(
-                "node", F.least("component", F.coalesce("further", "component")).alias("component"), "was"
-            ),
-            name,
-        )
-        labels = after.select("node", "component")
-        if after.where("component <> was").isEmpty():
-            return labels

@@ -11,11 +11,14 @@ Each byte covered by a string of `length` (400) bytes that also starts anywhere
    dropped if it holds one. In a cell the suffixes (window starts) are merge-sorted. Two suffixes are compared by the
    length of their common extension, found by binary search over prefix polynomial hashes; the order of suffixes that
    start one byte earlier follows by a stable sort of that byte. Neighbours in order that agree on `length` bytes,
-   confirmed byte by byte, are repeats.
+   confirmed byte by byte, are repeats. A cell of more than `HOT_CELL` chunks, as many near copies make, is not sorted in
+   one task: its windows are one row each, and equal ones are counted by their 128-bit digests, as chunks are in step 2.
 
 Work is counted over all documents; one copy is not kept (every occurrence goes, as asked). Null and empty texts have
-no bytes; texts shorter than `length` lose nothing. Repeated rows of an id are one document. Documents are cut into
-overlapping pieces of at most `PIECE` bytes for anchoring, which changes no anchor, so long texts need no more memory.
+no bytes; texts shorter than `length` lose nothing. Rows with a null id take no part. Repeated rows of an id are one
+document, the least text if they differ. Columns other than id and text are not read, whatever their names; an empty table
+gives an empty one. Documents are cut into overlapping pieces of at most `PIECE` bytes for anchoring, which changes no
+anchor, so long texts need no more memory.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import groups_in_arrow, shuffle_width, written
+from tidewire.operators.shuffles import join_unique
 
 GRAM = 64
 PIECE = 1 << 20
 PLACES = 64
+HOT_CELL = 1024
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 LOW = np.uint64((1 << 24) - 1)
@@ -293,6 +298,40 @@ def compared(cells: DataFrame, length: int, together: int = 1500) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, chunk binary, start int, stop int")
 
 
+def counted(cells: DataFrame, length: int) -> DataFrame:
+    """cells (cell, place, gram, chunk, body, back) -> (gram, chunk, start, stop) as compared gives it, by counting equal
+    windows; no task holds a cell."""
+    import xxhash
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                at, starts, digests = [], [], []
+                for n, (place, body, back) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 3, 4)), strict=True)):
+                    low, high = max(place * PLACES, back - (len(body) - length)), min(place * PLACES + PLACES - 1, back)
+                    for start in range(back - high, back - low + 1):
+                        at.append(n), starts.append(start), digests.append(xxhash.xxh3_128_digest(body[start : start + length]))
+                rows = part.take(pa.array(at, pa.int64()))
+                yield pa.record_batch([rows.column(1), rows.column(2), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], names=["gram", "chunk", "start", "window"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, firsts, lasts = [], [], []
+            for n, starts in enumerate(batch.column(2).to_pylist()):
+                cut = [k for k in range(1, len(starts)) if starts[k] != starts[k - 1] + 1]
+                for a, b in zip([0, *cut], [*cut, len(starts)], strict=True):
+                    at.append(n), firsts.append(starts[a]), lasts.append(starts[b - 1])
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.record_batch([rows.column(0), rows.column(1), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["gram", "chunk", "start", "stop"])
+
+    rows = written(cells.select("place", "gram", "chunk", "body", "back").mapInArrow(windows, "gram long, chunk binary, start int, window binary"), "chunk-windows")
+    counts = written(rows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "chunk-windows")
+    alike = join_unique(rows, counts.select("window"), "window", counts=counts)
+    lists = alike.groupBy("gram", "chunk").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # a chunk has fewer than `length` windows
+    return lists.mapInArrow(runs, "gram long, chunk binary, start int, stop int")
+
+
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     """(id, ranges array<struct<start, stop>>) of docs (id, text): byte ranges to remove; they may overlap."""
     chunks = written(chunk_rows(docs, length), "chunks")
@@ -307,10 +346,12 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     mixed = classes.join(grams.where("kinds > 1").select("gram"), "gram").select("gram", "chunk", "one.*", "back", "windows")
     bodies = written(cells_of(docs, mixed, length), "chunk-bodies")
     keyed = bodies.select("gram", "chunk", F.explode(F.arrays_zip("cells", "places")).alias("x")).select("gram", "chunk", F.col("x.cells").alias("cell"), F.col("x.places").alias("place"))
-    met = keyed.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell")
-    wanted = written(keyed.join(written(met, "chunk-cells"), "cell"), "chunk-meetings")
-    parts = compared(wanted.join(bodies.select("gram", "chunk", "body", "back"), ["gram", "chunk"]), length)
-    ranges = written(parts.union(whole), "chunk-ranges")
+    met = written(keyed.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1"), "chunk-cells")
+    wanted = written(join_unique(keyed, met, "cell", counts=met.select("cell", F.col("kinds").alias("n"))), "chunk-meetings")
+    held = bodies.select("gram", "chunk", "body", "back")
+    parts = compared(wanted.where(F.col("kinds") <= HOT_CELL).join(held, ["gram", "chunk"]), length)
+    dealt = counted(wanted.where(F.col("kinds") > HOT_CELL).join(held, ["gram", "chunk"]), length)
+    ranges = written(parts.union(dealt).union(whole), "chunk-ranges")
     own = chunks.select("gram", "chunk", "id", "first").join(ranges, ["gram", "chunk"])
     spans = own.select("id", F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop") + length).alias("stop")).alias("x"))
     return spans.groupBy("id").agg(F.collect_set("x").alias("ranges"))
@@ -329,7 +370,7 @@ def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, removed array<struct<start, stop>>, kept binary) of each document; removed runs are maximal."""
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = named.dropDuplicates(["id"]) if _repeats_ids(named) else named
+    texts = named.groupBy("id").agg(F.min("text").alias("text")) if _repeats_ids(named) else named
     ranges = written(repeated_ranges(texts, length), "byte-ranges")
     item = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
