@@ -52,19 +52,6 @@ def sharing(items: DataFrame, least: Column, hours: int, group: str = "category"
     return met.select("id", "other").distinct()
 
 
-def shingle_overlap(candidates: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    """(cid, sid, shared, candidate_size, source_size) of distinct n-grams of canonical words, by an equi join on the
-    grams. The sources' grams are few beside the candidates'; Spark broadcasts them if they are small enough."""
-    grams = lambda df, i: df.select(i, F.array_distinct(T.ngrams(F.col("tokens"), n)).alias("g")).where(F.size("g") > 0)
-    c = grams(candidates, "cid").select("cid", F.size("g").alias("candidate_size"), F.explode("g").alias("gram"))
-    s = grams(sources, "sid").select("sid", F.size("g").alias("source_size"), F.explode("g").alias("gram"))
-    return c.join(s, "gram").groupBy("cid", "sid", "candidate_size", "source_size").agg(F.count("*").alias("shared"))
-
-
-def risk(phrase: Column, lexical: Column) -> Column:
-    return F.when(phrase >= 0.72, "blocked").when(phrase >= 0.52, "high").when(lexical >= 0.58, "medium").otherwise("low")
-
-
 def stuffing(tokens: Column) -> Column:
     """The greatest count of one token, if it is 4 or more, or 28 % of 6 tokens or more; else 0."""
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))

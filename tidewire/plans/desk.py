@@ -9,8 +9,8 @@ from tidewire.functions import text as T
 from tidewire.operators import ranking
 from tidewire.plans.feed import SPOT, STORIES_SQL, SUMMARY_SQL, stories
 from tidewire.plans.readers import POSTS_SQL, posts
-from tidewire.plans.stories import summary_gates as gates
-from tidewire.plans.stories import SQL as STORY_QUERIES
+from tidewire.plans.writing import SQL as STORY_QUERIES
+from tidewire.plans.writing import summary_gates as gates
 from tidewire.sources.landed import table
 
 QUERIES: dict = {}
@@ -28,14 +28,18 @@ def query(sql: str | None = None):
 
 
 #: Our own texts for failure codes.
-REASONS = (("too_short", "Add detail"), ("too_long", "Cut it down"), ("no_sentence_end", "End the sentence"), ("lower_case_start", "Start with a capital"), ("repeats_words", "Vary the words"))
+REASONS = (
+    ("empty_summary", "Write a summary"), ("too_short", "Add detail"), ("too_long", "Cut it down"), ("no_sentence_end", "End the sentence"), ("lower_case_start", "Start with a capital"), ("repeats_words", "Vary the words"),
+    ("robotic_opener", "Open plainly"), ("vague_filler", "Drop the filler"), ("database_language", "Take out codes"), ("doubled_word", "Take out the doubled word"), ("dangling_punctuation", "Finish the thought"),
+    ("dangling_end", "Finish the sentence"), ("too_close_to_source", "Use own words"), ("repeats_title", "Say more than the title"), ("missing_detail", "Use a detail of the source"),
+)
 REASON_SQL = ", ".join(f"('{c}', '{t}')" for c, t in REASONS)
 
 
 @query(f"""WITH g AS ({STORY_QUERIES['summary_gates']}), c AS (SELECT doc_id, unnest(string_split(failures, ',')) AS code FROM g WHERE failures <> '')
 SELECT doc_id, string_agg(t, '; ' ORDER BY t) AS reasons, count(*) AS n FROM c JOIN (VALUES {REASON_SQL}) r(code, t) USING (code) GROUP BY doc_id""")
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.broadcast(spark.createDataFrame(list(REASONS), "code string, t string"))  # a given list of five
+    codes = F.broadcast(spark.createDataFrame(list(REASONS), "code string, t string"))  # a given list of fifteen
     rows = gates(spark, sf_dir).where("failures <> ''").select("doc_id", F.explode(F.split("failures", ",")).alias("code"))
     return rows.join(codes, "code").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("t")), "; ").alias("reasons"), F.count("*").alias("n"))
 
@@ -90,18 +94,6 @@ def lesson_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best("category").unionByName(best("shape")).dropDuplicates(["story_key"])
 
 
-GATE = "least(100, {n} * 4) * 0.4::DOUBLE + CASE WHEN regexp_matches({x}, '[0-9]') THEN 100 ELSE 70 END * 0.2::DOUBLE + CASE WHEN length({x}) BETWEEN 60 AND 260 THEN 100 ELSE 60 END * 0.4::DOUBLE"
-
-
-@query(f"""WITH s AS (SELECT doc_id, {SUMMARY_SQL} AS summary FROM documents), g AS (SELECT doc_id, round({GATE.format(n=W.format(x='summary'), x='summary')}, 4) AS total FROM s) SELECT doc_id, total, total >= 80 AS passed FROM g""")
-def draft_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted gate scores of each text's summary; 80 passes."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.summary(F.col("text")).alias("s"))
-    n = F.size(T.words(F.col("s")))
-    total = F.least(F.lit(100), n * 4) * 0.4 + F.when(F.col("s").rlike("[0-9]"), 100).otherwise(70) * 0.2 + F.when(F.length("s").between(60, 260), 100).otherwise(60) * 0.4
-    return rows.select("doc_id", F.round(total, 4).alias("total")).withColumn("passed", F.col("total") >= 80)
-
-
 @query(f"""WITH {STORIES_SQL}, m AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, substr(md5(event_type || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS VARCHAR)), 1, 6) AS topic, value FROM events),
 t AS (SELECT id, id % 100 AS k FROM stories) SELECT t.id, count(*) AS n_metrics, count(DISTINCT topic) AS n_topics, round(sum(value), 4) AS value FROM t JOIN m ON m.k = t.k GROUP BY t.id""")
 def metric_topic_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 #: Kinds whose rules take terms from the benchmark.
-DRAWN = ("topic", "urgency", "sensitive", "beat", "core", "audience", "gossip")
+DRAWN = ("topic", "urgency", "sensitive", "beat", "core", "audience", "gossip", "filler", "robotic", "overstated", "respect")
 
 
 def drawn(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
@@ -46,21 +46,21 @@ def drawn(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def hits(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, *kinds: str, texts: DataFrame | None = None) -> DataFrame:
     wanted = rules.given_rules(spark, kinds)
     own = tuple(k for k in kinds if k in DRAWN)
     wanted = wanted.unionByName(drawn(spark, sf_dir, own)) if own else wanted
-    return rules.term_hits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), wanted)
+    return rules.term_hits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text") if texts is None else texts, wanted)
 
 
-def rules_sql(*kinds: str) -> str:
+def rules_sql(*kinds: str, texts: str = "SELECT doc_id AS id, text FROM documents") -> str:
     w = "list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
     parts = [f"SELECT * FROM (VALUES {rules.given_sql(kinds)}) v(kind, rule, term)"]
     for kind in (k for k in kinds if k in DRAWN):
         names = list(rules.GIVEN[kind])
         rule = f"[{', '.join(repr(n) for n in names)}][item_id % {len(names)} + 1]"
         parts.append(f"SELECT '{kind}', {rule}, unnest(list_concat(CASE WHEN len({w}) >= 6 THEN [array_to_string({w}[5:6], ' ')] ELSE [] END, CASE WHEN item_id % 2 = 0 THEN {tokens_sql('text').replace('[1:12]', '[1:1]')} ELSE [] END)) FROM benchmark")
-    return f"rr AS ({' UNION ALL '.join(parts)}), tx AS (SELECT doc_id AS id, text FROM documents), {rules.hits_sql('tx', 'rr')}"
+    return f"rr AS ({' UNION ALL '.join(parts)}), tx AS ({texts}), {rules.hits_sql('tx', 'rr')}"
 
 
 def source_type(source):

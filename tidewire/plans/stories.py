@@ -187,53 +187,6 @@ def trend_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.groupBy("topic").agg(F.count_distinct("id").alias("n_stories"), F.count_distinct("signal_id").alias("n_signals"), top(F.col("daily")).alias("daily"), top(F.col("weekly")).alias("weekly"))
 
 
-def copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), T.words(F.col("text")).alias("tokens"))
-    s = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sid"), T.words(F.col("text")).alias("tokens"))
-    return c, s
-
-
-def _grams_sql(n: int, frm: str, key: str, name: str) -> str:
-    w = "list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
-    return f"{name}0 AS (SELECT {key} AS i, {w} AS k FROM {frm}), {name} AS (SELECT i, len(g) AS n, unnest(g) AS gram FROM (SELECT i, list_distinct(list_transform(range(1, len(k) - {n - 2}), lambda p: array_to_string(k[p:p + {n - 1}], ' '))) AS g FROM {name}0 WHERE len(k) >= {n}))"
-
-
-@query(f"""WITH {_grams_sql(6, 'documents', 'doc_id', 'c')}, {_grams_sql(6, 'benchmark', 'item_id', 's')}
-SELECT c.i AS doc_id, s.i AS item_id, count(*) AS shared, round(count(*) / least(c.n, s.n), 6) AS phrase_overlap, CASE WHEN count(*) / least(c.n, s.n) >= 0.72 THEN 'blocked' WHEN count(*) / least(c.n, s.n) >= 0.52 THEN 'high' ELSE 'low' END AS risk
-FROM c JOIN s USING (gram) GROUP BY c.i, s.i, c.n, s.n""")
-def copy_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share six-word phrases with a source text."""
-    found = similarity.shingle_overlap(*copies(spark, sf_dir), 6)
-    phrase = F.col("shared") / F.least("candidate_size", "source_size")
-    return found.select(F.col("cid").alias("doc_id"), F.col("sid").alias("item_id"), "shared", F.round(phrase, 6).alias("phrase_overlap"), similarity.risk(phrase, F.lit(0.0)).alias("risk"))
-
-
-@query(f"""WITH {_grams_sql(4, 'documents', 'doc_id', 'c')}, {_grams_sql(4, 'benchmark', 'item_id', 's')}, p AS (SELECT c.i AS doc_id, s.i AS item_id, count(*) / least(c.n, s.n) AS phrase FROM c JOIN s USING (gram) GROUP BY c.i, s.i, c.n, s.n HAVING count(*) / least(c.n, s.n) >= 0.2)
-SELECT doc_id, item_id, round(phrase, 6) AS phrase_overlap, round(len(list_intersect(c0.k, s0.k)) / least(len(list_distinct(c0.k)), len(list_distinct(s0.k))), 6) AS lexical_overlap,
-  CAST(floor(100 - 100 * least(1.0, len(list_intersect(c0.k, s0.k)) / least(len(list_distinct(c0.k)), len(list_distinct(s0.k))) * 0.78::DOUBLE * 0.34::DOUBLE + phrase * 0.27::DOUBLE) + 0.5) AS BIGINT) AS distance FROM p JOIN c0 ON c0.i = doc_id JOIN s0 ON s0.i = item_id""")
-def copy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and phrase overlap of the pairs that share a fifth of their four-word phrases, and a distance of 0 to 100."""
-    c, s = copies(spark, sf_dir)
-    phrase = F.col("shared") / F.least("candidate_size", "source_size")
-    pairs = similarity.shingle_overlap(c, s, 4).withColumn("phrase", phrase).where("phrase >= 0.2").select("cid", "sid", "phrase")
-    full = pairs.join(c, "cid").join(s.withColumnRenamed("tokens", "theirs"), "sid")
-    lexical = T.overlap(F.col("tokens"), F.col("theirs"))
-    distance = T.half_up(100 - 100 * F.least(F.lit(1.0), lexical * 0.78 * 0.34 + F.col("phrase") * 0.27)).cast("long")
-    return full.select(F.col("cid").alias("doc_id"), F.col("sid").alias("item_id"), F.round("phrase", 6).alias("phrase_overlap"), F.round(lexical, 6).alias("lexical_overlap"), distance.alias("distance"))
-
-
-@query(f"""WITH w AS (SELECT doc_id, {SUMMARY_SQL} AS summary FROM documents), t AS (SELECT doc_id, summary, list_filter(string_split(trim(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS k FROM w)
-SELECT doc_id, len(k) AS n_words, array_to_string(list_filter([CASE WHEN len(k) < 18 THEN 'too_short' END, CASE WHEN len(k) > 35 THEN 'too_long' END, CASE WHEN NOT regexp_matches(summary, '[.!?]$') THEN 'no_sentence_end' END, CASE WHEN regexp_matches(summary, '^[a-z]') THEN 'lower_case_start' END, CASE WHEN len(list_distinct(k)) * 10 < len(k) * 6 THEN 'repeats_words' END], lambda x: x IS NOT NULL), ',') AS failures FROM t""")
-def summary_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.summary(F.col("text")).alias("summary"))
-    k = T.words(F.col("summary"))
-    fails = F.array_compact(F.array(
-        F.when(F.size(k) < 18, "too_short"), F.when(F.size(k) > 35, "too_long"), F.when(~F.col("summary").rlike("[.!?]$"), "no_sentence_end"),
-        F.when(F.col("summary").rlike("^[a-z]"), "lower_case_start"), F.when(F.size(F.array_distinct(k)) * 10 < F.size(k) * 6, "repeats_words"),
-    ))
-    return rows.select("doc_id", F.size(k).alias("n_words"), F.array_join(fails, ",").alias("failures"))
-
-
 @query(f"""WITH {ITEMS_SQL}, t AS (SELECT id, {tokens_sql(SUMMARY_SQL).removesuffix('[1:12]')} AS k FROM items), c AS (SELECT id, token, count(*) AS n, max(total) AS total FROM (SELECT id, len(k) AS total, unnest(k) AS token FROM t) GROUP BY id, token), m AS (SELECT id, max(n) AS most, max(total) AS total FROM c GROUP BY id)
 SELECT t.id, CAST(CASE WHEN most >= 4 OR (total >= 6 AND most >= 0.28 * total) THEN most ELSE 0 END AS INT) AS stuffed FROM t LEFT JOIN m ON m.id = t.id""")
 def keyword_stuffing(spark: SparkSession, sf_dir: str) -> DataFrame:

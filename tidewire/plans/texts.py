@@ -66,45 +66,6 @@ def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("f").cast("long").alias("n_candidates"), F.md5(F.array_join(F.slice("f", 1, 18), "|")).alias("facts_md5"), F.array_join(F.regexp_extract_all(first, F.lit("[0-9]{4}"), F.lit(0)), ",").alias("years"))
 
 
-EXAM_SQL = """w AS (SELECT conv_id, turn, role, text, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS k FROM conversations),
-x AS (SELECT conv_id, turn, role, CASE WHEN len(k) BETWEEN 18 AND 120 THEN 100 WHEN len(k) >= 8 THEN 70 ELSE 40 END AS clarity, CASE WHEN len(k) > 0 THEN CAST(round(100 * len(list_distinct(k)) / len(k)) AS INT) ELSE 0 END AS specificity,
-  CASE WHEN regexp_matches(trim(text), '[.!?]$') THEN 100 ELSE 50 END AS rhythm, CASE WHEN regexp_matches(text, 'https?://|@') THEN 40 ELSE 100 END AS safety FROM w),
-t AS (SELECT *, round(clarity * 0.35::DOUBLE + specificity * 0.3::DOUBLE + rhythm * 0.15::DOUBLE + safety * 0.2::DOUBLE, 4) AS total FROM x)"""
-
-
-@query(f"WITH {EXAM_SQL} SELECT conv_id, turn, clarity, specificity, rhythm, safety, total, total >= 85 AND safety = 100 AS passed FROM t")
-def writing_exam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exam(spark, sf_dir).select("conv_id", "turn", "clarity", "specificity", "rhythm", "safety", "total", "passed")
-
-
-def exam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each message as a draft: four checks and their weighted total."""
-    k = T.words(F.col("text"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.size(k).alias("n"), F.size(F.array_distinct(k)).alias("d"))
-    rows = rows.withColumns({
-        "clarity": F.when(F.col("n").between(18, 120), 100).when(F.col("n") >= 8, 70).otherwise(40),
-        "specificity": F.when(F.col("n") > 0, F.round(100 * F.col("d") / F.col("n")).cast("int")).otherwise(0),
-        "rhythm": F.when(F.trim("text").rlike("[.!?]$"), 100).otherwise(50), "safety": F.when(F.col("text").rlike("https?://|@"), 40).otherwise(100),
-    })
-    total = F.round(F.col("clarity") * 0.35 + F.col("specificity") * 0.3 + F.col("rhythm") * 0.15 + F.col("safety") * 0.2, 4)
-    return rows.withColumn("total", total).withColumn("passed", (F.col("total") >= 85) & (F.col("safety") == 100))
-
-
-@query(f"WITH {EXAM_SQL} SELECT conv_id, turn, total, total >= 85 AND safety = 100 AS passed FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN total >= 85 AND safety = 100 THEN 0 ELSE 1 END, total DESC, turn) = 1")
-def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each conversation's drafts: passed first, then the total, then the earliest. One aggregate, no sort of a group."""
-    best = exam(spark, sf_dir).groupBy("conv_id").agg(F.min(F.struct((~F.col("passed")).alias("failed"), (-F.col("total")).alias("t"), "turn")).alias("b"))
-    return best.select("conv_id", F.col("b.turn").alias("turn"), (-F.col("b.t")).alias("total"), (~F.col("b.failed")).alias("passed"))
-
-
-@query(f"WITH {EXAM_SQL} SELECT role, count(*) AS n, round(avg(total), 4) AS mean_total, min(total) AS least_total, bool_and(total >= 85 AND safety = 100) AS all_passed, round(count(*) FILTER (total >= 85 AND safety = 100) / count(*), 3) AS rate FROM t GROUP BY role")
-def exam_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exam(spark, sf_dir).groupBy("role").agg(
-        F.count("*").alias("n"), F.round(F.avg("total"), 4).alias("mean_total"), F.min("total").alias("least_total"), F.bool_and("passed").alias("all_passed"),
-        F.round(F.count_if("passed") / F.count("*"), 3).alias("rate"),
-    )
-
-
 @query(f"""WITH {STORIES_SQL}, ap AS (SELECT l.doc_id AS story_id, lower(substr(md5(s.key), 1, 10)) AS slug, s.link FROM labels l JOIN stories s ON s.id = l.doc_id WHERE quality = 1 AND l.doc_id % 3 <> 0),
 k AS (SELECT s.id, 0 AS prio, ap.story_id FROM stories s JOIN ap ON ap.story_id = s.id UNION ALL SELECT s.id, 1, ap.story_id FROM stories s JOIN ap ON ap.slug = substr(md5(s.key), 1, 10) UNION ALL SELECT s.id, 2, ap.story_id FROM stories s JOIN ap ON ap.link = s.link)
 SELECT id, story_id, prio FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio, story_id) = 1""")
