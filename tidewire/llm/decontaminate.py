@@ -8,15 +8,20 @@ For each document and item, matches are chained in order; between two of them th
 slots have. A chain that holds at least `share` (0.8) of the item's windows is a candidate. Then slots are checked on the
 aligned words: literal words must be equal, and within the item each slot value must always map to one value of the
 document and differing values must stay apart. A candidate that passes is a copy (all slots equal) or a re-parameterised
-copy. Items of fewer template words than the window form one window. In a copy that gives no names away by case, numbers
-and units may differ, names not.
+copy. In a copy that gives no names away by case, numbers and units may differ, names not.
+
+A template says something only if it has `window` template words or more and at least `LITERALS` of them are no
+placeholders. Any other item is matched as it is: its literal words, in windows of five, if it has so many; a shorter one
+("42", "two words") only where an entire line of a document is the item (in any case, whatever the punctuation at edges).
 
 The benchmark is a given set of questions; it is split into blocks of at most `block_windows` windows, and each block
 is sent to the executors, so what is broadcast is bounded however large the benchmark grows; more blocks take more
 passes over the documents. Documents are never shuffled: what leaves a task is one row for each hit.
 
-Null or empty texts and items have no windows and are never contaminated. Repeated rows are judged each. An item whose
-template is only placeholders (no literal word) would match any list of numbers; it takes part with its words as they are.
+Null or empty texts and items have no windows and are never contaminated; items with a null id take no part, documents
+with a null id are judged like others. Repeated rows are judged each; items repeated under one id are one, the least text.
+Very long texts are read whole, in time linear in their words. Other columns are carried along or not read, whatever their
+names. An empty table of documents gives an empty one; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -37,6 +42,11 @@ UNITS = frozenset(
     "oz ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week "
     "weeks month months year years percent degree degrees dollar dollars euro euros cent cents mph kmh".split()
 )
+#: Words that stand for a number.
+NUMERALS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 EDGES = "\"'“”‘’()[]{}<>.,;:!?¿¡*_`«»"
 ENDS = (".", "!", "?", ":")
@@ -47,12 +57,16 @@ NUMBER_STARTS = frozenset("0123456789$€£+-")
 #: Numbers of the placeholders; those of literal words are greater.
 KINDS = {"<number>": 1, "<name>": 2, "<unit>": 3}
 LAST_KIND = 3
+#: Least literal words of a template that may match with other slots.
+LITERALS = 3
 
 
 def kind_of(core: str, first: bool) -> str:
     """'' for a literal word, else its placeholder. A capitalised word is a name unless it opens a sentence."""
     if core[:1] in NUMBER_STARTS and NUMBER.fullmatch(core):
         return "<number>"
+    if core.lower() in NUMERALS:
+        return "<number>"
     if core.lower() in UNITS:
         return "<unit>"
     return "<name>" if not first and core[:1].isupper() else ""
@@ -75,7 +89,7 @@ class Words(dict):
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.exact = vocabulary
-        self.literal = vocabulary | dict.fromkeys(UNITS, KINDS["<unit>"])
+        self.literal = vocabulary | dict.fromkeys(UNITS, KINDS["<unit>"]) | dict.fromkeys(NUMERALS, KINDS["<number>"])
         self.clear()
 
     def clear(self) -> None:
@@ -163,25 +177,27 @@ class Index:
         self.words = Words({w: (0xD6E8FEB86659FD93 * (k + 1) & MASK) | 1 << 63 | 1 for k, w in enumerate(literals)})
         self.items: dict[int, Text] = {}
         self.windows: dict[int, list[tuple[int, int]]] = {}
-        self.as_is, self.short = False, set()
+        self.as_is = False
+        self.lines: dict[str, list[int]] = {}
         rows: list[tuple] = []
         for i, t in items:
             forms = self.words.forms(t, True)
             own = self.items[i] = Text(t, forms)
-            only_slots = bool((forms[0][0] <= LAST_KIND).all())
-            self.as_is |= only_slots
+            template = forms[0][0]
+            says = len(template) >= window and int((template > LAST_KIND).sum()) >= LITERALS
+            if not says and len(own.cores) < window:
+                self.lines.setdefault(" ".join(own.lower), []).append(i)
+                continue
+            self.as_is |= not says
             for form, (numbers, _) in enumerate(forms):
-                wide = min(window, len(numbers))
                 spans = own.starts[form]
-                if form == (3 if only_slots else 0):
-                    self.windows[i] = [(spans[k], spans[k + wide]) for k in range(len(numbers) - wide + 1)]
-                if only_slots != (form == 3) or (form == 1 and wide < window):
+                if form == (0 if says else 3):
+                    self.windows[i] = [(spans[k], spans[k + window]) for k in range(len(numbers) - window + 1)]
+                if says == (form == 3):
                     continue
-                for k, h in zip(*(x.tolist() for x in window_hashes(numbers, wide, form)), strict=True):
-                    if form != 1 or max(own.numbers[1][k : k + wide]) > LAST_KIND:
-                        rows.append((h, i, spans[k], spans[k + wide], form, k, wide))
-                if wide < window:
-                    self.short.add(wide)
+                for k, h in zip(*(x.tolist() for x in window_hashes(numbers, window, form)), strict=True):
+                    if form != 1 or max(own.numbers[1][k : k + window]) > LAST_KIND:
+                        rows.append((h, i, spans[k], spans[k + window], form, k, window))
         self.rows = sorted(rows)
         self.h = np.array([r[0] for r in self.rows], np.uint64)
 
@@ -189,15 +205,12 @@ class Index:
         """Item -> (its start and end, form, its place, width, place in the document)."""
         out: dict[int, set[tuple]] = defaultdict(set)
         for form, (numbers, _) in enumerate(forms):
-            for wide in [self.window, *self.short]:
-                places, h = window_hashes(numbers, wide, form)
-                if not len(h):
-                    continue
-                a, b = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-                hit = a < b
-                for d, s, e in zip(places[hit].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
-                    for _, item, *row in self.rows[s:e]:
-                        out[item].add((*row, d))
+            places, h = window_hashes(numbers, self.window, form)
+            a, b = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+            hit = a < b
+            for d, s, e in zip(places[hit].tolist(), a[hit].tolist(), b[hit].tolist(), strict=True):
+                for _, item, *row in self.rows[s:e]:
+                    out[item].add((*row, d))
         return out
 
     def held(self, item: int, spans: set[tuple[int, int]]) -> int:
@@ -249,6 +262,7 @@ class Index:
         """(item, start word, windows matched, windows of the item, whether all slots are equal)."""
         if not text:
             return
+        yield from self.whole_lines(text)
         forms = self.words.forms(text, self.as_is)
         doc = None
         for item, found in sorted(self.matches(forms).items()):
@@ -269,6 +283,18 @@ class Index:
                 if values is not None:
                     yield item, part[0][0] - part[0][1], matched, n, all(a == b for _, a, b in values)
 
+    def whole_lines(self, text: str) -> Iterator[tuple[int, int, int, int, bool]]:
+        """Hits of the items that are matched only by an entire line."""
+        if not self.lines:
+            return
+        start = 0
+        for line in text.split("\n"):
+            raws = line.split()
+            if 0 < len(raws) < self.window:
+                for item in self.lines.get(" ".join((r.strip(EDGES) or r).lower() for r in raws), ()):
+                    yield item, start, 1, 1, True
+            start += len(raws)
+
     def opening_names(self, own: Text, doc: Text, part: list[tuple]) -> set[tuple[int, int, int, int]]:
         """Slots outside the matched windows: words of the item that are names elsewhere in it, where the document has a
         capital."""
@@ -311,7 +337,8 @@ def blocks_of(benchmark: DataFrame, window: int, block_windows: int, item_col: s
     """Blocks of items; one at a time is on the driver."""
     held: list[tuple[int, str]] = []
     n = 0
-    rows = benchmark.where(F.col(item_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    named = benchmark.where(F.col(item_col).isNotNull() & (F.length(F.trim(text_col)) > 0)).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    rows = named.groupBy("i").agg(F.min("t").alias("t"))
     for r in rows.toLocalIterator(prefetchPartitions=False):
         held.append((r.i, r.t))
         n += max(1, len(r.t.split()) - window + 1)
