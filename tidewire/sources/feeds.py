@@ -78,11 +78,14 @@ def api(pages: DataFrame, body: str = "body") -> DataFrame:
 
 def next_cursor(body: Column) -> Column:
     doc = F.try_parse_json(body)
-    return F.coalesce(*[F.try_variant_get(doc, f"$.{k}", "string") for k in ("next_cursor", "nextCursor", "next", "cursor")])
+    return F.coalesce(*[F.try_variant_get(doc, f"$.{k}", "string") for k in ("next_cursor", "nextCursor", "nextPageToken", "next_page_token", "next", "cursor")])
 
 
 #: Providers of trend exports: name -> (confidence, only relative). Relative ones have no volume.
-PROVIDERS = {"search_console": (0.9, False), "internal": (0.85, False), "relative_search": (0.6, True), "keyword_tool": (0.55, False), "manual": (0.45, True)}
+PROVIDERS = {
+    "search_console": (0.9, False), "internal": (0.85, False), "relative_search": (0.6, True), "keyword_tool": (0.55, False), "manual": (0.45, True),
+    "backlink_tool": (0.55, False), "rising_topics": (0.6, True), "topic_growth": (0.58, True), "pin_board": (0.5, True), "question_tool": (0.5, False),
+}
 
 
 def trends(exports: dict[str, DataFrame]) -> DataFrame:
