@@ -57,14 +57,41 @@ def test_versions_are_not_overwritten(spark, tmp_path):
         feeds.replace_table(df, str(tmp_path / "t"), "1")
 
 
-def test_incremental_clusters_equal_one_pass(spark):
-    rng = random.Random(3)
+def one_pass(rows, hours, least):
+    """The plain fold over all signals in order."""
+    urls, clusters, out = {}, [], {}
+    for r in sorted(rows, key=lambda r: (r["at"], r["signal_id"])):
+        tokens, home = set(r["title_tokens"]), urls.get(r["url_hash"])
+        if home is None:
+            best, target = 0.0, None
+            for c in clusters:
+                if c["where"] == (r["city"], r["topic"]) and (r["at"] - c["last"]).total_seconds() <= hours * 3600 and tokens and c["tokens"]:
+                    both = len(tokens & c["tokens"])
+                    score = max(2 * both / (len(tokens) + len(c["tokens"])), 0.82 * both / min(len(tokens), len(c["tokens"])))
+                    if score >= least and score > best:
+                        best, target = score, c
+            if target:
+                home, target["last"] = target["id"], r["at"]
+        out[r["signal_id"]] = (r["signal_id"] if home is None else home, "first_seen" if home is None else "source_added")
+        if home is None:
+            home = r["signal_id"]
+            clusters.append({"id": home, "where": (r["city"], r["topic"]), "tokens": tokens, "last": r["at"]})
+        if r["url_hash"] is not None:
+            urls.setdefault(r["url_hash"], home)
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_incremental_clusters_equal_one_pass(spark, seed):
+    rng = random.Random(seed)
     words = [f"t{i}" for i in range(16)]
-    rows = [dict(signal_id=i, city=rng.choice("ab"), topic=rng.choice("xy"), url_hash=f"u{rng.randrange(45)}", title_tokens=rng.sample(words, rng.randrange(1, 6)), at=dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(200))) for i in range(70)]
-    frame = pd.DataFrame([r | {"us": int(r["at"].replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)} for r in rows]).sort_values(["us", "signal_id"])
-    want = {r.signal_id: (r.cluster, r.event) for r in editorial.fold_signals(frame, 72, 0.52).itertuples()}
+    rows = [
+        dict(signal_id=i, city=rng.choice("ab"), topic=rng.choice("xy"), url_hash=rng.choice([None, f"u{rng.randrange(45)}"]), title_tokens=rng.sample(words, rng.randrange(0, 6)), at=dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(400)))
+        for i in range(160)
+    ]
+    rows += [dict(signal_id=1000 + i, city="a", topic="x", url_hash=None, title_tokens=["t1", "t2"], at=dt.datetime(2024, 1, 1) + dt.timedelta(hours=50 * i)) for i in range(20)]
     got = {r.signal_id: (r.cluster, r.event) for r in editorial.incremental_clusters(spark.createDataFrame(rows)).collect()}
-    assert got == want
+    assert got == one_pass(rows, 72, 0.52)
 
 
 def test_coverage_and_evidence(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators.graph import components
-from tidewire.operators.shuffles import saved
+from tidewire.operators.shuffles import join_unique, saved
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, longest: int = 3) -> DataFrame:
@@ -79,19 +79,45 @@ def incremental_clusters(signals: DataFrame, hours: int = 72, least: float = 0.5
     event): each joins the cluster of the first signal with its url, else the best titled one of its city and topic within
     `hours` (score `least` or more), else opens one. event is first_seen or source_added.
 
-    Who can meet is found by equi joins on urls and on (city, topic, token); the ordered fold runs per component of that
-    graph, which no signal's cluster leaves."""
-    key = F.concat_ws("|", "city", "topic")
-    keyed = signals.select("signal_id", F.explode(F.concat(F.array(F.concat(F.lit("u:"), "url_hash")), F.transform("title_tokens", lambda t: F.concat(F.lit("t:"), key, F.lit(":"), t)))).alias("k"))
-    first = keyed.groupBy("k").agg(F.min("signal_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    edges = saved(keyed.join(first, "k").select("a", F.col("signal_id").alias("b")).where("a <> b").distinct(), "signal-edges")
-    labels = components(edges).withColumnRenamed("node", "signal_id")
-    rows = signals.join(labels, "signal_id", "left").withColumn("component", F.coalesce("component", "signal_id")).withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
+    A signal only ever joins through its url or a title alike enough to the cluster's first one. Equal titles of a city and
+    topic are one class; classes alike are found by an equi join on rare tokens, and components of the graph of urls and
+    classes are folded apart, each signal looking at the classes it is linked to."""
+    kind = F.struct("city", "topic", F.array_sort(F.array_distinct("title_tokens")).alias("k"))
+    rows = signals.select("signal_id", "city", "topic", "url_hash", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), kind.alias("kind"))
+    classes = saved(rows.groupBy("kind").agg(F.min("signal_id").alias("rep"), F.count("*").alias("n")), "signal-classes")
+    links = saved(alike_classes(classes.select("rep", "kind.*"), least), "signal-links")
+    urls = saved(rows.where("url_hash is not null").groupBy("url_hash").agg(F.min("signal_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "signal-urls")
+    placed = saved(join_unique(saved(rows, "signal-rows"), classes.select("kind", "rep"), "kind", counts=classes.select("kind", "n")), "signal-placed")
+    by_url = join_unique(placed.select("signal_id", "url_hash"), urls.select("url_hash", "first"), "url_hash", counts=urls.select("url_hash", "n"))
+    edges = placed.select(F.col("rep").alias("a"), F.col("signal_id").alias("b")).union(links.select("a", "b")).union(by_url.select("first", "signal_id"))
+    labels = components(edges.where("a <> b"), "signal-components").withColumnRenamed("node", "signal_id")
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other"), "score").union(links.select("b", "a", "score"))
+    near = both.groupBy("rep").agg(F.collect_list(F.struct("other", "score")).alias("near"))
+    found = placed.join(labels, "signal_id", "left").join(near, "rep", "left")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        return fold_signals(group.sort_values(["us", "signal_id"]), hours, least)
-
-    return rows.select("component", "signal_id", "city", "topic", "url_hash", "title_tokens", "us").groupBy("component").applyInPandas(fold, "signal_id long, cluster long, event string")
+        return fold_signals(group.sort_values(["us", "signal_id"]), hours)
+
+    ready = found.select(F.coalesce("component", "signal_id").alias("component"), "signal_id", "url_hash", "us", "rep", (F.size("kind.k") > 0).alias("titled"), F.transform("near", lambda x: x["other"]).alias("others"), F.transform("near", lambda x: x["score"]).alias("scores"))
+    return ready.groupBy("component").applyInPandas(fold, "signal_id long, cluster long, event string")
+
+
+def alike_classes(classes: DataFrame, least: float) -> DataFrame:
+    """classes (rep, city, topic, k) -> (a, b, score), a <> b once: those of a city and topic whose tokens are alike by `least`.
+    Of a pair, the one with fewer tokens shares one of its rarest: as many as a partner can't all lack."""
+    group = ["city", "topic"]
+    rows = classes.where(F.size("k") > 0).withColumn("n", F.size("k"))
+    frequency = rows.select(*group, F.explode("k").alias("token")).groupBy(*group, "token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.select("rep", "n", *group, F.explode("k").alias("token")).join(frequency, [*group, "token"]).groupBy("rep", "n", *group).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    # Dice of `least` needs least / 2 of both sizes, .82 containment least / .82 of the smaller: the lesser of both, at equal sizes
+    shared = F.ceil(F.col("n") * min(least, least / 0.82) - 1e-9).cast("int")
+    # tokens that no other class has are the rarest of all
+    asks = ranked.select("rep", *group, F.explode(F.slice("by_df", 1, F.greatest(F.lit(1), F.size("by_df") - shared + 1))).alias("x")).select(F.col("rep").alias("a"), *group, "x.token")
+    small, large = rows.select(F.col("rep").alias("a"), F.col("k").alias("ka"), F.col("n").alias("na")), rows.select(F.col("rep").alias("b"), F.col("k").alias("kb"), F.col("n").alias("nb"), *group, F.explode("k").alias("token"))
+    pairs = asks.join(small, "a").join(large, [*group, "token"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    both = F.size(F.array_intersect("ka", "kb"))
+    score = F.greatest(2 * both / (F.col("na") + F.col("nb")), 0.82 * both / F.col("na"))
+    return pairs.select("a", "b", score.alias("score")).where(F.col("score") >= least).distinct()
 
 
 def title_similarity(a: set[str], b: set[str]) -> float:
@@ -100,22 +126,30 @@ def title_similarity(a: set[str], b: set[str]) -> float:
     return max(2 * shared / (len(a) + len(b)), 0.82 * shared / min(len(a), len(b))) if a and b else 0.0
 
 
-def fold_signals(rows: pd.DataFrame, hours: int, least: float) -> pd.DataFrame:
+def fold_signals(rows: pd.DataFrame, hours: int) -> pd.DataFrame:
+    """rows in order, each with its class and the classes alike; a class keeps the clusters its signals opened, as long as
+    they are not expired."""
     urls: dict[str, int] = {}
-    open_: dict[tuple, list] = {}
-    out = []
-    for s, city, topic, url, tokens, us in zip(rows["signal_id"], rows["city"], rows["topic"], rows["url_hash"], rows["title_tokens"], rows["us"], strict=True):
-        home, tokens = urls.get(url), set(tokens)
-        own = open_.setdefault((city, topic), [])
-        if home is None:
-            scored = [(title_similarity(tokens, c[1]), -n, c) for n, c in enumerate(own) if us - c[2] <= hours * 3600 * 1000000]
-            best = max(scored, default=None, key=lambda x: x[:2])
-            if best and best[0] >= least:
-                home = best[2][0]
-                best[2][2] = us
+    opened: dict[int, list[list[int]]] = {}
+    out, n = [], 0
+    for s, url, us, rep, titled, others, scores in zip(rows["signal_id"], rows["url_hash"], rows["us"], rows["rep"], rows["titled"], rows["others"], rows["scores"], strict=True):
+        home = urls.get(url)
+        if home is None and titled:
+            best, target = None, None
+            for other, score in [(rep, 1.0), *(zip(others, scores, strict=True) if others is not None else ())]:
+                own = opened.get(other)
+                if own:
+                    own[:] = [c for c in own if us - c[1] <= hours * 3600 * 1000000]
+                    if own and (best is None or (score, -own[0][2]) > best):
+                        best, target = (score, -own[0][2]), own[0]
+            if target is not None:
+                home, target[1] = target[0], us
         out.append((s, s if home is None else home, "first_seen" if home is None else "source_added"))
         if home is None:
-            own.append([s, tokens, us])
+            if titled:
+                opened.setdefault(rep, []).append([s, us, n])
+            n += 1
             home = s
-        urls.setdefault(url, home)
+        if url is not None:
+            urls.setdefault(url, home)
     return pd.DataFrame(out, columns=["signal_id", "cluster", "event"])

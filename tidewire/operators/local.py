@@ -11,38 +11,34 @@ from tidewire.functions import text as T
 EARTH_KM = 6371.0
 
 
-def nearest_place(points: DataFrame, places: DataFrame, cell: float = 5.0, rings: tuple[int, ...] = (1, 4, 40)) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, cell: float = 5.0, rings: tuple[int, ...] = (1, 3, 9)) -> DataFrame:
     """points (point_id, lat, lon) -> the nearest place (place_id, lat, lon) and km to one decimal, ties to the least id.
 
-    Places are keyed by a grid cell. A point looks at the cells around its own; if the best found is not surely nearest
-    (nearer than the edge of what was looked at), it goes on to a wider ring. Only open points take part in the next
-    ring, and every step is an equi join on cells."""
-    width, height = int(360 / cell), int(180 / cell)
-    at = lambda lat, lon: (F.least(F.lit(height - 1), F.floor((lat + 90) / cell)), F.pmod(F.floor((lon + 180) / cell), F.lit(width)))
-    y, x = at(F.col("lat"), F.col("lon"))
-    grid = places.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), y.alias("gy"), x.alias("gx"))
+    Places are keyed by rows of `cell` degrees of latitude and columns that widen towards the poles, so cells are about
+    alike in area. A point looks at the cells around its own; if the best found is not surely nearest (nearer than anything
+    outside can be), it goes on to a wider ring, and at last to all. Only open points take part in the next ring, and every
+    step is an equi join on cells."""
+    height = int(180 / cell)
+    row = lambda lat: F.least(F.lit(height - 1), F.floor((lat + 90) / cell)).cast("long")
+    columns = lambda r: F.greatest(F.lit(1), F.floor(360 / cell * F.cos(F.radians(F.abs((r + 0.5) * cell - 90) + cell / 2)))).cast("long")
+    column = lambda lon, r: F.pmod(F.floor((lon + 180) / 360 * columns(r)), columns(r)).cast("long")
+    grid = places.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), row(F.col("lat")).alias("gy")).withColumn("gx", column(F.col("plon"), F.col("gy")))
     open_, done = points.select("point_id", "lat", "lon"), None
-    for n, ring in enumerate(rings):
-        last = n == len(rings) - 1
-        whole = last or 2 * ring + 1 >= height
-        py, px = at(F.col("lat"), F.col("lon"))
-        if whole:
-            # by now a handful of points at most have found nothing near: they look at every cell
-            cells = open_.withColumn("gy", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("gx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-        else:
-            cells = open_.withColumn("gy", F.explode(F.sequence(F.greatest(F.lit(0), py - ring), F.least(F.lit(height - 1), py + ring)))).withColumn(
-                "gx", F.explode(F.array_distinct(F.transform(F.sequence(px - ring, px + ring), lambda v: F.pmod(v, F.lit(width)))))
-            )
-        near = cells.select("point_id", "lat", "lon", F.col("gy").cast("long"), F.col("gx").cast("long")).join(grid, ["gy", "gx"])
+    for ring in (*rings, height):
+        whole = ring >= height
+        own = row(F.col("lat"))
+        rows = open_.withColumn("gy", F.explode(F.sequence(F.greatest(F.lit(0), own - ring), F.least(F.lit(height - 1), own + ring)).cast("array<long>")))
+        n, x = columns(F.col("gy")), column(F.col("lon"), F.col("gy"))
+        around = F.when((n <= 2 * ring + 1) | F.lit(whole), F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(x - ring, x + ring), lambda v: F.pmod(v, n)))
+        near = rows.withColumn("gx", F.explode(around)).join(grid, ["gy", "gx"])
         km = T.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
         best = near.groupBy("point_id", "lat", "lon").agg(F.min(F.struct(km.alias("km"), "place_id")).alias("b")).select("point_id", "lat", "lon", "b.*")
-        # what lies outside the ring is at least `ring` cells away, east to west as far as the poles draw the meridians together
-        reach = F.radians(F.lit(ring * cell)) * EARTH_KM * F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + (ring + 1) * cell)))
-        sure = best if whole else best.where(F.col("km") <= reach)
-        found = sure.select("point_id", "place_id", "km")
+        # outside are rows `ring` cells away, and meridians as far as `ring` columns of the ring's row nearest the equator
+        low = F.greatest(F.lit(0.0), F.abs("lat") - (ring + 1) * cell)
+        apart = F.least(F.lit(90.0), ring * cell / F.cos(F.radians(low)))
+        reach = EARTH_KM * F.least(F.radians(F.lit(ring * cell)), F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(apart))))
+        found = (best if whole else best.where(F.col("km") <= reach)).select("point_id", "place_id", "km")
         done = found if done is None else done.unionByName(found)
-        if whole:
-            break
         open_ = open_.join(found.select("point_id"), "point_id", "left_anti")
     return done.select("point_id", "place_id", (F.floor(F.col("km") * 10 + 0.5) / 10).alias("distance_km"))
 
