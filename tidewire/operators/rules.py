@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.operators.shuffles import beside
 
 #: Words that take back what follows them within `guard` words.
 NEGATIONS = ("no", "not", "never", "without")
@@ -65,8 +66,7 @@ def term_hits(texts: DataFrame, rules: DataFrame, guard: int = 8) -> DataFrame:
         return F.transform(T.ngrams(F.col("w"), n), lambda g, i: F.struct(g.alias("gram"), F.arrays_overlap(F.slice("w", F.greatest(F.lit(1), i - guard + 1), F.least(i, F.lit(guard))), no).alias("negated")))
 
     each = words.select("id", F.explode(F.concat(*map(grams, lengths or [1]))).alias("x")).select("id", "x.gram", "x.negated")
-    side = F.broadcast(terms) if terms.count() <= MOST_RULES else terms.hint("merge")
-    return each.join(side, "gram").groupBy("id", "kind", "rule", "term").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
+    return each.join(beside(terms, MOST_RULES), "gram").groupBy("id", "kind", "rule", "term").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
 
 
 def rule_scores(hits: DataFrame, kind: str, guarded: bool = False) -> DataFrame:

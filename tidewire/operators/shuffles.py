@@ -51,3 +51,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     if how == "inner":
         met = met.where(F.coalesce("__met", "__hot_met"))
     return met.select(*left.columns, *[F.coalesce(f"__cold_{c}", f"__hot_{c}").alias(c) for c in payload])
+
+
+def beside(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The smaller side of an equi join: sent to every task if it has `most` rows at most, else merged after a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")

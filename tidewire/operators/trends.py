@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.operators.shuffles import beside
 
 
 def attention(weekly: bool = False) -> Column:
@@ -38,14 +39,16 @@ def strength(daily: bool = True) -> Column:
 
 
 def matches(stories: DataFrame, signals: DataFrame) -> DataFrame:
-    """(id, signal_id, overlap): the signal's topic stands in the story, or a share of 0.22 of keywords agrees (0.25 where
-    the categories differ). Candidates come from an equi join on keywords; a topic is made of its keywords."""
-    s = stories.select("id", "category", "keywords", F.lower(F.concat_ws(" ", "title", "summary")).alias("said"))
-    g = signals.select("signal_id", F.col("category").alias("signal_category"), F.col("keywords").alias("signal_keywords"), F.lower("topic").alias("topic"))
-    pairs = s.select("id", F.explode(F.array_distinct("keywords")).alias("word")).join(g.select("signal_id", F.explode(F.array_distinct("signal_keywords")).alias("word")), "word")
-    met = pairs.groupBy("id", "signal_id").agg(F.count("*").alias("shared"))
-    full = met.join(s, "id").join(g, "signal_id")
-    small = F.least(F.size(F.array_distinct("keywords")), F.size(F.array_distinct("signal_keywords")))
-    overlap = F.col("shared") / small
+    """(id, signal_id, overlap): the signal's topic stands in the story as whole words, or a share of 0.22 of keywords agrees
+    (0.25 where the categories differ). Candidates come from equi joins on keywords, and on the story's words and pairs of
+    neighbouring words as topics."""
+    s = stories.select("id", "category", F.array_distinct("keywords").alias("keywords"), T.words(F.lower(F.concat_ws(" ", "title", "summary"))).alias("said"))
+    g = signals.select("signal_id", F.col("category").alias("signal_category"), F.array_distinct("keywords").alias("signal_keywords"), F.lower("topic").alias("topic"))
+    own = beside(g.select("signal_id", F.explode("signal_keywords").alias("word")))
+    shared = s.select("id", F.explode("keywords").alias("word")).join(own, "word").groupBy("id", "signal_id").agg(F.count("*").alias("shared"))
+    phrases = s.select("id", F.explode(F.array_distinct(F.concat("said", T.ngrams(F.col("said"), 2)))).alias("topic"))
+    stands = phrases.join(beside(g.where("topic <> ''").select("signal_id", "topic")), "topic").select("id", "signal_id", F.lit(True).alias("stands"))
+    met = shared.join(stands, ["id", "signal_id"], "full").join(s.select("id", "category", F.size("keywords").alias("n")), "id").join(g.select("signal_id", "signal_category", F.size("signal_keywords").alias("m")), "signal_id")
+    overlap = F.when((F.col("n") == 0) | (F.col("m") == 0), 0.0).otherwise(F.coalesce("shared", F.lit(0)) / F.least("n", "m"))
     same = (F.col("signal_category") == "top") | (F.col("signal_category") == F.col("category")) | (overlap >= 0.25)
-    return full.where(same & (F.contains("said", "topic") | (overlap >= 0.22))).select("id", "signal_id", overlap.alias("overlap"))
+    return met.where(same & (F.coalesce("stands", F.lit(False)) | (overlap >= 0.22))).select("id", "signal_id", overlap.alias("overlap"))

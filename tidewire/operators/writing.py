@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.operators.shuffles import beside
 
 #: Words that hold a sentence together; a skeleton keeps them as they are.
 STRUCTURE = "the and for with that this from after before while when where who which will would could are was were has have had not but into over under about".split()
@@ -38,18 +39,13 @@ def hashed(texts: DataFrame, key: str, sizes: tuple[int, ...]) -> DataFrame:
     return rows.select(key, "tokens", *[f"h{n}" for n in sizes])
 
 
-def beside(grams: DataFrame) -> DataFrame:
-    """The sources' side of a join of grams: sent to every task up to MOST_GRAMS rows, shuffled beyond."""
-    return F.broadcast(grams) if grams.count() <= MOST_GRAMS else grams.hint("merge")
-
-
 def sharing_grams(candidates: DataFrame, sources: DataFrame, n: int, least: float) -> DataFrame:
     """candidates (cid, tokens), sources (sid, tokens) -> (cid, sid) whose distinct n-grams overlap by `least` of the smaller
     side or more. Only grams that some source has leave a task, as hashes."""
     c, s = hashed(candidates, "cid", (n,)), hashed(sources, "sid", (n,))
     mine = c.select("cid", F.array_distinct(f"h{n}").alias("g")).select("cid", F.size("g").alias("mine"), F.explode("g").alias("h"))
     theirs = s.select("sid", F.array_distinct(f"h{n}").alias("g")).select("sid", F.size("g").alias("theirs"), F.explode("g").alias("h"))
-    met = mine.join(beside(theirs), "h").groupBy("cid", "sid", "mine", "theirs").agg(F.count("*").alias("shared"))
+    met = mine.join(beside(theirs, MOST_GRAMS), "h").groupBy("cid", "sid", "mine", "theirs").agg(F.count("*").alias("shared"))
     return met.where(F.col("shared") >= least * F.least("mine", "theirs")).select("cid", "sid")
 
 
@@ -65,7 +61,7 @@ def copied_phrases(candidates: DataFrame, sources: DataFrame, sizes: tuple[int,
     c = hashed(candidates, "cid", sizes)
     each = F.concat(*[sized(F.array_distinct(f"h{n}"), n) for n in sizes])
     mine = c.select("cid", F.explode(each).alias("x")).select("cid", "x.n", F.col("x.x").alias("h"))
-    return mine.join(beside(theirs), ["n", "h"]).groupBy("cid", "sid").agg(F.count("*").alias("n_copied"))
+    return mine.join(beside(theirs, MOST_GRAMS), ["n", "h"]).groupBy("cid", "sid").agg(F.count("*").alias("n_copied"))
 
 
 def alike_sets(candidates: DataFrame, sources: DataFrame, least: float) -> DataFrame:
@@ -77,7 +73,7 @@ def alike_sets(candidates: DataFrame, sources: DataFrame, least: float) -> DataF
     bounds = s.agg(F.min("size").alias("low"), F.max("size").alias("high")).first()
     c = sets(candidates, "cid").withColumn("n", F.size("k")).where((F.col("n") >= least * (bounds.low or 0)) & (F.col("n") * least <= (bounds.high or 0)))
     mine = c.select("cid", "n", F.explode("k").alias("w"))
-    met = mine.join(beside(theirs), "w").where((F.col("n") >= least * F.col("size")) & (F.col("size") >= least * F.col("n")))
+    met = mine.join(beside(theirs, MOST_GRAMS), "w").where((F.col("n") >= least * F.col("size")) & (F.col("size") >= least * F.col("n")))
     return met.select("cid", "sid").distinct()
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.operators import cluster, dedupe, ranking, similarity, trends
+from tidewire.operators import cluster, ranking, similarity, trends
+from tidewire.operators.shuffles import saved
 from tidewire.plans.feed import STORIES_SQL, SUMMARY_SQL, _stop_sql, stories, tokens_sql
 from tidewire.sources.landed import ITEMS_SQL, METRICS_SQL, items, story_metrics, table
 
@@ -92,54 +93,6 @@ WORDS_SQL = "len(list_filter(string_split(trim(regexp_replace(lower({x}), '[^a-z
 QUALITY_SQL = f"(CASE WHEN {WORDS_SQL.format(x='summary')} >= 18 THEN 28 ELSE 12 END + CASE WHEN length(source_name) > 0 THEN 18 ELSE 6 END + CASE WHEN length(title) > 20 THEN 22 ELSE 10 END)"
 SIGNIFICANCE_SQL = "least(100.0, greatest(0.0, greatest(1, source_count) * 14 + greatest(1.0, source_weight) * 12 + score * 0.55::DOUBLE))"
 FRESH_SQL = "CASE WHEN hours_old > {h} THEN 0.0 ELSE least(100.0, greatest(0.0, 100 - greatest(0.0, hours_old) / {h} * 100)) END"
-DAY_SQL = f"""st AS (SELECT *, {SUMMARY_SQL} AS summary FROM stories LEFT JOIN metrics ON story_key = id % 100),
-ds AS (SELECT *, {metrics_sql(False)} AS attention FROM st),
-dd AS (SELECT *, attention * 0.62::DOUBLE * 0.5 + {FRESH_SQL.format(h='24.0')} * 0.18::DOUBLE + {SIGNIFICANCE_SQL} * 0.12::DOUBLE + {QUALITY_SQL} * 0.08::DOUBLE AS day_score FROM ds)"""
-
-
-def day_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No outside signal takes part here, so traction is 0.62 of the attention."""
-    traction = trends.attention() * 0.62
-    score = traction * 0.5 + trends.freshness(F.col("hours_old"), 24.0) * 0.18 + trends.significance() * 0.12 + trends.quality() * 0.08
-    return scaled(spark, sf_dir).withColumn("day_score", score)
-
-
-@query(f"""WITH {STORIES_SQL}, {METRICS_SQL}, {DAY_SQL}, p AS (SELECT *, CASE WHEN hours_old <= 24 THEN 0 ELSE 1 END AS tier FROM dd)
-SELECT id, title, round(day_score, 4) AS score, round(least(1.0, greatest(0.0, 0.45::DOUBLE * 0.55 + least(day_score, 100.0) / 100 * 0.45::DOUBLE)), 4) AS confidence FROM p ORDER BY tier, day_score DESC, published_at DESC, id LIMIT 1""")
-def day_story(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of the last 24 hours, else of all."""
-    rows = day_scores(spark, sf_dir).withColumn("tier", F.when(F.col("hours_old") <= 24, 0).otherwise(1))
-    best = rows.orderBy("tier", F.desc("day_score"), F.desc("published_at"), "id").limit(1)
-    confidence = T.clamp(0.45 * 0.55 + F.least(F.col("day_score"), F.lit(100.0)) / 100 * 0.45, 0.0, 1.0)
-    return best.select("id", "title", F.round("day_score", 4).alias("score"), F.round(confidence, 4).alias("confidence"))
-
-
-@query(f"""WITH {STORIES_SQL}, {METRICS_SQL}, {DAY_SQL}, d AS (SELECT id AS day_id, category AS day_category FROM dd ORDER BY CASE WHEN hours_old <= 24 THEN 0 ELSE 1 END, day_score DESC, published_at DESC, id LIMIT 1),
-w AS (SELECT *, {metrics_sql(True)} AS weekly_attention, greatest(coalesce(active_days, 0), CASE WHEN count(*) OVER k > 1 THEN greatest(1, ceil((max(epoch_us(published_at)) OVER k - min(epoch_us(published_at)) OVER k) / 8.64e10) + 1) ELSE 0 END) AS days FROM st WINDOW k AS (PARTITION BY key)),
-s AS (SELECT w.*, id = day_id AS same, days AS sustained, least(100.0, weekly_attention * 0.62::DOUBLE) * 0.44::DOUBLE + least(100.0, days * 20) * 0.18::DOUBLE + {SIGNIFICANCE_SQL} * 0.12::DOUBLE + {QUALITY_SQL} * 0.08::DOUBLE + {FRESH_SQL.format(h='168.0')} * 0.06::DOUBLE
-  - CASE WHEN id = day_id THEN 45 WHEN category = day_category THEN 8 ELSE 0 END AS week_score FROM w, d WHERE days >= 2 AND hours_old <= 168)
-SELECT id, title, round(week_score, 4) AS score, CAST(sustained AS BIGINT) AS sustained_days, CASE WHEN same THEN 'same_article_as_day' ELSE 'unique' END AS duplicate_status FROM s ORDER BY same, week_score DESC, sustained DESC, id LIMIT 1""")
-def week_story(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of the week with two days or more of interest; another than the day's if there is one."""
-    from pyspark.sql.window import Window
-
-    rows = day_scores(spark, sf_dir)
-    day = rows.orderBy(F.when(F.col("hours_old") <= 24, 0).otherwise(1), F.desc("day_score"), F.desc("published_at"), "id").limit(1).select(F.col("id").alias("day_id"), F.col("category").alias("day_category"))
-    k = Window.partitionBy("key")
-    span = F.when(F.count("*").over(k) > 1, F.greatest(F.lit(1), F.ceil((F.max(F.unix_micros("published_at")).over(k) - F.min(F.unix_micros("published_at")).over(k)) / 8.64e10) + 1)).otherwise(0)
-    rows = rows.withColumn("days", F.greatest("raw_days", span)).where((F.col("days") >= 2) & (F.col("hours_old") <= 168)).crossJoin(F.broadcast(day))  # one row
-    same = F.col("id") == F.col("day_id")
-    score = (
-        F.least(F.lit(100.0), trends.attention(True) * 0.62) * 0.44 + F.least(F.lit(100.0), F.col("days") * 20.0) * 0.18 + trends.significance() * 0.12
-        + trends.quality() * 0.08 + trends.freshness(F.col("hours_old"), 168.0) * 0.06 - F.when(same, 45).when(F.col("category") == F.col("day_category"), 8).otherwise(0)
-    )
-    best = rows.withColumns({"same": same, "week_score": score}).orderBy("same", F.desc("week_score"), F.desc("days"), "id").limit(1)
-    return best.select("id", "title", F.round("week_score", 4).alias("score"), F.col("days").cast("long").alias("sustained_days"), F.when(F.col("same"), "same_article_as_day").otherwise("unique").alias("duplicate_status"))
-
-
-SIGNALS_FROM = "SELECT item_id AS signal_id, array_to_string({k}[1:2], ' ') AS topic, {k}[1:8] AS keywords, 'top' AS category FROM benchmark"
-
-
 def trend_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts stand in for outside trend signals."""
     words = F.array_distinct(T.title_tokens(F.col("text"), 8))
@@ -154,8 +107,8 @@ TS = tokens_sql("text").replace("[1:12]", "[1:8]")
 MATCH_SQL = f"""sg AS (SELECT item_id AS signal_id, list_distinct({TS}) AS kw0, {TS} AS ordered FROM benchmark),
 sg2 AS (SELECT signal_id, list_filter(ordered, lambda w, i: list_position(ordered, w) = i) AS kw FROM sg),
 sx AS (SELECT id, category, list_distinct({tokens_sql('title')}) AS kw, lower(concat_ws(' ', title, {SUMMARY_SQL})) AS said FROM stories),
-mt AS (SELECT id, signal_id, len(list_intersect(sx.kw, sg2.kw)) / least(len(sx.kw), len(sg2.kw)) AS overlap, said, array_to_string(sg2.kw[1:2], ' ') AS topic FROM sx, sg2 WHERE list_has_any(sx.kw, sg2.kw)),
-m AS (SELECT id, signal_id, overlap FROM mt WHERE contains(said, topic) OR overlap >= 0.22)"""
+mt AS (SELECT id, signal_id, CASE WHEN len(sx.kw) = 0 OR len(sg2.kw) = 0 THEN 0 ELSE len(list_intersect(sx.kw, sg2.kw)) / least(len(sx.kw), len(sg2.kw)) END AS overlap, said, array_to_string(sg2.kw[1:2], ' ') AS topic FROM sx, sg2),
+m AS (SELECT id, signal_id, overlap FROM mt WHERE (topic <> '' AND contains(' ' || trim(regexp_replace(said, '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || topic || ' ')) OR overlap >= 0.22)"""
 
 
 @query(f"WITH {STORIES_SQL}, {MATCH_SQL} SELECT id, signal_id, round(overlap, 6) AS overlap FROM m")
@@ -171,20 +124,99 @@ def strength_sql(daily: bool) -> str:
     * (0.8::DOUBLE + least(100.0, greatest(0.0, 50 + (signal_id % 50) * 0.3::DOUBLE + (signal_id % 30) * 0.25::DOUBLE)) / 100 * 0.4::DOUBLE)"""
 
 
-@query(f"""WITH {STORIES_SQL}, {MATCH_SQL}, b AS (SELECT id, arg_max(signal_id, (((signal_id * 37) % 101) * (0.4::DOUBLE + (signal_id % 6) / 10.0::DOUBLE), -signal_id)) AS strongest FROM m GROUP BY id),
-k AS (SELECT s.id, s.source_name, CASE WHEN b.id IS NULL THEN s.category || ':' || array_to_string({tokens_sql('title')}[1:3], '-') ELSE s.category || ':s' || strongest END AS topic FROM stories s LEFT JOIN b ON b.id = s.id)
-SELECT topic, count(DISTINCT k.id) AS n_stories, count(DISTINCT signal_id) AS n_signals, round(coalesce(max(CASE WHEN signal_id IS NULL THEN 0 ELSE least(100.0, {strength_sql(True)}) END), 0), 6) AS daily, round(coalesce(max(CASE WHEN signal_id IS NULL THEN 0 ELSE least(100.0, {strength_sql(False)}) END), 0), 6) AS weekly
-FROM k LEFT JOIN m ON m.id = k.id GROUP BY topic""")
-def trend_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories by their strongest signal, else by their first three keywords; with the strength of all their signals."""
+TOPICS_SQL = f"""{MATCH_SQL}, b AS (SELECT id, arg_max(signal_id, (((signal_id * 37) % 101) * (0.4::DOUBLE + (signal_id % 6) / 10.0::DOUBLE), -signal_id)) AS strongest FROM m GROUP BY id),
+tp AS (SELECT s.id, CASE WHEN b.id IS NULL THEN s.category || ':' || array_to_string({tokens_sql('title')}[1:3], '-') ELSE s.category || ':s' || strongest END AS topic FROM stories s LEFT JOIN b ON b.id = s.id),
+ts AS (SELECT topic, count(DISTINCT tp.id) AS n_stories, count(DISTINCT signal_id) AS n_signals, coalesce(max(CASE WHEN signal_id IS NULL THEN 0 ELSE least(100.0, {strength_sql(True)}) END), 0) AS daily, coalesce(max(CASE WHEN signal_id IS NULL THEN 0 ELSE least(100.0, {strength_sql(False)}) END), 0) AS weekly,
+  coalesce(max(signal_id % 7), 0)::DOUBLE AS signal_days, coalesce(max(0.4::DOUBLE + signal_id % 6 / 10), 0.45::DOUBLE) AS topic_confidence FROM tp LEFT JOIN m ON m.id = tp.id GROUP BY topic)"""
+
+
+def topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(id, topic) of each story: its strongest signal, else its first three keywords; and (topic, n_stories, n_signals, daily,
+    weekly, signal_days, topic_confidence): the most that a topic's signals say."""
     rows = stories(spark, sf_dir).withColumns({"keywords": T.title_tokens(F.col("title")), "summary": T.summary(F.col("text"))})
     met = trends.matches(rows, trend_signals(spark, sf_dir)).select("id", "signal_id").join(trend_signals(spark, sf_dir).drop("category", "keywords", "topic"), "signal_id")
-    met = met.select("id", "signal_id", (F.col("interest") * F.col("confidence")).alias("weight"), trends.strength(True).alias("daily"), trends.strength(False).alias("weekly"))
+    met = met.select("id", "signal_id", "confidence", "signal_days", (F.col("interest") * F.col("confidence")).alias("weight"), trends.strength(True).alias("daily"), trends.strength(False).alias("weekly"))
     strongest = met.groupBy("id").agg(F.max(F.struct("weight", (-F.col("signal_id")).alias("rev"))).alias("b")).select("id", (-F.col("b.rev")).alias("strongest"))
     topic = F.when(F.col("strongest").isNull(), F.concat_ws(":", "category", F.array_join(F.slice("keywords", 1, 3), "-"))).otherwise(F.concat("category", F.lit(":s"), "strongest"))
-    keyed = rows.join(strongest, "id", "left").select("id", topic.alias("topic")).join(met, "id", "left")
-    top = lambda c: F.round(F.max(F.least(F.lit(100.0), F.coalesce(c, F.lit(0.0)))), 6)
-    return keyed.groupBy("topic").agg(F.count_distinct("id").alias("n_stories"), F.count_distinct("signal_id").alias("n_signals"), top(F.col("daily")).alias("daily"), top(F.col("weekly")).alias("weekly"))
+    of = saved(rows.select("id", "category", "keywords").join(strongest, "id", "left").select("id", topic.alias("topic")), "topics")
+    top = lambda c: F.max(F.least(F.lit(100.0), F.coalesce(F.col(c), F.lit(0.0)))).alias(c)
+    said = of.join(met, "id", "left").groupBy("topic").agg(
+        F.count_distinct("id").alias("n_stories"), F.count_distinct("signal_id").alias("n_signals"), top("daily"), top("weekly"),
+        F.max(F.coalesce("signal_days", F.lit(0.0))).alias("signal_days"), F.coalesce(F.max("confidence"), F.lit(0.45)).alias("topic_confidence"),
+    )
+    return of, said
+
+
+@query(f"WITH {STORIES_SQL}, {TOPICS_SQL} SELECT topic, n_stories, n_signals, round(daily, 6) AS daily, round(weekly, 6) AS weekly FROM ts")
+def trend_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories by their strongest signal, else by their first three keywords; with the strength of all their signals."""
+    _, said = topics(spark, sf_dir)
+    return said.select("topic", "n_stories", "n_signals", F.round("daily", 6).alias("daily"), F.round("weekly", 6).alias("weekly"))
+
+
+#: An editor's boost of a story; here it follows from the id.
+BOOST = 20
+DAY_SQL = f"""st AS (SELECT stories.*, metrics.*, {SUMMARY_SQL} AS summary, tp.topic, daily, weekly, signal_days, topic_confidence, (stories.id * 13) % {BOOST} AS boost FROM stories LEFT JOIN metrics ON story_key = stories.id % 100 JOIN tp ON tp.id = stories.id JOIN ts ON ts.topic = tp.topic),
+ds AS (SELECT *, {metrics_sql(False)} AS attention FROM st),
+dd AS (SELECT *, least(100.0::DOUBLE, greatest(0.0::DOUBLE, attention * 0.62::DOUBLE + daily * 0.38::DOUBLE)) * 0.5 + {FRESH_SQL.format(h='24.0')} * 0.18::DOUBLE + {SIGNIFICANCE_SQL} * 0.12::DOUBLE + {QUALITY_SQL} * 0.08::DOUBLE + daily * 0.08::DOUBLE + boost * 0.05::DOUBLE AS day_score FROM ds)"""
+
+
+def day_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half traction (.62 attention, .38 trend of the topic), freshness, significance, quality, trend and the editor's boost."""
+    of, said = topics(spark, sf_dir)
+    rows = scaled(spark, sf_dir).join(of, "id").join(said, "topic").withColumn("boost", F.col("id") * 13 % BOOST)
+    traction = T.clamp(trends.attention() * 0.62 + F.col("daily") * 0.38, 0.0, 100.0)
+    score = traction * 0.5 + trends.freshness(F.col("hours_old"), 24.0) * 0.18 + trends.significance() * 0.12 + trends.quality() * 0.08 + F.col("daily") * 0.08 + F.col("boost") * 0.05
+    return rows.withColumn("day_score", score)
+
+
+@query(f"""WITH {STORIES_SQL}, {METRICS_SQL}, {TOPICS_SQL}, {DAY_SQL}, p AS (SELECT *, CASE WHEN hours_old <= 24 THEN 0 ELSE 1 END AS tier FROM dd)
+SELECT id, title, topic, round(day_score, 4) AS score, round(least(1.0, greatest(0.0, topic_confidence * 0.55::DOUBLE + least(day_score, 100.0) / 100 * 0.45::DOUBLE)), 4) AS confidence FROM p ORDER BY tier, day_score DESC, published_at DESC, id LIMIT 1""")
+def day_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the last 24 hours, else of all."""
+    best = first_of_day(day_scores(spark, sf_dir))
+    confidence = T.clamp(F.col("topic_confidence") * 0.55 + F.least(F.col("day_score"), F.lit(100.0)) / 100 * 0.45, 0.0, 1.0)
+    return best.select("id", "title", "topic", F.round("day_score", 4).alias("score"), F.round(confidence, 4).alias("confidence"))
+
+
+def first_of_day(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(F.when(F.col("hours_old") <= 24, 0).otherwise(1), F.desc("day_score"), F.desc("published_at"), "id").limit(1)
+
+
+WEEKLY = metrics_sql(True)
+TOPIC_WEEKLY = WEEKLY.replace("coalesce(clicks, 0)", "sum_clicks").replace("coalesce(views, 0)", "sum_views").replace("coalesce(follows, 0)", "sum_follows").replace("coalesce(saves, 0)", "sum_saves").replace("active_days", "max_days")
+FRESH_WEEK = FRESH_SQL.format(h="168.0")
+
+
+@query(f"""WITH {STORIES_SQL}, {METRICS_SQL}, {TOPICS_SQL}, {DAY_SQL}, d AS (SELECT id AS day_id, topic AS day_topic FROM dd ORDER BY CASE WHEN hours_old <= 24 THEN 0 ELSE 1 END, day_score DESC, published_at DESC, id LIMIT 1),
+c AS (SELECT dd.*, id = day_id AS same, {WEEKLY} AS story_attention, {WEEKLY} * 0.5 + {QUALITY_SQL} * 0.2::DOUBLE + {SIGNIFICANCE_SQL} * 0.2::DOUBLE + {FRESH_WEEK} * 0.1::DOUBLE AS composite, day_topic FROM dd, d),
+g AS (SELECT topic, sum(coalesce(clicks, 0)) AS sum_clicks, sum(coalesce(views, 0)) AS sum_views, sum(coalesce(follows, 0)) AS sum_follows, sum(coalesce(saves, 0)) AS sum_saves, max(coalesce(active_days, 0)) AS max_days, CASE WHEN count(*) > 1 THEN greatest(1, ceil((max(epoch_us(published_at)) - min(epoch_us(published_at))) / 8.64e10) + 1) ELSE 0 END AS span, max(signal_days) AS sd FROM c GROUP BY topic),
+ga AS (SELECT topic, {TOPIC_WEEKLY} AS topic_attention, greatest(sd, max_days, span) AS days, (SELECT count(*) FROM g) AS n_topics FROM g),
+b2 AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY topic ORDER BY same, composite DESC, published_at DESC, id) = 1),
+s AS (SELECT *, least(100.0::DOUBLE, greatest(topic_attention, story_attention) * 0.62::DOUBLE + weekly * 0.38::DOUBLE) * 0.44::DOUBLE + least(100.0::DOUBLE, days * 20) * 0.18::DOUBLE + {SIGNIFICANCE_SQL} * 0.12::DOUBLE + {QUALITY_SQL} * 0.08::DOUBLE + {FRESH_WEEK} * 0.06::DOUBLE + weekly * 0.07::DOUBLE + boost * 0.05::DOUBLE
+  - CASE WHEN same THEN CASE WHEN n_topics > 1 THEN 45 ELSE 18 END WHEN topic = day_topic THEN 8 ELSE 0 END - CASE WHEN days >= 2 THEN 0 ELSE 55 END - CASE WHEN daily > 70 AND days < 2 THEN 35 ELSE 0 END AS week_score FROM b2 JOIN ga USING (topic))
+SELECT id, title, topic, round(week_score, 4) AS score, CAST(days AS BIGINT) AS sustained_days, CASE WHEN same THEN 'same_article_as_day' ELSE 'unique' END AS duplicate_status FROM s ORDER BY same, days < 2, week_score DESC, days DESC, id LIMIT 1""")
+def week_story(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each topic's best story (another than the day's if it has one), scored with the topic's attention, sustained days and
+    trend, less what repeats the day's choice, lacks two days of interest or is a spike of one day; the best of all."""
+    rows = saved(day_scores(spark, sf_dir).drop("text"), "day-scores")
+    day = first_of_day(rows).select(F.col("id").alias("day_id"), F.col("topic").alias("day_topic"))
+    composite = trends.attention(True) * 0.5 + trends.quality() * 0.2 + trends.significance() * 0.2 + trends.freshness(F.col("hours_old"), 168.0) * 0.1
+    rows = rows.crossJoin(F.broadcast(day)).withColumns({"same": F.col("id") == F.col("day_id"), "story_attention": trends.attention(True), "composite": composite})  # one row
+    total = lambda c: F.sum(c).alias(c)
+    span = F.when(F.count("*") > 1, F.greatest(F.lit(1), F.ceil((F.max(F.unix_micros("published_at")) - F.min(F.unix_micros("published_at"))) / 8.64e10) + 1)).otherwise(0)
+    groups = rows.groupBy("topic").agg(total("clicks"), total("views"), total("velocity"), total("social_score"), F.max("sustained_days").alias("sustained_days"), F.max("raw_days").alias("raw"), span.alias("span"), F.max("signal_days").alias("sd"))
+    sums = groups.select("topic", trends.attention(True).alias("topic_attention"), F.greatest("sd", "raw", "span").alias("days"))
+    best = rows.groupBy("topic").agg(F.min_by(F.struct(*rows.columns), F.struct("same", -F.col("composite"), -F.unix_micros("published_at"), "id")).alias("r")).select("r.*")
+    n = sums.agg(F.count("*").alias("n_topics"))
+    found = best.join(sums, "topic").crossJoin(F.broadcast(n))  # one row
+    repeats = F.when(F.col("same"), F.when(F.col("n_topics") > 1, 45).otherwise(18)).when(F.col("topic") == F.col("day_topic"), 8).otherwise(0)
+    score = (
+        F.least(F.lit(100.0), F.greatest("topic_attention", "story_attention") * 0.62 + F.col("weekly") * 0.38) * 0.44 + F.least(F.lit(100.0), F.col("days") * 20) * 0.18 + trends.significance() * 0.12 + trends.quality() * 0.08
+        + trends.freshness(F.col("hours_old"), 168.0) * 0.06 + F.col("weekly") * 0.07 + F.col("boost") * 0.05 - repeats - F.when(F.col("days") >= 2, 0).otherwise(55) - F.when((F.col("daily") > 70) & (F.col("days") < 2), 35).otherwise(0)
+    )
+    pick = found.withColumn("week_score", score).orderBy("same", F.col("days") < 2, F.desc("week_score"), F.desc("days"), "id").limit(1)
+    return pick.select("id", "title", "topic", F.round("week_score", 4).alias("score"), F.col("days").cast("long").alias("sustained_days"), F.when(F.col("same"), "same_article_as_day").otherwise("unique").alias("duplicate_status"))
 
 
 @query(f"""WITH {ITEMS_SQL}, t AS (SELECT id, {tokens_sql(SUMMARY_SQL).removesuffix('[1:12]')} AS k FROM items), c AS (SELECT id, token, count(*) AS n, max(total) AS total FROM (SELECT id, len(k) AS total, unnest(k) AS token FROM t) GROUP BY id, token), m AS (SELECT id, max(n) AS most, max(total) AS total FROM c GROUP BY id)
