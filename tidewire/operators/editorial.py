@@ -35,7 +35,7 @@ def evidence_score(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def coverage_line(sources: Column, own: Column) -> Column:
     """'Also covered by A, B, C and 2 more.' of the other sources; empty if there are none. Names differ without case."""
-    others = F.array_sort(F.filter(F.array_distinct(sources), lambda s: F.lower(s) != F.lower(own)))
+    others = F.array_sort(F.filter(T.distinct_names(sources), lambda s: F.lower(s) != F.lower(own)))
     more = F.size(others) - 3
     tail = F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     return F.when(F.size(others) == 0, F.lit("")).otherwise(F.concat(F.lit("Also covered by "), F.array_join(F.slice(others, 1, 3), ", "), tail, F.lit(".")))
@@ -61,10 +61,26 @@ def merged_directory(parts: Iterable[DataFrame], key: list[str], flags: list[str
     )
 
 
-def blocked(title: Column, link: Column, domains: tuple[str, ...], terms: tuple[str, ...]) -> Column:
-    """A domain or term of the lists, or a title of two words or fewer."""
-    by_term = F.lower(title).rlike("|".join(terms)) if terms else F.lit(False)
-    return T.domain(link).isin(*domains) | by_term | (F.size(T.words(title)) <= 2)
+#: Titles that are an address for sale, a fixture or a numbered game.
+NO_NEWS = ("^[0-9]{3,6} .+, [A-Za-z .]+, [A-Za-z]{2} [0-9]{5}", "vs\\. .+\\([A-Za-z]+ [0-9]{1,2}", "^[Gg]ame [0-9]+:")
+
+
+def blocked(title: Column, link: Column, domains: tuple[str, ...], by_term: Column) -> Column:
+    """A domain of the list, a term of the rule table, a title of two words or fewer or of a form that is no news."""
+    form = F.lit(False)
+    for p in NO_NEWS:
+        form = form | title.rlike(p)
+    return T.domain(link).isin(*domains) | by_term | form | (F.size(T.words(title)) <= 2)
+
+
+def relevant(text: Column, title: Column, source: Column, city: Column, state: Column, aliases: Column) -> Column:
+    """Whether a text is about a city: its name as a phrase, all its words, the state in the title of a source named after the
+    city, or an alias. Texts and names are canonical words joined by a blank, with blanks around the texts."""
+    whole = lambda phrase: F.contains(text, F.concat(F.lit(" "), phrase, F.lit(" ")))
+    parts = F.split(city, " ")
+    every = (F.size(parts) > 1) & F.forall(parts, lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" "))))
+    named = F.contains(title, F.concat(F.lit(" "), state, F.lit(" "))) & F.contains(source, F.get(parts, F.lit(0)))
+    return ((city != "") & (whole(city) | every)) | ((state != "") & named) | F.exists(aliases, lambda a: F.contains(text, F.concat(F.lit(" "), a, F.lit(" "))))
 
 
 def transition(store: DataFrame, changes: DataFrame, key: str, allowed: tuple[tuple[str, str], ...], status: str = "status") -> DataFrame:

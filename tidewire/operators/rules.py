@@ -41,6 +41,7 @@ GIVEN = {
     "robotic": {"robotic": ("it is important to note", "in conclusion", "delve into", "remains to be seen")},
     "overstated": {"overstated": ("proves that", "guarantees", "everyone knows", "without doubt")},
     "respect": {"respect": ("illegals", "crazy people", "these people")},
+    "blocked": {"blocked": ("obituary", "obituaries", "funeral home", "things to do", "weekend guide", "homes for sale", "live stream", "where to watch", "tv channel", "betting odds", "final score", "match report", "game summary", "horoscope", "coupon")},
     "gossip": {"gossip": ("gossip", "rumor", "breakup", "dating")},
 }
 #: What a topic says of urgency; of what is sensitive; the least score from a kind of source.

@@ -70,14 +70,6 @@ def story_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("id", editorial.coverage_line(F.col("s"), F.col("own")).alias("coverage"), editorial.urgency_of(F.col("best")).alias("urgency"), editorial.diversity(F.size("s")).alias("diversity"))
 
 
-DOMAINS, TERMS = ("src3.example.com", "src7.example.com"), ("%%%", "license", "idiot")
-
-
-@query(f"""WITH {ITEMS_SQL} SELECT id, regexp_replace(lower(regexp_extract(link, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\\.', '') IN {DOMAINS} OR regexp_matches(lower(title), '{'|'.join(TERMS)}') OR len({W.format(x='title')}) <= 2 AS blocked FROM items""")
-def local_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("id", editorial.blocked(F.col("title"), F.col("link"), DOMAINS, TERMS).alias("blocked"))
-
-
 @query("""WITH a AS (SELECT n_name AS city, c_mktsegment AS kind, true AS a, false AS b, 'census' AS source, 0 AS ord, c_acctbal AS v FROM customer JOIN nation ON c_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_name, c_mktsegment ORDER BY c_custkey) = 1),
 b AS (SELECT n_name, 'BUILDING', false, true, 'editors', 1, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) = 1), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT city, kind, arg_max(v, ord) AS v, bool_or(a) AS a, bool_or(b) AS b, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM u GROUP BY city, kind""")

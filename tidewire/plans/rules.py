@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 #: Kinds whose rules take terms from the benchmark.
-DRAWN = ("topic", "urgency", "sensitive", "beat", "core", "audience", "gossip", "filler", "robotic", "overstated", "respect")
+DRAWN = ("topic", "urgency", "sensitive", "beat", "core", "audience", "gossip", "filler", "robotic", "overstated", "respect", "blocked")
 
 
 def drawn(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:

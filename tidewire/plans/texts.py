@@ -45,27 +45,6 @@ def private_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.size(keys).cast("long").alias("n_keys"), bad.alias("private"))
 
 
-@query("""WITH e AS (SELECT doc_id, regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)', 1) AS a FROM documents)
-SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:12], ' ') AS names, len(list_distinct(a)) AS n FROM e""")
-def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classify.entities(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(found, 1, 12), " ").alias("names"), F.size(found).cast("long").alias("n"))
-
-
-CLEAN_SQL = "trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
-
-
-@query(f"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace({CLEAN_SQL}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS a FROM documents),
-f AS (SELECT doc_id, list_filter(a, lambda s, i: length(s) BETWEEN 40 AND 240) AS f FROM s)
-SELECT doc_id, len(f) AS n_candidates, md5(array_to_string(f[1:18], '|')) AS facts_md5, array_to_string(regexp_extract_all(coalesce(f[1], ''), '[0-9]{{4}}'), ',') AS years FROM f""")
-def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of 40 to 240 characters, the first eighteen, and years in the first."""
-    facts = F.filter(T.sentences(F.col("text")), lambda s: F.length(s).between(40, 240))
-    rows = table(spark, sf_dir, "documents").select("doc_id", facts.alias("f"))
-    first = F.coalesce(F.get("f", F.lit(0)), F.lit(""))
-    return rows.select("doc_id", F.size("f").cast("long").alias("n_candidates"), F.md5(F.array_join(F.slice("f", 1, 18), "|")).alias("facts_md5"), F.array_join(F.regexp_extract_all(first, F.lit("[0-9]{4}"), F.lit(0)), ",").alias("years"))
-
-
 @query(f"""WITH {STORIES_SQL}, ap AS (SELECT l.doc_id AS story_id, lower(substr(md5(s.key), 1, 10)) AS slug, s.link FROM labels l JOIN stories s ON s.id = l.doc_id WHERE quality = 1 AND l.doc_id % 3 <> 0),
 k AS (SELECT s.id, 0 AS prio, ap.story_id FROM stories s JOIN ap ON ap.story_id = s.id UNION ALL SELECT s.id, 1, ap.story_id FROM stories s JOIN ap ON ap.slug = substr(md5(s.key), 1, 10) UNION ALL SELECT s.id, 2, ap.story_id FROM stories s JOIN ap ON ap.link = s.link)
 SELECT id, story_id, prio FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio, story_id) = 1""")
