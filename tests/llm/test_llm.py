@@ -12,8 +12,6 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, chat, decontaminate, licenses, line_dedup, minhash, pii, queries, suffixes, toxicity, vptree
-from tidewire.llm.common import connected_components
-from tidewire.operators import cluster
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -108,6 +106,22 @@ def test_license_units(spark):
     assert got == {(1, "MIT", "text", 1), (2, "MIT", "line", 1)}
 
 
+def test_licenses_in_any_wrapping_and_inside_files(spark):
+    import textwrap
+
+    rng = random.Random(7)
+    texts, want = [], set()
+    for name, text in licenses.KNOWN:
+        if len(text) > 200:
+            for wide in (40, 72, 1000):
+                lines = [x for p in text.replace(":\n", ":\n\n").split("\n\n") for x in (*textwrap.wrap(p, wide, initial_indent="  ", break_long_words=False), "")]
+                body = f"{name} as a file\n\nCopyright (c) {rng.randrange(1990, 2030)} Someone\n\n" + "\n".join(lines) + "\n\nprint('code')\n"
+                texts.append(body)
+                want.add((len(texts), name))
+    got = {(r.doc_id, r.license_id) for r in licenses.license_report(documents(spark, texts)).collect()}
+    assert got == want and {"MIT", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense", "0BSD", "GPL-3.0"} <= {n for _, n in want}
+
+
 def test_line_dedup(spark):
     block = "one two three four five\nOk.\nsix seven eight nine ten\neleven twelve thirteen fourteen"
     texts = [block, "my own opening line of words\n" + block + "\nmy own closing line of words", block, "Ok.\nYes.", "six seven eight nine ten\none two three four five", None, "", "solo line with four words\nsolo line with four words"]
@@ -234,24 +248,26 @@ def test_decontamination(spark):
 
 def test_decontamination_in_any_case_and_with_longer_slots():
     item = "Tom Reed bought 12 apples at the market for Ann and gave 3 of them to Tom Reed before lunch. How many apples does Ann have left after that day?"
-    index = decontaminate.Index([(7, item), (8, "5 7 9")], 5)
+    index = decontaminate.Index([(7, item), (8, "5 7 9"), (9, "4 6 8 10 12"), (10, "42")], 5)
     longer = item.replace("Tom Reed", "Mary Jane van Holt").replace("van", "Van").replace("12", "1 200").replace("Ann", "Li Wei Chen")
     found = {
         name: [(x[0], x[4]) for x in index.hits(f"{before} {text} Some more words follow it here.", 0.8)]
         for name, before, text in [
             ("same", "So.", item), ("capitals", "So.", item.upper()), ("lower", "So.", item.lower()), ("title", "So.", item.title()),
             ("capitals, other number", "So.", item.upper().replace("12", "40")), ("longer", "So.", longer), ("inside a sentence", "so", longer),
-            ("mixed up", "So.", longer.replace("Li Wei Chen have", "Mary Jane Van Holt have")), ("other", "So.", "5 8 9 and 6 7 9"), ("numbers", "So.", "4 5 7 9"),
+            ("mixed up", "So.", longer.replace("Li Wei Chen have", "Mary Jane Van Holt have")), ("other", "So.", "5 8 9 and 6 7 9"), ("numbers", "So.", "4 5 7 9"), ("numbers in a line", "So.\n", "5 7, 9.\n"), ("long numbers", "1 2", "4 6 8 10 12 14 and 4 6 8 10 13"),
         ]
     }
     both = [(7, True)]
     assert found == {
         "same": both, "capitals": both, "lower": both, "title": both, "capitals, other number": [(7, False)], "longer": [(7, False)],
-        "inside a sentence": [(7, False)], "mixed up": [], "other": [], "numbers": [(8, True)],
+        "inside a sentence": [(7, False)], "mixed up": [], "other": [], "numbers": [], "numbers in a line": [(8, True)], "long numbers": [(9, True)],
     }
+    assert [x[0] for x in index.hits("say 42 or 42.\n 42!\n", 0.8)] == [10]
     short = decontaminate.Index([(1, "Tom has 5 apples. How many apples remain?")], 5)
     assert [x[0] for x in short.hits("then Mary has 7 apples. How many apples remain?", 0.8)] == [1]
     assert [x[0] for x in short.hits("Mary Ann has 7 apples. How many apples remain?", 0.8)] == [1]
+    assert [x[0] for x in short.hits("Tom has twenty five apples. How many apples remain?", 0.8)] == [1]
     assert [x[0] for x in short.hits("Tom has 7 apples. Where many apples remain?", 0.8)] == []
 
 
@@ -260,7 +276,7 @@ def test_vantage_point_trees(spark):
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(400)] + [(500 + i, [1.0] * 8) for i in range(9)]
     rows += [(600, None), (601, []), (602, [0.0] * 8), (603, [float("nan")] + [1.0] * 7), (604, [None] + [1.0] * 7), (605, [float("inf")] * 8), (50, rows[50][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    exact = vptree.nearest(df, df.where("vec_id % 50 = 0"), 5, relax=1.0, shard_rows=100, block=4)
+    exact = vptree.nearest(df, df.where("vec_id % 50 = 0"), 5, relax=1.0, shard_rows=100)
     got = collections.defaultdict(list)
     for r in exact.orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
@@ -277,28 +293,6 @@ def test_vantage_point_trees(spark):
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_components(spark):
-    rng = random.Random(9)
-    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
-    up = {}
-    root = lambda x: x if up.get(x, x) == x else root(up[x])
-    for a, b in edges:
-        x, y = sorted((root(a), root(b)))
-        up[y] = x
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {n: root(n) for a, b in edges if a != b for n in (a, b)}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-@pytest.mark.parametrize("find", [connected_components, cluster.components])
-def test_components_of_long_chains(spark, find):
-    falling = [1, *range(150, 1, -1)]
-    mixed = random.Random(3).sample(range(1000, 1300), 300)
-    edges = [*zip(falling[:-1], falling[1:], strict=True), *zip(mixed[:-1], mixed[1:], strict=True)]
-    got = {tuple(r) for r in find(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {(n, 1) for n in falling} | {(n, 1000) for n in mixed}
-
-
 def test_pipeline_keeps_columns_and_drops_what_it_should(spark):
     import corpus_pipeline
 

@@ -1,12 +1,15 @@
 """Licence scan by canonical digests, with DataFrame functions only.
 
-A unit is a whole text, one of its paragraphs, or one of its lines. It is brought to a canonical form (lower case,
-copyright lines dropped, equivalent spellings unified, everything but letters and digits made one space), hashed whole,
-and the digests are joined to those of known licence texts. Nothing is searched inside a unit: a licence is found where
-an entire unit is one.
-
-A null or empty text has no unit with a licence. A unit that is found several times in a text counts each time; a text
-that is one single line is a "text" and not a "line" as well. Repeated rows of the input each give their own rows.
+A unit is a whole text, one of its paragraphs, a block of two to five neighbouring paragraphs (not all), or one of its lines.
+It is brought to a canonical form (lower case, copyright lines dropped, equivalent spellings unified, everything but letters
+and digits made one space), hashed whole, and the digests are joined to those of known licence texts. How a text is wrapped
+or indented makes no difference. Nothing is searched inside a unit: a licence is found where an entire unit is one.
+
+A null or empty text has no unit with a licence. A unit that is found several times in a text counts each time; a text that
+is one single line is a "text" and not a "line" as well. Blocks that differ by a copyright paragraph each count. Repeated
+rows of the input, and rows with a null id, each give their own rows in license_hits; license_report counts by id. Very long
+texts are read once for each kind of unit. Columns other than id and text are not read, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ SPELLINGS = (
     ("noncommercial", r"non-commercial"),
 )
 #: Fixed value: a line that only claims copyright.
-COPYRIGHT_LINE = r"^[ \t]*(copyright\b|\(c\)|©|all rights reserved)"
+COPYRIGHT_LINE = r"^[ \t]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|by\b)|\(c\)[ \t]|©|all rights reserved\.?[ \t]*$)"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -48,6 +51,66 @@ Unless required by applicable law or agreed to in writing, software distributed
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
 
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+OF THE POSSIBILITY OF SUCH DAMAGE."""
+ZERO_BSD = ISC.replace("granted, provided that the above copyright notice and this permission notice appear in all copies.", "granted.")
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of
+the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by
+a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT
+HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any
+later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
 #: Known licence texts and notices: (SPDX id, text). Callers may give their own.
 KNOWN = (
     ("MIT", MIT), ("MIT", "MIT License " + MIT), ("MIT", "Released under the MIT License."),
@@ -61,10 +124,20 @@ KNOWN = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("BSD-2-Clause", BSD_HEAD + BSD_TAIL), ("BSD-3-Clause", BSD_HEAD + BSD_NAMES + BSD_TAIL), ("0BSD", ZERO_BSD), ("Zlib", ZLIB), ("BSL-1.0", BOOST), ("Unlicense", UNLICENSE),
+    ("GPL-2.0", GPL_NOTICE.format(n=2)), ("GPL-3.0", GPL_NOTICE.format(n=3)), ("MPL-2.0", MPL_NOTICE),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 )
 
 
+#: Fixed value: what parts paragraphs.
+PARAGRAPH = "\n[ \t]*\n"
+#: How many neighbouring paragraphs make a block.
+BLOCKS = (2, 3, 4, 5)
+#: Words of which every known text has one; a caller's own texts may have none of them, then nothing is left out.
+TELLING = "licen[sc]e|permission|redistribut|unencumbered"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a unit; empty if nothing but copyright lines, punctuation or blanks is in it."""
     x = F.lower(text)
@@ -75,14 +148,23 @@ def canonical(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """array<struct<unit, body>>: the text; its paragraphs if there are several; its lines likewise."""
-    def several(kind: str, pattern: str) -> Column:
-        parts = F.split(text, pattern)
-        return F.when(F.size(parts) > 1, F.transform(parts, lambda p: F.struct(F.lit(kind).alias("unit"), p.alias("body")))).otherwise(
-            F.array().cast("array<struct<unit:string,body:string>>")
-        )
+    """array<struct<unit, body>>: the text; its paragraphs if there are several; their blocks; its lines likewise."""
+    none = F.array().cast("array<struct<unit:string,body:string>>")
 
-    return F.concat(F.array(F.struct(F.lit("text").alias("unit"), text.alias("body"))), several("paragraph", "\n[ \t]*\n"), several("line", "\n"))
+    def as_units(kind: str, parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.struct(F.lit(kind).alias("unit"), p.alias("body")))
+
+    def several(kind: str, parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, as_units(kind, parts)).otherwise(none)
+
+    def block(parts: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(parts) - n + 1)
+        return F.when(F.size(parts) > n, as_units("block", F.transform(starts, lambda k: F.array_join(F.slice(parts, k, n), "\n\n")))).otherwise(none)
+
+    paragraphs = F.split(text, PARAGRAPH)
+    return F.concat(
+        F.array(F.struct(F.lit("text").alias("unit"), text.alias("body"))), several("paragraph", paragraphs), *[block(paragraphs, n) for n in BLOCKS], several("line", F.split(text, "\n"))
+    )
 
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
@@ -95,8 +177,8 @@ def license_hits(df: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: s
     """(id, unit, license_id, digest), a row for each unit that is a known licence.
 
     The digests of the known texts are a few dozen rows given by the caller, whatever the corpus; that is why they are
-    broadcast. Units longer than every known text allows for, or without a word that each of them has, are not hashed:
-    they can't be equal to one."""
+    broadcast. Texts and units without any of the words of which every known text has one are not hashed: they can't be equal
+    to one."""
     spark = df.sparkSession
     word = _common_word([t for _, t in known])
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body_text"))
@@ -112,8 +194,9 @@ def license_hits(df: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: s
 
 def _common_word(texts: list[str]) -> str:
     """A pattern that every one of these texts matches, or ''."""
-    pattern = "licen[sc]e|permission"
-    return pattern if all("license" in t.lower() or "permission" in t.lower() for t in texts) else ""
+    import re
+
+    return TELLING if all(re.search(TELLING, t.lower()) for t in texts) else ""
 
 
 def license_report(df: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,9 +216,12 @@ def report_sql(known=KNOWN, table: str = "documents") -> str:
 
     rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known)
     several = "CASE WHEN len({p}) > 1 THEN list_transform({p}, lambda b: {{'unit': '{k}', 'body': b}}) ELSE [] END"
-    parts = [several.format(p=p, k=k) for k, p in (("paragraph", "regexp_split_to_array(text, '\\n[ \\t]*\\n')"), ("line", "string_split(text, chr(10))"))]
+    paragraphs = "regexp_split_to_array(text, '\\n[ \\t]*\\n')"
+    block = "CASE WHEN len({p}) > {n} THEN list_transform(range(1, len({p}) - {n} + 2), lambda i: {{'unit': 'block', 'body': array_to_string({p}[i:i + {n} - 1], chr(10) || chr(10))}}) ELSE [] END"
+    parts = [several.format(p=p, k=k) for k, p in (("paragraph", paragraphs), ("line", "string_split(text, chr(10))"))]
+    parts[1:1] = [block.format(p=paragraphs, n=n) for n in BLOCKS]
     return f"""WITH known AS (SELECT DISTINCT license_id, {canon('body')} AS digest FROM (VALUES {rows}) k(license_id, body)),
-u AS (SELECT doc_id, unnest(list_concat([{{'unit': 'text', 'body': text}}], {parts[0]}, {parts[1]})) AS x FROM {table} WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(list_concat([{{'unit': 'text', 'body': text}}], {', '.join(parts)})) AS x FROM {table} WHERE text IS NOT NULL),
 h AS (SELECT doc_id, x.unit AS unit, {canon('x.body')} AS digest FROM u)
 SELECT doc_id, license_id, unit, count(*) AS n_units, string_agg(DISTINCT digest, ',' ORDER BY digest) AS digests
 FROM h JOIN known USING (digest) GROUP BY doc_id, license_id, unit"""
