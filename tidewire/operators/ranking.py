@@ -35,7 +35,8 @@ def diversify(stories: DataFrame, cap: int, limit: int, order: list[Column], sou
     window per source keeps that many (ranking filters limit groups before the shuffle)."""
     per = Window.partitionBy(source).orderBy(*order)
     ranked = stories.withColumn("round", F.row_number().over(per)).where(F.col("round") <= limit)
-    best = ranked.where("round = 1").orderBy(*order)
+    # the first `limit` sources fill the first round, so no other has a turn
+    best = ranked.where("round = 1").orderBy(*order).limit(limit)
     heads = best.withColumn("source_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).select(source, "source_rank")
     placed = ranked.join(heads, source)
     if cap > 0:

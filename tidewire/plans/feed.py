@@ -115,9 +115,10 @@ def diversified_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 rest AS (SELECT * FROM stories WHERE id NOT IN (SELECT id FROM t)), {diversified_sql('rest', 29, 170, 'f')}
 SELECT 'top' AS section, id, title, source_name, category, score, position FROM t UNION ALL SELECT 'feed', id, title, source_name, category, score, position FROM f""")
 def front_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight top stories (two per source), then the feed of 170 without them (29 per source). The stories, without their
-    texts, are worked out once."""
-    pool = saved(stories(spark, sf_dir).drop("text"), "stories")
+    """Eight top stories (two per source), then the feed of 170 without them (29 per source). The stories are worked out once,
+    without their texts, and no source can place more than 178 of them: what is saved is that many of each."""
+    every = stories(spark, sf_dir).drop("text")
+    pool = saved(ranking.top_per_group(every, ["source_name"], ranking.spotlight_order(), 178).drop("rank"), "stories")
     cols = ["id", "title", "source_name", "category", "score", "position"]
     first = ranking.diversify(pool, 2, 8, ranking.spotlight_order()).select(*cols)
     rest = pool.join(F.broadcast(first.select("id")), "id", "left_anti")  # eight ids
