@@ -1,19 +1,23 @@
 """Personal data in whole texts: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
 The patterns find emails, IPv4 addresses, payment cards and phone numbers; their spans always stay. The field then reads
-what the patterns left over: stretches of neighbouring chunks with a digit or "@". It scores whole candidate segments
-(shape, digit groups, separators, check digit, word before) for each type, and a dynamic programme over bounded segments
-(`MAX_TOKENS` tokens) chooses boundaries and types together; tokens outside segments score 0. It is trained on this
-corpus: on the patterns' own spans in a bounded sample of documents and on re-spelt forms of them that the patterns miss
-(a phone without "+", a card with dots, an email with "(at)"). An added span is kept if its segment scores `margin` or more.
-
-Offsets are code points, ends exclusive. Null and empty texts have no spans. Texts of any length are read once; the
-work is linear in the text, also for endless runs of digits. Repeated rows each have their spans.
+what the patterns left over: stretches of neighbouring chunks with a digit or "@", and emails with a spelt mark ("(at)",
+"[at]", or "at" where a "dot" is spelt, too). It scores whole candidate segments (shape, digit groups, separators, check
+digit, word before) for each type, and a dynamic programme over bounded segments (`MAX_TOKENS` tokens, `MAX_CHARS`
+characters) chooses boundaries and types together; tokens outside segments score 0. A segment may stand for a type only if
+it has an at mark, 7 to 19 digits, or four numbers. It is trained on this corpus: on the patterns' own spans in a bounded
+sample of documents and on re-spelt forms of them that the patterns miss (a phone without "+", a card with dots or digit
+by digit, an address in brackets, an email with a spelt mark). An added span is kept if its segment scores `margin` or more.
+
+Offsets are code points, ends exclusive. Null and empty texts have no spans. Texts of any length are read once; the work is
+linear in the text, also for endless runs of digits, and memory is a few numbers for each token of a stretch. Repeated rows,
+and rows with a null id, each have their spans. Columns other than id and text are not read, whatever their names; an empty
+table gives an empty one, and a field trained on one adds nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import math
 import random
 import re
@@ -35,10 +39,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 RUN = re.compile(r"[0-9][0-9+().\x20-]*")
 NOT_DIGIT = re.compile("[^0-9]")
 
-MAX_TOKENS = 20
+MAX_TOKENS = 40
 MAX_CHARS = 64
 TRIGGER = re.compile("[0-9@]")
-CHUNK_REST = re.compile(r"[^\s]*(?:\x20[^\s0-9@]*[0-9@][^\s]*)*")
+CHUNK_REST = re.compile(r"[^\s]*(?:\s{1,8}(?:[^\sA-Za-z0-9@]\s{1,2})?[^\s0-9@]*[0-9@][^\s]*)*")
+#: A spelt mark, and what follows it in an email: with a bare "at", the dots are spelt as well.
+AT = re.compile(r"\x20?[(\[{]at[)\]}]\x20?|\x20at\x20", re.I)
+DOT_BEFORE = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20)\Z", re.I)
+AFTER = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20)[A-Za-z0-9-]+)+", re.I)
+AFTER_BARE = re.compile(r"[A-Za-z0-9-]+(?:\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20)[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20)[A-Za-z0-9-]+)*", re.I)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 Span = tuple[int, int, str]
 
@@ -92,6 +101,9 @@ def features(text: str, s: int, e: int) -> list[str]:
     digits = NOT_DIGIT.sub("", seg)
     shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 6)}", seg))
     groups = re.findall(r"[0-9]+", seg)
+    goes_on = re.match(r"[^A-Za-z0-9]{0,3}[0-9]", text[e : e + 4]) is not None, re.search(r"[0-9][^A-Za-z0-9]{0,3}$", text[max(0, s - 4) : s]) is not None
+    inside = re.match(r"[._%+-]?[A-Za-z0-9]", text[e : e + 2]) is not None, re.search(r"[A-Za-z0-9][._%+-]?$", text[max(0, s - 2) : s]) is not None
+    sizes = sorted({min(len(x), 7) for x in groups})
     marks = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", seg))))
     n = len(digits)
     before = re.search(r"([A-Za-z]*)[^A-Za-z]?$", text[max(0, s - 16) : s])
@@ -100,7 +112,8 @@ def features(text: str, s: int, e: int) -> list[str]:
         "1", f"n{min(n, 20)}", f"g{len(groups)}", f"m{marks}", f"c{'9' in shape}{'a' in shape}", f"s{shape[:24]}" if len(shape) <= 24 else "s~",
         f"l{13 <= n <= 19 and luhn(digits)}{n}", f"i{len(groups) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in groups)}{marks}",
         f"w{before.group(1).lower()}" if before else "w", f"b{edge(seg[0])}", f"e{edge(seg[-1])}",
-        f"o{edge(text[s - 1 : s])}{edge(text[e : e + 1])}", f"@{seg.count('@')}{'(at)' in seg}{seg.count('.') > 0}",
+        f"o{edge(text[s - 1 : s])}{edge(text[e : e + 1])}", f"@{seg.count('@')}{AT.search(seg) is not None}{AFTER.search(seg) is not None}{seg[:1].isalnum()}",
+        f"x{goes_on}", f"y{inside}{'9' in shape}", f"p{sizes}{n if len(sizes) == 1 else ''}",
     ]
 
 
@@ -120,30 +133,29 @@ class SegmentField:
                     out[k] += w[k]
         return out
 
-    def segments(self, text: str, s: int, e: int) -> tuple[list[int], dict[int, list[tuple[int, list[str]]]]]:
-        """Token edges of a stretch, and for each end the (start, features) of the segments that may stand there."""
-        edges = [s, *(m.end() for m in TOKEN.finditer(text, s, e))]
-        ends: dict[int, list] = defaultdict(list)
-        for j in range(1, len(edges)):
-            if text[edges[j] - 1].isspace():
-                continue
-            digit = False
-            for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
-                a = edges[i]
-                if edges[j] - a > MAX_CHARS:
-                    break
-                c = text[a]
-                digit = digit or c.isdigit() or c == "@"
-                if digit and not c.isspace() and edges[j] - a >= 7:
-                    ends[j].append((i, features(text, a, edges[j])))
-        return edges, ends
+    def segments(self, text: str, edges: list[int], j: int) -> Iterator[tuple[int, list[str]]]:
+        """(start, features) of the segments that may end at edge j of a stretch's tokens."""
+        if text[edges[j] - 1].isspace():
+            return
+        at, digits, dots = False, 0, 0
+        for i in range(j - 1, max(-1, j - 1 - MAX_TOKENS), -1):
+            a, b = edges[i], edges[i + 1]
+            if edges[j] - a > MAX_CHARS or (digits > 19 and not at):
+                break
+            c = text[a]
+            if c.isdigit():
+                digits += b - a
+            dots += c == "."
+            at = at or c == "@" or (b - a == 2 and text[a:b].lower() == "at" and text[a - 1 : a] in OPENS and text[b : b + 1] in CLOSES)
+            if not c.isspace() and edges[j] - a >= 7 and (at or 7 <= digits <= 19 or (dots >= 3 and digits >= 4)):
+                yield i, features(text, a, edges[j])
 
     def best(self, text: str, s: int, e: int) -> list[tuple[int, int, str, float]]:
-        edges, ends = self.segments(text, s, e)
+        edges = edges_of(text, s, e)
         top, back = [0.0] * len(edges), [None] * len(edges)
         for j in range(1, len(edges)):
             top[j] = top[j - 1]
-            for i, names in ends.get(j, ()):
+            for i, names in self.segments(text, edges, j):
                 for k, x in enumerate(self._scores(names)):
                     if top[i] + x > top[j]:
                         top[j], back[j] = top[i] + x, (i, k, x)
@@ -162,7 +174,8 @@ class SegmentField:
         rng = random.Random(seed)
         ready = []
         for text, spans in examples:
-            edges, ends = self.segments(text, 0, len(text))
+            edges = edges_of(text, 0, len(text))
+            ends = {j: list(self.segments(text, edges, j)) for j in range(1, len(edges))}
             ready.append((edges, ends, {(a, b): KINDS.index(k) for a, b, k in spans}))
         total: dict[str, list[float]] = defaultdict(lambda: [1e-2] * len(KINDS))
         for _ in range(epochs):
@@ -198,13 +211,35 @@ class SegmentField:
                         w[k] += step * x / math.sqrt(t[k])
 
 
+#: What may stand around a spelt mark.
+OPENS, CLOSES = tuple("([{ "), tuple(")]} ")
+
+
+def edges_of(text: str, s: int, e: int) -> list[int]:
+    return [s, *(m.end() for m in TOKEN.finditer(text, s, e))]
+
+
 def _logsum(xs: list[float]) -> float:
     m = max(xs)
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
-def chunks(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of neighbouring chunks that each hold a digit or "@"."""
+def spelt_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Where an email with a spelt mark may stand."""
+    over = 0
+    for m in AT.finditer(text):
+        s = m.start()
+        while s > over and text[s - 1] in LOCAL:
+            s -= 1
+            if s > over and (dot := DOT_BEFORE.search(text, max(over, s - 12), s)):
+                s = dot.start()
+        bare = m.group().strip().lower() == "at"
+        if s < m.start() and (rest := (AFTER_BARE if bare else AFTER).match(text, m.end())):
+            over = rest.end()
+            yield s, over
+
+
+def numbered_chunks(text: str) -> Iterator[tuple[int, int]]:
     over, m = 0, TRIGGER.search(text)
     while m:
         s = m.start()
@@ -215,6 +250,20 @@ def chunks(text: str) -> Iterator[tuple[int, int]]:
         m = TRIGGER.search(text, over)
 
 
+def chunks(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring chunks that each hold a digit or "@", and emails with a spelt mark; what overlaps is one."""
+    s = e = None
+    for a, b in heapq.merge(numbered_chunks(text), spelt_emails(text)):
+        if e is not None and a < e:
+            e = max(e, b)
+            continue
+        if e is not None:
+            yield s, e
+        s, e = a, b
+    if e is not None:
+        yield s, e
+
+
 def stretches(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
     """Neighbouring chunks with a digit or "@", without what is taken."""
     for s, e in chunks(text):
@@ -228,29 +277,42 @@ def stretches(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
 
 def _chunk_texts(text: str) -> Iterator[tuple[str, list[Span]]]:
     """Short contexts of a text with the patterns' spans in them, for training."""
-    spans = base_spans(text)
+    spans, marks = base_spans(text), list(spelt_emails(text))
     for s, e in chunks(text):
-        if 7 <= e - s <= 160:
+        # a spelt mark has no label of its own, so it can't teach that it is none
+        if 7 <= e - s <= 160 and not any(s <= a < e for a, _ in marks):
             yield text[s:e], [(a - s, b - s, k) for a, b, k in spans if s <= a and b <= e]
 
 
-def respelt(text: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
-    """The same with one span spelt as the patterns don't know it."""
-    for a, b, k in spans:
+#: Ways to spell what the patterns know as they don't know it.
+SPELLINGS = {
+    "phone": (
+        lambda x: re.sub(r"^\+[0-9]{1,3}[\x20.-]?", "", x), lambda x: "00" + x[1:], lambda x: re.sub("[^0-9]+", ".", x[1:]), lambda x: re.sub("[^0-9]+", "/", x[1:]),
+    ),
+    "card": (lambda x: re.sub(r"[\x20-]", ".", x), lambda x: "_".join(NOT_DIGIT.sub("", x)), lambda x: "/".join(re.findall(".{1,4}", NOT_DIGIT.sub("", x))), lambda x: "  ".join(re.findall(".{1,4}", NOT_DIGIT.sub("", x)))),
+    "email": (lambda x: x.replace("@", "(at)"), lambda x: x.replace("@", " [at] "), lambda x: x.replace("@", " at ").replace(".", " dot "), lambda x: x.replace("@", "{at}")),
+    "ip": (lambda x: x.replace(".", "[.]"), lambda x: x.replace(".", " . "), lambda x: x.replace(".", "(.)")),
+}
+
+
+def respelt(text: str, spans: list[Span], seed: int = 0) -> Iterator[tuple[str, list[Span]]]:
+    """The same with one span spelt as the patterns don't know it, once for each span."""
+    for n, (a, b, k) in enumerate(spans):
         seg = text[a:b]
-        new = {"phone": re.sub(r"^\+[0-9]{1,3}[\x20.-]?", "", seg), "card": re.sub(r"[\x20-]", ".", seg), "email": seg.replace("@", "(at)")}.get(k, seg)
-        if new != seg and (k != "phone" or len(NOT_DIGIT.sub("", new)) >= 7):
+        ways = SPELLINGS[k]
+        new = ways[(a + b + n + seed) % len(ways)](seg)
+        if new != seg and len(new) <= MAX_CHARS and (k != "phone" or len(NOT_DIGIT.sub("", new)) >= 7):
             shift = len(new) - len(seg)
             yield text[:a] + new + text[b:], [(a, a + len(new), k) if s == a else (s + shift * (s > a), e + shift * (s > a), q) for s, e, q in spans if s == a or e <= a or s >= b]
 
 
 def train_on(docs: DataFrame, max_docs: int = 1500, max_examples: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> SegmentField:
-    """A field fitted on short contexts of at most max_docs documents that hold a digit or "@", those of least id hash."""
-    rows = (
-        docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-        .where(F.col("text").rlike("[0-9@]"))
-        .select(F.xxhash64("id").alias("h"), "text")
-    )
+    """A field fitted on short contexts of at most max_docs documents that hold a digit or "@", those of least id hash. Only
+    hashes are sorted to find them; a second scan reads their texts, and eight contexts at most leave a task for each."""
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    last = rows.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return SegmentField()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,13 +324,13 @@ def train_on(docs: DataFrame, max_docs: int = 1500, max_examples: int = 1200, id
                     hs.append(h), texts.append(c), at.append(n)
             yield pa.record_batch([pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(texts, pa.string())], names=["h", "n", "c"])
 
-    sample = rows.orderBy("h").limit(max_docs).mapInArrow(contexts, "h long, n int, c string").orderBy("h", "n", "c").limit(max_examples)
+    sample = rows.where(F.col("h") <= last).mapInArrow(contexts, "h long, n int, c string").orderBy("h", "n", "c").limit(max_examples)
     examples = []
-    for c in sample.toArrow()["c"].to_pylist():
+    for n, c in enumerate(sample.toArrow()["c"].to_pylist()):
         spans = sorted(base_spans(c), key=lambda x: (x[0], -x[1]))
-        spans = [x for n, x in enumerate(spans) if all(y[1] <= x[0] for y in spans[:n])]
+        spans = [x for k, x in enumerate(spans) if all(y[1] <= x[0] for y in spans[:k])]
         examples.append((c, spans))
-        examples += respelt(c, spans)
+        examples += respelt(c, spans, n)
     field = SegmentField()
     field.learn(examples)
     return field
