@@ -48,7 +48,7 @@ def op6_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = chat.reply_order(table(spark, sf_dir, "conversations"))
     return ordered.select(
-        "conv_id", "thread", "turn", "role", "parent_turn", "n_quotes", "n_linked", "deepest",
+        "conv_id", "thread", "turn", "position", "role", "parent_turn", "n_quotes", "n_linked", "deepest",
         F.md5("body").alias("body_md5"), F.md5("chat").alias("chat_md5"),
     )
 
@@ -76,4 +76,4 @@ QUERIES = {
         op7_quote_linking, op8_suffix_repeats, op9_minmax_near_dedup, op10_template_leaks,
     )
 }
-SQL = {"op5_license_scan": licenses.report_sql()}
+SQL = {"op5_license_scan": licenses.report_sql(), "op7_quote_linking": chat.reply_sql()}
