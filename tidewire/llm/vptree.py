@@ -6,10 +6,11 @@ goes down the nearer side first and enters the other side only if the triangle i
 the k-th found so far, times `relax`: at 1 the search is exact; greater factors prune more. Candidates are ranked by the
 cosine of the original vectors in double precision, ties to the smaller id, and each shard's best k are merged.
 
-Queries are searched in blocks of at most `block` against every shard: a task holds one shard and one block. Vectors that
-are null, empty, zero, of another length than the shard's first, or hold a null or non-finite component take no part,
-as queries or candidates. A query never finds itself (its own id). Rows repeated under one id count once. Fewer than k
-candidates give as many rows as there are.
+A task holds one shard's tree, built once, and streams the queries through it, a batch at a time. Only vectors of one length
+are compared: shards are dealt by length as well. Vectors that are null, empty, zero, or hold a null or non-finite component
+take no part, as queries or candidates; nor do rows with a null id. A query never finds itself (its own id). Rows repeated
+under one id are one, with the least of their vectors. Fewer than k candidates give as many rows as there are. Columns other
+than id and vector are not read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -113,39 +114,48 @@ class Tree:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 4.0, shard_rows: int = 16_384, block: int = 2_048, id_col: str = "vec_id",
-    vector_col: str = "embedding",
+    vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 4.0, shard_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of queries among those of vectors."""
     def clean(df: DataFrame) -> DataFrame:
         rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-        return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropDuplicates(["id"])
+        once = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+        return once.withColumn("size", F.size("v"))
 
     base, asked = written(clean(vectors), "vectors"), written(clean(queries), "queries")
-    shards, blocks = max(1, -(-base.count() // shard_rows)), max(1, -(-asked.count() // block))
-    # the smaller side of a pair, a block of queries, goes to every shard; a shard goes to every block
-    left = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), "id", "v")
-    pairs = left.unionByName(right).repartition(shards * blocks, "shard", "block")
-
-    def work(key: tuple, group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy()
-        ids = group.column("id").to_numpy()
-        wide = len(group.column("v")[0])
-        fits = np.diff(group.column("v").combine_chunks().offsets.to_numpy()) == wide
-        order = np.lexsort((ids, asks))
-        order = order[fits[order]]
-        flat = group.take(pa.array(order)).column("v").combine_chunks().flatten().to_numpy().reshape(-1, wide)
-        ids, asks = ids[order], asks[order].astype(bool)
-        own, mine = ids[~asks], ids[asks]
-        if not len(own) or not len(mine):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        found, score = Tree(flat[~asks], own).search(flat[asks], mine, k, relax)
-        q = np.repeat(mine, k)
-        some = found.ravel() >= 0
-        return pa.table({"query_id": q[some], "vec_id": found.ravel()[some], "score": score.ravel()[some]})
-
-    each = pairs.groupBy("shard", "block").applyInArrow(work, "query_id long, vec_id long, score double")
+    # a row for each length of vectors: no more than the longest vector has components, whatever the number of vectors
+    sizes = F.broadcast(base.groupBy("size").agg(F.ceil(F.count("*") / shard_rows).alias("shards")))
+    shards = max(1, sizes.agg(F.sum("shards")).first()[0] or 0)
+    dealt = base.join(sizes, "size").select("size", F.pmod(F.xxhash64("id"), "shards").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    spread = asked.join(sizes, "size").select("size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    pairs = dealt.unionByName(spread).repartition(shards, "size", "shard").sortWithinPartitions("size", "shard", "asks", "id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at = tree = None
+        for batch in batches:
+            key = np.stack([batch.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                if e == s:
+                    continue
+                size, shard, asks = key[s].tolist()
+                ids, flat = batch.column(3).slice(s, e - s).to_numpy(), batch.column(4).slice(s, e - s).flatten().to_numpy().reshape(-1, size)
+                if (size, shard) != at:
+                    at, tree, held = (size, shard), None, []
+                if not asks:
+                    held.append((ids, flat))
+                    continue
+                if held:
+                    tree = Tree(np.concatenate([x for _, x in held]), np.concatenate([x for x, _ in held]))
+                    held = []
+                if tree is None:
+                    continue
+                found, score = tree.search(flat, ids, k, relax)
+                q, some = np.repeat(ids, k), found.ravel() >= 0
+                yield pa.record_batch([pa.array(q[some]), pa.array(found.ravel()[some]), pa.array(score.ravel()[some])], names=["query_id", "vec_id", "score"])
+
+    each = pairs.mapInArrow(work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
