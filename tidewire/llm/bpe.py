@@ -6,7 +6,9 @@ can merge no more leave the matrix. Pieces longer than the largest bucket (a run
 square of their length that way; they are merged with a heap instead, in the same order, so the ids are the same.
 
 Null texts count as empty: no ids, no bytes. Texts of any length are worked on in blocks of pieces, and the cache of
-pieces is bounded, so memory does not follow the text or the vocabulary.
+pieces is bounded, so memory does not follow the text or the vocabulary. Every row is encoded by itself: repeated rows, and
+rows with a null id, each give their own. Columns other than id and text are not read, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations

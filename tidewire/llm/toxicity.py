@@ -10,7 +10,10 @@ ids, so it does not depend on order or partitions). Terms whose odds in the two
 than `least_z` standard errors keep weight zero, or chance terms of long texts would outweigh the rest.
 Scoring covers every text. Null and empty texts have no terms; their score is that of the bias alone. If the sample
 holds no row of a class, every score is the smoothed share of toxic rows (0 if nothing is labelled). Repeated rows are
-scored each; a document labelled more than once counts as toxic if any label says so.
+scored each, and in training stand for one document (the text of fewest terms, if they differ); a document labelled more
+than once counts as toxic if any label says so. Rows with a null id are scored, never held out and never learned from.
+Columns other than id, text and label are not read, whatever their names; an empty table gives an empty one. A row's terms
+are at most as many as there are buckets, however long the text.
 """
 
 from __future__ import annotations
@@ -183,8 +186,8 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
 
 def in_fold(doc_id, fold: int = 1, folds: int = 3):
-    """Whether crc32 of the id as text falls on this remainder."""
-    return F.crc32(F.col(doc_id).cast("string")) % folds == fold
+    """Whether crc32 of the id as text falls on this remainder; a null id does not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
 def rejected(score_col: str = "score", threshold: float = 0.7):
