@@ -14,7 +14,9 @@ component are compared with all of that component and with each other, in cells
 outsiders are gathered over all its buckets, so a pair is compared once. No pairs are emitted: a cell gives links that
 span what it has joined. Memory in a task is that of one cell.
 
-Null, empty and blank texts have an empty set and link with nothing. Repeated rows (same id) count as one document.
+Null, empty and blank texts have an empty set and link with nothing. Rows with a null id take no part. Repeated rows of
+an id are one document, with the set of least fingerprint if their texts differ. Columns other than id and text are not
+read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import by_sorted_key, connected_components, written
+from tidewire.llm.common import by_sorted_key, written
+from tidewire.operators.graph import components
+from tidewire.operators.shuffles import join_unique
 
 #: Fixed value: blanks between words.
 BLANKS = " \t\n\v\f\r"
@@ -198,13 +202,17 @@ def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, hashes: int = 80, rows: int = 5, cell: int = 128, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_shingles, component_id): the least id that links lead to, itself included."""
-    sets = written(shingle_sets(docs, words, hashes, rows, id_col, text_col), "shingle-sets")
+    every = written(shingle_sets(docs, words, hashes, rows, id_col, text_col), "shingle-sets")
+    # repeated rows of an id are one document: its least fingerprint stands for it
+    sets = every if _unique(every) else written(every.groupBy("id").agg(F.min(F.struct("fingerprint", "n", "shingles", "buckets")).alias("x")).select("id", "x.n", "x.fingerprint", "x.shingles", "x.buckets"), "shingle-sets")
     # equal sets are one class, held by its least id; empty sets are alone
-    held = sets.where("n > 0").groupBy("fingerprint").agg(F.min("id").alias("rep"))
+    held = written(sets.where("n > 0").groupBy("fingerprint").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "shingle-holders")
+    named = sets.where("n > 0").select("id", "n", "fingerprint")
     classes = written(
-        sets.select("id", "n", "fingerprint").join(held, "fingerprint", "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")).distinct(),
+        join_unique(named, held.select("fingerprint", "rep"), "fingerprint", counts=held.select("fingerprint", F.col("copies").alias("n")))
+        .select("id", "n", "rep").unionByName(sets.where("n = 0").select("id", "n", F.col("id").alias("rep"))),
         "shingle-classes",
-    )
+    )
     reps = classes.where("id = rep and n > 0").select("rep")
     bodies = sets.select(F.col("id").alias("rep"), "shingles")
     buckets = written(sets.select(F.col("id").alias("rep"), "buckets").join(reps, "rep").select("rep", F.explode("buckets").alias("bucket")), "shingle-buckets")
@@ -212,21 +220,28 @@ def near_duplicates(
     shared = written(buckets.join(written(pivots, "shingle-pivots"), "bucket"), "shingle-shared")
 
     # every class with its buckets' pivots, a pair once; a pivot's classes are dealt to cells by hash
-    star = shared.select("pivot", "rep").distinct()
-    parts = written(star.groupBy("pivot").agg(F.ceil(F.count("*") / cell).alias("parts")), "shingle-parts")
-    dealt = star.join(parts, "pivot")
+    star = written(shared.select("pivot", "rep").distinct(), "shingle-stars")
+    parts = written(star.groupBy("pivot").agg(F.ceil(F.count("*") / cell).alias("parts"), F.count("*").alias("n")), "shingle-parts")
+    dealt = join_unique(star, parts.select("pivot", "parts"), "pivot", counts=parts.select("pivot", "n"))
     plain = dealt.where("rep <> pivot").select("rep", F.xxhash64("pivot", F.pmod(F.xxhash64("rep"), "parts")).alias("cell"))
     hubs = dealt.where("rep = pivot").select("rep", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     cells = plain.union(hubs.select("rep", F.xxhash64("pivot", "part"))).join(bodies, "rep").select("cell", "rep", F.lit(True).alias("light"), F.col("rep").alias("label"), "shingles")
     links = written(compared(cells, percent), "shingle-links")
-    first = connected_components(links, "shingle-components")
+    first = components(links, "shingle-components")
 
     open_buckets = shared.join(parts.where("parts > 1").select("pivot"), "pivot").select("bucket", "rep")  # in one cell all pairs are compared
     settled = written(settle(open_buckets, first, bodies, percent, cell), "shingle-links")
-    found = connected_components(links.union(settled), "shingle-components")
-    return classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
-    )
+    # the settled links join components, so only components are followed again
+    named_a, named_b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}_home")) for x in "ab")
+    between = settled.join(named_a, "a", "left").join(named_b, "b", "left").select(F.coalesce("a_home", "a").alias("a"), F.coalesce("b_home", "b").alias("b"))
+    merged = components(between, "shingle-components").select(F.col("node").alias("home"), F.col("component").alias("merged"))
+    homes = written(reps.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("home")), "shingle-homes")
+    found = join_unique(homes, merged, "home", "left").select("rep", F.coalesce("merged", "home").alias("component"))
+    return join_unique(classes, found, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def _unique(rows: DataFrame) -> bool:
+    return rows.groupBy("id").count().where("count > 1").isEmpty()
 
 
 def settle(shared: DataFrame, components: DataFrame, bodies: DataFrame, percent: int, cell: int) -> DataFrame:
@@ -245,8 +260,8 @@ def settle(shared: DataFrame, components: DataFrame, bodies: DataFrame, percent:
         labelled.join(mixed.select("bucket", (-F.col("main.least")).alias("core")), "bucket").where("label = core").select("core", "rep", "label").distinct()
     )
     everyone = written(light.withColumn("light", F.lit(True)).union(inside.withColumn("light", F.lit(False))), "shingle-meetings")
-    size = everyone.groupBy("core").agg(F.ceil(F.count("*") / cell).alias("all_parts"), F.ceil(F.count_if("light") / cell).alias("light_parts"))
-    dealt = everyone.join(size, "core").withColumn("h", F.xxhash64("rep"))
+    size = written(everyone.groupBy("core").agg(F.ceil(F.count("*") / cell).alias("all_parts"), F.ceil(F.count_if("light") / cell).alias("light_parts"), F.count("*").alias("n")), "shingle-cores")
+    dealt = join_unique(everyone, size.drop("n"), "core", counts=size.select("core", "n")).withColumn("h", F.xxhash64("rep"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = dealt.select("core", "rep", "label", F.lit(False).alias("light"), F.pmod("h", "all_parts").alias("i"), spread("light_parts").alias("j")).union(
         dealt.where("light").select("core", "rep", "label", "light", spread("all_parts").alias("i"), F.pmod("h", "light_parts").alias("j"))
