@@ -17,7 +17,7 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, longest: int = 3) -> DataF
     """texts (id, text) and phrases (place_id, phrase) -> (id, place_id, hits) by whole words: an equi join of the texts'
     n-grams with the phrases, so neither side is scanned for each row of the other."""
     words = texts.select("id", T.words(F.col("text")).alias("w"))
-    grams = words.select("id", F.explode(F.flatten(F.array(*[T.ngrams(F.col("w"), n) for n in range(1, longest + 1)]))).alias("phrase"))
+    grams = words.select("id", F.explode_outer(F.flatten(F.array(*[T.ngrams(F.col("w"), n) for n in range(1, longest + 1)]))).alias("phrase"))
     wanted = phrases.select("place_id", F.array_join(T.words(F.col("phrase")), " ").alias("phrase")).where("phrase <> ''").distinct()
     return grams.join(wanted, "phrase").groupBy("id", "place_id").agg(F.count("*").alias("hits"))
 

@@ -66,7 +66,8 @@ def term_hits(texts: DataFrame, rules: DataFrame, guard: int = 8) -> DataFrame:
     def grams(n: int) -> Column:
         return F.transform(T.ngrams(F.col("w"), n), lambda g, i: F.struct(g.alias("gram"), F.arrays_overlap(F.slice("w", F.greatest(F.lit(1), i - guard + 1), F.least(i, F.lit(guard))), no).alias("negated")))
 
-    each = words.select("id", F.explode(F.concat(*map(grams, lengths or [1]))).alias("x")).select("id", "x.gram", "x.negated")
+    # outer, or the grams would be worked out again to see whether there are any
+    each = words.select("id", F.explode_outer(F.concat(*map(grams, lengths or [1]))).alias("x")).select("id", "x.gram", "x.negated")
     return each.join(beside(terms, MOST_RULES), "gram").groupBy("id", "kind", "rule", "term").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
 
 

@@ -46,7 +46,7 @@ def matches(stories: DataFrame, signals: DataFrame) -> DataFrame:
     g = signals.select("signal_id", F.col("category").alias("signal_category"), F.array_distinct("keywords").alias("signal_keywords"), F.lower("topic").alias("topic"))
     own = beside(g.select("signal_id", F.explode("signal_keywords").alias("word")))
     shared = s.select("id", F.explode("keywords").alias("word")).join(own, "word").groupBy("id", "signal_id").agg(F.count("*").alias("shared"))
-    phrases = s.select("id", F.explode(F.array_distinct(F.concat("said", T.ngrams(F.col("said"), 2)))).alias("topic"))
+    phrases = s.select("id", F.explode_outer(F.array_distinct(F.concat("said", T.ngrams(F.col("said"), 2)))).alias("topic"))
     stands = phrases.join(beside(g.where("topic <> ''").select("signal_id", "topic")), "topic").select("id", "signal_id", F.lit(True).alias("stands"))
     met = shared.join(stands, ["id", "signal_id"], "full").join(s.select("id", "category", F.size("keywords").alias("n")), "id").join(g.select("signal_id", "signal_category", F.size("signal_keywords").alias("m")), "signal_id")
     overlap = F.when((F.col("n") == 0) | (F.col("m") == 0), 0.0).otherwise(F.coalesce("shared", F.lit(0)) / F.least("n", "m"))

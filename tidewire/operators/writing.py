@@ -41,27 +41,25 @@ def hashed(texts: DataFrame, key: str, sizes: tuple[int, ...]) -> DataFrame:
 
 def sharing_grams(candidates: DataFrame, sources: DataFrame, n: int, least: float) -> DataFrame:
     """candidates (cid, tokens), sources (sid, tokens) -> (cid, sid) whose distinct n-grams overlap by `least` of the smaller
-    side or more. Only grams that some source has leave a task, as hashes."""
+    side or more. Only grams that some source has leave a task, as hashes. Arrays are exploded as outer ones here, or Spark
+    would work them out again to see whether they are empty; the join drops the nulls."""
     c, s = hashed(candidates, "cid", (n,)), hashed(sources, "sid", (n,))
-    mine = c.select("cid", F.array_distinct(f"h{n}").alias("g")).select("cid", F.size("g").alias("mine"), F.explode("g").alias("h"))
-    theirs = s.select("sid", F.array_distinct(f"h{n}").alias("g")).select("sid", F.size("g").alias("theirs"), F.explode("g").alias("h"))
+    mine = c.select("cid", F.array_distinct(f"h{n}").alias("g")).select("cid", F.size("g").alias("mine"), F.explode_outer("g").alias("h"))
+    theirs = s.select("sid", F.array_distinct(f"h{n}").alias("g")).select("sid", F.size("g").alias("theirs"), F.explode_outer("g").alias("h"))
     met = mine.join(beside(theirs, MOST_GRAMS), "h").groupBy("cid", "sid", "mine", "theirs").agg(F.count("*").alias("shared"))
     return met.where(F.col("shared") >= least * F.least("mine", "theirs")).select("cid", "sid")
 
 
 def copied_phrases(candidates: DataFrame, sources: DataFrame, sizes: tuple[int, ...] = (6, 7, 8), chars: int = 35) -> DataFrame:
-    """(cid, sid, n_copied): the different source phrases of these sizes, of `chars` characters or more, in a candidate."""
-    s = sources
-    for n in sizes:
-        s = s.withColumn(f"g{n}", F.array_distinct(F.filter(T.ngrams(F.col("tokens"), n), lambda g: F.length(g) >= chars)))
-    sized = lambda column, n: F.transform(column, lambda x: F.struct(F.lit(n).alias("n"), x.alias("x")))
-    phrases = s.select("sid", F.explode(F.concat(*[sized(f"g{n}", n) for n in sizes])).alias("x")).select("sid", "x.n", F.split("x.x", " ").alias("tokens"))
-    keyed = hashed(phrases.withColumn("key", F.struct("sid", "n")), "key", sizes)
-    theirs = keyed.select("key.sid", "key.n", F.coalesce(*[F.when(F.col("key.n") == n, F.get(f"h{n}", F.lit(0))) for n in sizes]).alias("h")).distinct()
-    c = hashed(candidates, "cid", sizes)
-    each = F.concat(*[sized(F.array_distinct(f"h{n}"), n) for n in sizes])
-    mine = c.select("cid", F.explode(each).alias("x")).select("cid", "x.n", F.col("x.x").alias("h"))
-    return mine.join(beside(theirs, MOST_GRAMS), ["n", "h"]).groupBy("cid", "sid").agg(F.count("*").alias("n_copied"))
+    """(cid, sid, n_copied): the different source phrases of these sizes, of `chars` characters or more, in a candidate. The
+    hash of a gram follows from its words one by one, so grams of different sizes have different hashes."""
+    long = F.concat(*[F.filter(T.ngrams(F.col("tokens"), n), lambda g: F.length(g) >= chars) for n in sizes])
+    phrases = sources.select("sid", F.explode_outer(F.array_distinct(long)).alias("g")).where("g is not null").select("sid", F.split("g", " ").alias("tokens"))
+    keyed = hashed(phrases.withColumn("key", F.struct("sid", F.size("tokens").alias("n"))), "key", sizes)
+    theirs = keyed.select("key.sid", F.coalesce(*[F.when(F.col("key.n") == n, F.get(f"h{n}", F.lit(0))) for n in sizes]).alias("h")).distinct()
+    every = F.concat(*[F.array_distinct(f"h{n}") for n in sizes])
+    mine = hashed(candidates, "cid", sizes).select("cid", F.explode_outer(every).alias("h"))
+    return mine.join(beside(theirs, MOST_GRAMS), "h").groupBy("cid", "sid").agg(F.count("*").alias("n_copied"))
 
 
 def alike_sets(candidates: DataFrame, sources: DataFrame, least: float) -> DataFrame:
@@ -69,10 +67,10 @@ def alike_sets(candidates: DataFrame, sources: DataFrame, least: float) -> DataF
     source's first words (in any fixed order), as many as a partner can't all lack."""
     sets = lambda df, i: df.select(i, F.array_sort(F.array_distinct("tokens")).alias("k")).where(F.size("k") > 0)
     s = sets(sources, "sid").withColumn("size", F.size("k"))
-    theirs = s.select("sid", "size", F.explode(F.slice("k", 1, F.col("size") - F.ceil(least * F.col("size")).cast("int") + 1)).alias("w"))
+    theirs = s.select("sid", "size", F.explode_outer(F.slice("k", 1, F.col("size") - F.ceil(least * F.col("size")).cast("int") + 1)).alias("w"))
     bounds = s.agg(F.min("size").alias("low"), F.max("size").alias("high")).first()
     c = sets(candidates, "cid").withColumn("n", F.size("k")).where((F.col("n") >= least * (bounds.low or 0)) & (F.col("n") * least <= (bounds.high or 0)))
-    mine = c.select("cid", "n", F.explode("k").alias("w"))
+    mine = c.select("cid", "n", F.explode_outer("k").alias("w"))
     met = mine.join(beside(theirs, MOST_GRAMS), "w").where((F.col("n") >= least * F.col("size")) & (F.col("size") >= least * F.col("n")))
     return met.select("cid", "sid").distinct()
 

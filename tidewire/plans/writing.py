@@ -42,7 +42,7 @@ def overlap_sql(a: str, b: str) -> str:
 
 
 def copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), T.words(F.col("text")).alias("tokens"))
+    c = saved(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cid"), T.words(F.col("text")).alias("tokens")), "words")
     s = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sid"), T.words(F.col("text")).alias("tokens"))
     return c, s
 
@@ -60,8 +60,10 @@ def copy_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents too close to a source text: they hold it, or phrases of six to eight words and 35 characters of it, or their
     words are alike by .82 (block) or .66 (warn)."""
     c, s = copies(spark, sf_dir)
-    copied = writing.copied_phrases(c, s)
-    holds_short = writing.sharing_grams(c, s.where(F.size("tokens") >= 6), 6, 0.0)
+    copied = saved(writing.copied_phrases(c, s), "copied-phrases")
+    # a source that a text holds has a copied phrase, unless all its words are short
+    short = F.forall(T.ngrams(F.col("tokens"), 8), lambda g: F.length(g) < 35) & F.forall(T.ngrams(F.col("tokens"), 6), lambda g: F.length(g) < 35)
+    holds_short = writing.sharing_grams(c, s.where((F.size("tokens") >= 6) & short), 6, 0.0)
     pairs = copied.select("cid", "sid").unionByName(writing.alike_sets(c, s, 0.66)).unionByName(holds_short).distinct()
     rows = pairs.join(copied, ["cid", "sid"], "left").join(c.withColumnRenamed("tokens", "ck"), "cid").join(s.withColumnRenamed("tokens", "sk"), "sid")
     n = F.coalesce("n_copied", F.lit(0))
@@ -105,7 +107,7 @@ def copy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = copies(spark, sf_dir)
     pairs = saved(writing.sharing_grams(c, s, 4, 0.2), "copy-pairs")
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    sentences = lambda df, i, key, x: df.select(F.col(i).alias(key), F.explode(T.sentences(F.col("text"))).alias("x")).select(key, T.words(F.col("x")).alias(x)).where(F.size(x) > 0)
+    sentences = lambda df, i, key, x: df.select(F.col(i).alias(key), F.explode_outer(T.sentences(F.col("text"))).alias("x")).select(key, T.words(F.col("x")).alias(x)).where(F.size(x) > 0)
     near = docs.withColumnRenamed("doc_id", "cid").join(pairs.select("cid").distinct(), "cid", "left_semi")
     each = pairs.join(sentences(near, "cid", "cid", "a"), "cid").join(sentences(items, "item_id", "sid", "b"), "sid")
     structure = each.groupBy("cid", "sid").agg(F.max(F.round(writing.skeleton_similarity(F.col("a"), F.col("b")), 3)).alias("structure"))
