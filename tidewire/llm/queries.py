@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, chat, decontaminate, licenses, line_dedup, minhash, pii, suffixes, toxicity, vptree
+from tidewire.llm import bpe, chat, decontaminate, licenses, line_dedup, merkle, minhash, pii, repair, sharding, suffixes, toxicity, vptree
 from tidewire.llm.common import table
+from tidewire.operators.shuffles import shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -69,11 +72,29 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"), arity=8)
+
+
+def op12_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 shards by a hash of the id, of unequal sizes, to 40 of equal bytes."""
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    before = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(32))
+    placed = sharding.lay_out(table(spark, sf_dir, "documents"), folder, shards=40, old=before)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_glr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_vantage_point_trees, op2_byte_bpe, op3_pii_semi_markov, op4_toxicity_fm, op5_license_scan, op6_line_alignment,
-        op7_quote_linking, op8_suffix_repeats, op9_minmax_near_dedup, op10_template_leaks,
+        op7_quote_linking, op8_suffix_repeats, op9_minmax_near_dedup, op10_template_leaks, op11_merkle_manifest, op12_min_cost_flow_sharding,
+        op13_glr_repair,
     )
 }
 SQL = {"op5_license_scan": licenses.report_sql(), "op7_quote_linking": chat.reply_sql()}
