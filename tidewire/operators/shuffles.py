@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +25,58 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folder below the shared one that tables are saved in, inside a scratch block.
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store, through the file system that its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors. Tables saved in a
+    scratch block go when it ends; others stay until drop() or the owner of the folder removes them."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{_scratch.get()}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a table that saved() returned, when nothing that is still to run reads it."""
+    spark = df.sparkSession
+    own = urlparse(shared_folder(spark)).path + "/"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if urlparse(path).path.startswith(own):  # never a file of anyone else
+            deleted(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside is deleted at the end: write the result before, with what keeps it outside of the block."""
+    folder = f"scratch-{uuid.uuid4().hex}/"
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        deleted(spark, f"{shared_folder(spark)}/{folder}")
+
+
+#: Buckets of maybe_in: their numbers are all that it broadcasts.
+BUCKETS = 1 << 20
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key is not among keys, so that less of them is shuffled by the join that follows. It
+    keeps what falls into a bucket of some key; at most BUCKETS numbers are broadcast, whatever the input."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("__bucket")
+    hit = keys.select(bucket).distinct()
+    return rows.withColumn("__bucket", bucket).join(F.broadcast(hit), "__bucket", "left_semi").drop("__bucket")
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, share: int = 1000) -> DataFrame:
     """left joined ("inner" or "left") to right, which has one row at most for each key; columns of left, then of right.
 
