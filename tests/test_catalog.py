@@ -44,4 +44,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_fold_test():
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"story_clusters_greedy", "incremental_clusters"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"story_clusters_greedy", "incremental_clusters", "match_ladder", "stream_match_ladder"}

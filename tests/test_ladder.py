@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import ladder
 from tidewire.operators.editorial import title_similarity
+from tidewire.plans import streams
 from tidewire.streaming import live
 
 SCHEMA = "signal_id long, city string, topic string, url_hash string, content_hash string, title_tokens array<string>, refs array<string>, entities array<string>, source_id long, source_kinds array<string>, developing boolean, at timestamp"
@@ -164,3 +165,11 @@ def test_stories_of_several_cities_are_joined(spark):
     events = spark.createDataFrame([("a", 1, 1, "first_seen", "", "", 0), ("b", 2, 2, "first_seen", "", "", 0), ("b", 2, 3, "source_added", "url", "", 0), ("c", 4, 4, "first_seen", "", "", 0), ("d", 5, 5, "first_seen", "", "", 0)], ladder.EVENT)
     signals = spark.createDataFrame([(1, "u1", None), (2, "u2", "c2"), (3, "u1", None), (4, None, "c2"), (5, None, None)], "signal_id long, url_hash string, content_hash string")
     assert {(r.cluster, r.story) for r in live.reconcile(events, signals).collect()} == {(1, 1), (2, 1), (4, 1)}
+
+
+def test_queries_equal_a_plain_scan(rocks):
+    sf = "/root/testdata/sf0.001"
+    rows = [r.asDict() | {"at": r["at"].replace(tzinfo=dt.timezone.utc)} for r in streams.as_signals(rocks.read.parquet(f"{sf}/documents.parquet")).collect()]
+    assert told(streams.match_ladder(rocks, sf)) == sorted(plain_fold(rows), key=key)
+    by_city = [e for city in {r["city"] for r in rows} for e in plain_fold([r for r in rows if r["city"] == city])]
+    assert told(streams.stream_match_ladder(rocks, sf)) == sorted(by_city, key=key)

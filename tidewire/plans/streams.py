@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
+from tidewire.operators import ladder
 from tidewire.operators.shuffles import shared_folder
 from tidewire.plans import readers
 from tidewire.sources.landed import table
-from tidewire.streaming import jobs
+from tidewire.streaming import jobs, live
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -76,3 +77,38 @@ def stream_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = drained(jobs.live_clusters(li))
     return out.where("event_type <> 'expired'").groupBy("cluster_key").agg(F.max("source_count").alias("source_count"))
+
+
+def as_signals(docs: DataFrame) -> DataFrame:
+    """Documents as local signals: the language is the city, the source's last digit the topic and what kind of source it is;
+    entities are long capitalised words of the first two sentences."""
+    head = F.regexp_replace(F.regexp_extract("text", "^[ \t\r\n]*((?:[^ \t\r\n]+[ \t\r\n]+){0,11}[^ \t\r\n]+)", 1), "[ \t\r\n]+", " ")
+    digit = F.substring("source", -1, 1)
+    kinds = F.when(digit == "1", F.array(F.lit("official"))).when(digit.isin("2", "3"), F.array(F.lit("established"))).when(digit == "4", F.array(F.lit("community"))).when(digit != "9", F.array().cast("array<string>"))
+    summary = T.summary(F.col("text"))
+    return docs.select(
+        F.col("doc_id").alias("signal_id"), F.col("lang").alias("city"), digit.alias("topic"), T.stable_hash(F.concat_ws("/", "source", T.alnum_key(head)), 16).alias("url_hash"),
+        T.stable_hash(T.alnum_key(F.col("text")), 16).alias("content_hash"), T.title_tokens(head).alias("title_tokens"), ladder.references(summary).alias("refs"),
+        F.array_distinct(F.transform(F.regexp_extract_all(summary, F.lit("\\b([A-Z][a-z]{6,})"), F.lit(1)), lambda x: F.lower(x))).alias("entities"),
+        F.abs(F.xxhash64("source")).alias("source_id"), kinds.alias("source_kinds"), F.lower("text").rlike("\\b(developing|ongoing|preliminary)\\b").alias("developing"),
+        F.timestamp_micros((F.lit(1704067200) + F.pmod(F.col("doc_id") * 7919, F.lit(2592000))) * 1000000).alias("at"),
+    )
+
+
+@query()
+def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signal's events by url, content, title, incident and shared entities, in order of time."""
+    return ladder.match_ladder(as_signals(table(spark, sf_dir, "documents")))
+
+
+@query()
+def stream_match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stream, city by city, with the expiry of stories; late rows have all the time there is."""
+    had = spark.conf.get(live.ROCKSDB[0], None)
+    spark.conf.set(*live.ROCKSDB)
+    try:
+        base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+        live.run_events(live.live_stories(as_signals(replayed(spark, sf_dir, "documents")), late="60 days"), f"{base}/out", f"{base}/state")
+    finally:
+        spark.conf.set(live.ROCKSDB[0], had) if had else spark.conf.unset(live.ROCKSDB[0])
+    return live.read_events(spark, f"{base}/out").drop("batch")
