@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import by_sorted_key, written
 from tidewire.operators.graph import components
-from tidewire.operators.shuffles import join_unique
+from tidewire.operators.shuffles import join_unique, maybe_in
 
 #: Fixed value: blanks between words.
 BLANKS = " \t\n\v\f\r"
@@ -225,7 +225,8 @@ def near_duplicates(
     dealt = join_unique(star, parts.select("pivot", "parts"), "pivot", counts=parts.select("pivot", "n"))
     plain = dealt.where("rep <> pivot").select("rep", F.xxhash64("pivot", F.pmod(F.xxhash64("rep"), "parts")).alias("cell"))
     hubs = dealt.where("rep = pivot").select("rep", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    cells = plain.union(hubs.select("rep", F.xxhash64("pivot", "part"))).join(bodies, "rep").select("cell", "rep", F.lit(True).alias("light"), F.col("rep").alias("label"), "shingles")
+    met = written(plain.union(hubs.select("rep", F.xxhash64("pivot", "part"))), "shingle-cells")
+    cells = met.join(maybe_in(bodies, met, "rep"), "rep").select("cell", "rep", F.lit(True).alias("light"), F.col("rep").alias("label"), "shingles")
     links = written(compared(cells, percent), "shingle-links")
     first = components(links, "shingle-components")
 
@@ -266,8 +267,8 @@ def settle(shared: DataFrame, components: DataFrame, bodies: DataFrame, percent:
     rows = dealt.select("core", "rep", "label", F.lit(False).alias("light"), F.pmod("h", "all_parts").alias("i"), spread("light_parts").alias("j")).union(
         dealt.where("light").select("core", "rep", "label", "light", spread("all_parts").alias("i"), F.pmod("h", "light_parts").alias("j"))
     )
-    cells = rows.select(F.xxhash64("core", "i", "j").alias("cell"), "rep", "label", "light")
-    return compared(cells.join(bodies, "rep"), percent)
+    cells = written(rows.select(F.xxhash64("core", "i", "j").alias("cell"), "rep", "label", "light"), "shingle-cells")
+    return compared(cells.join(maybe_in(bodies, everyone, "rep"), "rep"), percent)
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
