@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
@@ -80,6 +79,50 @@ def test_greedy_clusters_equal_one_pass_over_all(spark):
     assert got == want
 
 
+def one_pass(rows):
+    clusters = []
+    for r in sorted(rows, key=lambda r: (-r["published_at"].timestamp(), -r["base_score"], r["id"])):
+        best, target = 0, None
+        for c in clusters:
+            for m in c[:6]:
+                near = abs((m["published_at"] - r["published_at"]).total_seconds()) <= 30 * 3600
+                s = pair(set(r["title_tokens"]), set(m["title_tokens"])) if near and r["title_tokens"] and m["title_tokens"] else 0
+                if s > best:
+                    best, target = s, c
+        target.append(r) if target else clusters.append([r])
+    return {m["id"]: c[0]["id"] for c in clusters for m in c}
+
+
+def shapes():
+    rng = random.Random(16)
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    chain = [["shared", f"c{k}", f"c{k + 1}", f"c{k + 2}", f"c{k + 3}"] for k in range(60)]
+    star = [["hub1", "hub2", "hub3", "hub4", f"leaf{k}"] for k in range(60)]
+    copies = [["same", "old", "title", "again"]] * 80
+    giant = [rng.sample([f"w{k}" for k in range(9)], rng.randrange(3, 7)) for _ in range(150)]
+    for name, titles in (("chain", chain), ("star", star), ("copies", copies), ("giant", giant)):
+        yield name, [dict(id=i * 7 % 1009, published_at=at(rng.randrange(400) if name != "star" else rng.randrange(30)), base_score=rng.randrange(70, 73), title_tokens=t) for i, t in enumerate(titles)]
+    yield "empty titles", [dict(id=i, published_at=at(i), base_score=70, title_tokens=[["a", "b"], ["a", "a", "a"], ["a", "b", "c", "c"], ["c", "b", "a"]][i % 4]) for i in range(12)]
+
+
+def test_greedy_clusters_of_every_shape(spark):
+    """Chains, stars, copies and one giant component; cells of two classes for a token."""
+    for name, rows in shapes():
+        df = spark.createDataFrame(rows, "id long, published_at timestamp, base_score long, title_tokens array<string>").repartition(3)
+        assert {r.id: r.cluster for r in cluster.story_clusters(df).collect()} == one_pass(rows), name
+
+
+def test_equal_titles_cost_a_row_each(spark):
+    rows = [(i, [f"t{i % 3}", "b", "c", "d"]) for i in range(90)]
+    members, classes = similarity.title_classes(spark.createDataFrame(rows, "id long, title_tokens array<string>"))
+    assert members.count() == 90 and classes.count() == 3
+    for cell in (1, 2, 2000):
+        assert similarity.title_links(classes, cell).count() == 0  # three shared tokens of four are too few
+    near = spark.createDataFrame([(1, list("abcde")), (2, list("abcdf")), (3, list("abcdefgh")), (4, list("xyz"))], "class long, k array<string>")
+    for cell in (1, 2000):
+        assert sorted((r.a, r.b, r.shared) for r in similarity.title_links(near, cell).collect()) == [(1, 2, 4), (1, 3, 5), (2, 3, 5)]
+
+
 def test_title_pairs_equal_all_pairs(spark):
     rng = random.Random(7)
     words = [f"w{i:02d}x" for i in range(12)]
@@ -159,4 +202,4 @@ def test_empty_tables(spark):
     assert cluster.story_clusters(items).count() == 0
     stories = spark.createDataFrame([], "id long, source_name string, source_count long, score long, published_at timestamp")
     assert ranking.diversify(stories, 2, 8, ranking.spotlight_order()).count() == 0
-    assert isinstance(cluster.greedy(pd.DataFrame({"id": [], "ord": [], "links": [], "scores": []})), pd.DataFrame)
+    assert similarity.title_pairs(items).count() == 0

@@ -1,51 +1,98 @@
-"""Story clusters by an ordered greedy fold, done per connected component."""
+"""Story clusters by an ordered greedy fold: components of alike titles stream through it, each in order of time."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.graph import components
-from tidewire.operators.shuffles import saved
-from tidewire.operators.similarity import title_pairs
-
-
-def greedy(group: pd.DataFrame, sample: int = 6) -> pd.DataFrame:
-    """The fold of one component: newest first, an item joins the cluster with the best scoring link to one of its first
-    `sample` members, or opens a new one. group: id, ord, links (partner ids), scores."""
-    group = group.sort_values("ord")
-    home: dict[int, int] = {}
-    first: dict[int, list[int]] = {}
-    opened: dict[int, int] = {}
-    for i, partners, scores in zip(group["id"], group["links"], group["scores"], strict=True):
-        score = dict(zip(partners, scores, strict=True))
-        best, target = 0.0, None
-        for cluster in dict.fromkeys(sorted((home[p] for p in score if p in home), key=opened.get)):
-            for member in first[cluster]:
-                if score.get(member, 0.0) > best:
-                    best, target = score[member], cluster
-        home[i] = i if target is None else target
-        opened.setdefault(home[i], len(opened))
-        members = first.setdefault(home[i], [])
-        if len(members) < sample:
-            members.append(i)
-    return pd.DataFrame({"id": list(home), "cluster": list(home.values())}, dtype="int64")
+from tidewire.operators.similarity import title_classes, title_links
+
+
+class Greedy:
+    """The fold: newest first, an item joins the cluster with the best scoring link to one of its first `sample` members, or
+    opens a new one. Only members that an item to come can link to are held: those of the last `hours`."""
+
+    def __init__(self, hours: int = 30, sample: int = 6):
+        self.reach, self.sample, self.opened = hours * 3600 * 1000000, sample, 0
+        self.members: dict[int, tuple[set[str], int, int]] = {}  # id -> tokens, cluster, its number
+        self.index: dict[str, set[int]] = {}
+        self.recent: deque[tuple[int, int]] = deque()
+        self.sizes: dict[int, list[int]] = {}  # cluster -> first members so far, those still held
+
+    def _forget(self, us: int) -> None:
+        while self.recent and self.recent[0][0] - us > self.reach:
+            tokens, cluster, _ = self.members.pop(member := self.recent.popleft()[1])
+            for t in tokens:
+                self.index[t].discard(member)
+                if not self.index[t]:
+                    del self.index[t]
+            self.sizes[cluster][1] -= 1
+            if not self.sizes[cluster][1]:
+                del self.sizes[cluster]
+
+    def step(self, item: int, us: int, tokens: set[str]) -> int:
+        self._forget(us)
+        best, target = (0.0, 0), None
+        for member, shared in Counter(m for t in tokens for m in self.index.get(t, ())).items():
+            if shared >= 3:
+                theirs, cluster, number = self.members[member]
+                score = link_score(shared, len(tokens), len(theirs))
+                if (score, -number) > best and score > 0:
+                    best, target = (score, -number), cluster
+        if target is None:
+            target, number = item, self.opened
+            self.opened += 1
+            self.sizes[item] = [0, 0]
+        else:
+            number = -best[1]
+        count = self.sizes[target]
+        if count[0] < self.sample:
+            self.sizes[target] = [count[0] + 1, count[1] + 1]
+            self.members[item] = (tokens, target, number)
+            self.recent.append((us, item))
+            for t in tokens:
+                self.index.setdefault(t, set()).add(item)
+        return target
+
+
+def link_score(shared: int, n: int, m: int) -> float:
+    """The score of two titles that may be in one cluster; 0 for others."""
+    union = n + m - shared
+    contained = shared / min(n, m)
+    score = max(shared / union, 0.65 * contained + 0.35 * shared / union)
+    return score if shared >= 5 or (shared >= 4 and contained >= 0.62) or (shared >= 3 and score >= 0.72) else 0.0
+
+
+OUT = pa.schema([("id", pa.int64()), ("cluster", pa.int64())])
 
 
 def story_clusters(items: DataFrame) -> DataFrame:
-    """(id, cluster), cluster being its first item. Clusters never leave a component of title pairs, so the fold per
-    component gives what one pass over all would; a component's rows carry its links, not its texts."""
-    pairs = saved(title_pairs(items), "title-pairs")
-    links = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").union(pairs.select("b", "a", "score"))
-    per_item = links.groupBy("id").agg(F.collect_list("other").alias("links"), F.collect_list("score").alias("scores"))
-    rows = per_item.join(components(pairs).withColumnRenamed("node", "id"), "id").join(items.select("id", "published_at", "base_score"), "id")
-    ranked = rows.select("id", "component", "links", "scores", F.unix_micros("published_at").alias("t"), "base_score")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["t", "base_score", "id"], ascending=[False, False, True]).reset_index(drop=True)
-        return greedy(ordered.assign(ord=ordered.index))
-
-    found = ranked.groupBy("component").applyInPandas(fold, "id long, cluster long")
-    alone = items.select("id").join(found.select("id"), "id", "left_anti")
-    return found.unionByName(alone.select("id", F.col("id").alias("cluster")))
+    """(id, cluster), cluster being its first item. Clusters never leave a component of classes of alike titles, so the fold of
+    each gives what one pass over all would. Classes are linked, not items, so copies cost a row each; a component's rows
+    stream by, without texts, and its task holds what the last hours may still link to."""
+    members, classes = title_classes(items)
+    homes = components(title_links(classes).select("a", "b"), "title-components").withColumnRenamed("node", "class")
+    rows = members.join(homes, "class", "left").select("id", F.coalesce("component", "class").alias("component"))
+    body = items.select("id", F.array_distinct("title_tokens").alias("tokens"), F.unix_micros("published_at").alias("us"), "base_score")
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(body, "id").repartition(width, "component").sortWithinPartitions("component", F.desc("us"), F.desc("base_score"), "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        greedy, component = Greedy(), None
+        for batch in batches:
+            ids, homes, tokens, times = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "component", "tokens", "us"))
+            found = []
+            for i, home, k, us in zip(ids, homes, tokens, times, strict=True):
+                if home != component:
+                    greedy, component = Greedy(), home
+                found.append(greedy.step(i, us, set(k)))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], schema=OUT)
+
+    found = dealt.select("id", "component", "tokens", "us", "base_score").mapInArrow(fold, "id long, cluster long")
+    alone = items.where(F.size(F.array_distinct("title_tokens")) < 3).select("id", F.col("id").alias("cluster"))
+    return found.unionByName(alone)

@@ -7,30 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.functions import text as T
+from tidewire.operators.shuffles import join_unique, saved
+
+
+def title_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items (id, title_tokens) -> (id, class) and (class, k): items of three different tokens or more, equal sets of tokens
+    being one class, named after its least id. Both are saved tables."""
+    named = saved(items.select("id", F.array_sort(F.array_distinct("title_tokens")).alias("k")).where(F.size("k") >= 3), "title-sets")
+    kinds = saved(named.groupBy("k").agg(F.min("id").alias("class"), F.count("*").alias("n")), "title-kinds")
+    members = join_unique(named, kinds.select("k", "class"), "k", counts=kinds.select("k", "n")).select("id", "class")
+    return saved(members, "title-members"), kinds.select("class", "k")
+
+
+def title_links(classes: DataFrame, cell: int = 2000) -> DataFrame:
+    """classes (class, k) -> (a, b, shared, score), a < b once: 5 shared tokens, or 4 at containment 0.62, or 3 at score 0.72.
+
+    Linked classes share three tokens, so they share one of each one's tokens but its two most frequent ones: by those, rarest
+    first, they meet. A pair counts where its rarest shared token is, if enough tokens are left behind it in both. A token of
+    many classes is dealt to cells of `cell` by `cell`."""
+    frequency = saved(classes.select(F.explode("k").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "title-tokens")
+    each = join_unique(classes.select("class", F.explode("k").alias("token")), frequency, "token", counts=frequency.select("token", F.col("df").alias("n")))
+    ranked = each.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))  # a dozen tokens
+    rows = ranked.select("class", F.transform("by_df", lambda x: x["token"]).alias("k"), F.posexplode(F.slice("by_df", 1, F.size("by_df") - 2)).alias("pos", "x")).where("x.df > 1")
+    parts = F.ceil(F.col("x.df") / cell)
+    own = F.pmod(F.xxhash64("class"), parts)
+    every = F.sequence(F.lit(0).cast("long"), parts - 1)
+    side = lambda s: [F.col("class").alias(s), F.col("k").alias(f"k{s}"), F.col("pos").alias(f"p{s}"), F.col("x.token").alias("token")]
+    left = rows.select(*side("a"), own.alias("row"), F.explode(every).alias("column"))
+    right = rows.select(*side("b"), F.explode(every).alias("row"), own.alias("column"))
+    enough = F.least(F.size("ka") - F.col("pa"), F.size("kb") - F.col("pb")) >= 3
+    met = left.join(right.hint("merge"), ["token", "row", "column"]).where((F.col("a") < F.col("b")) & enough)
+    both = F.array_intersect("ka", "kb")  # in the order of ka: rarest first
+    pairs = met.withColumn("both", both).where((F.size("both") >= 3) & (F.get("both", F.lit(0)) == F.col("token")))
+    scored = pairs.select("a", "b", F.size("both").alias("shared"), T.overlap(F.col("ka"), F.col("kb")).alias("containment"), T.pair_score(F.col("ka"), F.col("kb")).alias("score"))
+    return scored.where((F.col("shared") >= 5) | ((F.col("shared") >= 4) & (F.col("containment") >= 0.62)) | (F.col("score") >= 0.72)).select("a", "b", "shared", "score")
 
 
 def title_pairs(items: DataFrame, hours: int = 30) -> DataFrame:
-    """(a, b, shared, score), a < b: within `hours` of each other, and 5 shared tokens, or 4 at containment 0.62, or 3 at
-    score 0.72.
-
-    Pairs that qualify share three tokens, so by prefix they share one of all but each title's two most frequent ones:
-    only those are joined. Time buckets of `hours` keep a frequent token's partners to its neighbours in time."""
-    tokens = items.select("id", "published_at", F.array_distinct("title_tokens").alias("tokens")).where(F.size("tokens") >= 3)
-    frequency = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (
-        tokens.select("id", F.explode("tokens").alias("token")).join(frequency, "token", "left")
-        .groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("by_df"))
-    )
-    # a title's tokens, rarest first, without the last two
-    prefix = ranked.select("id", F.explode(F.slice("by_df", 1, F.size("by_df") - 2)).alias("x")).where("x.df > 1").select("id", F.col("x.token").alias("token"))
-    keyed = prefix.join(tokens, "id").withColumn("bucket", F.floor(F.unix_seconds("published_at") / (hours * 3600)))
-    left = keyed.select("token", "bucket", F.col("id").alias("a"), F.col("published_at").alias("ta"), F.col("tokens").alias("ka"))
-    right = keyed.select("token", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("id").alias("b"), F.col("published_at").alias("tb"), F.col("tokens").alias("kb"))
-    near = F.abs(F.unix_micros("ta") - F.unix_micros("tb")) <= hours * 3600 * 1000000
-    shared = F.size(F.array_intersect("ka", "kb"))
-    pairs = left.join(right, ["token", "bucket"]).where((F.col("a") < F.col("b")) & near & (shared >= 3))
-    scored = pairs.select("a", "b", shared.alias("shared"), T.overlap(F.col("ka"), F.col("kb")).alias("containment"), T.pair_score(F.col("ka"), F.col("kb")).alias("score")).distinct()
-    return scored.where((F.col("shared") >= 5) | ((F.col("shared") >= 4) & (F.col("containment") >= 0.62)) | (F.col("score") >= 0.72))
+    """(a, b, shared, score), a < b: items of one class or of linked ones, within `hours` of each other. This has a row for
+    each pair; who needs groups takes classes and links."""
+    members, classes = title_classes(items)
+    width = hours * 3600
+    placed = members.join(items.select("id", "published_at"), "id").withColumns({"us": F.unix_micros("published_at"), "bucket": F.floor(F.unix_seconds("published_at") / width)})
+    equal = classes.select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("k").alias("shared"), F.lit(1.0).alias("score"))
+    links = title_links(classes).union(equal)
+    left = placed.select(F.col("class").alias("a"), F.col("id").alias("ia"), F.col("us").alias("ua"), "bucket")
+    right = placed.select(F.col("class").alias("b"), F.col("id").alias("ib"), F.col("us").alias("ub"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    met = left.join(links, "a").join(right, ["b", "bucket"]).where((F.abs(F.col("ua") - F.col("ub")) <= width * 1000000) & ((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))))
+    return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "shared", "score")
 
 
 def sharing(items: DataFrame, least: Column, hours: int, group: str = "category") -> DataFrame:
