@@ -65,6 +65,19 @@ def test_images_of_a_page(spark):
     assert [r[0] for r in fields.select(media.first_image([F.col("f")], F.lit('<img src="/z.png">'), F.lit("https://s.example/"))).collect()] == ["https://m/y.jpg", "https://s.example/z.png"]
 
 
+def test_images_in_any_order_and_quotes(spark):
+    html = (
+        "<META content='/1.jpg' PROPERTY='og:image:secure_url'/><meta name=\"og:image\" content=\"/2.jpg\"><meta content=\"/3.png\" itemprop=\"image\"><link href='/4.webp' rel='icon image_src'>"
+        "<link rel='icon' href='/no.png'><img data-lazy-src='/5.jpg' alt=\"a > b 'c'\" src='/6.jpg'><img data-caption='/no.jpg' data-original = '/7.jpg'><source srcset='/8.jpg 1x,/9.jpg 2x'>"
+        "<script type='application/ld+json'>{\"image\": {\"@id\": \"/10.jpg\"}, \"@graph\": [{\"image\": [\"/11.jpg\", {\"contentUrl\": \"/12.jpg\"}]}, {\"primaryImageOfPage\": {\"url\": \"/13.jpg\"}}], \"x\": \"a < b\"}</script>"
+        "<script>{\"image\": \"/no.jpg\"}</script><script type='application/ld+json'>not json</script><meta content='/no.jpg' name='author'><img alt='no source'>"
+    )
+    got = spark.createDataFrame([(html,)], "html string").select(media.image_links(F.col("html"))).first()[0]
+    assert got == [f"/{k}.{x}" for k, x in [(1, "jpg"), (2, "jpg"), (3, "png"), (4, "webp"), (10, "jpg"), (11, "jpg"), (12, "jpg"), (13, "jpg"), (6, "jpg"), (8, "jpg"), (9, "jpg"), (5, "jpg"), (7, "jpg")]]
+    long = "<img alt='" + "x" * 300_000 + "' src='/a.jpg'>" + "<img " * 2000
+    assert spark.createDataFrame([(long,)], "html string").select(media.image_links(F.col("html"))).first()[0] == ["/a.jpg"]
+
+
 def tokens(spark, texts, key):
     return spark.createDataFrame(list(enumerate(texts)), f"{key} long, text string").select(key, T.words(F.col("text")).alias("tokens"))
 

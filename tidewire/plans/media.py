@@ -34,6 +34,9 @@ EXTRAS = (
     (9, 4, '<script type="application/ld+json">{"@graph":[{"image":"/graph/{i}.jpeg"}]}</script>'), (8, 5, '<script type="application/ld+json">{broken</script>'),
     (3, 2, '<img alt="" src="pics/{i}.jpg"><img src="/icon.png"><img src="/small.jpg?w=40">'), (4, 3, '<source srcset="/s/{i}-1.webp 1x, /s/{i}-2.webp 2x">'),
     (6, 5, '<img class="l" data-src="https://lazy.example.com/{i}.png">'), (5, 0, '<meta name="description" content="What page {i} says in a sentence of some length, for readers.">'),
+    (7, 1, "<meta content='https://q.example.com/{i}.jpg' name='twitter:image:src'>"), (6, 2, "<link href='/l/{i}.png' rel='preload image_src'>"), (8, 3, "<img class='l' data-hero-original='/o/{i}.webp' alt='5 > 4'>"),
+    (9, 7, "<script type='application/ld+json'>[{'@type':'x','thumbnailUrl':['/th/{i}.jpg',{'contentUrl':'/c/{i}.png'}],'description':'Listed data on page {i}, which has more than six words in all.'}]</script>".replace("'", '"').replace('type="application/ld+json"', "type='application/ld+json'")),
+    (10, 3, "<meta property='og:description' content='What page {i} says of itself when it is shared among friends.'>"),
 )
 
 
@@ -42,7 +45,7 @@ def rich(html: Column, i: Column) -> Column:
 
 
 def rich_sql(html: str, i: str) -> str:
-    return " || ".join([html, *(f"CASE WHEN {i} % {n} = {r} THEN replace('{x}', '{{i}}', CAST({i} AS VARCHAR)) ELSE '' END" for n, r, x in EXTRAS)])
+    return " || ".join([html, *(f"CASE WHEN {i} % {n} = {r} THEN replace('{x.replace(chr(39), chr(39) * 2)}', '{{i}}', CAST({i} AS VARCHAR)) ELSE '' END" for n, r, x in EXTRAS)])
 
 
 PAGES_SQL = f"pg AS (SELECT page_id, url, {rich_sql('html', 'page_id')} AS html FROM pages)"
@@ -94,7 +97,9 @@ def item_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_image(spark, sf_dir)
 
 
-META = '(?i)<meta[^>]+(?:name|property)="(?:og:)?description"[^>]+content="([^"]*)"'
+#: The public names of a page's description.
+DESCRIPTIONS = ("description", "og:description")
+DESCRIPTION_SQL = f"""(list_transform(list_filter(regexp_extract_all(html, '(?i)<meta[\\s/](?:[^<>"'']|"[^"]*"|''[^'']*'')*>'), lambda t: lower({media.attribute_sql('t', 'property', 'name')}) IN {DESCRIPTIONS}), lambda t: {media.attribute_sql('t', 'content')}))[1]"""
 SPACES = "[ \t\r\n]+"
 BLOCKS = "<(?:p|h1|h2)>([^<]*)"
 
@@ -103,8 +108,8 @@ def plain_sql(x: str) -> str:
     return f"trim(regexp_replace(replace(replace({x}, '&amp;', '&'), '&quot;', '\"'), '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
-@query(f"""WITH {PAGES_SQL}, e AS (SELECT page_id, {plain_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {plain_sql("regexp_extract(html, '<h1>([^<]*)', 1)")} AS heading, {plain_sql(f"regexp_extract(html, '{META}', 1)")} AS description,
-  list_filter(list_transform(list_filter(regexp_extract_all(html, '{media.JSON_LD}', 1), lambda j: json_valid(j)), lambda j: coalesce(json_extract_string(j, '$.description'), '')), lambda x: x <> '') AS ld, regexp_extract_all(html, '{BLOCKS}', 1) AS blocks FROM pg),
+@query(f"""WITH {PAGES_SQL}, e AS (SELECT page_id, {plain_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {plain_sql("regexp_extract(html, '<h1>([^<]*)', 1)")} AS heading, {plain_sql(f"coalesce({DESCRIPTION_SQL}, '')")} AS description,
+  list_filter(list_transform({media.linked_data_sql('html')}, lambda j: coalesce(j->>'$.description', '')), lambda x: x <> '') AS ld, regexp_extract_all(html, '{BLOCKS}', 1) AS blocks FROM pg),
 f AS (SELECT page_id, CASE WHEN title <> '' THEN title WHEN heading <> '' THEN heading ELSE '' END AS title, description, list_filter(list_transform(list_concat([description], ld, blocks), lambda x: {plain_sql('x')}), lambda x: length(x) >= 40 AND len(string_split(x, ' ')) >= 6) AS a FROM e),
 d AS (SELECT page_id, title, description, list_filter(a, lambda x, k: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = k)[1:8] AS a FROM f)
 SELECT page_id, title, CASE WHEN description <> '' THEN description WHEN len(a) > 0 THEN a[1] ELSE title END AS description, len(a) AS n_facts, md5(array_to_string(a, '|')) AS facts_md5 FROM d""")
@@ -113,8 +118,9 @@ def html_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = lambda c: F.trim(F.regexp_replace(F.replace(F.replace(c, F.lit("&amp;"), F.lit("&")), F.lit("&quot;"), F.lit('"')), SPACES, " "))
     get = lambda p: plain(F.regexp_extract("html", p, 1))
     every = lambda p: F.regexp_extract_all("html", F.lit(p), F.lit(1))
-    ld = F.filter(F.transform(every(media.JSON_LD), lambda j: F.get_json_object(j, "$.description")), lambda x: F.coalesce(x, F.lit("")) != "")
-    rows = pages(spark, sf_dir).select("page_id", get("<title>([^<]*)</title>").alias("t"), get("<h1>([^<]*)").alias("h"), get(META).alias("d"), F.concat(ld, every(BLOCKS)).alias("blocks"))
+    ld = F.filter(F.transform(media.linked_data(F.col("html")), lambda j: F.try_variant_get(j, "$.description", "string")), lambda x: F.coalesce(x, F.lit("")) != "")
+    said = plain(F.coalesce(F.get(media.meta_values(media.tags(F.col("html")), DESCRIPTIONS, ("property", "name")), F.lit(0)), F.lit("")))
+    rows = pages(spark, sf_dir).select("page_id", get("<title>([^<]*)</title>").alias("t"), get("<h1>([^<]*)").alias("h"), said.alias("d"), F.concat(ld, every(BLOCKS)).alias("blocks"))
     useful = F.filter(F.transform(F.concat(F.array("d"), "blocks"), plain), lambda x: (F.length(x) >= 40) & (F.size(F.split(x, " ")) >= 6))
     facts = F.slice(T.distinct_names(useful), 1, 8)
     title = F.when(F.col("t") != "", F.col("t")).otherwise(F.col("h"))
