@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from tidewire.llm.common import written
 
 FUZZ = 1e-9
+#: Relaxations of the pruning that are tried, from the boldest on.
+FACTORS = (4.0, 3.0, 2.5, 2.0, 1.5, 1.25)
 
 
 def usable(vector: Column) -> Column:
@@ -113,10 +115,22 @@ class Tree:
         return best_id, best
 
 
+    def fitted(self, k: int, recall: float, probes: int = 128) -> float:
+        """The greatest of FACTORS at which vectors of the tree itself find `recall` of their exact neighbours; 1 is exact."""
+        at = np.unique(np.linspace(0, len(self.ids) - 1, probes).astype(int))
+        exact = self.search(self.vectors[at], self.ids[at], k, 1.0)[0]
+        for factor in FACTORS:
+            found = self.search(self.vectors[at], self.ids[at], k, factor)[0]
+            if sum(len(np.intersect1d(x[x >= 0], y)) for x, y in zip(exact, found, strict=True)) >= recall * (exact >= 0).sum():
+                return factor
+        return 1.0
+
+
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 4.0, shard_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float | None = None, recall: float = 0.96, shard_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of queries among those of vectors."""
+    """(query_id, rank, vec_id, score) for the rows of queries among those of vectors. Without a relax, each shard takes the
+    factor at which a sample of its own vectors finds `recall` of its neighbours."""
     def clean(df: DataFrame) -> DataFrame:
         rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
         once = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
@@ -148,10 +162,11 @@ def nearest(
                     continue
                 if held:
                     tree = Tree(np.concatenate([x for _, x in held]), np.concatenate([x for x, _ in held]))
+                    factor = relax or tree.fitted(k, recall)
                     held = []
                 if tree is None:
                     continue
-                found, score = tree.search(flat, ids, k, relax)
+                found, score = tree.search(flat, ids, k, factor)
                 q, some = np.repeat(ids, k), found.ravel() >= 0
                 yield pa.record_batch([pa.array(q[some]), pa.array(found.ravel()[some]), pa.array(score.ravel()[some])], names=["query_id", "vec_id", "score"])
 
