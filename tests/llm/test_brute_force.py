@@ -56,11 +56,11 @@ def test_alignment_of_two_documents_equals_brute_force():
         gone = line_dedup.common_places(rows)
         mine, theirs = numbered(later, links), numbered(earlier, links)
         pairs = {(mine[x], theirs[x]) for x in mine if x in theirs}
-        neighbours = [k for k, x in enumerate(later) if links(x)], [k for k, x in enumerate(earlier) if links(x)]
-        for a, b in zip(neighbours[0], neighbours[0][1:], strict=False):
-            for c, d in zip(neighbours[1], neighbours[1][1:], strict=False):
+        near = lambda lines: [(a, b) for own in [[k for k, x in enumerate(lines) if links(x)]] for n, a in enumerate(own) for b in own[n + 1 : n + 1 + line_dedup.REACH]]
+        for a, b in near(later):
+            for c, d in near(earlier):
                 if (later[a], later[b]) == (earlier[c], earlier[d]):
-                    pairs |= {(a, c), (b, d)}  # neighbours meet wherever the pair stands
+                    pairs |= {(a, c), (b, d)}  # lines that are near meet wherever the pair stands
         removed = sum(links(later[k]) for k in gone)
         exact = longest_run({(mine[x], theirs[x]) for x in mine if x in theirs})
         assert exact <= removed <= longest_run(pairs), (earlier, later, gone)
@@ -71,6 +71,61 @@ def test_alignment_of_two_documents_equals_brute_force():
             assert gone == list(range(len(later)))
 
 
+def plain_dedup(texts, min_words=4):
+    """Each document aligned with the first and with the last earlier holder of each of its keys."""
+    holders, out = {}, []
+    for i, text in enumerate(texts):
+        keys = line_dedup.keys_of(text, min_words)
+        rows = [
+            {"kind": kind, "place": place, "before": before, "behind": behind, "earlier": e, "their_place": p, "their_behind": b}
+            for key, kind, place, before, behind in keys for e, p, b in {x for x in (holders.get(key, [None])[0], holders.get(key, [None])[-1]) if x}
+        ]
+        gone = set(line_dedup.common_places(rows))
+        out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+        for key, _, place, _, behind in keys:
+            holders.setdefault(key, []).append((i, place, behind))
+    return out
+
+
+def test_lines_that_cross_the_first_holder_go_with_another(spark):
+    a, b = "the first of two lines that are shared", "the second of two lines that are shared"
+    own = lambda k: "\n".join(f"line {j} that only document {k} has in it" for j in range(6))
+    for between in ("x", own(1)):
+        texts = [f"{b}\n{a}", f"{a}\n{between}\n{b}", f"{a}\ny\n{b}", f"{a}\n{own(3)}\n{b}"]
+        rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+        assert rows[2] in ("y", "") and rows[3] == own(3)
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_line_dedup_equals_plain_python(spark, width):
+    rng = random.Random(width)
+    pool = [f"linking line number {k} here" for k in range(9)] + ["a", "b", "", "}"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 9))) for _ in range(120)] + ["linking line number 0 here"] * 40
+    spark.conf.set("spark.sql.shuffle.partitions", str(width * 4))
+    try:
+        rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [rows[i] for i in range(len(texts))] == plain_dedup(texts)
+
+
+@pytest.mark.parametrize("size", [4, 8, 16, 32])
+def test_recall_of_every_dimension(size):
+    """Gaussian vectors have no clusters that make a bold pruning right; the factor is fitted to them."""
+    rng = np.random.default_rng(size)
+    vectors = rng.normal(size=(16_384, size))
+    tree = vptree.Tree(vectors, np.arange(len(vectors)))
+    asked = np.arange(0, len(vectors), 80)
+    exact = tree.search(vectors[asked], asked, 5, 1.0)[0]
+    factor = tree.fitted(5, 0.96)
+    found = tree.search(vectors[asked], asked, 5, factor)[0]
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    assert (np.sort(np.argsort(-near, 1)[:, :5], 1) == np.sort(exact, 1)).mean() > 0.999
+    assert factor > 1 and np.mean([len(np.intersect1d(x, y)) / 5 for x, y in zip(exact, found, strict=True)]) >= 0.93
+
+
 def test_alignment_goes_into_gaps(spark):
     a, b, c = "opening line of four words", "closing line of four words", "another line of four words"
     texts = [

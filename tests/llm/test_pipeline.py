@@ -6,10 +6,11 @@ import random
 
 import public_tokenizers
 import tiktoken
+from test_brute_force import plain_dedup
 from test_llm import brute_components
 
 import corpus_pipeline
-from tidewire.llm import bpe, line_dedup, queries, toxicity
+from tidewire.llm import bpe, queries, toxicity
 
 
 def plain_score(model, terms):
@@ -20,16 +21,10 @@ def plain_score(model, terms):
 
 
 def plain_line_dedup(docs):
-    """Each key belongs to the first document that holds it."""
-    owners, out = {}, {}
-    for i, text in sorted(docs.items()):
-        keys = line_dedup.keys_of(text or "", 4)
-        rows = [dict(kind=k, place=p, before=a, behind=b, earlier=owners[key][0], their_place=owners[key][1], their_behind=owners[key][2]) for key, k, p, a, b in keys if key in owners]
-        gone = set(line_dedup.common_places(rows))
-        out[i] = text if not gone else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
-        for key, _, p, _, b in keys:
-            owners.setdefault(key, (i, p, b))
-    return {i: t for i, t in out.items() if t == docs[i] or t.strip()}
+    """Each key links to the first document that holds it and to the last one before."""
+    ids = sorted(docs)
+    cut = dict(zip(ids, plain_dedup([docs[i] or "" for i in ids]), strict=True))
+    return {i: docs[i] if not docs[i] else cut[i] for i in ids if cut[i] == (docs[i] or "") or cut[i].strip()}
 
 
 def test_pipeline_equals_plain_python(spark, tmp_path):

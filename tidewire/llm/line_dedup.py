@@ -2,9 +2,9 @@
 
 Lines are trimmed and hashed. A line of at least `min_words` words, or as long in characters, can link documents; it is
 keyed with its number among the equal lines of its document, so the second of a document meets the second of another. Two
-neighbouring linking lines are keyed together as well. Each key links a document to the first one (least id) that holds
-it. A rare line gives its few links, and a line that thousands share gives each of them one link, with no cut-off by
-frequency and no pairs within a group.
+linking lines are keyed together as well, in their order, if they are at most REACH linking lines apart. Each key links a
+document to the first one (least id) that holds it and to the holder just before it. A rare line gives its few links, and a
+line that thousands share gives each of them two, with no cut-off by frequency and no pairs within a group.
 
 Each linked pair is aligned by patience diff: of the linking lines that both hold, the longest run that increases in both
 goes from the later document. The lines between two neighbouring linking lines, before the first or after the last, are a
@@ -16,7 +16,7 @@ gap, and alignment goes on inside it:
 
 A text without linking lines goes if an earlier document has all its lines. Aligned blocks are deleted from the later
 document (greater id); the first copy always stays. Linking lines that cross the aligned run of all documents they link to
-stay.
+stay; any two that are near each other and in the same order in some earlier document are linked to it by their common key.
 
 What is shuffled is a few keys for each line, never a document's lines for each partner; texts are read once to hash and
 once to cut. Keys that a thousandth of all rows share are joined by broadcast, so boilerplate is no hot key.
@@ -38,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
-from tidewire.llm.common import written
+from tidewire.llm.common import PLACE_BITS, in_order, written
 from tidewire.operators.shuffles import join_unique
 
 #: Letters of scripts that are written without blanks.
@@ -57,9 +58,11 @@ def can_link(line: str, min_words: int) -> bool:
     return len(line.split(None, min_words)) >= min_words or len(line) >= 6 * min_words or len(UNSPACED.findall(line)) >= 2 * min_words
 
 
-#: Kinds of keys: a linking line, two neighbouring ones, a gap's lines onwards from the linking line before it, backwards
+#: Kinds of keys: a linking line, two that are near, a gap's lines onwards from the linking line before it, backwards
 #: from the one behind it, a line between two of them, a whole text.
 LINE, PAIR, ONWARDS, BACKWARDS, BETWEEN, WHOLE = range(6)
+#: How far apart, in linking lines, two lines are keyed as an ordered pair.
+REACH = 3
 
 
 def keys_of(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
@@ -81,12 +84,12 @@ def keys_of(text: str, min_words: int) -> list[tuple[int, int, int, int, int]]:
     if not links:
         add(WHOLE, 0, 0, len(lines), *hashes)
         return out
-    for a, b in zip([-1, *links], [*links, len(lines)], strict=True):
+    for n, (a, b) in enumerate(zip([-1, *links], [*links, len(lines)], strict=True)):
         before, behind = hashes[a] if a >= 0 else None, hashes[b] if b < len(lines) else None
         if a >= 0:
             add(LINE, a, 0, 0, before)
-            if b < len(lines):
-                add(PAIR, a, 0, b - a, before, behind)
+            for later in links[n : n + REACH]:
+                add(PAIR, a, 0, later - a, before, hashes[later])
         far = {k: (k - a if a >= 0 else 0, b - k if b < len(lines) else 0) for k in range(a + 1, b)}
         chain = before
         for k in range(a + 1, b):
@@ -185,13 +188,30 @@ def linking(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Data
     return named.mapInArrow(run, "id long, key long, kind byte, place int, before int, behind int")
 
 
+def before_them(shared: DataFrame) -> DataFrame:
+    """shared (key, id, place, behind and more), keys that several documents hold -> the rows with the holder of the key just
+    before them: earlier, their_place, their_behind. Keys are dealt in ranges of (key, id); where a key goes on in the next
+    range, the last holder of the one before is looked up, of which there are fewer than ranges."""
+    placed = in_order(shared, ["key", "id", "place"], "line-holders")
+    part, holder = F.shiftright("at", PLACE_BITS), F.struct("id", "place", "behind")
+    ends = placed.groupBy("key", part.alias("part")).agg(F.max_by(holder, "at").alias("last"))
+    ranges = placed.groupBy(part.alias("part")).agg(F.min_by("key", "at").alias("opens"), F.max_by("key", "at").alias("closes"))  # one row a range
+    cut_keys = ranges.select(F.col("opens").alias("key")).union(ranges.select("closes")).distinct()
+    carried = ends.join(F.broadcast(cut_keys), "key", "left_semi").select("key", "part", F.lag("last").over(Window.partitionBy("key").orderBy("part")).alias("carried")).where("carried is not null")
+    within = placed.withColumns({"part": part, "near": F.lag(holder).over(Window.partitionBy("key", part).orderBy("at"))})
+    met = within.join(F.broadcast(carried), ["key", "part"], "left").withColumn("near", F.coalesce("near", "carried")).where("near is not null and near.id < id")
+    return met.select(*shared.columns, F.col("near.id").alias("earlier"), F.col("near.place").alias("their_place"), F.col("near.behind").alias("their_behind"))
+
+
 def deletions(docs: DataFrame, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, gone array<int>): places of the lines to delete from each document that loses any."""
     keys = written(linking(docs, min_words, id_col, text_col), "lines")
     owners = keys.groupBy("key").agg(F.min(F.struct("id", "place", "behind")).alias("first"), F.max("id").alias("most"), F.count("*").alias("n")).where("most > first.id")
     theirs = written(owners.select("key", F.col("first.id").alias("earlier"), F.col("first.place").alias("their_place"), F.col("first.behind").alias("their_behind"), "n"), "line-owners")
-    met = join_unique(keys, theirs.drop("n"), "key", counts=theirs.select("key", "n")).where("id > earlier").drop("key")
-    pairs = met.distinct().groupBy("id").agg(F.collect_list(F.struct("kind", "place", "before", "behind", "earlier", "their_place", "their_behind")).alias("rows"))
+    met = written(join_unique(keys, theirs.drop("n"), "key", counts=theirs.select("key", "n")).distinct(), "line-links")
+    own = ["key", "id", "kind", "place", "before", "behind"]
+    links = met.where("id > earlier").unionByName(before_them(met.select(*own))).drop("key").distinct()
+    pairs = links.groupBy("id").agg(F.collect_list(F.struct("kind", "place", "before", "behind", "earlier", "their_place", "their_behind")).alias("rows"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
