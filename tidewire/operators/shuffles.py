@@ -35,6 +35,15 @@ def deleted(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """saved(), outside of any scratch block."""
+    token = _scratch.set("")
+    try:
+        return saved(df, name)
+    finally:
+        _scratch.reset(token)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and survives the loss of executors. Tables saved in a
     scratch block go when it ends; others stay until drop() or the owner of the folder removes them."""
