@@ -6,8 +6,9 @@ what the patterns left over: stretches of neighbouring chunks with a digit or "@
 digit, word before) for each type, and a dynamic programme over bounded segments (`MAX_TOKENS` tokens, `MAX_CHARS`
 characters) chooses boundaries and types together; tokens outside segments score 0. A segment may stand for a type only if
 it has an at mark, 7 to 19 digits, or four numbers. It is trained on this corpus: on the patterns' own spans in a bounded
-sample of documents and on re-spelt forms of them that the patterns miss (a phone without "+", a card with dots or digit
-by digit, an address in brackets, an email with a spelt mark). An added span is kept if its segment scores `margin` or more.
+sample of documents, on re-spelt forms of them that the patterns miss (a phone without "+", a card with dots or digit
+by digit, an address in brackets, an email with a spelt mark), and on made-up contexts of national phone numbers, spelt
+emails, sums, dates, versions, book and order numbers. An added span is kept if its segment scores `margin` or more.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Texts of any length are read once; the work is
 linear in the text, also for endless runs of digits, and memory is a few numbers for each token of a stretch. Repeated rows,
@@ -23,11 +24,14 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.pii_lessons import lessons
+
 #: Kinds in the order of reports, and the patterns.
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -275,12 +279,12 @@ def stretches(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
             yield s, e
 
 
-def _chunk_texts(text: str) -> Iterator[tuple[str, list[Span]]]:
+def _chunk_texts(text: str, longest: int = 160) -> Iterator[tuple[str, list[Span]]]:
     """Short contexts of a text with the patterns' spans in them, for training."""
     spans, marks = base_spans(text), list(spelt_emails(text))
     for s, e in chunks(text):
         # a spelt mark has no label of its own, so it can't teach that it is none
-        if 7 <= e - s <= 160 and not any(s <= a < e for a, _ in marks):
+        if 7 <= e - s <= longest and not any(s <= a < e for a, _ in marks):
             yield text[s:e], [(a - s, b - s, k) for a, b, k in spans if s <= a and b <= e]
 
 
@@ -306,21 +310,22 @@ def respelt(text: str, spans: list[Span], seed: int = 0) -> Iterator[tuple[str,
             yield text[:a] + new + text[b:], [(a, a + len(new), k) if s == a else (s + shift * (s > a), e + shift * (s > a), q) for s, e, q in spans if s == a or e <= a or s >= b]
 
 
-def train_on(docs: DataFrame, max_docs: int = 1500, max_examples: int = 1200, id_col: str = "doc_id", text_col: str = "text") -> SegmentField:
-    """A field fitted on short contexts of at most max_docs documents that hold a digit or "@", those of least id hash. Only
-    hashes are sorted to find them; a second scan reads their texts, and eight contexts at most leave a task for each."""
+def train_on(
+    docs: DataFrame, max_docs: int = 1500, max_examples: int = 1200, per_doc: int = 8, longest: int = 160, n_lessons: int = 700, id_col: str = "doc_id", text_col: str = "text"
+) -> SegmentField:
+    """A field fitted on short contexts of at most max_docs documents that hold a digit or "@", those of least id hash, and on
+    n_lessons made-up ones. Only hashes are sorted to find them; a second scan reads their texts, and per_doc contexts of at
+    most `longest` characters leave a task for each document."""
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     last = rows.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
     if last is None:
-        return SegmentField()
+        return SegmentField()  # nothing to read in any text
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hs, texts, at = [], [], []
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, (c, _) in enumerate(_chunk_texts(t)):
-                    if n >= 8:  # a document gives at most eight contexts to the sample
-                        break
+                for n, (c, _) in enumerate(islice(_chunk_texts(t, longest), per_doc)):
                     hs.append(h), texts.append(c), at.append(n)
             yield pa.record_batch([pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(texts, pa.string())], names=["h", "n", "c"])
 
@@ -332,7 +337,7 @@ def train_on(docs: DataFrame, max_docs: int = 1500, max_examples: int = 1200, id
         examples.append((c, spans))
         examples += respelt(c, spans, n)
     field = SegmentField()
-    field.learn(examples)
+    field.learn(examples + list(lessons(n_lessons)))
     return field
 
 
