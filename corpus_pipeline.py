@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import bpe, decontaminate, line_dedup, minhash, toxicity
-from tidewire.llm.common import table, written
+from tidewire.llm.common import table
+from tidewire.operators.shuffles import drop, kept, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are a table in the shared folder."""
+    """All stages on documents; each stage's rows are a table in the shared folder, which goes when the next one is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # what a stage saves on its way goes when its rows are written
+            after = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            drop(docs)
+        docs = after
     return docs
