@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.functions import text as T
-
+from tidewire.operators import lookup
+from tidewire.operators.shuffles import saved
 
 
 def spotlight_order(tie: str = "id") -> list[Column]:
@@ -50,24 +51,53 @@ def diversify(stories: DataFrame, cap: int, limit: int, order: list[Column], sou
     return picked.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by))).select(*stories.columns, "round", "position")
 
 
-def search(stories: DataFrame, queries: DataFrame, limit: int = 30) -> DataFrame:
-    """queries (query_id, query) against stories: +8 for a token in the title, +4 in the source, +4 in the category, +2
-    anywhere; the best `limit` of each query, and how many there are. The queries are a given short list: each story is
-    read once and scored for all of them."""
+#: Up to so many queries are scored in one pass over the stories; more are looked up in an index.
+FEW_QUERIES = 50
+
+
+def _tokens(query: Column) -> Column:
     stop = F.array(*map(F.lit, T.STOPWORDS))
-    asked = queries.select("query_id", F.filter(T.words(F.col("query")), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)).alias("tokens"))
+    return F.filter(T.words(query), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+
+
+def search(stories: DataFrame, queries: DataFrame, limit: int = 30, few: int = FEW_QUERIES) -> DataFrame:
+    """queries (query_id, query) against stories: +8 for a token in the title, +4 in the source, +4 in the category, +2
+    anywhere; the best `limit` of each query, and how many there are. `few` queries are sent to every task; of more, the
+    tokens are looked up in the stories' vocabulary, with the same result."""
+    asked = queries.select("query_id", _tokens(F.col("query")).alias("tokens"))
     low = stories.select(
         "id", "score", "published_at", F.lower("title").alias("t"), F.lower("source_name").alias("s"), F.lower("category").alias("c"),
         F.lower(F.concat_ws(" ", "title", "summary", "source_name", "category")).alias("h"),
     )
+
     def points(token: Column) -> Column:
         one = lambda where, n: F.when(F.contains(F.col(where), token), n).otherwise(0)
         return one("t", 8) + one("s", 4) + one("c", 4) + one("h", 2)
 
-    hits = low.crossJoin(F.broadcast(asked)).withColumn("relevance", F.aggregate("tokens", F.lit(0), lambda n, w: n + points(w))).where("relevance > 0")
+    if asked.count() <= few:
+        hits = low.crossJoin(F.broadcast(asked)).withColumn("relevance", F.aggregate("tokens", F.lit(0), lambda n, w: n + points(w))).where("relevance > 0")
+    else:
+        low = saved(low, "search-stories")
+        found = lookup.token_hits(low.select("id", F.col("h").alias("text")), asked).join(low.select("id", "t", "s", "c", "h"), "id")
+        scored = found.groupBy("query_id", "id").agg(F.sum(F.col("n") * points(F.col("token"))).cast("int").alias("relevance"))
+        hits = scored.join(low.select("id", "score", "published_at"), "id")
     count = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
     order = [F.desc("relevance"), F.desc("score"), F.desc("published_at"), F.asc("id")]
-    return top_per_group(hits, ["query_id"], order, limit).join(F.broadcast(count), "query_id").select("query_id", "rank", "id", "relevance", "n_hits")
+    return top_per_group(hits, ["query_id"], order, limit).join(count, "query_id").select("query_id", "rank", "id", "relevance", "n_hits")
+
+
+def preview(stories: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
+    """queries (query_id, query in lower case) against titles: +40 for a title that starts with the query, +20 for one that
+    contains it, +6 for each of its words that the title contains; the best `limit` of each query."""
+    titles = saved(stories.select("id", "score", "published_at", F.lower("title").alias("title")), "preview-titles")
+    asked = saved(queries.select("query_id", "query", F.split("query", " ").alias("parts")), "preview-queries")
+    # whoever starts with a query or contains it contains its words as well
+    parts = asked.select(F.explode("parts").alias("q")).where("q <> ''").distinct()
+    met = lookup.containing(titles.select("id", F.col("title").alias("text")), parts.select(F.col("q").alias("query_id"), "q")).withColumnRenamed("query_id", "q")
+    pairs = met.join(asked.select("query_id", F.explode(F.array_distinct("parts")).alias("q")), "q").select("query_id", "id").distinct()
+    points = F.when(F.startswith("title", F.col("query")), 40).otherwise(0) + F.when(F.contains("title", F.col("query")), 20).otherwise(0) + F.aggregate("parts", F.lit(0), lambda n, t: n + F.when(F.contains(F.col("title"), t), 6).otherwise(0))
+    hits = pairs.join(asked, "query_id").join(titles, "id").withColumn("points", points)
+    return top_per_group(hits, ["query_id"], [F.desc("points"), F.desc("score"), F.desc("published_at"), F.asc("id")], limit).select("query_id", "id", "points", "rank")
 
 
 def age_bucket(hours: Column) -> Column:

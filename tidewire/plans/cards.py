@@ -101,7 +101,7 @@ def link_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Words that name an event, and names that are no places; our own lists.
-EVENTS = "storm flood fire crash election summit festival strike trial launch".split() + ["tion", "keit", "des"]
+EVENTS = "storm flood fire crash election summit festival strike trial launch earthquake protest concert vote explosion".split()
 NO_PLACES = "Today Tonight Watch Live More News Top".split()
 
 

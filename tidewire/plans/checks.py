@@ -31,11 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-#: What a text gets by its id, so that every kind of entity occurs: (modulus, remainder, text).
-MENTIONS = (
-    (3, 0, " Crews worked on Route 66 and I-80, then on Highway 5."), (4, 1, " Lincoln High School and Park College took part."), (5, 2, " The Springfield Police Department and the City Council met."),
-    (6, 3, " St Mary Hospital and the Riverside Library Foundation helped."), (7, 4, " It was seen at 40.7128, -74.0060 on 12 March 2024."),
-)
 PHRASE = "(?:^|[^A-Za-z0-9])([A-Z][A-Za-z0-9&'-]*(?: [A-Z][A-Za-z0-9&'-]*){0,5})"
 ROAD = "(?:^|[^A-Za-z0-9])((?:I|US|SR|Route|Highway|Interstate)[ -]?[0-9]{1,4})"
 POINT = "(-?[0-9]{1,2}\\.[0-9]+), (-?[0-9]{1,3}\\.[0-9]+)"
@@ -43,20 +38,20 @@ DATE = "([0-9]{1,2} (?:January|February|March|April|May|June|July|August|Septemb
 KINDS = (("schools", "School|College|University|Campus|District"), ("agencies", "Police|Fire|Transit|Council|County|City|Department|Authority"), ("organizations", "Hospital|Library|Foundation|Center|Association|District"))
 
 
-def mentioned(text: Column, i: Column) -> Column:
-    return F.concat(F.coalesce(text, F.lit("")), *[F.when(i % n == r, x).otherwise("") for n, r, x in MENTIONS])
-
-
-MENTIONED = " || ".join(["coalesce(text, '')", *(f"CASE WHEN doc_id % {n} = {r} THEN '{x}' ELSE '' END" for n, r, x in MENTIONS)])
+TEXT_SQL = "coalesce(text, '')"
 ONCE = "list_filter({a}, lambda x, i: list_position({a}, x) = i)"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {MENTIONED} AS text FROM documents), e AS (SELECT doc_id, text, regexp_extract_all(text, '{PHRASE.replace("'", "''")}', 1) AS p, regexp_extract_all(text, '{ROAD}', 1) AS r, regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)', 1) AS n FROM t)
+@query(f"""WITH t AS (SELECT doc_id, {TEXT_SQL} AS text FROM documents), e AS (SELECT doc_id, text, regexp_extract_all(text, '{PHRASE.replace("'", "''")}', 1) AS p, regexp_extract_all(text, '{ROAD}', 1) AS r, regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)', 1) AS n FROM t)
 SELECT doc_id, array_to_string({ONCE.format(a='n')}[1:12], ' ') AS names, len(list_distinct(n)) AS n_names, array_to_string({ONCE.format(a='r')}, ',') AS roads, {", ".join(f"array_to_string({ONCE.format(a=f'list_filter(p, lambda x: regexp_matches(x, {chr(39)}{w}{chr(39)}))')}, ',') AS {k}" for k, w in KINDS)},
   regexp_extract(text, '{POINT}', 1) AS lat, regexp_extract(text, '{POINT}', 2) AS lon FROM e""")
 def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, roads, schools, agencies, organisations and the first coordinates of each text."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", mentioned(F.col("text"), F.col("doc_id")).alias("text"))
+    return entity_rows(table(spark, sf_dir, "documents"))
+
+
+def entity_rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("p", F.regexp_extract_all("text", F.lit(PHRASE), F.lit(1)))
     kind = lambda w: F.array_join(F.array_distinct(F.filter("p", lambda x: x.rlike(w))), ",")
     names = classify.entities(F.col("text"))
@@ -66,13 +61,16 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH t AS (SELECT doc_id, {MENTIONED} AS text FROM documents), s AS (SELECT doc_id, text, {SENTENCES.format(x='text')} AS s FROM t), f AS (SELECT doc_id, text, list_filter(s, lambda x: length(x) BETWEEN 40 AND 240) AS f FROM s)
+@query(f"""WITH t AS (SELECT doc_id, {TEXT_SQL} AS text FROM documents), s AS (SELECT doc_id, text, {SENTENCES.format(x='text')} AS s FROM t), f AS (SELECT doc_id, text, list_filter(s, lambda x: length(x) BETWEEN 40 AND 240) AS f FROM s)
 SELECT doc_id, len(f) AS n_candidates, md5(array_to_string(f[1:18], '|')) AS facts_md5, array_to_string({ONCE.format(a=f"regexp_extract_all(text, '{DATE}', 1)")}, ',') AS dates, len(list_distinct(regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)', 1))) AS n_entities,
   round(CASE WHEN len(f) >= 2 THEN 0.5 WHEN len(f) = 1 THEN 0.3 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)', 1)) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '{DATE}', 1)) > 0 THEN 0.2 ELSE 0 END, 2)::DOUBLE AS confidence FROM f""")
 def fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of 40 to 240 characters, the first eighteen, with dates, entities and how much there is to go by."""
-    text = mentioned(F.col("text"), F.col("doc_id"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return fact_rows(table(spark, sf_dir, "documents"))
+
+
+def fact_rows(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"f": F.filter(T.sentences(F.col("text")), lambda s: F.length(s).between(40, 240)), "d": F.array_distinct(F.regexp_extract_all("text", F.lit(DATE), F.lit(1))), "e": classify.entities(F.col("text"))})
     n = F.size("f")
     confidence = F.when(n >= 2, 0.5).when(n == 1, 0.3).otherwise(0.0) + F.when(F.size("e") > 0, 0.3).otherwise(0.0) + F.when(F.size("d") > 0, 0.2).otherwise(0.0)
@@ -94,19 +92,18 @@ def local_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(named, "id", "left").select("id", editorial.blocked(F.col("title"), F.col("link"), DOMAINS, F.coalesce("hit", F.lit(False))).alias("blocked"))
 
 
-#: Places by phrases of the benchmark: (how many there are; city and state are its words 2 to 3 and 5, an alias words 7 to 8).
-@query(f"""WITH {ITEMS_SQL}, pl AS (SELECT item_id, k[2:3].array_to_string(' ') AS city, k[5] AS state, k[7:8].array_to_string(' ') AS alias FROM (SELECT item_id, {W.format(x='text')} AS k FROM benchmark) WHERE len(k) >= 8 AND item_id < 40),
+#: Places by phrases of the benchmark: city and state are its words 2 to 3 and 5, an alias words 7 to 8.
+@query(f"""WITH {ITEMS_SQL}, pl AS (SELECT item_id, k[2:3].array_to_string(' ') AS city, k[5] AS state, k[7:8].array_to_string(' ') AS alias FROM (SELECT item_id, {W.format(x='text')} AS k FROM benchmark) WHERE len(k) >= 8),
 x AS (SELECT id, ' ' || array_to_string({W.format(x="concat_ws(' ', title, " + SUMMARY_SQL + ", source_name)")}, ' ') || ' ' AS said, ' ' || array_to_string({W.format(x='title')}, ' ') || ' ' AS titled, source_name FROM items)
 SELECT id, count(*) AS n_cities, min(item_id) AS first_city FROM x JOIN pl ON contains(said, ' ' || city || ' ') OR (contains(said, ' ' || string_split(city, ' ')[1] || ' ') AND contains(said, ' ' || string_split(city, ' ')[2] || ' ')) OR (contains(titled, ' ' || state || ' ') AND contains(source_name, string_split(city, ' ')[1])) OR contains(said, ' ' || alias || ' ') GROUP BY id""")
 def local_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items about a city of a given list of forty: by its name, all its words, state and source, or an alias."""
+    """Items about a city: by its name, all its words, state and source, or an alias."""
     k = T.words(F.col("text"))
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", k.alias("k")).where(F.size("k") >= 8)
-    cities = b.select("item_id", F.array_join(F.slice("k", 2, 2), " ").alias("city"), F.get("k", F.lit(4)).alias("state"), F.array(F.array_join(F.slice("k", 7, 2), " ")).alias("aliases"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", k.alias("k")).where(F.size("k") >= 8)
+    cities = b.select(F.col("item_id").alias("city_id"), F.array_join(F.slice("k", 2, 2), " ").alias("city"), F.get("k", F.lit(4)).alias("state"), F.array(F.array_join(F.slice("k", 7, 2), " ")).alias("aliases"))
     canon = lambda c: F.concat(F.lit(" "), F.array_join(T.words(c), " "), F.lit(" "))
     rows = items(spark, sf_dir).select("id", canon(F.concat_ws(" ", "title", T.summary(F.col("text")), "source_name")).alias("said"), canon(F.col("title")).alias("titled"), "source_name")
-    ok = editorial.relevant(F.col("said"), F.col("titled"), F.col("source_name"), F.col("city"), F.col("state"), F.col("aliases"))
-    return rows.join(F.broadcast(cities), ok).groupBy("id").agg(F.count("*").alias("n_cities"), F.min("item_id").alias("first_city"))  # forty rows at most
+    return editorial.about(rows, cities).groupBy("id").agg(F.count("*").alias("n_cities"), F.min("city_id").alias("first_city"))
 
 
 @query(f"""WITH {PLACES_SQL}, b AS (SELECT place_id, [name || ' ' || code, name || ' ' || code || ' local news', name || ' ' || state || ' local news', '"' || name || '" ' || code, '"' || name || '" ' || state] AS v FROM (SELECT *, upper(substr(state, 1, 2)) AS code FROM places)),

@@ -44,11 +44,8 @@ def city_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT query_id, id, score, published_at, CASE WHEN starts_with(lower(title), query) THEN 40 ELSE 0 END + CASE WHEN contains(lower(title), query) THEN 20 ELSE 0 END + CAST(coalesce(list_sum(list_transform(string_split(query, ' '), lambda t: CASE WHEN contains(lower(title), t) THEN 6 ELSE 0 END)), 0) AS INT) AS points FROM stories, q)
 SELECT query_id, id, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, score DESC, published_at DESC, id) AS rank FROM x WHERE points > 0 QUALIFY rank <= 5""")
 def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.broadcast(spark.createDataFrame([(1, "the"), (2, "un"), (3, "die en")], "query_id int, query string"))  # a given list
-    title = F.lower("title")
-    points = F.when(F.startswith(title, F.col("query")), 40).otherwise(0) + F.when(F.contains(title, F.col("query")), 20).otherwise(0) + F.aggregate(F.split("query", " "), F.lit(0), lambda n, t: n + F.when(F.contains(title, t), 6).otherwise(0))
-    hits = stories(spark, sf_dir).crossJoin(asked).withColumn("points", points).where("points > 0")
-    return ranking.top_per_group(hits, ["query_id"], [F.desc("points"), F.desc("score"), F.desc("published_at"), F.asc("id")], 5).select("query_id", "id", "points", "rank")
+    asked = spark.createDataFrame([(1, "the"), (2, "un"), (3, "die en")], "query_id int, query string")
+    return ranking.preview(stories(spark, sf_dir), asked, 5)
 
 
 @query(f"""WITH {STORIES_SQL}, m AS (SELECT *, unnest(list_filter(['all', CASE WHEN hours_old <= 48 THEN 'fresh' END, CASE WHEN source_count > 1 THEN 'covered' END, CASE WHEN category = 'en' THEN 'english' END, CASE WHEN length(title) < 60 THEN 'short' END], lambda x: x IS NOT NULL)) AS section FROM stories)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators import local, ranking
+from tidewire.operators import local, lookup, ranking
 from tidewire.sources.landed import CLUSTERS_SQL, METRICS_SQL, NOW, PLACES_SQL, SIGNALS_SQL, clusters, places, signals, story_metrics, table
 
 QUERIES: dict = {}
@@ -51,8 +51,10 @@ s AS (SELECT query_id, place_id, name, CASE WHEN lower(name) = q THEN 50000 ELSE
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, place_id) AS rank, place_id, name, score FROM s QUALIFY rank <= 8""")
 def place_autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame([(1, "customer#00000001"), (2, "#000000123"), (3, "customer#000000042")], "query_id int, q string")
-    name, display = F.lower("name"), F.lower(F.concat_ws(", ", "name", "state"))
-    hits = places(spark, sf_dir).crossJoin(F.broadcast(asked)).where(F.contains(display, F.col("q")))  # a given list of three queries
+    known = places(spark, sf_dir).withColumn("display", F.lower(F.concat_ws(", ", "name", "state")))
+    found = lookup.containing(known.select(F.col("place_id").alias("id"), F.col("display").alias("text")), asked).withColumnRenamed("id", "place_id")
+    name, display = F.lower("name"), F.col("display")
+    hits = found.join(asked, "query_id").join(known, "place_id")
     score = F.when(name == F.col("q"), 50000).otherwise(0) + F.when(F.startswith(name, F.col("q")), 8000).otherwise(0) + F.when(F.startswith(display, F.col("q")), 12000).otherwise(0)
     return ranking.top_per_group(hits.withColumn("score", score), ["query_id"], [F.desc("score"), F.asc("name"), F.asc("place_id")], 8).select("query_id", "rank", "place_id", "name", "score")
 

@@ -219,10 +219,11 @@ def week_story(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick.select("id", "title", "topic", F.round("week_score", 4).alias("score"), F.col("days").cast("long").alias("sustained_days"), F.when(F.col("same"), "same_article_as_day").otherwise("unique").alias("duplicate_status"))
 
 
-@query(f"""WITH {ITEMS_SQL}, t AS (SELECT id, {tokens_sql(SUMMARY_SQL).removesuffix('[1:12]')} AS k FROM items), c AS (SELECT id, token, count(*) AS n, max(total) AS total FROM (SELECT id, len(k) AS total, unnest(k) AS token FROM t) GROUP BY id, token), m AS (SELECT id, max(n) AS most, max(total) AS total FROM c GROUP BY id)
+@query(f"""WITH {ITEMS_SQL}, t AS (SELECT id, {tokens_sql('text').removesuffix('[1:12]')} AS k FROM items), c AS (SELECT id, token, count(*) AS n, max(total) AS total FROM (SELECT id, len(k) AS total, unnest(k) AS token FROM t) GROUP BY id, token), m AS (SELECT id, max(n) AS most, max(total) AS total FROM c GROUP BY id)
 SELECT t.id, CAST(CASE WHEN most >= 4 OR (total >= 6 AND most >= 0.28 * total) THEN most ELSE 0 END AS INT) AS stuffed FROM t LEFT JOIN m ON m.id = t.id""")
 def keyword_stuffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("id", similarity.stuffing(T.title_tokens(T.summary(F.col("text")), 10_000)).alias("stuffed"))
+    """The greatest count of one token in the whole text, where it is too great."""
+    return items(spark, sf_dir).select("id", similarity.stuffing(T.title_tokens(F.col("text"), (1 << 31) - 1)).alias("stuffed"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS k FROM conversations),
