@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators.graph import components
-from tidewire.operators.shuffles import join_unique, maybe_in, saved
+from tidewire.operators.lookup import near_words
+from tidewire.operators.shuffles import join_unique, saved
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, longest: int = 3) -> DataFrame:
@@ -89,15 +90,8 @@ def about(texts: DataFrame, cities: DataFrame) -> DataFrame:
     A city asks by the rarest word of its name, of its state and of each alias; a text that is about it holds one of these."""
     known = saved(cities, "about-cities")
     named = F.concat(F.array("city", "state"), F.coalesce("aliases", F.array().cast("array<string>")))
-    asks = saved(known.select("city_id", F.posexplode(named).alias("place", "phrase")).select("city_id", "place", F.explode(F.filter(F.split("phrase", " "), lambda w: w != "")).alias("word")), "about-words")
     rows = saved(texts, "about-texts")
-    wanted = asks.select("word").distinct()
-    cut = rows.select("id", F.explode(F.array_distinct(F.filter(F.split("said", " "), lambda w: w != ""))).alias("word"))
-    index = saved(maybe_in(cut, wanted, "word").join(wanted, "word", "left_semi"), "about-index")
-    held = index.groupBy("word").agg(F.count("*").alias("n"))
-    rare = asks.join(held, "word", "left").groupBy("city_id", "place").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("best")).where("best.n > 0")
-    by_word = rare.groupBy(F.col("best.word").alias("word")).agg(F.collect_set("city_id").alias("ids"))
-    pairs = join_unique(index, by_word, "word", counts=held).select("id", F.explode("ids").alias("city_id")).distinct()
+    pairs = near_words(rows.select("id", "said"), known.select(F.col("city_id").alias("key"), F.explode(named).alias("phrase"))).withColumnRenamed("key", "city_id")
     met = pairs.join(known, "city_id").join(rows, "id")
     return met.where(relevant(*map(F.col, ("said", "titled", "source_name", "city", "state", "aliases")))).select("id", "city_id")
 

@@ -55,3 +55,22 @@ def token_hits(texts: DataFrame, queries: DataFrame) -> DataFrame:
     met = saved(words_containing(texts.select("id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")), asked.select("token")), "lookup-hits")
     askers = asked.groupBy("token").agg(F.collect_list(F.struct("query_id", "n")).alias("asks"))
     return join_unique(met, askers, "token").select("id", "token", F.explode("asks").alias("ask")).select("ask.query_id", "token", "ask.n", "id")
+
+
+def near_words(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """texts (id, said: words between blanks) and phrases (key, phrase) -> (id, key): texts that hold the rarest word of one of a
+    key's phrases. Whoever says a phrase is among them; the caller compares."""
+    asks = saved(phrases.select("key", "phrase", F.explode(F.filter(F.split("phrase", " "), lambda w: w != "")).alias("word")).distinct(), "near-asks")
+    wanted = asks.select("word").distinct()
+    cut = texts.select("id", F.explode(F.array_distinct(F.filter(F.split("said", " "), lambda w: w != ""))).alias("word"))
+    index = saved(maybe_in(cut, wanted, "word").join(wanted, "word", "left_semi"), "near-index")
+    held = index.groupBy("word").agg(F.count("*").alias("n"))
+    rare = asks.join(held, "word", "left").groupBy("key", "phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("best")).where("best.n > 0")
+    by_word = rare.groupBy(F.col("best.word").alias("word")).agg(F.collect_set("key").alias("keys"))
+    return join_unique(index, by_word, "word", counts=held).select("id", F.explode("keys").alias("key")).distinct()
+
+
+def phrases_in(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """texts (id, said: words between blanks, one at each end) and phrases (phrase) -> (id, phrase) of the texts that say it."""
+    met = near_words(texts, phrases.where("phrase <> ''").select(F.col("phrase").alias("key"), "phrase"))
+    return met.join(texts, "id").where(F.contains("said", F.concat(F.lit(" "), "key", F.lit(" ")))).select("id", F.col("key").alias("phrase"))
