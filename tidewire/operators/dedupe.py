@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.functions import text as T
+from tidewire.operators.shuffles import groups
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,22 +25,69 @@ def keep_latest(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFram
     return best.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
 
 
+def next_greater(values: list) -> list[int]:
+    """For each place the first later one with a greater value, else the length."""
+    out, open_ = [len(values)] * len(values), []
+    for k, v in enumerate(values):
+        while open_ and values[open_[-1]] < v:
+            out[open_.pop()] = k
+        open_.append(k)
+    return out
+
+
+def steps(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Rows (time, score, id) of one key in order, as a function of the row kept before them: (time, score, id kept at the end) of
+    each row that a kept one may be replaced by first, which are those that exceed all before them in time or score."""
+    after = [min(p) for p in zip(next_greater([r[0] for r in rows]), next_greater([r[1] for r in rows]), strict=True)]
+    end = list(range(len(rows)))
+    for k in range(len(rows) - 1, -1, -1):
+        if after[k] < len(rows):
+            end[k] = end[after[k]]
+    out, most = [], (None, None)
+    for k, (time, score, _) in enumerate(rows):
+        if not k or time > most[0] or score > most[1]:
+            out.append((time, score, *rows[end[k]]))
+            most = (time, score) if not k else (max(most[0], time), max(most[1], score))
+    return out
+
+
+def apply_steps(kept: tuple | None, block: list[tuple]) -> tuple:
+    """The (time, score, id) kept after a block of steps."""
+    if kept is None:
+        return tuple(block[0][2:])
+    return next((tuple(x[2:]) for x in block if x[0] > kept[0] or x[1] > kept[1]), kept)
+
+
 def fold_duplicates(items: DataFrame, key: str = "link", id_col: str = "id") -> DataFrame:
-    """Of each key's rows in order of id: the next row replaces the kept one if it is newer or scores higher. That is no
-    order, so the rows of a key are folded. A row with the time and score of the one before it changes nothing and is
-    dropped first; what is left of a key is folded in one row, so keys should be links or titles, not a few values."""
-    w = Window.partitionBy(key).orderBy(id_col)
-    same = (F.lag("published_at").over(w) == F.col("published_at")) & (F.lag("base_score").over(w) == F.col("base_score"))
-    distinct = items.select(key, "published_at", "base_score", F.col(id_col).alias("ord"), F.coalesce(same, F.lit(False)).alias("__same")).where("not __same")
-    rows = F.array_sort(F.collect_list(F.struct("ord", "published_at", "base_score")))
-    folded = distinct.groupBy(key).agg(rows.alias("rows")).select(
-        key,
-        F.aggregate(
-            F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1))), F.element_at("rows", 1),
-            lambda kept, x: F.when((x["base_score"] > kept["base_score"]) | (x["published_at"] > kept["published_at"]), x).otherwise(kept),
-        ).alias("kept"),
-    )
-    return folded.select(key, F.col("kept.ord").alias(id_col))
+    """(key, id): of each key's rows in order of id, the next row replaces the kept one if it is newer or scores higher.
+
+    That is no order, so it can't be a maximum; but a run of rows is a function of what was kept before it, and functions compose.
+    Rows are dealt in ranges of (key, id), so that a key of any size lies over several tasks; each task turns its part of a key
+    into steps, and the parts of a key, at most as many as there are ranges, are applied in their order."""
+    kind = items.schema[key].dataType.simpleString()
+    rows = items.select(F.col(key).alias("key"), F.unix_micros("published_at").alias("time"), F.col("base_score").cast("long").alias("score"), F.col(id_col).cast("long").alias("id"))
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(width, "key", "id").sortWithinPartitions("key", "id")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, names = TaskContext.get().partitionId(), ["key", "part", "steps"]
+        step = pa.list_(pa.struct([("at", pa.int64()), ("score", pa.int64()), ("kept_at", pa.int64()), ("kept_score", pa.int64()), ("kept", pa.int64())]))
+        for group in groups(batches, "key"):
+            found = steps(list(zip(*(group.column(c).to_pylist() for c in ("time", "score", "id")), strict=True)))
+            told = [dict(zip(("at", "score", "kept_at", "kept_score", "kept"), x, strict=True)) for x in found]
+            yield pa.record_batch([group.column("key").combine_chunks()[:1], pa.array([part]), pa.array([told], step)], names=names)
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, "key"):
+            kept = None
+            for block in group.column("steps").to_pylist():
+                kept = apply_steps(kept, [tuple(x.values()) for x in block])
+            yield pa.record_batch([group.column("key").combine_chunks()[:1], pa.array([kept[2]], pa.int64())], names=[key, id_col])
+
+    parts = dealt.mapInArrow(summed, f"key {kind}, part long, steps array<struct<at:long,score:long,kept_at:long,kept_score:long,kept:long>>")
+    return parts.repartition(width, "key").sortWithinPartitions("key", "part").mapInArrow(applied, f"`{key}` {kind}, `{id_col}` long")
 
 
 def item_key(link: Column, source: Column, title: Column) -> Column:

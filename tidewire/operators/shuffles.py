@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +114,25 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 def beside(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """The smaller side of an equi join: sent to every task if it has `most` rows at most, else merged after a shuffle."""
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of equal keys of a partition that is sorted by key, each as one table; a run may span batches."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held)
