@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.operators.shuffles import beside
+from tidewire.operators.shuffles import groups as groups_in_arrow
 from tidewire.operators.shuffles import saved as written
 
 
@@ -21,30 +22,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def groups_in_arrow(
-    batches: Iterator[pa.RecordBatch], key: str
-) -> Iterator[pa.RecordBatch | pa.Table]:
-    """Runs of equal keys of a partition that is sorted by key, each as one table; a run may span batches."""
-    import numpy as np
-
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if held and keys[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def by_sorted_key(
     df: DataFrame, key: str, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
