@@ -106,6 +106,17 @@ def test_license_units(spark):
     assert got == {(1, "MIT", "text", 1), (2, "MIT", "line", 1)}
 
 
+def test_licenses_over_any_number_of_paragraphs(spark):
+    """A blank line after every line, and after every few words in a caller's own text; inside a file and not."""
+    own = "\n".join(f"permission number {k} is granted to all who ask for it kindly" for k in range(14))
+    known = [*licenses.KNOWN, ("Own", own)]
+    wide = lambda t: t.replace("\n", "\n\n")
+    texts = [f"# a file\n\n{wide(t)}\n\nint main() {{}}" for t in (licenses.BSD_HEAD + licenses.BSD_TAIL, licenses.UNLICENSE, own)]
+    texts += [f"# a file\n\n{wide(own)[:-3]}\n\nmore", "only\n\n" + wide(own)]
+    got = {(r.doc_id, r.license_id) for r in licenses.license_report(documents(spark, texts), known).collect()}
+    assert got == {(1, "BSD-2-Clause"), (2, "Unlicense"), (3, "Own"), (5, "Own")}
+
+
 def test_licenses_in_any_wrapping_and_inside_files(spark):
     import textwrap
 
@@ -268,6 +279,11 @@ def test_decontamination_in_any_case_and_with_longer_slots():
     assert [x[0] for x in short.hits("then Mary has 7 apples. How many apples remain?", 0.8)] == [1]
     assert [x[0] for x in short.hits("Mary Ann has 7 apples. How many apples remain?", 0.8)] == [1]
     assert [x[0] for x in short.hits("Tom has twenty five apples. How many apples remain?", 0.8)] == [1]
+    assert [x[0] for x in short.hits("Tom has twenty-one apples. How many apples remain?", 0.8)] == [1]
+    assert [x[0] for x in short.hits("Tom has forty-well apples. How many apples remain?", 0.8)] == []
+    rope = decontaminate.Index([(1, "How many pieces of 12 cm can be cut from a rope of 3 m and how much is left")], 5)
+    for text in ("How many pieces of 12cm can be cut from a rope of 3m and how much is left", "How many pieces of 40 mm can be cut from a rope of 2km and how much is left", "How many pieces of thirty-six cm can be cut from a rope of 3 m and how much is left"):
+        assert [x[0] for x in rope.hits(text, 0.8)] == [1]
     assert [x[0] for x in short.hits("Tom has 7 apples. Where many apples remain?", 0.8)] == []
 
 

@@ -61,11 +61,25 @@ LAST_KIND = 3
 LITERALS = 3
 
 
+#: A unit right behind its number.
+GLUED = re.compile("(?i)([0-9])(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")(?![A-Za-z0-9])")
+
+
+def split_words(text: str) -> list[str]:
+    """Words between blanks; a unit that is glued to its number is a word of its own."""
+    return GLUED.sub(r"\1 \2", text).split()
+
+
+def is_numeral(word: str) -> bool:
+    """A spelt number, also in parts with hyphens between them (in lower case)."""
+    return word in NUMERALS or ("-" in word and all(part in NUMERALS or part == "and" for part in word.split("-")) and word.split("-")[0] in NUMERALS)
+
+
 def kind_of(core: str, first: bool) -> str:
     """'' for a literal word, else its placeholder. A capitalised word is a name unless it opens a sentence."""
     if core[:1] in NUMBER_STARTS and NUMBER.fullmatch(core):
         return "<number>"
-    if core.lower() in NUMERALS:
+    if is_numeral(core.lower()):
         return "<number>"
     if core.lower() in UNITS:
         return "<unit>"
@@ -75,7 +89,7 @@ def kind_of(core: str, first: bool) -> str:
 def template_words(text: str) -> list[tuple[str, str]]:
     """(core, placeholder or literal in lower case) of each word."""
     out, first = [], True
-    for raw in text.split():
+    for raw in split_words(text):
         core = raw.strip(EDGES) or raw
         out.append((core, kind_of(core, first) or core.lower()))
         first = raw.endswith(ENDS)
@@ -99,6 +113,8 @@ class Words(dict):
     def __missing__(self, raw: str) -> int:
         core = raw.strip(EDGES) or raw
         number, ends = self.literal.get(core.lower(), 0), raw[-1] in ENDS
+        if not number and is_numeral(core.lower()):
+            number = KINDS["<number>"]
         if not number and core[0].islower():
             self[raw] = int(ends)
             return int(ends)
@@ -117,7 +133,7 @@ class Words(dict):
         asked for, all words as they are. Neighbouring placeholders of a type are one template word."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        raws = text.split()
+        raws = split_words(text)
         at = np.fromiter(map(self.__getitem__, raws), np.int64, len(raws))
         first = np.ones(len(at), bool)
         first[1:] = np.frombuffer(self.ends, np.int8)[at[:-1]]
@@ -152,7 +168,7 @@ class Text:
     """Words of a text with what opens a sentence, in forms."""
 
     def __init__(self, text: str, forms: list[tuple[np.ndarray, np.ndarray]]):
-        raws = text.split()
+        raws = split_words(text)
         self.cores = [r.strip(EDGES) or r for r in raws]
         self.lower = [c.lower() for c in self.cores]
         self.first = [True, *(r.endswith(ENDS) for r in raws[:-1])]
@@ -289,7 +305,7 @@ class Index:
             return
         start = 0
         for line in text.split("\n"):
-            raws = line.split()
+            raws = split_words(line)
             if 0 < len(raws) < self.window:
                 for item in self.lines.get(" ".join((r.strip(EDGES) or r).lower() for r in raws), ()):
                     yield item, start, 1, 1, True
