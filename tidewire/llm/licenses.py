@@ -132,8 +132,13 @@ KNOWN = (
 
 #: Fixed value: what parts paragraphs.
 PARAGRAPH = "\n[ \t]*\n"
-#: How many neighbouring paragraphs make a block.
-BLOCKS = (2, 3, 4, 5)
+
+
+def block_sizes(known) -> range:
+    """How many neighbouring paragraphs may hold a known text: as many as the longest of them has lines."""
+    return range(2, 1 + max([2, *(t.count("\n") + 1 for _, t in known)]))
+
+
 #: Words of which every known text has one; a caller's own texts may have none of them, then nothing is left out.
 TELLING = "licen[sc]e|permission|redistribut|unencumbered"
 
@@ -147,8 +152,15 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
 
 
-def units(text: Column) -> Column:
-    """array<struct<unit, body>>: the text; its paragraphs if there are several; their blocks; its lines likewise."""
+def n_words(text: Column) -> Column:
+    """Words of the canonical form."""
+    x = canonical(text)
+    return F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
+
+
+def units(text: Column, sizes: range, lengths: list[int]) -> Column:
+    """array<struct<unit, body>>: the text; its paragraphs if there are several; blocks of `sizes` neighbouring ones that have as many
+    words as a known text (lengths); its lines likewise."""
     none = F.array().cast("array<struct<unit:string,body:string>>")
 
     def as_units(kind: str, parts: Column) -> Column:
@@ -157,14 +169,19 @@ def units(text: Column) -> Column:
     def several(kind: str, parts: Column) -> Column:
         return F.when(F.size(parts) > 1, as_units(kind, parts)).otherwise(none)
 
-    def block(parts: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(parts) - n + 1)
-        return F.when(F.size(parts) > n, as_units("block", F.transform(starts, lambda k: F.array_join(F.slice(parts, k, n), "\n\n")))).otherwise(none)
-
     paragraphs = F.split(text, PARAGRAPH)
-    return F.concat(
-        F.array(F.struct(F.lit("text").alias("unit"), text.alias("body"))), several("paragraph", paragraphs), *[block(paragraphs, n) for n in BLOCKS], several("line", F.split(text, "\n"))
-    )
+
+    def found(counts: Column) -> Column:
+        """(first paragraph, how many) of the blocks. Sums are of a few whole numbers; a body is built where one fits."""
+        known = F.array(*map(F.lit, lengths)).cast("array<int>")
+        fits = lambda k, n: F.array_contains(known, F.aggregate(F.slice(counts, k, n), F.lit(0), lambda a, x: a + x))
+        of = lambda n: F.when(F.size(counts) > n, F.transform(F.filter(F.sequence(F.lit(1), F.size(counts) - n + 1), lambda k: fits(k, n)), lambda k: F.struct(k.alias("k"), F.lit(n).alias("n"))))
+        return F.concat(*[F.coalesce(of(n), F.array().cast("array<struct<k:int,n:int>>")) for n in sizes])
+
+    # counted once: a filter over a single-element array binds the counts for all sizes
+    blocks = F.flatten(F.transform(F.array(F.transform(paragraphs, n_words)), found))
+    bodies = F.transform(blocks, lambda b: F.array_join(F.slice(paragraphs, b["k"], b["n"]), "\n\n"))
+    return F.concat(F.array(F.struct(F.lit("text").alias("unit"), text.alias("body"))), several("paragraph", paragraphs), F.when(F.size(paragraphs) > 2, as_units("block", bodies)).otherwise(none), several("line", F.split(text, "\n")))
 
 
 def known_digests(spark, known=KNOWN) -> DataFrame:
@@ -184,7 +201,9 @@ def license_hits(df: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col: s
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body_text"))
     if word:
         named = named.where(F.lower("body_text").rlike(word))
-    found = named.select("id", F.inline(units(F.col("body_text"))))
+    given = spark.createDataFrame(list(known), "license_id string, body string")
+    lengths = sorted({r.n for r in given.select(n_words(F.col("body")).alias("n")).collect()})  # one number for each known text
+    found = named.select("id", F.inline(units(F.col("body_text"), block_sizes(known), lengths)))
     if word:
         found = found.where(F.lower("body").rlike(word))
     found = found.select("id", "unit", F.md5(canonical(F.col("body"))).alias("digest"))
@@ -208,20 +227,25 @@ def license_report(df: DataFrame, known=KNOWN, id_col: str = "doc_id", text_col:
 
 def report_sql(known=KNOWN, table: str = "documents") -> str:
     """The same for DuckDB."""
-    def canon(x: str) -> str:
+    def canon_text(x: str) -> str:
         x = f"array_to_string(list_filter(string_split(lower({x}), chr(10)), lambda l: NOT regexp_matches(l, '{COPYRIGHT_LINE}')), chr(10))"
         for plain, variant in SPELLINGS:
             x = f"regexp_replace({x}, '{variant}', '{plain}', 'g')"
-        return f"md5(trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g')))"
+        return f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+
+    def canon(x: str) -> str:
+        return f"md5({canon_text(x)})"
 
     rows = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known)
     several = "CASE WHEN len({p}) > 1 THEN list_transform({p}, lambda b: {{'unit': '{k}', 'body': b}}) ELSE [] END"
     paragraphs = "regexp_split_to_array(text, '\\n[ \\t]*\\n')"
-    block = "CASE WHEN len({p}) > {n} THEN list_transform(range(1, len({p}) - {n} + 2), lambda i: {{'unit': 'block', 'body': array_to_string({p}[i:i + {n} - 1], chr(10) || chr(10))}}) ELSE [] END"
-    parts = [several.format(p=p, k=k) for k, p in (("paragraph", paragraphs), ("line", "string_split(text, chr(10))"))]
-    parts[1:1] = [block.format(p=paragraphs, n=n) for n in BLOCKS]
+    words = f"len(list_filter(string_split({canon_text('b')}, ' '), lambda w: w <> ''))"
+    block = "CASE WHEN len(p) > {n} THEN list_transform(list_filter(range(1, len(p) - {n} + 2), lambda i: list_contains(l, list_sum(c[i:i + {n} - 1]))), lambda i: {{'unit': 'block', 'body': array_to_string(p[i:i + {n} - 1], chr(10) || chr(10))}}) ELSE [] END"
+    parts = [several.format(p="p", k="paragraph"), *[block.format(n=n) for n in block_sizes(known)], several.format(p="string_split(text, chr(10))", k="line")]
     return f"""WITH known AS (SELECT DISTINCT license_id, {canon('body')} AS digest FROM (VALUES {rows}) k(license_id, body)),
-u AS (SELECT doc_id, unnest(list_concat([{{'unit': 'text', 'body': text}}], {', '.join(parts)})) AS x FROM {table} WHERE text IS NOT NULL),
+kl AS (SELECT list(DISTINCT {words}) AS l FROM (VALUES {rows}) k(license_id, b)),
+tp AS (SELECT doc_id, text, {paragraphs} AS p FROM {table} WHERE text IS NOT NULL), tc AS (SELECT *, list_transform(p, lambda b: {words}) AS c FROM tp, kl),
+u AS (SELECT doc_id, unnest(list_concat([{{'unit': 'text', 'body': text}}], {', '.join(parts)})) AS x FROM tc),
 h AS (SELECT doc_id, x.unit AS unit, {canon('x.body')} AS digest FROM u)
 SELECT doc_id, license_id, unit, count(*) AS n_units, string_agg(DISTINCT digest, ',' ORDER BY digest) AS digests
 FROM h JOIN known USING (digest) GROUP BY doc_id, license_id, unit"""
