@@ -147,3 +147,50 @@ def audited(rows: DataFrame, arity: int = 8) -> DataFrame:
     found = manifest(rows, FIELDS, "lang", "doc_id", arity, tampered(rows))
     out = found.withColumn("folded_root", folded(F.col("other"), F.col("path")))
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def crc32_sql(text: str) -> str:
+    """The crc32 of an ASCII text; the query needs CRC_TABLE_SQL as a table of its own."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda d: ord(d)::BIGINT)), lambda c, b: xor(c >> 8, tb[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+CRC_TABLE_SQL = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS tb)"
+
+
+def audit_sql(table: str = "documents", arity: int = 8, heights: tuple[int, int] = (10, 6)) -> str:
+    """audited() for DuckDB, over trees of at most arity ** heights[0] rows and arity ** heights[1] groups."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: f"sha256({' || '.join(value(text if c == 'text' else c) for c in FIELDS)})"
+    low = f"translate(text, '{UPPER}', '{LOWER}')"
+    hit = f"doc_id IS NOT NULL AND {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0"
+    parts = [
+        CRC_TABLE_SQL,
+        f"lf AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, {leaf('text')} AS leaf, CASE WHEN {hit} THEN {leaf(f'{low}')} ELSE {leaf('text')} END AS other FROM {table}, crc)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n, leaf AS digest FROM lf)",
+    ]
+
+    def climb(a: str, height: int) -> None:
+        for k in range(height):
+            parts.append(f"{a}s{k} AS (SELECT tree, idx // {arity} AS run, max(n) AS n, list(digest ORDER BY idx) AS l FROM {a}{k} GROUP BY ALL)")
+            parts.append(f"{a}{k + 1} AS (SELECT tree, run AS idx, (n + {arity - 1}) // {arity} AS n, CASE WHEN n = 1 THEN l[1] ELSE sha256(array_to_string(l, '')) END AS digest FROM {a}s{k})")
+
+    def descend(a: str, rows: str, height: int) -> str:
+        """rows (tree, idx, proof, folded) taken through all levels."""
+        for k in range(height):
+            own = f"(r.idx // {arity**k}) % {arity}"
+            before, after = f"array_to_string(l[1:{own}], '')", f"array_to_string(l[{own} + 2:], '')"
+            parts.append(
+                f"{a}r{k} AS (SELECT r.* EXCLUDE (proof, folded), CASE WHEN s.n = 1 THEN proof ELSE proof || {before} || {after} END AS proof, CASE WHEN s.n = 1 THEN folded ELSE sha256({before} || folded || {after}) END AS folded "
+                f"FROM {rows} r JOIN {a}s{k} s ON s.tree = r.tree AND s.run = r.idx // {arity ** (k + 1)})"
+            )
+            rows = f"{a}r{k}"
+        return rows
+
+    climb("a", heights[0])
+    parts.append(f"b0 AS (SELECT '' AS tree, tree AS of, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, digest FROM a{heights[0]})")
+    climb("b", heights[1])
+    parts.append("ar AS (SELECT doc_id, tree, leaf, idx, '' AS proof, other AS folded FROM a0)")
+    last = descend("a", "ar", heights[0])
+    parts.append(f"br AS (SELECT doc_id, leaf, b0.tree, b0.idx, b0.digest AS subroot, proof, folded FROM {last} x JOIN b0 ON b0.of = x.tree)")
+    last = descend("b", "br", heights[1])
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}, (SELECT digest AS root FROM b{heights[1]})"

@@ -97,4 +97,4 @@ QUERIES = {
         op13_glr_repair,
     )
 }
-SQL = {"op5_license_scan": licenses.report_sql(), "op7_quote_linking": chat.reply_sql()}
+SQL = {"op5_license_scan": licenses.report_sql(), "op7_quote_linking": chat.reply_sql(), "op11_merkle_manifest": merkle.audit_sql()}
