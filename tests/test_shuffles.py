@@ -2,6 +2,8 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 from tidewire.operators import shuffles
 from tidewire.operators.graph import components
 
@@ -41,3 +43,20 @@ def test_maybe_in_loses_no_key(spark):
     some = shuffles.maybe_in(rows, keys, "k")
     assert some.columns == ["k", "id"] and some.count() < 1000
     assert some.join(keys, "k").count() == rows.join(keys, "k").count()
+
+
+def test_hot_and_null_keys_do_not_meet_in_one_task(spark):
+    left = shuffles.saved(spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 3 = 1 THEN NULL ELSE id % 500 END AS k", "id"), "left")
+    right = shuffles.saved(spark.range(500).selectExpr("id AS k", "id * 2 AS v"), "right")
+    had = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        joined = shuffles.join_unique(left, right, "k", "left")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for c, v in had.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == 30_000 and len(sizes) == 16 and max(sizes) < 3 * min(sizes)
+    rows = shuffles.join_unique(left, right, "k").collect()
+    assert len(rows) == 20_000 and all(r.v == 2 * r.k for r in rows)

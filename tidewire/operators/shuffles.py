@@ -102,8 +102,10 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left").join(
         F.broadcast(theirs.select(key, F.lit(True).alias("__hot_met"), *[F.col(c).alias(f"__hot_{c}") for c in payload])), key, "left"
     )
-    apart = F.when(F.col("__hot"), F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("long"))
-    cold = right.select(key, F.lit(0).cast("long").alias("__apart"), F.lit(True).alias("__met"), *[F.col(c).alias(f"__cold_{c}") for c in payload])
+    apart = F.when(F.col("__hot") | F.col(key).isNull(), F.xxhash64(*left.columns)).otherwise(F.lit(0).cast("long"))
+    # zero for every row, but no constant: the optimizer would take a constant out of the join's keys, and hot rows would meet
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    cold = right.select(key, zero.alias("__apart"), F.lit(True).alias("__met"), *[F.col(c).alias(f"__cold_{c}") for c in payload])
     # merged at every size: a broadcast of right would grow with the input
     met = marked.withColumn("__apart", apart).join(cold.hint("merge"), [key, "__apart"], "left")
     if how == "inner":
