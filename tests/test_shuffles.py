@@ -60,3 +60,11 @@ def test_hot_and_null_keys_do_not_meet_in_one_task(spark):
     assert sum(sizes) == 30_000 and len(sizes) == 16 and max(sizes) < 3 * min(sizes)
     rows = shuffles.join_unique(left, right, "k").collect()
     assert len(rows) == 20_000 and all(r.v == 2 * r.k for r in rows)
+
+
+def test_the_smaller_side_is_sent_by_rows_and_bytes(spark):
+    rows, side = spark.range(3000), spark.range(1000).selectExpr("id", "concat(md5(cast(id AS string)), md5(cast(id + 7 AS string))) AS t")
+    for most, most_bytes, sent in ((10_000, 1 << 20, True), (999, 1 << 20, False), (10_000, 20_000, False)):
+        joined = rows.join(shuffles.beside(side, most, most_bytes), "id")
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == sent
+        assert joined.count() == 1000

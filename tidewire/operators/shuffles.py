@@ -113,9 +113,20 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return met.select(*left.columns, *[F.coalesce(f"__cold_{c}", f"__hot_{c}").alias(c) for c in payload])
 
 
-def beside(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """The smaller side of an equi join: sent to every task if it has `most` rows at most, else merged after a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+def stored_bytes(df: DataFrame) -> int:
+    """The size of a table that saved() returned, as it is stored."""
+    spark, total = df.sparkSession, 0
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        total += where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return total
+
+
+def beside(df: DataFrame, most: int = 1_000_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """The smaller side of an equi join, worked out once as a saved table: sent to every task if it has `most` rows and
+    `most_bytes` on disk at most, else merged after a shuffle."""
+    table = saved(df, "beside")
+    return F.broadcast(table) if table.count() <= most and stored_bytes(table) <= most_bytes else table.hint("merge")
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
