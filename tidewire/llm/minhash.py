@@ -216,8 +216,8 @@ def near_duplicates(
     reps = classes.where("id = rep and n > 0").select("rep")
     bodies = sets.select(F.col("id").alias("rep"), "shingles")
     buckets = written(sets.select(F.col("id").alias("rep"), "buckets").join(reps, "rep").select("rep", F.explode("buckets").alias("bucket")), "shingle-buckets")
-    pivots = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
-    shared = written(buckets.join(written(pivots, "shingle-pivots"), "bucket"), "shingle-shared")
+    pivots = written(buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1"), "shingle-pivots")
+    shared = written(join_unique(buckets, pivots.select("bucket", "pivot"), "bucket", counts=pivots.select("bucket", F.col("members").alias("n"))), "shingle-shared")
 
     # every class with its buckets' pivots, a pair once; a pivot's classes are dealt to cells by hash
     star = written(shared.select("pivot", "rep").distinct(), "shingle-stars")
@@ -230,7 +230,7 @@ def near_duplicates(
     links = written(compared(cells, percent), "shingle-links")
     first = components(links, "shingle-components")
 
-    open_buckets = shared.join(parts.where("parts > 1").select("pivot"), "pivot").select("bucket", "rep")  # in one cell all pairs are compared
+    open_buckets = join_unique(shared, parts.where("parts > 1").select("pivot"), "pivot").select("bucket", "rep")  # in one cell all pairs are compared
     settled = written(settle(open_buckets, first, bodies, percent, cell), "shingle-links")
     # the settled links join components, so only components are followed again
     named_a, named_b = (first.select(F.col("node").alias(x), F.col("component").alias(f"{x}_home")) for x in "ab")
@@ -254,12 +254,11 @@ def settle(shared: DataFrame, components: DataFrame, bodies: DataFrame, percent:
         "shingle-labels",
     )
     counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("label")).alias("least"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    outside = labelled.join(mixed.select("bucket", (-F.col("main.least")).alias("core")), "bucket").where("label <> core")
-    light = written(outside.select("core", "rep", "label").distinct(), "shingle-outsiders")
-    inside = (
-        labelled.join(mixed.select("bucket", (-F.col("main.least")).alias("core")), "bucket").where("label = core").select("core", "rep", "label").distinct()
-    )
+    most = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("label")).alias("least"))).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n"))
+    mixed = written(most.where("labels > 1").select("bucket", (-F.col("main.least")).alias("core"), "n"), "shingle-mixed")
+    met = written(join_unique(labelled, mixed.select("bucket", "core"), "bucket", counts=mixed.select("bucket", "n")), "shingle-mixtures")
+    light = written(met.where("label <> core").select("core", "rep", "label").distinct(), "shingle-outsiders")
+    inside = met.where("label = core").select("core", "rep", "label").distinct()
     everyone = written(light.withColumn("light", F.lit(True)).union(inside.withColumn("light", F.lit(False))), "shingle-meetings")
     size = written(everyone.groupBy("core").agg(F.ceil(F.count("*") / cell).alias("all_parts"), F.ceil(F.count_if("light") / cell).alias("light_parts"), F.count("*").alias("n")), "shingle-cores")
     dealt = join_unique(everyone, size.drop("n"), "core", counts=size.select("core", "n")).withColumn("h", F.xxhash64("rep"))
