@@ -343,7 +343,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     )
     grams = written(classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1"), "chunk-grams")
     whole = classes.where("n > 1").select("gram", "chunk", F.lit(0).alias("start"), (F.col("windows") - 1).alias("stop"))
-    mixed = classes.join(grams.where("kinds > 1").select("gram"), "gram").select("gram", "chunk", "one.*", "back", "windows")
+    several = grams.where("kinds > 1")
+    mixed = join_unique(classes, several.select("gram"), "gram", counts=several.select("gram", F.col("kinds").alias("n"))).select("gram", "chunk", "one.*", "back", "windows")
     bodies = written(cells_of(docs, mixed, length), "chunk-bodies")
     keyed = bodies.select("gram", "chunk", F.explode(F.arrays_zip("cells", "places")).alias("x")).select("gram", "chunk", F.col("x.cells").alias("cell"), F.col("x.places").alias("place"))
     met = written(keyed.groupBy("cell").agg(F.count("*").alias("kinds")).where("kinds > 1"), "chunk-cells")
@@ -352,7 +353,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     parts = compared(wanted.where(F.col("kinds") <= HOT_CELL).join(held, ["gram", "chunk"]), length)
     dealt = counted(wanted.where(F.col("kinds") > HOT_CELL).join(held, ["gram", "chunk"]), length)
     ranges = written(parts.union(dealt).union(whole), "chunk-ranges")
-    own = chunks.select("gram", "chunk", "id", "first").join(ranges, ["gram", "chunk"])
+    kind = F.struct("gram", "chunk").alias("kind")
+    by_kind = ranges.groupBy(kind).agg(F.collect_set(F.struct("start", "stop")).alias("parts"))  # a chunk has fewer than `length` windows
+    met = join_unique(chunks.select(kind, "id", "first"), by_kind, "kind", counts=classes.where("n > 1").select(kind, "n"))
+    own = met.select("id", "first", F.explode("parts").alias("part")).select("id", "first", "part.*")
     spans = own.select("id", F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop") + length).alias("stop")).alias("x"))
     return spans.groupBy("id").agg(F.collect_set("x").alias("ranges"))
 
