@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.llm.common import written
-from tidewire.operators.shuffles import join_unique
+from tidewire.operators.shuffles import join_unique, maybe_in
 
 #: Fixed value: marks of a quote level at the start of a line.
 MARKS = "^[ \t]*(>[ \t]*)*"
@@ -85,7 +85,7 @@ def passages(parsed: DataFrame) -> DataFrame:
 def sayings(parsed: DataFrame, lengths: DataFrame) -> DataFrame:
     """(conv_id, words, origin): the earliest turn that says them, in conversations with lengths (conv_id, sizes) of quotes."""
     own = parsed.select("conv_id", "turn", F.filter("runs", lambda r: r["level"] == 0).alias("runs")).where(F.size("runs") > 0)
-    met = own.join(lengths, "conv_id")
+    met = join_unique(written(maybe_in(own, lengths, "conv_id"), "quote-sayers"), lengths, "conv_id")
     said = F.transform("runs", lambda r: F.array_join(r["rows"], " "))
 
     def windows(r: Column) -> Column:
@@ -102,7 +102,9 @@ def links(parsed: DataFrame) -> DataFrame:
     quotes = written(passages(parsed).where("conv_id is not null and turn is not null"), "quotes")
     lengths = quotes.groupBy("conv_id").agg(F.sort_array(F.collect_set("n")).alias("sizes"))
     keyed = quotes.select("conv_id", "turn", "level", F.xxhash64("words").alias("h")).distinct()
-    return keyed.join(sayings(parsed, lengths), ["conv_id", "h"]).where("origin < turn")
+    spot = F.struct("conv_id", "h").alias("spot")
+    met = join_unique(keyed.select("turn", "level", spot), sayings(parsed, lengths).select(spot, "origin"), "spot")
+    return met.where("origin < turn").select("spot.conv_id", "turn", "level", "spot.h", "origin")
 
 
 def threads(parents: DataFrame, name: str = "threads") -> DataFrame:
