@@ -254,12 +254,10 @@ def settle(shared: DataFrame, components: DataFrame, bodies: DataFrame, percent:
         "shingle-labels",
     )
     counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    most = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("label")).alias("least"))).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n"))
-    mixed = written(most.where("labels > 1").select("bucket", (-F.col("main.least")).alias("core"), "n"), "shingle-mixed")
-    some = written(maybe_in(labelled, mixed, "bucket"), "shingle-mixtures")  # most buckets hold one component only
-    met = written(join_unique(some, mixed.select("bucket", "core"), "bucket", counts=mixed.select("bucket", "n")), "shingle-mixtures")
-    light = written(met.where("label <> core").select("core", "rep", "label").distinct(), "shingle-outsiders")
-    inside = met.where("label = core").select("core", "rep", "label").distinct()
+    mixed = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("label")).alias("least"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    cores = mixed.select("bucket", (-F.col("main.least")).alias("core"))
+    light = written(labelled.join(cores, "bucket").where("label <> core").select("core", "rep", "label").distinct(), "shingle-outsiders")
+    inside = labelled.join(cores, "bucket").where("label = core").select("core", "rep", "label").distinct()
     everyone = written(light.withColumn("light", F.lit(True)).union(inside.withColumn("light", F.lit(False))), "shingle-meetings")
     size = written(everyone.groupBy("core").agg(F.ceil(F.count("*") / cell).alias("all_parts"), F.ceil(F.count_if("light") / cell).alias("light_parts"), F.count("*").alias("n")), "shingle-cores")
     dealt = join_unique(everyone, size.drop("n"), "core", counts=size.select("core", "n")).withColumn("h", F.xxhash64("rep"))
