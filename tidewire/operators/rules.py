@@ -12,6 +12,8 @@ from tidewire.operators.shuffles import beside
 NEGATIONS = ("no", "not", "never", "without")
 #: A rule table of so many rows at most is sent to every task; a greater one is joined by a shuffle.
 MOST_RULES = 100_000
+#: Different terms up to which a text is looked through for them before anything is made of its n-grams.
+MOST_SOUGHT = 2_000
 
 #: Our own rules: kind -> rule -> terms. Callers may give their own table.
 GIVEN = {
@@ -60,14 +62,29 @@ def term_hits(texts: DataFrame, rules: DataFrame, guard: int = 8) -> DataFrame:
     terms have and joined to the rules; nothing but the hits is shuffled."""
     terms = rules.select("kind", "rule", "term", F.array_join(T.words(F.col("term")), " ").alias("gram")).where("gram <> ''").distinct()
     lengths = sorted(r[0] for r in terms.select(F.size(F.split("gram", " "))).distinct().collect())  # a few small numbers
-    words = texts.select("id", T.words(F.col("text")).alias("w"))
+    words = T.words(F.col("text"))
     no = F.array(*map(F.lit, NEGATIONS))
-
-    def grams(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("w"), n), lambda g, i: F.struct(g.alias("gram"), F.arrays_overlap(F.slice("w", F.greatest(F.lit(1), i - guard + 1), F.least(i, F.lit(guard))), no).alias("negated")))
-
+    # lambdas over an array of one work out its element once; a column could be put into the inner lambdas by the optimizer
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def hit(w: Column, g: Column, i: Column) -> Column:
+        return F.struct(g.alias("gram"), F.arrays_overlap(F.slice(w, F.greatest(F.lit(1), i - guard + 1), F.least(i, F.lit(guard))), no).alias("negated"))
+
+    def of_terms(w: Column, n: int) -> Column:
+        """The n-grams that are terms: one intersection says which of them a text has, and only for these the rest is worked out."""
+        none = F.array().cast("array<struct<gram:string,negated:boolean>>")
+        places = lambda g, found: F.array_compact(F.transform(g, lambda x, i: F.when(F.array_contains(found, x), hit(w, x, i))))
+        return let(T.ngrams(w, n) if n > 1 else w, lambda g: let(F.array_intersect(g, F.col("grams")), lambda found: F.when(F.size(found) > 0, places(g, found)).otherwise(none)))
+
+    known = terms.select("gram").distinct()
+    if known.count() <= MOST_SOUGHT:
+        rows = texts.select("id", "text").crossJoin(F.broadcast(known.agg(F.collect_list("gram").alias("grams"))))  # one row of MOST_SOUGHT grams at most
+        cut = let(words, lambda w: F.concat(*[of_terms(w, n) for n in lengths or [1]]))
+    else:
+        rows = texts.select("id", words.alias("w"))
+        cut = F.concat(*[F.transform(T.ngrams(F.col("w"), n), lambda g, i: hit(F.col("w"), g, i)) for n in lengths])
     # outer, or the grams would be worked out again to see whether there are any
-    each = words.select("id", F.explode_outer(F.concat(*map(grams, lengths or [1]))).alias("x")).select("id", "x.gram", "x.negated")
+    each = rows.select("id", F.explode_outer(cut).alias("x")).select("id", "x.gram", "x.negated")
     return each.join(beside(terms, MOST_RULES), "gram").groupBy("id", "kind", "rule", "term").agg(F.count("*").alias("n"), F.count_if("negated").alias("negated"))
 
 
