@@ -76,6 +76,29 @@ def sharing(items: DataFrame, least: Column, hours: int, group: str = "category"
     return met.select("id", "other").distinct()
 
 
+def rare_tokens(items: DataFrame, group: str) -> DataFrame:
+    """items (id, k, least, group) -> (id, rare): all tokens of k but the `least` - 1 most frequent ones of the group. Who shares
+    `least` tokens with id shares one of these; tokens that no other item has are left out."""
+    frequency = items.select(group, F.explode("k").alias("token")).groupBy(group, "token").agg(F.count("*").alias("df")).where("df > 1")
+    each = items.select("id", group, "least", F.size("k").alias("n"), F.explode("k").alias("token")).join(frequency, [group, "token"], "left")
+    ranked = each.groupBy("id", "least", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("by_df"))
+    rare = F.slice("by_df", 1, F.greatest(F.lit(1), F.col("n") - F.col("least") + 1))
+    return ranked.select("id", F.transform(F.filter(rare, lambda x: x["df"] > 1), lambda x: x["token"]).alias("rare"))
+
+
+def sharing_between(asks: DataFrame, items: DataFrame, low: int, high: int, group: str = "category") -> DataFrame:
+    """asks (id, us, source, k, least, rare, group) and items (id, us, source, k, group) -> (id, other): other items of the group
+    and of other sources that share `least` tokens, from `low` to `high` microseconds (included) after id."""
+    width = high - low + 1
+    bucket = lambda us: F.floor(us / width).cast("long")
+    left = asks.select("id", F.col("us").alias("ua"), F.col("source").alias("sa"), F.col("k").alias("ka"), "least", group, F.explode("rare").alias("token"))
+    left = left.withColumn("bucket", F.explode(F.array(bucket(F.col("ua") + low), bucket(F.col("ua") + low) + 1)))
+    right = items.select(F.col("id").alias("other"), F.col("us").alias("ub"), F.col("source").alias("sb"), F.col("k").alias("kb"), group, bucket(F.col("us")).alias("bucket"), F.explode("k").alias("token"))
+    near = (F.col("ub") - F.col("ua")).between(low, high)
+    met = left.join(right, [group, "bucket", "token"]).where((F.col("id") != F.col("other")) & (F.col("sa") != F.col("sb")) & near & (F.size(F.array_intersect("ka", "kb")) >= F.col("least")))
+    return met.select("id", "other").distinct()
+
+
 def stuffing(tokens: Column) -> Column:
     """The greatest count of one token, if it is 4 or more, or 28 % of 6 tokens or more; else 0."""
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
