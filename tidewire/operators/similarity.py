@@ -10,50 +10,69 @@ from tidewire.functions import text as T
 from tidewire.operators.shuffles import join_unique, saved
 
 
-def title_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def title_classes(items: DataFrame, hours: int | None = None) -> tuple[DataFrame, DataFrame]:
     """items (id, title_tokens) -> (id, class) and (class, k): items of three different tokens or more, equal sets of tokens
-    being one class, named after its least id. Both are saved tables."""
-    named = saved(items.select("id", F.array_sort(F.array_distinct("title_tokens")).alias("k")).where(F.size("k") >= 3), "title-sets")
-    kinds = saved(named.groupBy("k").agg(F.min("id").alias("class"), F.count("*").alias("n")), "title-kinds")
-    members = join_unique(named, kinds.select("k", "class"), "k", counts=kinds.select("k", "n")).select("id", "class")
-    return saved(members, "title-members"), kinds.select("class", "k")
+    being one class, named after its least id. With `hours`, items have published_at; each stretch of so many hours, its
+    number in classes as `bucket`, has classes of its own. Both are saved tables."""
+    bucket = F.lit(0) if hours is None else F.floor(F.unix_seconds("published_at") / (hours * 3600))
+    spot = F.struct(F.array_sort(F.array_distinct("title_tokens")).alias("k"), bucket.cast("long").alias("bucket"))
+    named = saved(items.select("id", spot.alias("spot")).where(F.size("spot.k") >= 3), "title-sets")
+    kinds = saved(named.groupBy("spot").agg(F.min("id").alias("class"), F.count("*").alias("n")), "title-kinds")
+    members = join_unique(named, kinds.select("spot", "class"), "spot", counts=kinds.select("spot", "n")).select("id", "class")
+    return saved(members, "title-members"), kinds.select("class", "spot.k", *([] if hours is None else ["spot.bucket"]))
 
 
-def title_links(classes: DataFrame, cell: int = 2000) -> DataFrame:
-    """classes (class, k) -> (a, b, shared, score), a < b once: 5 shared tokens, or 4 at containment 0.62, or 3 at score 0.72.
+def needed(n: Column) -> Column:
+    """How many tokens linked titles share at least, the shorter one having n: 3 of 3, 4 of up to 6, else 5."""
+    return F.when(n <= 3, 3).when(n <= 6, 4).otherwise(5)
+
 
-    Linked classes share three tokens, so they share one of each one's tokens but its two most frequent ones: by those, rarest
-    first, they meet. A pair counts where its rarest shared token is, if enough tokens are left behind it in both. A token of
-    many classes is dealt to cells of `cell` by `cell`."""
-    frequency = saved(classes.select(F.explode("k").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "title-tokens")
-    each = join_unique(classes.select("class", F.explode("k").alias("token")), frequency, "token", counts=frequency.select("token", F.col("df").alias("n")))
-    ranked = each.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))  # a dozen tokens
-    rows = ranked.select("class", F.transform("by_df", lambda x: x["token"]).alias("k"), F.posexplode(F.slice("by_df", 1, F.size("by_df") - 2)).alias("pos", "x")).where("x.df > 1")
+def title_links(classes: DataFrame, cell: int = 8000) -> DataFrame:
+    """classes (class, k) -> (a, b, shared, score), a < b once: 5 shared tokens, or 4 at containment 0.62, or 3 at score 0.72.
+    Classes with a `bucket` are linked within one and to the neighbouring ones only.
+
+    Linked classes share as many tokens as the shorter one needs, so they share one of each one's tokens but its most frequent
+    ones, one less than that: by those, rarest first, they meet, longer ones only where they are sought with that need. A pair
+    counts where its rarest shared token is. Tokens are compared by numbers. A token of many classes is dealt to cells of
+    `cell` by `cell`."""
+    timed = "bucket" in classes.columns
+    placed = classes.select("class", "k", (F.col("bucket") if timed else F.lit(0)).alias("bucket"))
+    frequency = saved(placed.select(F.explode("k").alias("token")).groupBy("token").agg(F.count("*").alias("df")).withColumn("number", F.monotonically_increasing_id()), "title-tokens")
+    each = join_unique(placed.select("class", "bucket", F.explode("k").alias("token")), frequency, "token", counts=frequency.select("token", F.col("df").alias("n")))
+    ranked = each.groupBy("class", "bucket").agg(F.array_sort(F.collect_list(F.struct("df", "number"))).alias("by_df"))  # a dozen tokens
+    rows = saved(ranked.withColumns({"k": F.transform("by_df", lambda x: x["number"]), "need": needed(F.size("by_df"))}), "title-ranked")
+    sought = lambda need: F.explode(F.filter(F.slice("by_df", 1, F.size("by_df") - need + 1), lambda x: x["df"] > 1))
     parts = F.ceil(F.col("x.df") / cell)
     own = F.pmod(F.xxhash64("class"), parts)
     every = F.sequence(F.lit(0).cast("long"), parts - 1)
-    side = lambda s: [F.col("class").alias(s), F.col("k").alias(f"k{s}"), F.col("pos").alias(f"p{s}"), F.col("x.token").alias("token")]
-    left = rows.select(*side("a"), own.alias("row"), F.explode(every).alias("column"))
-    right = rows.select(*side("b"), F.explode(every).alias("row"), own.alias("column"))
-    enough = F.least(F.size("ka") - F.col("pa"), F.size("kb") - F.col("pb")) >= 3
-    met = left.join(right.hint("merge"), ["token", "row", "column"]).where((F.col("a") < F.col("b")) & enough)
+    side = lambda s: [F.col("class").alias(s), F.col("k").alias(f"k{s}"), F.col("need").alias(f"n{s}"), F.col("x.number").alias("token")]
+    asks = rows.select("class", "k", "need", "bucket", sought(F.col("need")).alias("x"))
+    near = F.explode(F.array(*[F.col("bucket") + d for d in ((-1, 0, 1) if timed else (0,))])).alias("bucket")
+    left = asks.select("*", own.alias("row")).select(*side("a"), F.col("need").alias("need"), "row", "bucket", F.explode(every).alias("column"))
+    left = left.select(*[c for c in left.columns if c != "bucket"], near)
+    answers = rows.withColumn("as", F.explode(F.sequence(F.lit(3), "need"))).select("class", "k", "need", "as", "bucket", sought(F.col("as")).alias("x"))
+    right = answers.select("*", own.alias("column")).select(*side("b"), F.col("as").alias("need"), "column", "bucket", F.explode(every).alias("row"))
+    met = left.join(right.hint("merge"), ["need", "token", "bucket", "row", "column"]).where((F.col("nb") > F.col("na")) | (F.col("a") < F.col("b")))
     both = F.array_intersect("ka", "kb")  # in the order of ka: rarest first
-    pairs = met.withColumn("both", both).where((F.size("both") >= 3) & (F.get("both", F.lit(0)) == F.col("token")))
-    scored = pairs.select("a", "b", F.size("both").alias("shared"), T.overlap(F.col("ka"), F.col("kb")).alias("containment"), T.pair_score(F.col("ka"), F.col("kb")).alias("score"))
+    found = met.select("a", "b", F.size("ka").alias("na"), F.size("kb").alias("nb"), "token", F.struct(F.size(both).alias("shared"), F.get(both, F.lit(0)).alias("first")).alias("both"))
+    pairs = found.where((F.col("both.first") == F.col("token")) & (F.col("both.shared") >= 3)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "both.shared")
+    contained, union = F.col("shared") / F.least("na", "nb"), F.col("na") + F.col("nb") - F.col("shared")
+    j = F.col("shared") / union
+    scored = pairs.select("a", "b", "shared", contained.alias("containment"), F.greatest(j, 0.65 * contained + 0.35 * j).alias("score"))
     return scored.where((F.col("shared") >= 5) | ((F.col("shared") >= 4) & (F.col("containment") >= 0.62)) | (F.col("score") >= 0.72)).select("a", "b", "shared", "score")
 
 
 def title_pairs(items: DataFrame, hours: int = 30) -> DataFrame:
     """(a, b, shared, score), a < b: items of one class or of linked ones, within `hours` of each other. This has a row for
     each pair; who needs groups takes classes and links."""
-    members, classes = title_classes(items)
+    members, classes = title_classes(items, hours)
     width = hours * 3600
-    placed = members.join(items.select("id", "published_at"), "id").withColumns({"us": F.unix_micros("published_at"), "bucket": F.floor(F.unix_seconds("published_at") / width)})
+    placed = saved(members.join(items.select("id", F.unix_micros("published_at").alias("us")), "id"), "title-placed")
     equal = classes.select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("k").alias("shared"), F.lit(1.0).alias("score"))
     links = title_links(classes).union(equal)
-    left = placed.select(F.col("class").alias("a"), F.col("id").alias("ia"), F.col("us").alias("ua"), "bucket")
-    right = placed.select(F.col("class").alias("b"), F.col("id").alias("ib"), F.col("us").alias("ub"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    met = left.join(links, "a").join(right, ["b", "bucket"]).where((F.abs(F.col("ua") - F.col("ub")) <= width * 1000000) & ((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))))
+    left = placed.select(F.col("class").alias("a"), F.col("id").alias("ia"), F.col("us").alias("ua"))
+    right = placed.select(F.col("class").alias("b"), F.col("id").alias("ib"), F.col("us").alias("ub"))
+    met = left.join(links, "a").join(right, "b").where((F.abs(F.col("ua") - F.col("ub")) <= width * 1000000) & ((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))))
     return met.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "shared", "score")
 
 
