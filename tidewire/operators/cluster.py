@@ -71,11 +71,11 @@ def link_score(shared: int, n: int, m: int) -> float:
 OUT = pa.schema([("id", pa.int64()), ("cluster", pa.int64())])
 
 
-def story_clusters(items: DataFrame) -> DataFrame:
-    """(id, cluster), cluster being its first item. Clusters never leave a component of classes of alike titles, so the fold of
-    each gives what one pass over all would. Classes are linked, not items, so copies cost a row each; a component's rows
-    stream by, without texts, and its task holds what the last hours may still link to."""
-    members, classes = title_classes(items)
+def story_clusters(items: DataFrame, hours: int = 30) -> DataFrame:
+    """(id, cluster), cluster being its first item. Clusters never leave a component of classes of alike titles of neighbouring
+    stretches of `hours`, so the fold of each gives what one pass over all would. Classes are linked, not items, so copies
+    cost a row each; a component's rows stream by, without texts, and its task holds what the last hours may still link to."""
+    members, classes = title_classes(items, hours)
     homes = components(title_links(classes).select("a", "b"), "title-components").withColumnRenamed("node", "class")
     rows = members.join(homes, "class", "left").select("id", F.coalesce("component", "class").alias("component"))
     body = items.select("id", F.array_distinct("title_tokens").alias("tokens"), F.unix_micros("published_at").alias("us"), "base_score")
@@ -83,13 +83,13 @@ def story_clusters(items: DataFrame) -> DataFrame:
     dealt = rows.join(body, "id").repartition(width, "component").sortWithinPartitions("component", F.desc("us"), F.desc("base_score"), "id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        greedy, component = Greedy(), None
+        greedy, component = Greedy(hours), None
         for batch in batches:
             ids, homes, tokens, times = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "component", "tokens", "us"))
             found = []
             for i, home, k, us in zip(ids, homes, tokens, times, strict=True):
                 if home != component:
-                    greedy, component = Greedy(), home
+                    greedy, component = Greedy(hours), home
                 found.append(greedy.step(i, us, set(k)))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], schema=OUT)
 

@@ -44,7 +44,7 @@ def title_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def story_clusters_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters with their lead (score, weight, recency), sources, dominant category and score."""
     rows = with_tokens(spark, sf_dir)
-    found = cluster.story_clusters(rows).join(rows, "id")
+    found = saved(cluster.story_clusters(rows), "story-clusters").join(rows, "id")
     lead = F.max(F.struct("base_score", "source_weight", "published_at", (-F.col("id")).alias("rev"), "title")).alias("lead")
     out = found.groupBy("cluster").agg(lead, F.count("*").alias("n_items"), F.count_distinct("source_name").alias("source_count"))
     category = ranking.mode(found, "cluster", "category", "id").select("cluster", "category")
