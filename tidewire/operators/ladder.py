@@ -12,6 +12,7 @@ streaming.live runs the same fold on a stream."""
 from __future__ import annotations
 
 import heapq
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.editorial import alike_classes, title_similarity
+from tidewire.operators.editorial import alike_classes, similarity_of, title_similarity
 from tidewire.operators.graph import components
 from tidewire.operators.shuffles import join_unique, saved
 
@@ -64,14 +65,22 @@ class Ladder:
         self.stories: dict[int, dict] = {}
         self.index: dict[tuple, dict[int, bool]] = {}  # key -> story -> whether an official source gave it
         self.ends: list[tuple[int, int]] = []
+        self.titles: dict[int, frozenset[str]] = {}
+        self.sizes: defaultdict[tuple, Counter] = defaultdict(Counter)  # city, topic -> size of title -> stories
 
     def add(self, story: dict) -> None:
         self.stories[story["id"]] = story
         heapq.heappush(self.ends, (story["at"] + self.life, story["id"]))
         for kind, key, official in story["keys"]:
             self._note(story["id"], kind, key, official)
-        for token in story["tokens"]:
-            self._note(story["id"], "title", (story["city"], story["topic"], token), False)
+        self.titles[story["id"]] = frozenset(story["tokens"])
+        for key in self._title_keys(story):
+            self._note(story["id"], "title", key, False)
+        self.sizes[story["city"], story["topic"]][len(story["tokens"])] += 1
+
+    @staticmethod
+    def _title_keys(story: dict) -> list[tuple]:
+        return [(story["city"], story["topic"], len(story["tokens"]), t) for t in story["tokens"]]
 
     def _note(self, story: int, kind: str, key: object, official: bool) -> None:
         at = self.index.setdefault((kind, key), {})
@@ -83,13 +92,29 @@ class Ladder:
         while self.ends and self.ends[0][0] <= now:
             story = self.stories.pop(heapq.heappop(self.ends)[1])
             gone.append(story)
-            for key in [*((k, x) for k, x, _ in story["keys"]), *(("title", (story["city"], story["topic"], t)) for t in story["tokens"])]:
+            sizes = self.sizes[story["city"], story["topic"]]
+            sizes[len(self.titles.pop(story["id"]))] -= 1
+            sizes += Counter()  # without the zeros
+            if not sizes:
+                del self.sizes[story["city"], story["topic"]]
+            for key in [*((k, x) for k, x, _ in story["keys"]), *(("title", x) for x in self._title_keys(story))]:
                 at = self.index.get(key, {})
                 at.pop(story["id"], None)
                 if not at:
                     self.index.pop(key, None)
         return gone
 
+    def near(self, s: dict, tokens: set[str]) -> set[int]:
+        """The stories of s's city and topic whose titles can be alike. One of m tokens shares some number of them at least,
+        so it has one of any of s's tokens but that number less one: those that the fewest stories of m tokens have."""
+        n, found = len(tokens), set()
+        for m in self.sizes.get((s["city"], s["topic"]), ()) if n else ():
+            need = next((k for k in range(1, min(n, m) + 1) if similarity_of(k, n, m) >= self.least), None)
+            if need:
+                having = sorted((self.index.get(("title", (s["city"], s["topic"], m, t)), {}) for t in tokens), key=len)
+                found.update(*having[: n - need + 1])
+        return found
+
     def match(self, s: dict, keys: dict[str, list[str]]) -> tuple[str, dict] | None:
         official = "official" in (s["source_kinds"] or ())
         found = {kind: [(self.stories[c], by) for x in keys[kind] for c, by in self.index.get((kind, x), {}).items()] for kind in keys}
@@ -99,8 +124,7 @@ class Ladder:
         same = newest(c for kind in ("url", "content") for c, _ in found[kind])
         related = newest([c for c, _ in found["incident"] if here(c)] + [c for c, by in found["entity"] if (official or by) and here(c)])
         tokens = set(s["title_tokens"] or ())
-        near = {c for t in tokens for c in self.index.get(("title", (s["city"], s["topic"], t)), ())}
-        titled = [(score, place(c), c) for c in map(self.stories.get, near) if abs(s["us"] - c["last"]) <= self.window and (score := title_similarity(tokens, set(c["tokens"]))) >= self.least]
+        titled = [(score, place(c), c) for c in map(self.stories.get, self.near(s, tokens)) if abs(s["us"] - c["last"]) <= self.window and (score := title_similarity(tokens, self.titles[c["id"]])) >= self.least]
         if related and all(place(related) > p for p in [*([place(same)] if same else []), *(p for _, p, _ in titled)]):
             return ("incident" if any(c is related for c, _ in found["incident"]) else "entity"), related
         if same:
@@ -206,14 +230,16 @@ def references(text: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9#-]+", " ")), " ")
     marks, things = F.array(*map(F.lit, MARKS)), F.array(*map(F.lit, NUMBERED))
 
-    def named(word: Column, k: Column) -> Column:
+    def named(words: Column, word: Column, k: Column) -> Column:
         after, then = F.get(words, k + 1), F.get(words, k + 2)
         marked = F.array_contains(marks, after) & then.isNotNull()
         number = F.when(marked, then).otherwise(after)
         good = F.array_contains(things, word) & (F.length(F.regexp_replace(number, "^[#-]+", "")) >= 3)
         return F.when(good, F.when(marked, F.concat_ws(" ", word, after, then)).otherwise(F.concat_ws(" ", word, after)))
 
-    return F.array_distinct(F.array_compact(F.transform(words, named)))
+    # as the variable of an outer transform, the words are worked out once a text and not at each word
+    each = F.flatten(F.transform(F.array(words), lambda w: F.transform(w, lambda word, k: named(w, word, k))))
+    return F.array_distinct(F.array_compact(each))
 
 
 def joined_cities(opened: DataFrame) -> DataFrame:
