@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.operators import ranking
+from tidewire.operators.shuffles import saved
 from tidewire.plans.feed import SPOT, STORIES_SQL, SUMMARY_SQL, stories
 from tidewire.plans.readers import POSTS_SQL, posts
 from tidewire.plans.writing import SQL as STORY_QUERIES
@@ -40,14 +41,15 @@ REASON_SQL = ", ".join(f"('{c}', '{t}')" for c, t in REASONS)
 SELECT doc_id, string_agg(t, '; ' ORDER BY t) AS reasons, count(*) AS n FROM c JOIN (VALUES {REASON_SQL}) r(code, t) USING (code) GROUP BY doc_id""")
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.broadcast(spark.createDataFrame(list(REASONS), "code string, t string"))  # a given list of fifteen
-    rows = gates(spark, sf_dir).where("failures <> ''").select("doc_id", F.explode(F.split("failures", ",")).alias("code"))
+    # saved, or the filter and the explode would put conditions before the gates that work them out again
+    rows = saved(gates(spark, sf_dir).select("doc_id", "failures"), "gates").where("failures <> ''").select("doc_id", F.explode(F.split("failures", ",")).alias("code"))
     return rows.join(codes, "code").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("t")), "; ").alias("reasons"), F.count("*").alias("n"))
 
 
 @query("""WITH g AS (""" + STORY_QUERIES["summary_gates"] + """) SELECT coalesce(code, 'passed') AS code, count(*) AS n FROM (SELECT doc_id, CASE WHEN failures = '' THEN NULL ELSE failures END AS f FROM g) LEFT JOIN LATERAL (SELECT unnest(string_split(f, ',')) AS code) ON true GROUP BY 1""")
 def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.explode(F.split(F.when(F.col("failures") == "", "passed").otherwise(F.col("failures")), ","))
-    return gates(spark, sf_dir).select(codes.alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return saved(gates(spark, sf_dir).select("failures"), "gates").select(codes.alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {STORIES_SQL}, o AS (SELECT id, link, row_number() OVER (ORDER BY {SPOT}) - 1 AS i FROM stories QUALIFY i < 40), p AS (SELECT id, link, CASE WHEN i = 0 THEN 100 WHEN i = 1 THEN 95 WHEN i < 12 THEN 90 - i WHEN i < 30 THEN 70 - i ELSE 2 END AS priority FROM o)
