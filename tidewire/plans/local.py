@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import local, lookup, ranking
-from tidewire.sources.landed import CLUSTERS_SQL, METRICS_SQL, NOW, PLACES_SQL, SIGNALS_SQL, clusters, places, signals, story_metrics, table
+from tidewire.sources.landed import CLUSTERS_SQL, METRICS_SQL, NOW, PLACES_SQL, SIGNALS_SQL, clusters, places, signals, sources, story_metrics, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -85,12 +85,9 @@ def cluster_signal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CLUSTERS_SQL}, {SIGNALS_SQL}, {PLACES_SQL} SELECT state AS city, source_id, source_type, count(DISTINCT c.cluster_id) AS n_clusters, rank() OVER (PARTITION BY state ORDER BY CASE WHEN source_type = 'official' THEN 0 ELSE 1 END, count(DISTINCT c.cluster_id) DESC, source_id) AS place_in_city
 FROM clusters c JOIN places USING (place_id) JOIN signals s ON s.cluster_id = c.cluster_id GROUP BY state, source_id, source_type""")
 def city_source_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    joined = clusters(spark, sf_dir).join(places(spark, sf_dir), "place_id").join(signals(spark, sf_dir), "cluster_id")
-    rows = joined.groupBy(F.col("state").alias("city"), "source_id", "source_type").agg(F.count_distinct("cluster_id").alias("n_clusters"))
-    order = Window.partitionBy("city").orderBy(F.when(F.col("source_type") == "official", 0).otherwise(1), F.desc("n_clusters"), "source_id")
-    return rows.withColumn("place_in_city", F.rank().over(order))
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_suppkey").alias("source_id"))
+    where = clusters(spark, sf_dir).select("cluster_id", "place_id").join(places(spark, sf_dir).select("place_id", F.col("state").alias("city")), "place_id")
+    return local.source_directory(cited, where.select("cluster_id", "city"), sources(spark, sf_dir).select("source_id", "source_type"))
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_nationkey, lead(s_suppkey, 1) OVER w AS a, lead(s_suppkey, 2) OVER w AS b FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey))
