@@ -34,8 +34,8 @@ for _name, _pattern in classify.REDACTIONS:
 
 @query(f"SELECT doc_id, md5({REDACT_SQL}) AS redacted_md5, array_to_string(list_filter([{', '.join(SEEN_SQL)}], lambda x: x IS NOT NULL), ',') AS kinds FROM documents")
 def redact_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, kinds = classify.redact(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("redacted_md5"), F.array_join(kinds, ",").alias("kinds"))
+    rows = classify.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.md5("text").alias("redacted_md5"), F.array_join("kinds", ",").alias("kinds"))
 
 
 @query("""SELECT event_id, len(json_keys(props)) AS n_keys, len(list_filter(json_keys(props), lambda k: k IN ('email', 'phone', 'user_name', 'handle', 'password', 'token'))) > 0 OR regexp_matches(props, '@[A-Za-z]') AS private FROM events""")
