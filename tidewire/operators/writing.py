@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.operators.shuffles import beside
+from tidewire.operators.shuffles import beside, maybe_in, saved
 
 #: Words that hold a sentence together; a skeleton keeps them as they are.
 STRUCTURE = "the and for with that this from after before while when where who which will would could are was were has have had not but into over under about".split()
@@ -20,6 +20,27 @@ def shape(word: Column) -> Column:
     return F.when(word.rlike("^[0-9]+$"), "NUM").when(word.isin(*STRUCTURE), word).when(F.length(word) <= 3, "SHORT").otherwise(F.concat(F.substring(word, 1, 3), F.length(word).cast("string")))
 
 
+def skeletons(rows: DataFrame, key: str, words: str) -> DataFrame:
+    """What skeletons_alike asks of each sentence (an array of words), worked out once: (key, and as a struct `words`) its
+    length, its different words, shape trigrams and structure words, as 64-bit hashes."""
+    once = lambda x: F.array_distinct(F.transform(x, lambda w: F.xxhash64(w)))
+    held = once(F.filter(words, lambda x: x.isin(*STRUCTURE)))
+    shapes = rows.select(key, F.size(words).alias("n"), once(F.col(words)).alias("w"), held.alias("h"), F.transform(words, shape).alias("shapes"))
+    return shapes.select(key, F.struct("n", "w", "h", once(T.ngrams(F.col("shapes"), 3)).alias("g")).alias(words)).distinct()
+
+
+def share(a: Column, b: Column) -> Column:
+    """T.overlap of arrays without repeats."""
+    small = F.least(F.size(a), F.size(b))
+    return F.when(small > 0, F.size(F.array_intersect(a, b)) / small).otherwise(F.lit(0.0))
+
+
+def skeletons_alike(a: Column, b: Column) -> Column:
+    """skeleton_similarity of two sentences as skeletons() has them."""
+    length = F.least(a["n"], b["n"]) / F.greatest(a["n"], b["n"])
+    return share(a["g"], b["g"]) * 0.38 + share(a["w"], b["w"]) * 0.32 + length * 0.18 + share(a["h"], b["h"]) * 0.12
+
+
 def skeleton_similarity(a: Column, b: Column) -> Column:
     """Two sentences as word arrays: .38 shared shape trigrams, .32 shared words, .18 length, .12 shared structure words."""
     grams = lambda w: T.ngrams(F.transform(w, shape), 3)
@@ -57,8 +78,13 @@ def copied_phrases(candidates: DataFrame, sources: DataFrame, sizes: tuple[int,
     phrases = sources.select("sid", F.explode_outer(F.array_distinct(long)).alias("g")).where("g is not null").select("sid", F.split("g", " ").alias("tokens"))
     keyed = hashed(phrases.withColumn("key", F.struct("sid", F.size("tokens").alias("n"))), "key", sizes)
     theirs = keyed.select("key.sid", F.coalesce(*[F.when(F.col("key.n") == n, F.get(f"h{n}", F.lit(0))) for n in sizes]).alias("h")).distinct()
+    # who has a phrase has its first words, as many as the shortest phrases have: only such candidates are cut into all sizes
+    least = min(sizes)
+    heads = beside(keyed.select(F.get(f"h{least}", F.lit(0)).alias("h")).distinct(), MOST_GRAMS)
+    starts = hashed(candidates, "cid", (least,)).select("cid", F.explode_outer(f"h{least}").alias("h")).join(heads, "h", "left_semi").select("cid").distinct()
+    some = maybe_in(candidates, saved(starts, "phrase-starts"), "cid")
     every = F.concat(*[F.array_distinct(f"h{n}") for n in sizes])
-    mine = hashed(candidates, "cid", sizes).select("cid", F.explode_outer(every).alias("h"))
+    mine = hashed(some, "cid", sizes).select("cid", F.explode_outer(every).alias("h"))
     return mine.join(beside(theirs, MOST_GRAMS), "h").groupBy("cid", "sid").agg(F.count("*").alias("n_copied"))
 
 
