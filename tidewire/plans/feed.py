@@ -24,9 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stories(spark: SparkSession, sf_dir: str, brief: bool = False) -> DataFrame:
     """Items by link, with the number of sources that carry the title; the first id of each link stays."""
-    rows = items(spark, sf_dir).withColumn("key", T.alnum_key(F.col("title")))
+    rows = items(spark, sf_dir, brief=brief).withColumn("key", T.alnum_key(F.col("title")))
     carried = rows.groupBy("key").agg(F.count_distinct("source_name").alias("source_count"))
     first = dedupe.keep_latest(rows.withColumn("rev", -F.col("id")), ["link"], "rev", "id").drop("rev")
     return first.join(carried, "key").withColumn("score", F.least(F.lit(100), F.col("base_score") + F.least(F.lit(6), 2 * (F.col("source_count") - 1))))

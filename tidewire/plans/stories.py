@@ -70,8 +70,12 @@ def metrics_sql(weekly: bool) -> str:
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories with the metrics of their key (id modulo 100), in units that leave room below the cap of 100."""
+    return measured(stories(spark, sf_dir, brief=True), spark, sf_dir)
+
+
+def measured(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     m = story_metrics(spark, sf_dir)
-    rows = stories(spark, sf_dir).withColumn("summary", T.summary(F.col("text"))).join(m, F.col("id") % 100 == F.col("story_key"), "left")
+    rows = rows.join(m, F.col("id") % 100 == F.col("story_key"), "left")
     part = lambda c, n: F.coalesce(F.col(c), F.lit(0)) / float(n)
     return rows.withColumns({
         "raw_days": F.coalesce("active_days", F.lit(0)), "clicks": part("clicks", 10), "views": part("views", 10), "velocity": part("follows", 50),
@@ -113,7 +117,7 @@ m AS (SELECT id, signal_id, overlap FROM mt WHERE (topic <> '' AND contains(' '
 
 @query(f"WITH {STORIES_SQL}, {MATCH_SQL} SELECT id, signal_id, round(overlap, 6) AS overlap FROM m")
 def trend_signal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stories(spark, sf_dir).withColumns({"keywords": T.title_tokens(F.col("title")), "summary": T.summary(F.col("text"))})
+    rows = stories(spark, sf_dir, brief=True).withColumn("keywords", T.title_tokens(F.col("title")))
     return trends.matches(rows, trend_signals(spark, sf_dir)).select("id", "signal_id", F.round("overlap", 6).alias("overlap"))
 
 
@@ -130,10 +134,16 @@ ts AS (SELECT topic, count(DISTINCT tp.id) AS n_stories, count(DISTINCT signal_i
   coalesce(max(signal_id % 7), 0)::DOUBLE AS signal_days, coalesce(max(0.4::DOUBLE + signal_id % 6 / 10), 0.45::DOUBLE) AS topic_confidence FROM tp LEFT JOIN m ON m.id = tp.id GROUP BY topic)"""
 
 
-def topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stories as a saved table without their texts, for what reads them several times."""
+    return saved(stories(spark, sf_dir, brief=True), "told-stories")
+
+
+def topics(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, topic) of each story: its strongest signal, else its first three keywords; and (topic, n_stories, n_signals, daily,
     weekly, signal_days, topic_confidence): the most that a topic's signals say."""
-    rows = stories(spark, sf_dir).withColumns({"keywords": T.title_tokens(F.col("title")), "summary": T.summary(F.col("text"))})
+    every = told(spark, sf_dir) if every is None else every
+    rows = every.withColumn("keywords", T.title_tokens(F.col("title")))
     met = trends.matches(rows, trend_signals(spark, sf_dir)).select("id", "signal_id").join(trend_signals(spark, sf_dir).drop("category", "keywords", "topic"), "signal_id")
     met = met.select("id", "signal_id", "confidence", "signal_days", (F.col("interest") * F.col("confidence")).alias("weight"), trends.strength(True).alias("daily"), trends.strength(False).alias("weekly"))
     strongest = met.groupBy("id").agg(F.max(F.struct("weight", (-F.col("signal_id")).alias("rev"))).alias("b")).select("id", (-F.col("b.rev")).alias("strongest"))
@@ -163,8 +173,9 @@ dd AS (SELECT *, least(100.0::DOUBLE, greatest(0.0::DOUBLE, attention * 0.62::DO
 
 def day_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half traction (.62 attention, .38 trend of the topic), freshness, significance, quality, trend and the editor's boost."""
-    of, said = topics(spark, sf_dir)
-    rows = scaled(spark, sf_dir).join(of, "id").join(said, "topic").withColumn("boost", F.col("id") * 13 % BOOST)
+    every = told(spark, sf_dir)
+    of, said = topics(spark, sf_dir, every)
+    rows = measured(every, spark, sf_dir).join(of, "id").join(said, "topic").withColumn("boost", F.col("id") * 13 % BOOST)
     traction = T.clamp(trends.attention() * 0.62 + F.col("daily") * 0.38, 0.0, 100.0)
     score = traction * 0.5 + trends.freshness(F.col("hours_old"), 24.0) * 0.18 + trends.significance() * 0.12 + trends.quality() * 0.08 + F.col("daily") * 0.08 + F.col("boost") * 0.05
     return rows.withColumn("day_score", score)
@@ -199,7 +210,7 @@ SELECT id, title, topic, round(week_score, 4) AS score, CAST(days AS BIGINT) AS
 def week_story(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each topic's best story (another than the day's if it has one), scored with the topic's attention, sustained days and
     trend, less what repeats the day's choice, lacks two days of interest or is a spike of one day; the best of all."""
-    rows = saved(day_scores(spark, sf_dir).drop("text"), "day-scores")
+    rows = saved(day_scores(spark, sf_dir), "day-scores")
     day = first_of_day(rows).select(F.col("id").alias("day_id"), F.col("topic").alias("day_topic"))
     composite = trends.attention(True) * 0.5 + trends.quality() * 0.2 + trends.significance() * 0.2 + trends.freshness(F.col("hours_old"), 168.0) * 0.1
     rows = rows.crossJoin(F.broadcast(day)).withColumns({"same": F.col("id") == F.col("day_id"), "story_attention": trends.attention(True), "composite": composite})  # one row
