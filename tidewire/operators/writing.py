@@ -91,12 +91,13 @@ def copied_phrases(candidates: DataFrame, sources: DataFrame, sizes: tuple[int,
 def alike_sets(candidates: DataFrame, sources: DataFrame, least: float) -> DataFrame:
     """(cid, sid) whose distinct words may be alike by `least` (Jaccard): their sizes allow for it, and they share one of the
     source's first words (in any fixed order), as many as a partner can't all lack."""
-    sets = lambda df, i: df.select(i, F.array_sort(F.array_distinct("tokens")).alias("k")).where(F.size("k") > 0)
-    s = sets(sources, "sid").withColumn("size", F.size("k"))
+    s = sources.select("sid", F.array_sort(F.array_distinct("tokens")).alias("k")).where(F.size("k") > 0).withColumn("size", F.size("k"))
     theirs = s.select("sid", "size", F.explode_outer(F.slice("k", 1, F.col("size") - F.ceil(least * F.col("size")).cast("int") + 1)).alias("w"))
     bounds = s.agg(F.min("size").alias("low"), F.max("size").alias("high")).first()
-    c = sets(candidates, "cid").withColumn("n", F.size("k")).where((F.col("n") >= least * (bounds.low or 0)) & (F.col("n") * least <= (bounds.high or 0)))
-    mine = c.select("cid", "n", F.explode_outer("k").alias("w"))
+    # no filter: it would be put before the different words, and work them out again
+    c = candidates.select("cid", F.array_distinct("tokens").alias("k")).withColumn("n", F.size("k"))
+    near = (F.col("n") >= least * (bounds.low or 0)) & (F.col("n") * least <= (bounds.high or 0))
+    mine = c.select("cid", "n", F.explode_outer(F.when(near, F.col("k"))).alias("w"))
     met = mine.join(beside(theirs, MOST_GRAMS), "w").where((F.col("n") >= least * F.col("size")) & (F.col("size") >= least * F.col("n")))
     return met.select("cid", "sid").distinct()
 
