@@ -6,23 +6,22 @@ opens one. Stories are looked through from the newest on, so the newest of a kin
 it opened.
 
 Ladder is the fold of one city or component, in order of time; it finds candidates through an index of keys and holds stories
-only as long as they live. match_ladder() finds what may meet by equi joins and streams each component's rows through it;
-streaming.live runs the same fold on a stream."""
+only as long as they live. match_ladder() finds the groups (a city and topic) that may meet by the keys they share and streams
+each component's rows through it; streaming.live runs the same fold on a stream."""
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.editorial import alike_classes, similarity_of, title_similarity
+from tidewire.operators.editorial import AlikeTitles, similarity_of
 from tidewire.operators.graph import components
-from tidewire.operators.shuffles import join_unique, saved
+from tidewire.operators.shuffles import beside, join_unique, saved
 
 #: How far a story is confirmed, from the weakest on.
 LABELS = ("low_confidence", "community_source", "developing", "reported_one_source", "confirmed_multiple_sources", "official")
@@ -34,27 +33,31 @@ EVENT = "city string, cluster long, signal_id long, event string, kind string, l
 EVENT_ARROW = pa.schema([("city", pa.string()), ("cluster", pa.int64()), ("signal_id", pa.int64()), ("event", pa.string()), ("kind", pa.string()), ("label", pa.string()), ("us", pa.int64())])
 
 
-def confidence(kinds: Iterable[list[str] | None], clear: bool, developing: bool) -> str:
-    """What a story's sources (their kinds; None for one that no registry knows) say of it."""
-    kinds = list(kinds)
-    known = [k for k in kinds if k is not None]
-    number = {k: sum(k in x for x in known) for k in ("official", "established", "community")}
-    if number["official"]:
+#: The kinds of a source that say something of a story.
+TELLING = ("official", "established", "community")
+
+
+def confidence(sources: dict, clear: bool, developing: bool) -> str:
+    """What a story's sources (how many there are in all, and of each kind; no kind for one that no registry knows) say of it."""
+    if sources["official"]:
         return "official"
-    if number["established"]:
-        return "confirmed_multiple_sources" if len(kinds) >= 2 else "reported_one_source"
+    if sources["established"]:
+        return "confirmed_multiple_sources" if sources["all"] >= 2 else "reported_one_source"
     if not clear:
         return "low_confidence"
-    if number["community"]:
+    if sources["community"]:
         return "community_source"
     return "developing" if developing else "low_confidence"
 
 
-def keys_of(s: dict) -> dict[str, list[str]]:
-    """By kind, the keys that a signal shares with others; two shared entities are one shared pair."""
-    pairs = combinations(sorted(set(s["entities"] or ())), 2)
-    one = lambda k: [s[k]] if s[k] else []
-    return {"url": one("url_hash"), "content": one("content_hash"), "incident": sorted(set(s["refs"] or ())), "entity": ["\n".join(p) for p in pairs]}
+def keys_of(s: dict) -> list[tuple[str, str]]:
+    """(kind, key) of the keys that a signal shares with others; two shared entities are one shared pair."""
+    keys = [(kind, s[c]) for kind, c in (("url", "url_hash"), ("content", "content_hash")) if s[c]]
+    if s["refs"]:
+        keys += [("incident", x) for x in sorted(set(s["refs"]))]
+    if s["entities"]:
+        keys += [("entity", "\n".join(p)) for p in combinations(sorted(set(s["entities"])), 2)]
+    return keys
 
 
 class Ladder:
@@ -63,28 +66,45 @@ class Ladder:
     def __init__(self, hours: int = 72, least: float = 0.52, days: int = 7):
         self.window, self.least, self.life = hours * HOUR, least, days * 24 * HOUR
         self.stories: dict[int, dict] = {}
-        self.index: dict[tuple, dict[int, bool]] = {}  # key -> story -> whether an official source gave it
+        self.index: dict[tuple, dict[int, bool]] = {}  # kind, key -> story -> whether an official source gave it
         self.ends: list[tuple[int, int]] = []
-        self.titles: dict[int, frozenset[str]] = {}
-        self.sizes: defaultdict[tuple, Counter] = defaultdict(Counter)  # city, topic -> size of title -> stories
+        self.alike = AlikeTitles(least)
+        self.titles, self.sizes = self.alike.titles, self.alike.sizes
 
     def add(self, story: dict) -> None:
+        """Takes a story as stored() gives it, or a new one."""
+        story["tokens"] = frozenset(story["tokens"])
+        if not isinstance(story["keys"], dict):
+            story["keys"] = {(kind, x): by for kind, x, by in story["keys"]}
+        if not isinstance(story.get("sources"), dict):
+            given, story["sources"], story["kinds"] = story.get("sources", ()), {}, dict.fromkeys(("all", *TELLING), 0)
+            for source, kinds in given:
+                self._source(story, source, kinds)
         self.stories[story["id"]] = story
         heapq.heappush(self.ends, (story["at"] + self.life, story["id"]))
-        for kind, key, official in story["keys"]:
-            self._note(story["id"], kind, key, official)
-        self.titles[story["id"]] = frozenset(story["tokens"])
-        for key in self._title_keys(story):
-            self._note(story["id"], "title", key, False)
-        self.sizes[story["city"], story["topic"]][len(story["tokens"])] += 1
+        for key, official in story["keys"].items():
+            self._note(story["id"], key, official)
+        self.alike.add((story["city"], story["topic"]), story["id"], story["tokens"])
 
     @staticmethod
-    def _title_keys(story: dict) -> list[tuple]:
-        return [(story["city"], story["topic"], len(story["tokens"]), t) for t in story["tokens"]]
+    def stored(story: dict) -> dict:
+        """A story as JSON holds it."""
+        plain = {k: v for k, v in story.items() if k != "kinds"}
+        return plain | {"tokens": sorted(story["tokens"]), "keys": [[*k, by] for k, by in story["keys"].items()], "sources": [[x, kinds] for x, kinds in story["sources"].items()]}
 
-    def _note(self, story: int, kind: str, key: object, official: bool) -> None:
-        at = self.index.setdefault((kind, key), {})
-        at[story] = at.get(story, False) or official
+    @staticmethod
+    def _source(story: dict, source: int, kinds: list[str] | None) -> None:
+        story["sources"][source] = kinds
+        story["kinds"]["all"] += 1
+        for k in TELLING:
+            story["kinds"][k] += k in (kinds or ())
+
+    def _note(self, story: int, key: tuple[str, str], official: bool) -> None:
+        at = self.index.get(key)
+        if at is None:
+            self.index[key] = {story: official}
+        else:
+            at[story] = at.get(story, False) or official
 
     def expire(self, now: int) -> list[dict]:
         """Takes out what has lived its time."""
@@ -92,72 +112,82 @@ class Ladder:
         while self.ends and self.ends[0][0] <= now:
             story = self.stories.pop(heapq.heappop(self.ends)[1])
             gone.append(story)
-            sizes = self.sizes[story["city"], story["topic"]]
-            sizes[len(self.titles.pop(story["id"]))] -= 1
-            sizes += Counter()  # without the zeros
-            if not sizes:
-                del self.sizes[story["city"], story["topic"]]
-            for key in [*((k, x) for k, x, _ in story["keys"]), *(("title", x) for x in self._title_keys(story))]:
-                at = self.index.get(key, {})
-                at.pop(story["id"], None)
+            self.alike.remove((story["city"], story["topic"]), story["id"])
+            for key in story["keys"]:
+                at = self.index[key]
+                del at[story["id"]]
                 if not at:
-                    self.index.pop(key, None)
+                    del self.index[key]
         return gone
 
     def near(self, s: dict, tokens: set[str]) -> set[int]:
-        """The stories of s's city and topic whose titles can be alike. One of m tokens shares some number of them at least,
-        so it has one of any of s's tokens but that number less one: those that the fewest stories of m tokens have."""
-        n, found = len(tokens), set()
-        for m in self.sizes.get((s["city"], s["topic"]), ()) if n else ():
-            need = next((k for k in range(1, min(n, m) + 1) if similarity_of(k, n, m) >= self.least), None)
-            if need:
-                having = sorted((self.index.get(("title", (s["city"], s["topic"], m, t)), {}) for t in tokens), key=len)
-                found.update(*having[: n - need + 1])
-        return found
-
-    def match(self, s: dict, keys: dict[str, list[str]]) -> tuple[str, dict] | None:
-        official = "official" in (s["source_kinds"] or ())
-        found = {kind: [(self.stories[c], by) for x in keys[kind] for c, by in self.index.get((kind, x), {}).items()] for kind in keys}
-        place = lambda c: (c["at"], c["id"])
-        newest = lambda stories: max(stories, key=place, default=None)
-        here = lambda c: s["city"] is None or c["city"] == s["city"]
-        same = newest(c for kind in ("url", "content") for c, _ in found[kind])
-        related = newest([c for c, _ in found["incident"] if here(c)] + [c for c, by in found["entity"] if (official or by) and here(c)])
-        tokens = set(s["title_tokens"] or ())
-        titled = [(score, place(c), c) for c in map(self.stories.get, self.near(s, tokens)) if abs(s["us"] - c["last"]) <= self.window and (score := title_similarity(tokens, self.titles[c["id"]])) >= self.least]
-        if related and all(place(related) > p for p in [*([place(same)] if same else []), *(p for _, p, _ in titled)]):
-            return ("incident" if any(c is related for c, _ in found["incident"]) else "entity"), related
+        """The stories of s's city and topic whose titles can be alike."""
+        return self.alike.near((s["city"], s["topic"]), tokens)
+
+    def titled(self, s: dict) -> tuple[tuple | None, dict | None]:
+        """Of the stories with a title like s's: the place of the newest, and the best one (of equals, the newest)."""
+        tokens, us = set(s["title_tokens"] or ()), s["us"]
+        n, last, best, found, need = len(tokens), None, None, None, self.alike.need
+        for number in self.near(s, tokens):
+            story = self.stories[number]
+            if abs(us - story["last"]) <= self.window:
+                title = story["tokens"]
+                shared = len(tokens & title)
+                if shared >= need(n, len(title)):
+                    score, place = similarity_of(shared, n, len(title)), (story["at"], number)
+                    last = place if last is None or place > last else last
+                    if best is None or (score, place) > best:
+                        best, found = (score, place), story
+        return last, found
+
+    def match(self, s: dict, keys: list[tuple[str, str]], official: bool) -> tuple[str, dict] | None:
+        city, stories = s["city"], self.stories
+        newest: dict[str, tuple | None] = dict.fromkeys(("url", "content", "incident", "entity"))
+        for key in keys:
+            kind = key[0]
+            for number, by in self.index.get(key, {}).items():
+                story = stories[number]
+                if kind in ("url", "content") or ((city is None or story["city"] == city) and (kind == "incident" or official or by)):
+                    place = (story["at"], number)
+                    if newest[kind] is None or place > newest[kind]:
+                        newest[kind] = place
+        latest = lambda *kinds: max((p for k in kinds if (p := newest[k])), default=None)
+        same, related = latest("url", "content"), latest("incident", "entity")
+        # a related story gives way to a newer one of the same url or content, or of a title alike
+        if same and not (related and related > same):
+            return ("url" if newest["url"] == same else "content"), stories[same[1]]
+        last, best = self.titled(s)
+        if related and not (last and last >= related):
+            return ("incident" if newest["incident"] == related else "entity"), stories[related[1]]
         if same:
-            return ("url" if any(c is same for c, _ in found["url"]) else "content"), same
-        return ("title", max(titled, key=lambda x: x[:2])[2]) if titled else None
+            return ("url" if newest["url"] == same else "content"), stories[same[1]]
+        return ("title", best) if best else None
 
     def take(self, s: dict) -> list[tuple]:
         """The events of the next signal: first_seen; or official_update or source_added, and confidence_changed."""
         keys = keys_of(s)
         kinds = None if s["source_kinds"] is None else list(s["source_kinds"])
         official = "official" in (kinds or ())
-        noted = [(kind, x, official) for kind, xs in keys.items() for x in xs]
-        met = self.match(s, keys)
+        met = self.match(s, keys, official)
         event = lambda c, name, kind: (c["city"], c["id"], s["signal_id"], name, kind, c["label"], s["us"])
         if met is None:
             story = {
-                "id": s["signal_id"], "at": s["us"], "last": s["us"], "city": s["city"], "topic": s["topic"], "tokens": sorted(set(s["title_tokens"] or ())), "keys": noted,
+                "id": s["signal_id"], "at": s["us"], "last": s["us"], "city": s["city"], "topic": s["topic"], "tokens": s["title_tokens"] or (), "keys": dict.fromkeys(keys, official),
                 "sources": [] if s["source_id"] is None else [[s["source_id"], kinds]], "clear": s["city"] is not None, "developing": bool(s["developing"]), "label": "",
             }
-            story["label"] = confidence((k for _, k in story["sources"]), story["clear"], story["developing"])
             self.add(story)
+            story["label"] = confidence(story["kinds"], story["clear"], story["developing"])
             return [event(story, "first_seen", "")]
         kind, story = met
-        had = {(k, x): by for k, x, by in story["keys"]}
-        story["keys"] += [n for n in noted if had.get(n[:2]) is None or (official and not had[n[:2]])]
-        for k, x, by in noted:
-            self._note(story["id"], k, x, by)
-        if s["source_id"] is not None and all(x != s["source_id"] for x, _ in story["sources"]):
-            story["sources"].append([s["source_id"], kinds])
+        for key in keys:
+            story["keys"][key] = story["keys"].get(key, False) or official
+            self._note(story["id"], key, official)
+        if s["source_id"] is not None and s["source_id"] not in story["sources"]:
+            self._source(story, s["source_id"], kinds)
         story["last"] = max(story["last"], s["us"])
         story["clear"], story["developing"] = story["clear"] or s["city"] is not None, story["developing"] or bool(s["developing"])
         before = story["label"]
-        story["label"] = max(before, confidence((k for _, k in story["sources"]), story["clear"], story["developing"]), key=LABELS.index)
+        story["label"] = max(before, confidence(story["kinds"], story["clear"], story["developing"]), key=LABELS.index)
         events = [event(story, "official_update" if official else "source_added", kind)]
         return events + [event(story, "confidence_changed", kind)] * (story["label"] != before)
 
@@ -172,38 +202,35 @@ def in_ladder(signals: DataFrame) -> DataFrame:
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(signal_id, city, key) of what may join two signals, but titles: hashes, references, pairs of entities."""
+    """(spot, city, key) of what may join two signals, but titles: hashes, references, pairs of entities."""
     some = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
     pairs = F.flatten(F.transform(some(F.col("entities")), lambda x: F.transform(F.filter(some(F.col("entities")), lambda y: y > x), lambda y: F.concat(F.lit("e:"), x, F.lit("\n"), y))))
     tagged = lambda tag, c: F.when(F.col(c).isNotNull(), F.array(F.concat(F.lit(tag), c))).otherwise(F.array().cast("array<string>"))
     every = F.concat(tagged("u:", "url_hash"), tagged("c:", "content_hash"), F.transform(some(F.col("refs")), lambda x: F.concat(F.lit("r:"), x)), pairs)
-    return rows.select("signal_id", "city", F.explode(every).alias("key"))
+    return rows.select("spot", "city", F.explode(every).alias("key"))
 
 
-def candidate_edges(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): every two signals that could come to be in one story are connected. A key links its signals to the first of
-    them, in a city of its own where the ladder asks for one city; signals of unknown places link the cities' firsts."""
-    keyed = shared_keys(rows)
+def meeting_spots(rows: DataFrame) -> DataFrame:
+    """rows with `spot`, a number of their city and topic -> (a, b): spots whose signals could come to be in one story are
+    connected. Titles are compared within a spot only. A key links its spots to the least of them, in a city of its own where
+    the ladder asks for one city; signals of unknown places link the cities. No pairs of signals are made."""
     local = F.col("key").startswith("r:") | F.col("key").startswith("e:")
-    at = saved(keyed.select("signal_id", F.xxhash64(F.when(local, F.coalesce("city", F.lit("\0"))), "key").alias("spot"), F.when(local, F.col("key")).alias("open"), F.col("city").isNull().alias("anywhere")), "ladder-keys")
-    firsts = saved(at.groupBy("spot").agg(F.min("signal_id").alias("first"), F.count("*").alias("n"), F.min("open").alias("open"), F.bool_or("anywhere").alias("anywhere")), "ladder-firsts")
-    stars = join_unique(at.select("signal_id", "spot"), firsts.where("n > 1").select("spot", "first"), "spot", counts=firsts.select("spot", "n"))
+    keyed = shared_keys(rows).select("spot", F.xxhash64(F.when(local, F.coalesce("city", F.lit("\0"))), "key").alias("at"), F.when(local, F.col("key")).alias("open"), F.col("city").isNull().alias("anywhere"))
+    at = saved(keyed.distinct(), "ladder-keys")
+    firsts = saved(at.groupBy("at").agg(F.min("spot").alias("first"), F.count("*").alias("n"), F.min("open").alias("open"), F.bool_or("anywhere").alias("anywhere")), "ladder-firsts")
+    stars = join_unique(at.select("spot", "at"), firsts.where("n > 1").select("at", "first"), "at", counts=firsts.select("at", "n"))
     unknown = firsts.where("anywhere and open is not null").select("open", F.col("first").alias("anyone"))
     across = join_unique(firsts.where("open is not null").select("first", "open"), unknown, "open")
-    kind = F.struct("city", "topic", F.array_sort(F.array_distinct(F.coalesce("title_tokens", F.array().cast("array<string>")))).alias("k"))
-    titles = saved(rows.select("signal_id", F.coalesce("city", F.lit("\0")).alias("city"), "topic", "title_tokens").select("signal_id", kind.alias("kind")).where(F.size("kind.k") > 0), "ladder-titles")
-    classes = saved(titles.groupBy("kind").agg(F.min("signal_id").alias("rep"), F.count("*").alias("n")), "ladder-classes")
-    alike = alike_classes(classes.select("rep", "kind.*"), least).select("a", "b")
-    members = join_unique(titles, classes.select("kind", "rep"), "kind", counts=classes.select("kind", "n")).select("rep", "signal_id")
-    return stars.select("first", "signal_id").union(across.select("first", "anyone")).union(alike).union(members).toDF("a", "b").where("a <> b")
+    return stars.select("first", "spot").union(across.select("first", "anyone")).toDF("a", "b").where("a <> b").distinct()
 
 
 def match_ladder(signals: DataFrame, hours: int = 72, least: float = 0.52, days: int = 7) -> DataFrame:
     """signals -> their events (city, cluster, signal_id, event, kind, label, us) in order of time, then id; cluster is the
     story's first signal, kind the evidence. A component's rows stream through one task, which holds its live stories."""
-    rows = saved(in_ladder(signals), "ladder-signals")
-    labels = components(candidate_edges(rows, least), "ladder-components").withColumnRenamed("node", "signal_id")
-    ready = rows.join(labels, "signal_id", "left").withColumn("component", F.coalesce("component", "signal_id"))
+    spot = F.xxhash64(F.coalesce("city", F.lit("\0")), F.coalesce("topic", F.lit("\0"))).alias("spot")
+    rows = saved(in_ladder(signals).select("*", spot), "ladder-signals")
+    labels = components(meeting_spots(rows), "ladder-components").withColumnRenamed("node", "spot")
+    ready = rows.join(beside(labels), "spot", "left").withColumn("component", F.coalesce("component", "spot")).drop("spot")
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ready.repartition(width, "component").sortWithinPartitions("component", "us", "signal_id")
 
@@ -215,7 +242,8 @@ def match_ladder(signals: DataFrame, hours: int = 72, least: float = 0.52, days:
                 if s["component"] != component:
                     ladder, component = Ladder(hours, least, days), s["component"]
                 out += ladder.step(s)
-            yield pa.RecordBatch.from_pylist([dict(zip(EVENT_ARROW.names, e, strict=True)) for e in out], schema=EVENT_ARROW)
+            columns = zip(*out, strict=True) if out else [()] * len(EVENT_ARROW)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, EVENT_ARROW, strict=True)], schema=EVENT_ARROW)
 
     return dealt.mapInArrow(run, EVENT)
 
