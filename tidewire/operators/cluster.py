@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.graph import components
-from tidewire.operators.similarity import title_classes, title_links
+from tidewire.operators.similarity import AlikeTitles, link_score, title_classes, title_forest
 
 
 class Greedy:
@@ -19,31 +19,29 @@ class Greedy:
 
     def __init__(self, hours: int = 30, sample: int = 6):
         self.reach, self.sample, self.opened = hours * 3600 * 1000000, sample, 0
-        self.members: dict[int, tuple[set[str], int, int]] = {}  # id -> tokens, cluster, its number
-        self.index: dict[str, set[int]] = {}
+        self.members: dict[int, tuple[int, int]] = {}  # id -> cluster, its number
+        self.alike = AlikeTitles(lambda k, n, m: link_score(k, n, m) > 0)
         self.recent: deque[tuple[int, int]] = deque()
         self.sizes: dict[int, list[int]] = {}  # cluster -> first members so far, those still held
 
     def _forget(self, us: int) -> None:
         while self.recent and self.recent[0][0] - us > self.reach:
-            tokens, cluster, _ = self.members.pop(member := self.recent.popleft()[1])
-            for t in tokens:
-                self.index[t].discard(member)
-                if not self.index[t]:
-                    del self.index[t]
+            cluster, _ = self.members.pop(member := self.recent.popleft()[1])
+            self.alike.remove((), member)
             self.sizes[cluster][1] -= 1
             if not self.sizes[cluster][1]:
                 del self.sizes[cluster]
 
-    def step(self, item: int, us: int, tokens: set[str]) -> int:
+    def step(self, item: int, us: int, tokens: frozenset[str]) -> int:
         self._forget(us)
-        best, target = (0.0, 0), None
-        for member, shared in Counter(m for t in tokens for m in self.index.get(t, ())).items():
-            if shared >= 3:
-                theirs, cluster, number = self.members[member]
-                score = link_score(shared, len(tokens), len(theirs))
-                if (score, -number) > best and score > 0:
-                    best, target = (score, -number), cluster
+        best, target, n = (0.0, 0), None, len(tokens)
+        for member in self.alike.near((), tokens):
+            title = self.alike.titles[member]
+            shared = len(tokens & title)
+            if shared >= self.alike.need(n, len(title)):
+                cluster, number = self.members[member]
+                if (place := (link_score(shared, n, len(title)), -number)) > best:
+                    best, target = place, cluster
         if target is None:
             target, number = item, self.opened
             self.opened += 1
@@ -53,30 +51,21 @@ class Greedy:
         count = self.sizes[target]
         if count[0] < self.sample:
             self.sizes[target] = [count[0] + 1, count[1] + 1]
-            self.members[item] = (tokens, target, number)
+            self.members[item] = (target, number)
             self.recent.append((us, item))
-            for t in tokens:
-                self.index.setdefault(t, set()).add(item)
+            self.alike.add((), item, tokens)
         return target
 
 
-def link_score(shared: int, n: int, m: int) -> float:
-    """The score of two titles that may be in one cluster; 0 for others."""
-    union = n + m - shared
-    contained = shared / min(n, m)
-    score = max(shared / union, 0.65 * contained + 0.35 * shared / union)
-    return score if shared >= 5 or (shared >= 4 and contained >= 0.62) or (shared >= 3 and score >= 0.72) else 0.0
-
-
 OUT = pa.schema([("id", pa.int64()), ("cluster", pa.int64())])
 
 
 def story_clusters(items: DataFrame, hours: int = 30) -> DataFrame:
     """(id, cluster), cluster being its first item. Clusters never leave a component of classes of alike titles of neighbouring
-    stretches of `hours`, so the fold of each gives what one pass over all would. Classes are linked, not items, so copies
-    cost a row each; a component's rows stream by, without texts, and its task holds what the last hours may still link to."""
+    stretches of `hours`, so the fold of each gives what one pass over all would. Classes are linked, not items, by as few
+    links as connect them; a component's rows stream by, without texts, and its task holds what the last hours may still link to."""
     members, classes = title_classes(items, hours)
-    homes = components(title_links(classes).select("a", "b"), "title-components").withColumnRenamed("node", "class")
+    homes = components(title_forest(classes), "title-components").withColumnRenamed("node", "class")
     rows = members.join(homes, "class", "left").select("id", F.coalesce("component", "class").alias("component"))
     body = items.select("id", F.array_distinct("title_tokens").alias("tokens"), F.unix_micros("published_at").alias("us"), "base_score")
     width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -90,7 +79,7 @@ def story_clusters(items: DataFrame, hours: int = 30) -> DataFrame:
             for i, home, k, us in zip(ids, homes, tokens, times, strict=True):
                 if home != component:
                     greedy, component = Greedy(hours), home
-                found.append(greedy.step(i, us, set(k)))
+                found.append(greedy.step(i, us, frozenset(k)))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], schema=OUT)
 
     found = dealt.select("id", "component", "tokens", "us", "base_score").mapInArrow(fold, "id long, cluster long")

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.editorial import AlikeTitles, similarity_of
+from tidewire.operators.editorial import similarity_of
 from tidewire.operators.graph import components
 from tidewire.operators.shuffles import beside, join_unique, saved
+from tidewire.operators.similarity import AlikeTitles
 
 #: How far a story is confirmed, from the weakest on.
 LABELS = ("low_confidence", "community_source", "developing", "reported_one_source", "confirmed_multiple_sources", "official")
@@ -68,7 +69,7 @@ class Ladder:
         self.stories: dict[int, dict] = {}
         self.index: dict[tuple, dict[int, bool]] = {}  # kind, key -> story -> whether an official source gave it
         self.ends: list[tuple[int, int]] = []
-        self.alike = AlikeTitles(least)
+        self.alike = AlikeTitles(lambda k, n, m: similarity_of(k, n, m) >= least)
         self.titles, self.sizes = self.alike.titles, self.alike.sizes
 
     def add(self, story: dict) -> None:

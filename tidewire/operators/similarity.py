@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewire.functions import text as T
-from tidewire.operators.shuffles import join_unique, saved
+from tidewire.operators.shuffles import beside, join_unique, saved
 
 
 def title_classes(items: DataFrame, hours: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -62,6 +65,129 @@ def title_links(classes: DataFrame, cell: int = 8000) -> DataFrame:
     return scored.where((F.col("shared") >= 5) | ((F.col("shared") >= 4) & (F.col("containment") >= 0.62)) | (F.col("score") >= 0.72)).select("a", "b", "shared", "score")
 
 
+class AlikeTitles:
+    """Titles by group (a city and topic), found by the tokens that alike ones must share."""
+
+    def __init__(self, alike: Callable[[int, int, int], bool]):
+        self.alike = alike  # whether titles of n and m tokens that share k are alike; then they are if they share more
+        self.titles: dict[int, frozenset[str]] = {}
+        self.sizes: dict[tuple, dict[str, dict[int, list[int]]]] = {}  # group -> token -> size of title -> those that have it
+        self.needs: dict[int, dict[int, int]] = {}
+
+    def need(self, n: int, m: int) -> int:
+        """How many tokens alike titles of n and m tokens share at least; one more than there are if none are alike."""
+        known = self.needs.setdefault(n, {})
+        if m not in known:
+            known[m] = next((k for k in range(1, min(n, m) + 1) if self.alike(k, n, m)), min(n, m) + 1)
+        return known[m]
+
+    def add(self, group: tuple, number: int, tokens: frozenset[str]) -> None:
+        self.titles[number] = tokens
+        if tokens:
+            at, m = self.sizes.setdefault(group, {}), len(tokens)
+            for t in tokens:
+                at.setdefault(t, {}).setdefault(m, []).append(number)
+
+    def remove(self, group: tuple, number: int) -> None:
+        """The oldest of a list is found at once, and mostly it is the one that goes."""
+        tokens = self.titles.pop(number)
+        if tokens:
+            at, m = self.sizes[group], len(tokens)
+            for t in tokens:
+                (having := at[t][m]).remove(number)
+                if not having:
+                    del at[t][m]
+                    if not at[t]:
+                        del at[t]
+            if not at:
+                del self.sizes[group]
+
+    def near(self, group: tuple, tokens: set[str]) -> set[int]:
+        """The titles of the group that can be alike. One of m tokens shares some number of those it has at all, so it has one
+        of any of these but that number less one: those that the fewest titles of m tokens have."""
+        found, at, by_size = set(), self.sizes.get(group), {}
+        if not at or not tokens:
+            return found
+        for t in tokens:
+            if t in at:
+                for m, having in at[t].items():
+                    if m in by_size:
+                        by_size[m].append(having)
+                    else:
+                        by_size[m] = [having]
+        n = len(tokens)
+        known = self.needs.setdefault(n, {})
+        for m, lists in by_size.items():
+            spare = len(lists) - (known.get(m) or self.need(n, m))
+            if spare == 0:
+                found.update(min(lists, key=len))
+            elif spare > 0:
+                lists.sort(key=len)
+                found.update(*lists[: spare + 1])
+        return found
+
+
+def link_score(shared: int, n: int, m: int) -> float:
+    """The score of two titles that may be in one cluster; 0 for others."""
+    union = n + m - shared
+    contained = shared / min(n, m)
+    score = max(shared / union, 0.65 * contained + 0.35 * shared / union)
+    return score if shared >= 5 or (shared >= 4 and contained >= 0.62) or (shared >= 3 and score >= 0.72) else 0.0
+
+
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def title_forest(classes: DataFrame, cell: int = 50_000) -> DataFrame:
+    """classes (class, k, bucket) -> (a, b): as few links as connect what title_links() connects, so less than one for each
+    row read, however many are alike. A bucket's classes are dealt to cells of about `cell`. A task holds one cell; the rest of
+    the bucket and the next bucket stream by. What is connected there already is not linked again."""
+    sizes = beside(classes.groupBy("bucket").agg(F.ceil(F.count("*") / cell).alias("parts")))
+    own = F.pmod(F.xxhash64("class"), F.col("parts"))
+    placed = classes.join(sizes, "bucket").select("class", "k", "bucket", own.alias("cell"))
+    before = sizes.select((F.col("bucket") + 1).alias("bucket"), (F.col("parts") - 1).alias("last"))
+    every = lambda last: F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)))
+    rows = placed.select("bucket", "cell", F.lit(0).alias("visits"), "class", "k")
+    rows = rows.union(placed.select("bucket", every(F.col("cell") - 1).alias("cell"), F.lit(1), "class", "k"))
+    rows = rows.union(placed.join(before, "bucket").select(F.col("bucket") - 1, every(F.col("last")).alias("cell"), F.lit(1), "class", "k"))
+    width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(width, "bucket", "cell").sortWithinPartitions("bucket", "cell", "visits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home = titles = None
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root[x]) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            links = []
+            buckets, cells, visits, numbers, sets = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "cell", "visits", "class", "k"))
+            for bucket, cell, visiting, number, k in zip(buckets, cells, visits, numbers, sets, strict=True):
+                if (bucket, cell) != home:
+                    home, titles, root = (bucket, cell), AlikeTitles(lambda k, n, m: link_score(k, n, m) > 0), {}
+                tokens, mine = frozenset(k), None
+                n = len(tokens)
+                for other in titles.near((), tokens):
+                    if mine is None or root[other] != mine and top(other) != mine:
+                        title = titles.titles[other]
+                        if len(tokens & title) >= titles.need(n, len(title)):
+                            links.append((other, number))
+                            theirs = top(other)
+                            if mine is None:
+                                mine = theirs
+                            else:
+                                root[theirs] = mine
+                if not visiting:
+                    root[number] = number if mine is None else mine
+                    titles.add((), number, tokens)
+            yield pa.record_batch([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=LINK)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def title_pairs(items: DataFrame, hours: int = 30) -> DataFrame:
     """(a, b, shared, score), a < b: items of one class or of linked ones, within `hours` of each other. This has a row for
     each pair; who needs groups takes classes and links."""
