@@ -37,11 +37,9 @@ class Greedy:
         best, target, n = (0.0, 0), None, len(tokens)
         for member in self.alike.near((), tokens):
             title = self.alike.titles[member]
-            shared = len(tokens & title)
-            if shared >= self.alike.need(n, len(title)):
-                cluster, number = self.members[member]
-                if (place := (link_score(shared, n, len(title)), -number)) > best:
-                    best, target = place, cluster
+            cluster, number = self.members[member]
+            if (place := (link_score(len(tokens & title), n, len(title)), -number)) > best:
+                best, target = place, cluster
         if target is None:
             target, number = item, self.opened
             self.opened += 1

@@ -122,23 +122,21 @@ class Ladder:
         return gone
 
     def near(self, s: dict, tokens: set[str]) -> set[int]:
-        """The stories of s's city and topic whose titles can be alike."""
+        """The stories of s's city and topic whose titles are alike."""
         return self.alike.near((s["city"], s["topic"]), tokens)
 
     def titled(self, s: dict) -> tuple[tuple | None, dict | None]:
         """Of the stories with a title like s's: the place of the newest, and the best one (of equals, the newest)."""
         tokens, us = set(s["title_tokens"] or ()), s["us"]
-        n, last, best, found, need = len(tokens), None, None, None, self.alike.need
+        n, last, best, found = len(tokens), None, None, None
         for number in self.near(s, tokens):
             story = self.stories[number]
             if abs(us - story["last"]) <= self.window:
                 title = story["tokens"]
-                shared = len(tokens & title)
-                if shared >= need(n, len(title)):
-                    score, place = similarity_of(shared, n, len(title)), (story["at"], number)
-                    last = place if last is None or place > last else last
-                    if best is None or (score, place) > best:
-                        best, found = (score, place), story
+                score, place = similarity_of(len(tokens & title), n, len(title)), (story["at"], number)
+                last = place if last is None or place > last else last
+                if best is None or (score, place) > best:
+                    best, found = (score, place), story
         return last, found
 
     def match(self, s: dict, keys: list[tuple[str, str]], official: bool) -> tuple[str, dict] | None:

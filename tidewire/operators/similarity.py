@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,12 +102,12 @@ class AlikeTitles:
             if not at:
                 del self.sizes[group]
 
-    def near(self, group: tuple, tokens: set[str]) -> set[int]:
-        """The titles of the group that can be alike. One of m tokens shares some number of those it has at all, so it has one
-        of any of these but that number less one: those that the fewest titles of m tokens have."""
-        found, at, by_size = set(), self.sizes.get(group), {}
+    def met(self, group: tuple, tokens: set[str]) -> Iterator[tuple[int, Iterable[int]]]:
+        """By size, the titles of the group that can be alike, and how many tokens they have to share. One of m tokens lacks at
+        most `spare` of those that titles of its size have, so it has two of any `spare` and two: those of the fewest titles."""
+        at, by_size = self.sizes.get(group), {}
         if not at or not tokens:
-            return found
+            return
         for t in tokens:
             if t in at:
                 for m, having in at[t].items():
@@ -118,13 +118,25 @@ class AlikeTitles:
         n = len(tokens)
         known = self.needs.setdefault(n, {})
         for m, lists in by_size.items():
-            spare = len(lists) - (known.get(m) or self.need(n, m))
-            if spare == 0:
-                found.update(min(lists, key=len))
-            elif spare > 0:
-                lists.sort(key=len)
-                found.update(*lists[: spare + 1])
-        return found
+            need = known.get(m) or self.need(n, m)
+            spare = len(lists) - need
+            if spare < 0:
+                continue
+            lists.sort(key=len)
+            if need == 1:
+                yield need, set().union(*lists)
+                continue
+            once, twice = set(lists[0]), set()
+            for having in lists[1 : spare + 2]:
+                twice.update(once.intersection(having))
+                once.update(having)
+            if twice:
+                yield need, twice
+
+    def near(self, group: tuple, tokens: set[str]) -> set[int]:
+        """The titles of the group that are alike."""
+        titles = self.titles
+        return {x for need, met in self.met(group, tokens) for x in met if len(tokens & titles[x]) >= need}
 
 
 def link_score(shared: int, n: int, m: int) -> float:
@@ -169,11 +181,9 @@ def title_forest(classes: DataFrame, cell: int = 50_000) -> DataFrame:
                 if (bucket, cell) != home:
                     home, titles, root = (bucket, cell), AlikeTitles(lambda k, n, m: link_score(k, n, m) > 0), {}
                 tokens, mine = frozenset(k), None
-                n = len(tokens)
-                for other in titles.near((), tokens):
-                    if mine is None or root[other] != mine and top(other) != mine:
-                        title = titles.titles[other]
-                        if len(tokens & title) >= titles.need(n, len(title)):
+                for need, met in titles.met((), tokens):
+                    for other in met:
+                        if (mine is None or root[other] != mine and top(other) != mine) and len(tokens & titles.titles[other]) >= need:
                             links.append((other, number))
                             theirs = top(other)
                             if mine is None:
